@@ -64,3 +64,17 @@ def hash60(*columns: Column) -> Column:
     """
     joined = F.concat_ws("\x1f", *[F.coalesce(c.cast("string"), F.lit("")) for c in columns])
     return F.conv(F.substring(F.md5(joined), 1, 15), 16, 10).cast("long")
+
+
+#: Rows of a table that a join may broadcast; a longer one is shuffled.
+BROADCAST_ROWS = 200_000
+
+
+def join_small(df: DataFrame, small: DataFrame, on, how: str = "inner") -> DataFrame:
+    """Join with a materialised table of narrow rows: broadcast if its counted rows are within the bound, else by shuffle."""
+    return df.join(F.broadcast(small) if small.count() <= BROADCAST_ROWS else small, on, how)
+
+
+def literal_map(weights: dict[str, int]) -> Column:
+    pairs = [F.lit(x) for item in weights.items() for x in item]
+    return F.create_map(*pairs) if pairs else F.create_map().cast("map<string,int>")

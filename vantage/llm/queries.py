@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vantage.llm import simhash
+from vantage.llm import mixing, sharding, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [simhash.op9_simhash_near_dedup]
+    found = [sharding.op1_sharding, mixing.op8_mixing_sources, simhash.op9_simhash_near_dedup]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_sharding": sharding.shard_sql(), "op8_mixing_sources": mixing.mixing_sql()}
