@@ -22,7 +22,7 @@ LEVELS = ["domain", "language", "source"]
 WEIGHTS = {"domain": {"domain0": 4, "domain1": 3, "domain2": 2, "domain3": 1}, "language": {"en": 5, "de": 2, "fr": 2, "es": 1}, "source": {}}
 MAX_EPOCHS, SEED = 4, 17
 #: Documents of a leaf that fall in one range of the epoch's order, about.
-RANGE_ROWS = 4096
+RANGE_ROWS = 256
 LAST = (1 << 60) - 1
 
 

@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vantage.llm import mixing, sharding, simhash
+from vantage.llm import decontaminate, langid, mixing, sharding, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [sharding.op1_sharding, mixing.op8_mixing_sources, simhash.op9_simhash_near_dedup]
+    found = [sharding.op1_sharding, langid.op2_language_id, decontaminate.op7_benchmark_decontamination, mixing.op8_mixing_sources, simhash.op9_simhash_near_dedup]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_sharding": sharding.shard_sql(), "op8_mixing_sources": mixing.mixing_sql()}
+    return {"op1_sharding": sharding.shard_sql(), "op7_benchmark_decontamination": decontaminate.decontamination_sql(), "op8_mixing_sources": mixing.mixing_sql()}
