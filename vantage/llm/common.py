@@ -39,13 +39,15 @@ def parts(spark: SparkSession, rows: int, per_task: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_task))
 
 
-def map_arrow(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """Apply a kernel to each Arrow batch. Kernels see one batch at a time and keep nothing between batches but caches."""
+def map_arrow(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, rows: int | None = None) -> DataFrame:
+    """Apply a kernel to each Arrow batch. Kernels see one batch at a time and keep nothing between batches but caches.
+    rows: pieces in which a batch of large values is handed to the kernel."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield kernel(batch)
+            for at in range(0, max(1, batch.num_rows), rows or max(1, batch.num_rows)):
+                yield kernel(batch.slice(at, rows))
 
     return df.mapInArrow(run, schema)
 
