@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vantage.llm import decontaminate, htmltext, langid, mixing, secrets, sharding, simhash, surrogates, tokenfile
+from vantage.llm import decontaminate, htmltext, langid, mixing, neargraph, secrets, sharding, simhash, surrogates, tokenfile
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         langid.op2_language_id,
         surrogates.op3_pii_surrogates,
         htmltext.op4_html_extraction,
+        neargraph.op5_embedding_near_dedup,
         secrets.op6_secret_scan,
         decontaminate.op7_benchmark_decontamination,
         mixing.op8_mixing_sources,
