@@ -18,6 +18,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ FILE_IDS = 1 << 20
 TASK_BYTES = 16 << 20
 END = 2
 #: Words whose ids a worker remembers.
-CACHE = 400_000
+CACHE = 300_000
 
 
 def encode_blocks(ids: np.ndarray, block: int = BLOCK, percentile: int = PERCENTILE) -> list[bytes]:
@@ -194,6 +195,12 @@ class Encoder:
         return out
 
 
+@cache
+def encoder(path: str) -> Encoder:
+    """One per worker process, which remembers its words from task to task."""
+    return Encoder(path)
+
+
 def write(docs: DataFrame, folder: str, tokenizer: str, doc_id: str = "doc_id", text: str = "text", end: int = END, file_ids: int = FILE_IDS) -> None:
     """Write docs' ids as files in ascending order of doc_id, nulls first, ties by a hash of the text.
 
@@ -210,7 +217,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, doc_id: str = "doc_id",
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq, before = TaskContext.get().partitionId(), 0, 0
-        encoder = Encoder(tokenizer)
+        own = encoder(tokenizer)
         tail = np.array([end], "<u4").tobytes()
         ids: list[int | None] = []
         held: list[np.ndarray] = []
@@ -221,7 +228,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, doc_id: str = "doc_id",
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["part", "seq", "before", "n_ids", "n_docs", "data"])
 
         for batch in batches:
-            for i, data in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(2)), strict=True):
+            for i, data in zip(batch.column(0).to_pylist(), own.encode(batch.column(2)), strict=True):
                 ids.append(i)
                 held.append(np.frombuffer(data + tail, "<u4"))
                 n_ids += len(held[-1])
