@@ -19,7 +19,7 @@ from vantage.llm.common import cut, join_small, table
 
 KEY = "vantage surrogate key"
 MALE, FEMALE, EITHER = "Mr|Herr|Herrn|Sr|Señor|Monsieur|Don|г-н", "Mrs|Ms|Miss|Mme|Mlle|Madame|Frau|Sra|Srta|Señora|Señorita|Doña|г-жа", "Dr|Prof"
-PERSON = rf"(?<![\p{{L}}\p{{N}}])(?:{MALE}|{FEMALE}|{EITHER})\b\.?[ \t]+\p{{Lu}}[\p{{L}}'’-]++(?:[ \t]+\p{{Lu}}[\p{{L}}'’-]++){{0,2}}"
+PERSON = rf"(?=[MHSDPFг])(?<![\p{{L}}\p{{N}}])(?:{MALE}|{FEMALE}|{EITHER})\b\.?[ \t]+\p{{Lu}}[\p{{L}}'’-]++(?:[ \t]+\p{{Lu}}[\p{{L}}'’-]++){{0,2}}"
 PATTERNS = [
     ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
@@ -32,6 +32,8 @@ PATTERNS = [
 ]
 #: Any entity; no other white space or bracket is taken in.
 ENTITY = "|".join(f"(?:{p})" for _, p in PATTERNS)
+#: What a text with an entity holds; only such texts are searched for entities.
+HINT = f"[0-9@]|{PERSON}"
 #: Rounds in which a surrogate may not be an entity of the corpus either, and in which it has the entity's length.
 APART, SAME_LENGTH = 16, 48
 #: Syllables and endings that names are made of, by script.
@@ -172,22 +174,22 @@ def replace(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", key: st
     A surrogate never equals another entity's surrogate of its kind; where a format has no free value left, it gets longer.
     """
     kept = [c for c in docs.columns if c != "n_entities"]
-    found = F.coalesce(F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0)), F.array().cast("array<string>"))
+    found = F.when(F.col(text).rlike(HINT), F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))).otherwise(F.array().cast("array<string>"))
     mentions = cut(docs.select(F.col(doc_id).alias("__id"), F.xxhash64(text).alias("__h"), found.alias("e")).where("size(e) > 0"))
     each = F.flatten(F.transform("e", lambda e: F.transform(parts(e), lambda p: F.struct(p.kind, p.canon))))
     used = mentions.select("__id", "__h", F.explode(each).alias("p")).select("__id", "__h", F.col("p.kind").alias("kind"), F.col("p.canon").alias("canon")).where("kind <> 'keep'")
     twice = cut(collisions(used.select("kind", "canon").distinct(), key))
     # only the rows that mention an entity with a counter need to know one
     named = join_small(used, twice, ["kind", "canon"]).groupBy("__id", "__h").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws("\x1f", "kind", "canon"), "counter"))).alias("__counters"))
-    rows = docs.select(*kept, F.xxhash64(text).alias("__hash"))
+    rows = docs.select(*kept, F.xxhash64(text).alias("__hash"), found.alias("__found"))
     named = cut(named)
     rows = join_small(rows, named, rows[doc_id].eqNullSafe(F.col("__id")) & (rows["__hash"] == F.col("__h")), "left")
     counter = lambda p: F.coalesce(F.element_at("__counters", F.concat_ws("\x1f", p.kind, p.canon)), F.lit(0))
-    new = F.transform(found, lambda e: F.array_join(F.transform(parts(e), lambda p: write_part(p, counter(p), key)), ""))
+    new = F.transform("__found", lambda e: F.array_join(F.transform(parts(e), lambda p: write_part(p, counter(p), key)), ""))
     gaps = F.split(F.col(text), ENTITY, -1)
     whole = F.concat(F.array_join(F.zip_with(new, F.slice(gaps, 1, F.greatest(F.size(gaps) - 1, F.lit(0))), lambda s, g: F.concat(g, s)), ""), F.element_at(gaps, -1))
-    replaced = F.when(F.size(found) == 0, F.col(text)).otherwise(whole)
-    return rows.select(*[(replaced.alias(c) if c == text else rows[c]) for c in kept], F.size(found).cast("long").alias("n_entities"))
+    replaced = F.when(F.size("__found") == 0, F.col(text)).otherwise(whole)
+    return rows.select(*[(replaced.alias(c) if c == text else rows[c]) for c in kept], F.size("__found").cast("long").alias("n_entities"))
 
 
 def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
