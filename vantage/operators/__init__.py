@@ -1,0 +1 @@
+"""Dataflow operators over pages, cells, windows, boxes, samples and vectors."""
