@@ -659,12 +659,12 @@ def crossval_hillclimb(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- images
 
 _ALONG = "[" + ", ".join(f"{sign}({c}::DOUBLE * dx + {s}::DOUBLE * dy)" for c, s in zip(features.COS, features.SIN, strict=True) for sign in ("", "-")) + "]"
-PIXELS = "pix AS (SELECT doc_id, (p // 80)::INTEGER AS y, (p % 80)::INTEGER AS x, v FROM (SELECT vec_id // 100 AS doc_id, (vec_id % 100) * 64 + generate_subscripts(embedding, 1) - 1 AS p, floor((unnest(embedding)::DOUBLE + 1) * 127.5) AS v FROM embeddings) WHERE doc_id IN (SELECT vec_id // 100 FROM embeddings GROUP BY 1 HAVING count(*) = 100))"
+PIXELS = "pix AS MATERIALIZED (SELECT doc_id, (p // 80)::INTEGER AS y, (p % 80)::INTEGER AS x, v FROM (SELECT vec_id // 100 AS doc_id, (vec_id % 100) * 64 + generate_subscripts(embedding, 1) - 1 AS p, floor((unnest(embedding)::DOUBLE + 1) * 127.5) AS v FROM embeddings) WHERE doc_id IN (SELECT vec_id // 100 FROM embeddings GROUP BY 1 HAVING count(*) = 100))"
 GRADIENT = f"""{PIXELS},
-    pts AS (SELECT d.doc_id, y, x, least(y, 78) AS py, least(x, 78) AS px FROM (SELECT DISTINCT doc_id FROM pix) d, range(1, 83) a(y), range(1, 83) b(x)),
-    dif AS (SELECT pts.doc_id, pts.y, pts.x, r.v - l.v AS dx, b.v - t.v AS dy FROM pts
-        JOIN pix l ON l.doc_id = pts.doc_id AND l.y = py AND l.x = px - 1 JOIN pix r ON r.doc_id = pts.doc_id AND r.y = py AND r.x = px + 1
-        JOIN pix t ON t.doc_id = pts.doc_id AND t.y = py - 1 AND t.x = px JOIN pix b ON b.doc_id = pts.doc_id AND b.y = py + 1 AND b.x = px),
+    inl AS (SELECT doc_id, y, x, lead(v) OVER (PARTITION BY doc_id, y ORDER BY x) - lag(v) OVER (PARTITION BY doc_id, y ORDER BY x) AS dx,
+        lead(v) OVER (PARTITION BY doc_id, x ORDER BY y) - lag(v) OVER (PARTITION BY doc_id, x ORDER BY y) AS dy FROM pix),
+    spread AS (SELECT i, p FROM (SELECT i, least(i, 78) AS p FROM range(1, 83) t(i))),
+    dif AS (SELECT doc_id, b.i AS y, a.i AS x, dx, dy FROM inl JOIN spread a ON a.p = inl.x JOIN spread b ON b.p = inl.y),
     gra AS (SELECT doc_id, y, x, sqrt(dx * dx + dy * dy) AS v, CASE WHEN list_max(a) > 0 THEN (list_position(a, list_max(a)) - 1) // 2 + 9 * ((list_position(a, list_max(a)) - 1) % 2) ELSE 0 END AS o FROM (SELECT *, {_ALONG} AS a FROM dif))"""
 VOTES = """pos AS (SELECT *, (y + 0.5::DOUBLE) / 12 - 0.5 AS fy, (x + 0.5::DOUBLE) / 12 - 0.5 AS fx FROM gra),
     low AS (SELECT *, floor(fy)::INTEGER AS cy, floor(fx)::INTEGER AS cx FROM pos)"""
@@ -672,11 +672,12 @@ HIST = f"""{GRADIENT}, {VOTES},
     vot AS (SELECT doc_id, cy + i AS r, cx + j AS c, o, v * (CASE WHEN i = 0 THEN 1 - (fy - cy) ELSE fy - cy END) * (CASE WHEN j = 0 THEN 1 - (fx - cx) ELSE fx - cx END) AS v FROM low, range(0, 2) a(i), range(0, 2) b(j)),
     his AS (SELECT doc_id, r::INTEGER AS r, c::INTEGER AS c, o::INTEGER AS o, sum(v) AS v FROM vot WHERE r BETWEEN 0 AND 6 AND c BETWEEN 0 AND 6 GROUP BY ALL)"""
 HOG = f"""{HIST},
-    ful AS (SELECT d.doc_id, r::INTEGER AS r, c::INTEGER AS c, o::INTEGER AS o, coalesce(v, 0) AS v FROM (SELECT DISTINCT doc_id FROM pix) d CROSS JOIN range(0, 7) a(r) CROSS JOIN range(0, 7) b(c) CROSS JOIN range(0, 18) e(o) LEFT JOIN his USING (doc_id, r, c, o)),
+    ful AS MATERIALIZED (SELECT d.doc_id, r::INTEGER AS r, c::INTEGER AS c, o::INTEGER AS o, coalesce(v, 0) AS v FROM (SELECT DISTINCT doc_id FROM pix) d CROSS JOIN range(0, 7) a(r) CROSS JOIN range(0, 7) b(c) CROSS JOIN range(0, 18) e(o) LEFT JOIN his USING (doc_id, r, c, o)),
     ene AS (SELECT doc_id, r, c, sum(s * s) AS e FROM (SELECT doc_id, r, c, o % 9 AS o, sum(v) AS s FROM ful GROUP BY ALL) GROUP BY ALL),
-    nor AS (SELECT doc_id, r, c, 1 / sqrt(e + (SELECT e FROM ene n WHERE n.doc_id = ene.doc_id AND n.r = ene.r + 1 AND n.c = ene.c) + (SELECT e FROM ene n WHERE n.doc_id = ene.doc_id AND n.r = ene.r AND n.c = ene.c + 1) + (SELECT e FROM ene n WHERE n.doc_id = ene.doc_id AND n.r = ene.r + 1 AND n.c = ene.c + 1) + 0.0001) AS s FROM ene WHERE r < 6 AND c < 6),
+    row AS (SELECT doc_id, r, c, e + lead(e) OVER (PARTITION BY doc_id, r ORDER BY c) AS e FROM ene),
+    nor AS MATERIALIZED (SELECT * FROM (SELECT doc_id, r, c, 1 / sqrt(e + lead(e) OVER (PARTITION BY doc_id, c ORDER BY r) + 0.0001) AS s FROM row) WHERE s IS NOT NULL),
     inn AS (SELECT f.doc_id, f.r - 1 AS r, f.c - 1 AS c, o, v, CASE WHEN n.r = f.r AND n.c = f.c THEN 0 WHEN n.r = f.r - 1 AND n.c = f.c THEN 1 WHEN n.r = f.r AND n.c = f.c - 1 THEN 2 ELSE 3 END AS k, s
-        FROM ful f JOIN nor n ON n.doc_id = f.doc_id AND n.r BETWEEN f.r - 1 AND f.r AND n.c BETWEEN f.c - 1 AND f.c WHERE f.r BETWEEN 1 AND 5 AND f.c BETWEEN 1 AND 5),
+        FROM ful f CROSS JOIN range(0, 2) a(i) CROSS JOIN range(0, 2) b(j) JOIN nor n ON n.doc_id = f.doc_id AND n.r = f.r - a.i AND n.c = f.c - b.j WHERE f.r BETWEEN 1 AND 5 AND f.c BETWEEN 1 AND 5),
     sig AS (SELECT doc_id, r, c, o AS d, 0.5 * sum(least(v * s, 0.2)) AS v FROM inn GROUP BY ALL),
     uns AS (SELECT doc_id, r, c, o AS d, 0.5 * sum(least(v * s, 0.2)) AS v FROM (SELECT doc_id, r, c, o % 9 AS o, k, s, sum(v) AS v FROM inn GROUP BY doc_id, r, c, o % 9, k, s) GROUP BY ALL),
     tex AS (SELECT doc_id, r, c, k AS d, 0.2357 * sum(least(v * s, 0.2)) AS v FROM inn GROUP BY ALL)"""
