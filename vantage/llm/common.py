@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows an Arrow batch holds at most, so that a batch of long texts stays small beside a Python worker's memory.
 BATCH_ROWS = 1000
@@ -39,7 +40,7 @@ def parts(spark: SparkSession, rows: int, per_task: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_task))
 
 
-def map_arrow(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, rows: int | None = None) -> DataFrame:
+def map_arrow(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | T.StructType, rows: int | None = None) -> DataFrame:
     """Apply a kernel to each Arrow batch. Kernels see one batch at a time and keep nothing between batches but caches.
     rows: pieces in which a batch of large values is handed to the kernel."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
@@ -52,6 +53,11 @@ def map_arrow(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch],
     return df.mapInArrow(run, schema)
 
 
+def schema_of(df: DataFrame, names: list[str], added: str) -> T.StructType:
+    """The named fields of df, and those of a DDL string."""
+    return T.StructType([*(df.schema[n] for n in names), *T.StructType.fromDDL(added).fields])
+
+
 def utf8(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
     """A string column as UTF-8 bytes, without decoding."""
     column = batch.column(batch.schema.get_field_index(name))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vantage.llm.common import cut, join_small, map_arrow, table, utf8
+from vantage.llm.common import cut, join_small, map_arrow, schema_of, table, utf8
 
 #: Maps A-Z to a-z, keeps 0-9, a-z and every byte of a non-ASCII character, and turns all else into a space.
 WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -90,7 +90,7 @@ SPANS = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 
 def occurrences(docs: DataFrame, text: str, index, found) -> DataFrame:
     """docs' other columns, n_words, spans of hit words and items for one broadcast index."""
-    kept = [f for f in docs.schema.fields if f.name != text]
+    kept = [c for c in docs.columns if c not in (text, "n_words", "spans", "items")]
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
         n_words, spans, items = [], [], []
@@ -101,12 +101,11 @@ def occurrences(docs: DataFrame, text: str, index, found) -> DataFrame:
             spans.append([{"a": a, "b": b} for a, b in s])
             items.append(sorted(i))
         return pa.RecordBatch.from_arrays(
-            [*(batch.column(batch.schema.get_field_index(f.name)) for f in kept), pa.array(n_words, pa.int64()), pa.array(spans, SPANS), pa.array(items, pa.list_(pa.string()))],
-            [*(f.name for f in kept), "n_words", "spans", "items"],
+            [*(batch.column(batch.schema.get_field_index(c)) for c in kept), pa.array(n_words, pa.int64()), pa.array(spans, SPANS), pa.array(items, pa.list_(pa.string()))],
+            [*kept, "n_words", "spans", "items"],
         )
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "n_words long, spans array<struct<a:int,b:int>>, items array<string>"])
-    return map_arrow(docs.select(*(f.name for f in kept), text), kernel, schema)
+    return map_arrow(docs.select(*kept, text), kernel, schema_of(docs, kept, "n_words long, spans array<struct<a:int,b:int>>, items array<string>"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = WINDOW) -> DataFrame:
@@ -136,7 +135,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     hits = results[0].where("false")
     for r in results:
         hits = hits.unionByName(r.where("size(items) > 0"))
-    merged = hits.groupBy(F.col("doc_id").alias("__id"), F.col("h").alias("__h")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    merged = hits.groupBy(F.col("doc_id").alias("__vantage_id"), F.col("h").alias("__vantage_h")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     fold = """aggregate(spans, cast(array() AS array<struct<a:int,b:int>>), (acc, x) -> CASE
         WHEN size(acc) > 0 AND x.a <= element_at(acc, -1).b
         THEN concat(slice(acc, 1, size(acc) - 1), array(named_struct('a', element_at(acc, -1).a, 'b', greatest(element_at(acc, -1).b, x.b))))
@@ -144,14 +143,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     merged = merged.withColumn("spans", F.expr(fold))
     base = results[0].select("doc_id", "h", "n_words")
     none = "cast(array() AS array<struct<a:int,b:int>>)"
-    joined = base.join(merged, base.doc_id.eqNullSafe(F.col("__id")) & (base.h == F.col("__h")), "left")
+    joined = base.join(merged, base.doc_id.eqNullSafe(F.col("__vantage_id")) & (base.h == F.col("__vantage_h")), "left")
     return joined.select("doc_id", "h", "n_words", F.coalesce("spans", F.expr(none)).alias("spans"), F.coalesce("items", F.expr("cast(array() AS array<string>)")).alias("items"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without the rows that hold a window of the benchmark; all other rows stay, repeated ones too."""
-    hit = cut(contamination(docs, benchmark, doc_id, text).where("size(items) > 0").select(F.col("doc_id").alias("__id"), F.col("h").alias("__h")).distinct())
-    return join_small(docs, hit, docs[doc_id].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text]) == F.col("__h")), "left_anti")
+    hit = cut(contamination(docs, benchmark, doc_id, text).where("size(items) > 0").select(F.col("doc_id").alias("__vantage_id"), F.col("h").alias("__vantage_h")).distinct())
+    return join_small(docs, hit, docs[doc_id].eqNullSafe(F.col("__vantage_id")) & (F.xxhash64(docs[text]) == F.col("__vantage_h")), "left_anti")
 
 
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

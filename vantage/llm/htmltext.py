@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vantage.llm.common import cut, join_small, map_arrow, table
+from vantage.llm.common import cut, join_small, map_arrow, schema_of, table
 
 MARKUP = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*+>|<(?P<close>/?)(?P<tag>[A-Za-z][^\s/>]*+)(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+>|[^>]*+(?:>|\Z))""",
@@ -233,10 +233,9 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", share: float
     Repeated rows each give a row. An existing column named text is replaced.
     """
     kept = [c for c in pages.columns if c not in (html, "text")]
-    types = dict(pages.dtypes)
-    known = cut(templates(pages, url, html, share, least)).withColumnRenamed("host", "__host")
-    rows = pages.select(*kept, F.col(html).alias("__html"), host_of(url).alias("__at"))
-    rows = join_small(rows, known, F.col("__at") == F.col("__host"), "left").select(*kept, "subtrees", "__html")
+    known = cut(templates(pages, url, html, share, least)).select(F.col("host").alias("__vantage_host"), F.col("subtrees").alias("__vantage_subtrees"))
+    rows = pages.select(*kept, F.col(html).alias("__vantage_html"), host_of(url).alias("__vantage_at"))
+    rows = join_small(rows, known, F.col("__vantage_at") == F.col("__vantage_host"), "left").select(*kept, "__vantage_subtrees", "__vantage_html")
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
         at = batch.num_columns - 2
@@ -249,7 +248,7 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", share: float
             out.append(Page(source).text(seen[key]) if source else "")
         return pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(out, pa.string())], [*kept, "text"])
 
-    return map_arrow(rows, kernel, ", ".join([*(f"`{c}` {types[c]}" for c in kept), "text string"]))
+    return map_arrow(rows, kernel, schema_of(pages, kept, "text string"))
 
 
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

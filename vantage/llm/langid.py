@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vantage.llm.common import cut, join_small, map_arrow, table
+from vantage.llm.common import cut, join_small, map_arrow, schema_of, table
 
 UNKNOWN = "und"
 #: Labelled rows that the classifier is fitted on at most, on average: rows are taken by a hash of their id at this rate.
@@ -165,25 +165,23 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str]
 
     Without any labelled text to learn from, everything is `und`.
     """
-    names = docs.columns if keep is None else keep
+    names = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score", "rejected")]
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    types = dict(docs.dtypes)
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
         got = [shared.value.predict(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
         columns = list(zip(*got, strict=True)) or [(), (), ()]
         return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(columns[0], pa.string()), pa.array(columns[1], pa.float64()), pa.array(columns[2], pa.bool_())], [*names, "lang_pred", "score", "rejected"])
 
-    schema = ", ".join([*(f"`{c}` {types[c]}" for c in names), "lang_pred string, score double, rejected boolean"])
-    return map_arrow(docs.select(*names, F.col(text).alias("__text")), kernel, schema)
+    return map_arrow(docs.select(*names, F.col(text).alias("__vantage_text")), kernel, schema_of(docs, names, "lang_pred string, score double, rejected boolean"))
 
 
 def drop_unknown(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """docs without the rows that identification rejects; learns from docs' own labels."""
-    rows = docs.select(F.col(doc_id).alias("__id"), F.xxhash64(text).alias("__h"), F.col(text).alias("__t"))
-    judged = identify(rows, fit(docs, doc_id, text, lang), "__t", ["__id", "__h"])
-    gone = cut(judged.where("rejected").select("__id", "__h").distinct())
-    return join_small(docs, gone, docs[doc_id].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text]) == F.col("__h")), "left_anti")
+    rows = docs.select(F.col(doc_id).alias("__vantage_id"), F.xxhash64(text).alias("__vantage_h"), F.col(text).alias("__vantage_t"))
+    judged = identify(rows, fit(docs, doc_id, text, lang), "__vantage_t", ["__vantage_id", "__vantage_h"])
+    gone = cut(judged.where("rejected").select("__vantage_id", "__vantage_h").distinct())
+    return join_small(docs, gone, docs[doc_id].eqNullSafe(F.col("__vantage_id")) & (F.xxhash64(docs[text]) == F.col("__vantage_h")), "left_anti")
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

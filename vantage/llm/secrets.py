@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vantage.llm.common import map_arrow, table, utf8
+from vantage.llm.common import map_arrow, schema_of, table, utf8
 
 KINDS = ["assign", "access", "hex", "novel"]
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -27,8 +27,9 @@ CANDIDATE = re.compile(
     r"""(?:pass(?:word|wd|phrase)?|pwd|secret|token|key|auth\w*|cred\w*|bearer|private|signature|cookie|session)\w{0,24}["']?[\x20\t]*(?:[:=]|=>|:=|is)?[\x20\t]*["']?([A-Za-z0-9+/_.=~!@#$%^&*-]{12,4096})""",
     re.IGNORECASE | re.ASCII,
 )
-#: Share of a candidate's bytes that have to be new, and characters of surroundings on either side.
-NOVELTY, AROUND = 0.7, 512
+#: Share of a candidate's bytes that have to be new, the bytes that any short string is spared, and characters of surroundings
+#: on either side.
+NOVELTY, SPARED, AROUND = 0.63, 3, 512
 _HEX_RUN = bytes(120 if 48 <= c <= 57 or 97 <= c <= 102 else 32 for c in range(256))
 IDENTIFIERS = b"""
 access account action active address admin api app application args array async attribute auth authorization await base
@@ -57,7 +58,9 @@ version view void wait warning web while width window with write www xml yaml yo
 @cache
 def _compressor() -> zstandard.ZstdCompressor:
     priming = zstandard.ZstdCompressionDict(IDENTIFIERS, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    return zstandard.ZstdCompressor(level=12, dict_data=priming, write_checksum=False, write_content_size=False)
+    # matches from three bytes on, so that names put together of short known words compress
+    settings = zstandard.ZstdCompressionParameters(compression_level=19, min_match=3, strategy=zstandard.STRATEGY_BTULTRA2, window_log=17, hash_log=17, chain_log=17, search_log=9, target_length=256, write_content_size=False)
+    return zstandard.ZstdCompressor(dict_data=priming, compression_params=settings)
 
 
 def marginal_bytes(before: str, candidate: str, after: str) -> int:
@@ -97,9 +100,9 @@ def find(data: bytes | None) -> list[tuple[str, int, int]]:
             if any(s < b and e > a for _, s, e in base[at : at + 8]):
                 continue
             word = m[1]
-            if not (any(c.isdigit() for c in word) and any(c.isalpha() for c in word)):
-                continue
-            if marginal_bytes(text[max(0, a - AROUND) : a], word, text[b : b + AROUND]) >= NOVELTY * len(word):
+            if not (any(c.isdigit() for c in word) and sum(c.isalpha() for c in word) > 1):
+                continue  # a plain word, number or date
+            if marginal_bytes(text[max(0, a - AROUND) : a], word, text[b : b + AROUND]) + SPARED >= NOVELTY * len(word):
                 found.append(("novel", a, b))
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
@@ -109,15 +112,13 @@ SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end"
 
 def scan(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The kept columns (all but the text by default) and spans: array of (kind, start, end), end exclusive, in code points."""
-    names = [c for c in docs.columns if c != text] if keep is None else keep
-    types = dict(docs.dtypes)
+    names = [c for c in docs.columns if c not in (text, "spans")] if keep is None else keep
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-        spans = [[dict(zip(("kind", "start", "end"), s, strict=True)) for s in find(t)] for t in utf8(batch, "__text")]
+        spans = [[dict(zip(("kind", "start", "end"), s, strict=True)) for s in find(t)] for t in utf8(batch, "__vantage_text")]
         return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(spans, SPANS)], [*names, "spans"])
 
-    schema = ", ".join([*(f"`{c}` {types[c]}" for c in names), "spans array<struct<kind:string,start:bigint,end:bigint>>"])
-    return map_arrow(docs.select(*names, F.col(text).alias("__text")), kernel, schema)
+    return map_arrow(docs.select(*names, F.col(text).alias("__vantage_text")), kernel, schema_of(docs, names, "spans array<struct<kind:string,start:bigint,end:bigint>>"))
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

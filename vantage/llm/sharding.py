@@ -64,15 +64,15 @@ def shard(docs: DataFrame, key: list[str], payload: str, limit: int = LIMIT) ->
     bits = key_bits([F.col(k) for k in key], F.col(payload))
     sizes = cut(docs.select(bits.alias("bits"), F.coalesce(F.octet_length(payload), F.lit(0)).cast("long").alias("bytes")))
     levels = directory(sizes, limit)
-    out = docs.drop(*fresh).withColumn("__bits", bits)
+    out = docs.drop(*fresh).withColumn("__vantage_bits", bits)
     names = ["local_depth", "n_bytes", "n_rows", "oversized"]
     for i, (depth, level) in enumerate(levels):
-        found = level.where("local_depth IS NOT NULL").select(F.col("cell").alias(f"__cell{i}"), *[F.col(c).alias(f"__{c}{i}") for c in names])
-        out = join_small(out, found, F.substring("__bits", 1, depth) == F.col(f"__cell{i}"), "left")
-    first = lambda c: F.coalesce(*[F.col(f"__{c}{i}") for i in range(len(levels))])
+        found = level.where("local_depth IS NOT NULL").select(F.col("cell").alias(f"__vantage_cell{i}"), *[F.col(c).alias(f"__vantage_{c}{i}") for c in names])
+        out = join_small(out, found, F.substring("__vantage_bits", 1, depth) == F.col(f"__vantage_cell{i}"), "left")
+    first = lambda c: F.coalesce(*[F.col(f"__vantage_{c}{i}") for i in range(len(levels))])
     return out.select(
         *[out[c] for c in docs.columns if c not in fresh],
-        F.col("__bits").substr(F.lit(1), first("local_depth")).alias("shard"), first("local_depth").alias("local_depth"),
+        F.col("__vantage_bits").substr(F.lit(1), first("local_depth")).alias("shard"), first("local_depth").alias("local_depth"),
         first("n_bytes").alias("shard_bytes"), first("n_rows").alias("shard_rows"), first("oversized").alias("oversized"),
     )
 

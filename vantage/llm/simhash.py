@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vantage.llm.common import cut, map_arrow, parts, table, utf8
+from vantage.llm.common import cut, join_small, map_arrow, parts, schema_of, table, utf8
 from vantage.llm.components import Forest, components
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -52,14 +52,13 @@ def fingerprint(text: bytes | None, width: int = 3, seed: int = 42) -> int:
 
 def fingerprints(docs: DataFrame, text: str = "text", out: str = "fp", width: int = 3) -> DataFrame:
     """docs' columns but the text, and the fingerprint as a signed long."""
-    kept = [f for f in docs.schema.fields if f.name != text]
-    names = [f.name for f in kept]
+    names = [c for c in docs.columns if c not in (text, out)]
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
         fps = np.array([fingerprint(t, width) for t in utf8(batch, text)], np.uint64).view(np.int64)
         return pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in names), pa.array(fps)], [*names, out])
 
-    return map_arrow(docs.select(*names, text), kernel, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), f"`{out}` long"]))
+    return map_arrow(docs.select(*names, text), kernel, schema_of(docs, names, f"`{out}` long"))
 
 
 def bk_forest(group: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -195,12 +194,13 @@ def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radi
     keeper = named.groupBy("root").agg(F.min(order).alias("k"))
     same = F.col("doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("h") == F.col("k.h"))
     judged = named.join(keeper, "root").select("doc_id", "h", same.alias("stays"))
-    gone = judged.where("NOT stays").select(F.col("doc_id").alias("__id"), F.col("h").alias("__h")).distinct()
-    again = judged.where("stays").groupBy("doc_id", "h").count().where("count > 1").select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"))
-    on = docs[doc_id].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text]) == F.col("__h"))
-    kept = docs.join(gone, on, "left_anti")
-    single = kept.join(again, on, "left_anti")
-    return single.unionByName(kept.join(again, on, "left_semi").dropDuplicates([doc_id, text]))
+    gone = judged.where("NOT stays").select(F.col("doc_id").alias("__vantage_id"), F.col("h").alias("__vantage_h")).distinct()
+    again = judged.where("stays").groupBy("doc_id", "h").count().where("count > 1").select(F.col("doc_id").alias("__vantage_id"), F.col("h").alias("__vantage_h"))
+    on = docs[doc_id].eqNullSafe(F.col("__vantage_id")) & (F.xxhash64(docs[text]) == F.col("__vantage_h"))
+    kept = join_small(docs, cut(gone), on, "left_anti")
+    again = cut(again)
+    single = join_small(kept, again, on, "left_anti")
+    return single.unionByName(join_small(kept, again, on, "left_semi").dropDuplicates([doc_id, text]))
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

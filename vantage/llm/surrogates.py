@@ -175,21 +175,21 @@ def replace(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", key: st
     """
     kept = [c for c in docs.columns if c != "n_entities"]
     found = F.when(F.col(text).rlike(HINT), F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    mentions = cut(docs.select(F.col(doc_id).alias("__id"), F.xxhash64(text).alias("__h"), found.alias("e")).where("size(e) > 0"))
+    mentions = cut(docs.select(F.col(doc_id).alias("__vantage_id"), F.xxhash64(text).alias("__vantage_h"), found.alias("e")).where("size(e) > 0"))
     each = F.flatten(F.transform("e", lambda e: F.transform(parts(e), lambda p: F.struct(p.kind, p.canon))))
-    used = mentions.select("__id", "__h", F.explode(each).alias("p")).select("__id", "__h", F.col("p.kind").alias("kind"), F.col("p.canon").alias("canon")).where("kind <> 'keep'")
+    used = mentions.select("__vantage_id", "__vantage_h", F.explode(each).alias("p")).select("__vantage_id", "__vantage_h", F.col("p.kind").alias("kind"), F.col("p.canon").alias("canon")).where("kind <> 'keep'")
     twice = cut(collisions(used.select("kind", "canon").distinct(), key))
     # only the rows that mention an entity with a counter need to know one
-    named = join_small(used, twice, ["kind", "canon"]).groupBy("__id", "__h").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws("\x1f", "kind", "canon"), "counter"))).alias("__counters"))
-    rows = docs.select(*kept, F.xxhash64(text).alias("__hash"), found.alias("__found"))
+    named = join_small(used, twice, ["kind", "canon"]).groupBy("__vantage_id", "__vantage_h").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws("\x1f", "kind", "canon"), "counter"))).alias("__vantage_counters"))
+    rows = docs.select(*kept, F.xxhash64(text).alias("__vantage_hash"), found.alias("__vantage_found"))
     named = cut(named)
-    rows = join_small(rows, named, rows[doc_id].eqNullSafe(F.col("__id")) & (rows["__hash"] == F.col("__h")), "left")
-    counter = lambda p: F.coalesce(F.element_at("__counters", F.concat_ws("\x1f", p.kind, p.canon)), F.lit(0))
-    new = F.transform("__found", lambda e: F.array_join(F.transform(parts(e), lambda p: write_part(p, counter(p), key)), ""))
+    rows = join_small(rows, named, rows[doc_id].eqNullSafe(F.col("__vantage_id")) & (rows["__vantage_hash"] == F.col("__vantage_h")), "left")
+    counter = lambda p: F.coalesce(F.element_at("__vantage_counters", F.concat_ws("\x1f", p.kind, p.canon)), F.lit(0))
+    new = F.transform("__vantage_found", lambda e: F.array_join(F.transform(parts(e), lambda p: write_part(p, counter(p), key)), ""))
     gaps = F.split(F.col(text), ENTITY, -1)
     whole = F.concat(F.array_join(F.zip_with(new, F.slice(gaps, 1, F.greatest(F.size(gaps) - 1, F.lit(0))), lambda s, g: F.concat(g, s)), ""), F.element_at(gaps, -1))
-    replaced = F.when(F.size("__found") == 0, F.col(text)).otherwise(whole)
-    return rows.select(*[(replaced.alias(c) if c == text else rows[c]) for c in kept], F.size("__found").cast("long").alias("n_entities"))
+    replaced = F.when(F.size("__vantage_found") == 0, F.col(text)).otherwise(whole)
+    return rows.select(*[(replaced.alias(c) if c == text else rows[c]) for c in kept], F.size("__vantage_found").cast("long").alias("n_entities"))
 
 
 def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:

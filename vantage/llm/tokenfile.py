@@ -36,8 +36,12 @@ FILE_IDS = 1 << 20
 #: Bytes of input for a task, about.
 TASK_BYTES = 16 << 20
 END = 2
-#: Words whose ids a worker remembers.
-CACHE = 300_000
+#: Bytes of rows that are encoded together, about.
+ENCODE_BYTES = 16 << 20
+#: Words whose ids a worker remembers; twice as many for a while.
+CACHE = 400_000
+#: In place of the ids of a word that cannot be encoded by itself.
+ODD = b""
 
 
 def encode_blocks(ids: np.ndarray, block: int = BLOCK, percentile: int = PERCENTILE) -> list[bytes]:
@@ -136,8 +140,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes | None] = {}  # with a space before the word; null: empty, or has white space at an end
-        self.again: set[str] = set()  # words that were looked up after they were learned
+        self.known: dict[str, bytes] = {}  # with a space before the word; ODD: empty, or has white space at an end
+        self.older: dict[str, bytes] = {}  # the known words of before; one that is met again is known again
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)  # a byte-level token has a character per byte
         for token, i in vocabulary.items():
@@ -157,21 +161,26 @@ class Encoder:
         bounds = [0, *(4 * (cuts + 1)).tolist()]
         return [joined[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
 
-    def _look_up(self, words: list[str]) -> list[bytes | None]:
-        known = self.known
-        new = [w for w in words if w not in known]
-        self.again.update(words)
-        self.again.difference_update(new)
-        if len(known) + len(new) > CACHE:
-            self.known = known = {w: known[w] for w in self.again}
-            self.again = set()
-            new = [w for w in words if w not in known]
-            if len(known) > CACHE // 2:
-                self.known, known, new = {}, {}, words
-        plain = [w for w in new if w and not w[0].isspace() and not w[-1].isspace()]
-        known.update(dict.fromkeys(new))
-        known.update(zip(plain, self._joined([f" {w}" for w in plain]), strict=True))
-        return [known[w] for w in words]
+    def _look_up(self, words: list[str]) -> list[bytes]:
+        if len(self.known) > CACHE:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        found = list(map(known.get, words))
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        new = []
+        for i in missing:
+            w = words[i]
+            ids = older.get(w)
+            if ids is None:
+                if not w or w[0].isspace() or w[-1].isspace():
+                    ids = ODD
+                else:
+                    new.append(i)
+                    continue
+            known[w] = found[i] = ids
+        for i, ids in zip(new, self._joined([f" {words[i]}" for i in new]), strict=True):
+            known[words[i]] = found[i] = ids
+        return found
 
     def encode(self, texts: pa.Array) -> list[bytes]:
         """Null encodes as empty."""
@@ -179,12 +188,14 @@ class Encoder:
         words = pc.split_pattern(texts, " ")
         flat = pc.dictionary_encode(words.flatten())
         starts = np.concatenate(([0], np.cumsum(pc.list_value_length(words).to_numpy())))
-        ids = pa.array(self._look_up(flat.dictionary.to_pylist()), pa.large_binary()).take(flat.indices)
-        odd = np.concatenate(([0], np.cumsum(ids.is_null().to_numpy(zero_copy_only=False))))
+        distinct = flat.dictionary.to_pylist()
+        places = flat.indices.to_numpy()
+        ids = pa.array(self._look_up(distinct), pa.large_binary()).take(flat.indices)
         offsets = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1, 8 * ids.offset)
+        odd = np.concatenate(([0], np.cumsum(np.diff(offsets) == 0)))
         data = memoryview(ids.buffers()[2]) if ids.buffers()[2] else memoryview(b"")
         # the first word of a text has no space before it
-        first = [flat.dictionary[flat.indices[i].as_py()].as_py() for i in starts[:-1].tolist()]
+        first = [distinct[i] for i in places[starts[:-1]].tolist()]
         heads = dict(zip(plain := sorted({w for w in first if w}), self.library(plain), strict=True))
         out = []
         for i, (a, b) in enumerate(zip(starts.tolist(), starts[1:].tolist(), strict=False)):
@@ -195,6 +206,18 @@ class Encoder:
         return out
 
 
+def joined(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together up to so many bytes: the more text at once, the fewer words are looked up again."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.nbytes for b in held) >= size:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 @cache
 def encoder(path: str) -> Encoder:
     """One per worker process, which remembers its words from task to task."""
@@ -227,7 +250,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, doc_id: str = "doc_id",
             values = [[part], [seq], [before], [n_ids], [len(ids)], [write_file(ids, held)]]
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["part", "seq", "before", "n_ids", "n_docs", "data"])
 
-        for batch in batches:
+        for batch in joined(batches, ENCODE_BYTES):
             for i, data in zip(batch.column(0).to_pylist(), own.encode(batch.column(2)), strict=True):
                 ids.append(i)
                 held.append(np.frombuffer(data + tail, "<u4"))
