@@ -29,7 +29,7 @@ CANDIDATE = re.compile(
 )
 #: Share of a candidate's bytes that have to be new, the bytes that any short string is spared, and characters of surroundings
 #: on either side.
-NOVELTY, SPARED, AROUND = 0.63, 3, 512
+NOVELTY, SPARED, AROUND = 0.66, 3, 512
 _HEX_RUN = bytes(120 if 48 <= c <= 57 or 97 <= c <= 102 else 32 for c in range(256))
 IDENTIFIERS = b"""
 access account action active address admin api app application args array async attribute auth authorization await base
