@@ -233,8 +233,10 @@ def write(docs: DataFrame, folder: str, tokenizer: str, doc_id: str = "doc_id",
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
-    size = docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + int(str(size)) // TASK_BYTES)
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= 1 << 60:  # not known without a look at the rows
+        size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + size // TASK_BYTES)
     ordered = rows.repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
