@@ -473,7 +473,7 @@ def average_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH RECURSIVE {sql_hits()} SELECT round(avg(ap), 6) AS mean_ap, count(ap) AS n_queries FROM ap")
 def mean_ap(spark: SparkSession, sf_dir: str) -> DataFrame:
     ap = detections.average_precision(*_detections(spark, sf_dir))
-    return detections.mean_ap(ap.where("ap IS NOT NULL")).select(*rounded("mean_ap"), "n_queries")
+    return detections.mean_ap(ap).select(*rounded("mean_ap"), "n_queries")
 
 
 @query()

@@ -43,7 +43,13 @@ def svmlight(spark: SparkSession, path: str, n_features: int | None = None) -> D
 
 def svmlight_lines(df: DataFrame, label: str, x: str) -> DataFrame:
     """(value): svmlight lines, non-zero features only, with 10 significant digits."""
-    pairs = F.transform(vectors.doubles(F.col(x)), lambda v, j: F.when(v != 0, F.format_string("%d:%.10g", j + 1, v)))
+
+    def pair(v: Column, j: Column) -> Column:
+        text = F.format_string("%.10g", v)
+        short = F.when(text.contains(".") & ~text.contains("e"), F.regexp_replace(text, r"\.?0+$", "")).otherwise(text)
+        return F.when(v != 0, F.concat((j + 1).cast("string"), F.lit(":"), short))
+
+    pairs = F.transform(vectors.doubles(F.col(x)), pair)
     return df.select(F.concat_ws(" ", F.col(label).cast("long").cast("string"), F.filter(pairs, lambda p: p.isNotNull())).alias("value"))
 
 
