@@ -139,9 +139,10 @@ def fingerprint_links(values: DataFrame, fp: str, radius: int = 3, chunk: int =
     dealt = dealt.repartition(parts(spark, n * 4, 400_000), "family", "bits", "i", "j")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = pa.Table.from_batches(list(batches))  # rows of 36 bytes, their number per task bounded above
-        if not got.num_rows:
+        held = [b for b in batches if b.num_rows]  # rows of 36 bytes, their number per task bounded above
+        if not held:
             return
+        got = pa.Table.from_batches(held)
         column = {name: got.column(name).to_numpy() for name in got.column_names}
         order = np.lexsort((column["j"], column["i"], column["bits"], column["family"]))
         column = {name: x[order] for name, x in column.items()}

@@ -39,7 +39,9 @@ END = 2
 #: Bytes of rows that are encoded together, about.
 ENCODE_BYTES = 16 << 20
 #: Words whose ids a worker remembers; twice as many for a while.
-CACHE = 400_000
+CACHE = 500_000
+#: New words that go to the library as one text; it takes far more memory for long ones, and no less time.
+TOGETHER = 10_000
 #: In place of the ids of a word that cannot be encoded by itself.
 ODD = b""
 
@@ -178,8 +180,10 @@ class Encoder:
                     new.append(i)
                     continue
             known[w] = found[i] = ids
-        for i, ids in zip(new, self._joined([f" {words[i]}" for i in new]), strict=True):
-            known[words[i]] = found[i] = ids
+        for at in range(0, len(new), TOGETHER):
+            part = new[at : at + TOGETHER]
+            for i, ids in zip(part, self._joined([f" {words[i]}" for i in part]), strict=True):
+                known[words[i]] = found[i] = ids
         return found
 
     def encode(self, texts: pa.Array) -> list[bytes]:
