@@ -31,6 +31,9 @@ class Settings:
     eval_every: int = 10
     stop_below: float = float("-inf")
     seed: int = 0
+    # The plain solver: t begins at 1, the bias is a shrunk component of the weights, and the weighted ranking step takes the
+    # harmonic sum of so many terms, not one more.
+    plain: bool = False
 
     def __post_init__(self):
         if self.algo not in ALGORITHMS:
@@ -76,7 +79,7 @@ def epoch(m: Linear, x: np.ndarray, y: np.ndarray, s: Settings, number: int, giv
     beta = min(s.beta or int(classes**0.5), classes - 1)
     harmonic = np.cumsum(1 / np.arange(1, classes + 1))
     for i in range(len(y)):
-        eta = s.eta0 if s.fixed_eta else s.eta0 / (1 + s.lambda_ * s.eta0 * m.t)
+        eta = s.eta0 if s.fixed_eta else s.eta0 / (1 + s.lambda_ * s.eta0 * (m.t + s.plain))
         shrink, yi, xi = 1 - eta * s.lambda_, int(y[i]), x[i]
         m.t += 1
         if s.algo == "ovr":
@@ -84,6 +87,8 @@ def epoch(m: Linear, x: np.ndarray, y: np.ndarray, s: Settings, number: int, giv
             sense = np.where(k == yi, 1.0, -1.0)
             score = m.w[k] @ xi + m.b[k] * s.bias_term
             m.w[k] *= shrink
+            if s.plain:
+                m.b[k] *= shrink
             hit = sense * score < 1
             m.w[k[hit]] += eta * sense[hit, None] * xi
             m.b[k[hit]] += eta * sense[hit] * s.bias_term
@@ -101,9 +106,11 @@ def epoch(m: Linear, x: np.ndarray, y: np.ndarray, s: Settings, number: int, giv
             if len(broken):
                 other = int(tried[broken[0]])
                 if s.algo == "war":
-                    step = eta * harmonic[(classes - 1) // (int(broken[0]) + 1)]
+                    step = eta * harmonic[(classes - 1) // (int(broken[0]) + 1) - s.plain]
             m.products += 2 if s.algo == "rnk" else int(broken[0]) if len(broken) else classes - 1
         m.w *= shrink
+        if s.plain:
+            m.b *= shrink
         if other != yi:
             m.w[yi] += step * xi
             m.w[other] -= step * xi

@@ -760,6 +760,22 @@ def feature_pyramid_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _per_page(fixtures.images(spark, sf_dir), f, "doc_id long, level int, scale double, h int, w int").select("doc_id", "level", *rounded("scale"), "h", "w")
 
 
+@query()
+def page_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all cells of the pages, by axes and a codebook fitted on them."""
+    made = retrieval.index(fixtures.images(spark, sf_dir), Params(n_codes=16, pca_dim=8), redo=1, rounds=5)
+    return made.coded.select("doc_id", "r", "c", "code")
+
+
+@query()
+def positive_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Descriptors of a window on every page at all shifts."""
+    pages = fixtures.images(spark, sf_dir)
+    asked = pages.select("doc_id").select(F.col("doc_id").alias("query_id"), "doc_id", F.lit(5).alias("x1"), F.lit(52).alias("x2"), F.lit(13).alias("y1"), F.lit(48).alias("y2"))
+    found = retrieval.positive_samples(asked, pages, PARAMS)
+    return found.select("query_id", "dx", "dy", F.transform("x", lambda v: F.round(v, 6)).alias("x"))
+
+
 # ---------------------------------------------------------------- sparse data and files
 
 

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vantage.functions import geometry
 from vantage.model import Params
-from vantage.operators import detections, sgd, windows
+from vantage.operators import detections, features, quantize, samples, sgd, windows
 
 
 def boxes(scored: DataFrame, sbin: int) -> DataFrame:
@@ -26,6 +29,72 @@ def detect(scored: DataFrame, truth: DataFrame, params: Params) -> DataFrame:
     return detections.ranked(detections.first_hits(picked, truth, params.hit_overlap))
 
 
+@dataclass(frozen=True)
+class Index:
+    """Coded cells (doc_id, r, c, code) of all pages, with what coded them."""
+
+    coded: DataFrame
+    pca: quantize.Pca
+    codebook: np.ndarray
+
+
+def sampled_cells(cells: DataFrame, per_page: int, seed: int) -> DataFrame:
+    """per_page cells of each page, the first in a seeded hash order. A window per page; pages are bounded by their pixels."""
+    order = W.partitionBy("doc_id").orderBy(F.xxhash64("doc_id", "r", "c", F.lit(seed)), "r", "c")
+    return cells.withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_page).drop("place")
+
+
+def index(pages: DataFrame, params: Params, kind: str = "hog31", seed: int = 0, redo: int = 3, rounds: int = 100) -> Index:
+    """Describe pages (doc_id, h, w, pixels), cropped to whole cells; fit the axes and the codebook on sampled cells; code all."""
+    cropped = crop_to_cells(pages, params.sbin)
+    cells = features.describe(cropped, params.sbin, kind).persist()  # read by both fits and by the coding
+    per_page = max(1, params.pca_cells // max(1, pages.count()))
+    pca = quantize.fit_pca(sampled_cells(cells, per_page, seed), "feat")
+    low = quantize.project(cells, "feat", pca, params.pca_dim)
+    sample = sampled_cells(low, per_page, seed + 1).withColumn("i", F.xxhash64("doc_id", "r", "c")).persist()  # read each round
+    book, _, _ = quantize.kmeans(sample, "feat", "i", params.n_codes, rounds, redo, seed)
+    return Index(quantize.assign(low, "feat", book).drop("feat"), pca, book)
+
+
+def crop_to_cells(pages: DataFrame, sbin: int) -> DataFrame:
+    """pages with their centred crops to a multiple of sbin in place of h, w and pixels, and the crops' origins x_ini, y_ini."""
+    sized = geometry.page_crop(pages, sbin)
+
+    def run(batches):
+        for batch in batches:
+            cut = [np.frombuffer(p.pixels, np.uint8).reshape(p.h, p.w)[p.y_ini - 1 : p.y_ini - 1 + p.crop_h, p.x_ini - 1 : p.x_ini - 1 + p.crop_w] for p in batch.itertuples()]
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "h": batch["crop_h"], "w": batch["crop_w"], "x_ini": batch["x_ini"], "y_ini": batch["y_ini"], "pixels": [c.tobytes() for c in cut]})
+
+    return sized.mapInPandas(run, "doc_id long, h int, w int, x_ini int, y_ini int, pixels binary")
+
+
+def positive_samples(queries: DataFrame, pages: DataFrame, params: Params, pca: quantize.Pca | None = None, kind: str = "hog31") -> DataFrame:
+    """(query_id, dx, dy, x): descriptors of the exemplar's window at every pair of shifts, normalised. queries: query_id, doc_id, x1,
+    x2, y1, y2, the window; a window that the page cuts is resized to its full size."""
+    sized = queries.join(pages, "doc_id").withColumn("new_h", F.col("y2") - F.col("y1") + 1).withColumn("new_w", F.col("x2") - F.col("x1") + 1)
+    moved = samples.positive_shifts(sized, params.shifts, F.col("w"), F.col("h"))
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for p in batch.itertuples():
+                im = np.frombuffer(p.pixels, np.uint8).reshape(p.h, p.w)[p.y1 - 1 : p.y2, p.x1 - 1 : p.x2]
+                d = features.hog(features.bicubic(im, p.new_h, p.new_w) if p.resized else im, params.sbin, kind)
+                x = d.reshape(-1, d.shape[2])
+                x = ((x - pca.mean) @ pca.axes[:, : params.pca_dim] if pca else x).ravel()
+                out.append(x / max(np.sqrt(x @ x), 1e-300))
+            yield batch[["query_id", "dx", "dy"]].assign(x=out)
+
+    return moved.mapInPandas(run, "query_id long, dx int, dy int, x array<double>")
+
+
+def unlearned(positives: DataFrame) -> DataFrame:
+    """(query_id, x): the middle one of each query's positives, by dx and dy, as its template."""
+    order = W.partitionBy("query_id").orderBy("dx", "dy")
+    half = F.floor(F.count("*").over(W.partitionBy("query_id")) / 2)
+    return positives.withColumn("at", F.row_number().over(order)).withColumn("half", F.greatest(half, F.lit(1))).where("at = half").select("query_id", "x")
+
+
 def learn(template: DataFrame, cells: DataFrame, params: Params, negatives: DataFrame) -> DataFrame:
     """(query_id, dr, dc, w, th, tw): templates learned from the exemplar's own window against the negatives (query_id, doc_id, n,
     r, c), all normalised, in a seeded order. A task trains a query on its own sample, whose size the parameters fix."""
