@@ -192,11 +192,14 @@ def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radi
     """
     named = cut(_components(docs, doc_id, text, radius, width).select("doc_id", "h", "root"))
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "h")
-    keeper = named.groupBy("root").agg(F.min(order).alias("k"))
-    same = F.col("doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("h") == F.col("k.h"))
-    judged = named.join(keeper, "root").select("doc_id", "h", same.alias("stays"))
-    gone = judged.where("NOT stays").select(F.col("doc_id").alias("__vantage_id"), F.col("h").alias("__vantage_h")).distinct()
-    again = judged.where("stays").groupBy("doc_id", "h").count().where("count > 1").select(F.col("doc_id").alias("__vantage_id"), F.col("h").alias("__vantage_h"))
+    keeper = named.groupBy("root").agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias("__vantage_id"), F.col("k.h").alias("__vantage_h"))
+    # rows of one id and text are in one component, so id and text tell who stays; no join is on the component
+    keeper = cut(keeper)
+    rows = named.groupBy("doc_id", "h").agg(F.count("*").alias("times"))
+    same = F.col("doc_id").eqNullSafe(F.col("__vantage_id")) & (F.col("h") == F.col("__vantage_h"))
+    name = [F.col("doc_id").alias("__vantage_id"), F.col("h").alias("__vantage_h")]
+    gone = rows.join(keeper, same, "left_anti").select(*name)
+    again = rows.where("times > 1").join(keeper, same, "left_semi").select(*name)
     on = docs[doc_id].eqNullSafe(F.col("__vantage_id")) & (F.xxhash64(docs[text]) == F.col("__vantage_h"))
     kept = join_small(docs, cut(gone), on, "left_anti")
     again = cut(again)
