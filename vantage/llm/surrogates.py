@@ -49,6 +49,11 @@ ENDINGS = {
 }
 
 
+def _let(value: Column, f) -> Column:
+    """f(value), with the value computed once however often f uses it; a lambda's body else computes it for each element."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def _byte(digest: Column, i: Column) -> Column:
     """The i-th byte, from 0, of a hex digest of 64 bytes, around and around."""
     return F.conv(digest.substr((i % 64) * 2 + 1, F.lit(2)), 16, 10).cast("int")
@@ -72,7 +77,10 @@ def _luhn_rest(digits: Column) -> Column:
 def surrogate(kind: Column, canon: Column, counter: Column, key: str) -> Column:
     """The surrogate of a part's canonical form; its characters stand for those of canon."""
     digest = F.sha2(F.concat_ws("\x1f", F.lit(key), kind, canon, counter.cast("string")).cast("binary"), 512)
+    return _let(digest, lambda d: _surrogate(kind, canon, counter, d))
+
 
+def _surrogate(kind: Column, canon: Column, counter: Column, digest: Column) -> Column:
     def character(c: Column, i: Column) -> Column:
         b = _byte(digest, i)
         first = (i == 0) & (c != "0")
@@ -82,9 +90,13 @@ def surrogate(kind: Column, canon: Column, counter: Column, key: str) -> Column:
     alike = F.array_join(F.transform(_chars(canon), character), "")
     octet = lambda o, i: F.when(F.length(o) == 1, _byte(digest, i) % 10).when(F.length(o) == 2, 10 + _byte(digest, i) % 90).otherwise(100 + _byte(digest, i) % 156).cast("string")
     ip = F.array_join(F.transform(F.split(canon, r"\."), octet), ".")
-    # the last digit is set so that the sum is 0 modulo 10
-    zeroed = F.concat(alike.substr(F.lit(1), F.length(alike) - 1), F.lit("0"))
-    card = F.when(_luhn_rest(canon) == 0, F.concat(alike.substr(F.lit(1), F.length(alike) - 1), ((10 - _luhn_rest(zeroed)) % 10).cast("string"))).otherwise(alike)
+
+    def checked(digits: Column) -> Column:
+        """The digits with the last one set so that the sum is 0 modulo 10."""
+        head = digits.substr(F.lit(1), F.length(digits) - 1)
+        return F.concat(head, ((10 - _luhn_rest(F.concat(head, F.lit("0")))) % 10).cast("string"))
+
+    card = _let(alike, lambda digits: F.when(_luhn_rest(canon) == 0, _let(digits, checked)).otherwise(digits))
     longer = F.when(counter < SAME_LENGTH, F.lit("")).otherwise(F.concat(F.array_join(F.transform(F.sequence(F.lit(40), F.lit(49)), lambda i: (_byte(digest, i) % 10).cast("string")), "")))
 
     def name(script: str) -> Column:
@@ -100,17 +112,18 @@ def surrogate(kind: Column, canon: Column, counter: Column, key: str) -> Column:
 def _fill(form: Column, filler: Column, class_: str) -> Column:
     """form with its characters of the class replaced, in order, by the filler's; upper case where form has it. What the filler
     has left over follows."""
-    chars = _chars(form)
     start = F.struct(F.lit("").alias("s"), F.lit(0).alias("n"))
-    plain = F.regexp_replace(filler, F.lit("[^A-Za-z0-9]"), F.lit(""))
 
-    def put(acc: Column, c: Column) -> Column:
-        own = plain.substr(acc.n + 1, F.lit(1))
-        cased = F.when(c.rlike("[A-Z]"), F.upper(own)).otherwise(own)
-        hit = c.rlike(class_)
-        return F.struct(F.concat(acc.s, F.when(hit, cased).otherwise(c)).alias("s"), (acc.n + F.when(hit, 1).otherwise(0)).alias("n"))
+    def filled(plain: Column) -> Column:
+        def put(acc: Column, c: Column) -> Column:
+            own = plain.substr(acc.n + 1, F.lit(1))
+            hit = c.rlike(class_)
+            new = F.when(~hit, c).when(c.rlike("[A-Z]"), F.upper(own)).otherwise(own)
+            return F.struct(F.concat(acc.s, new).alias("s"), (acc.n + F.when(hit, 1).otherwise(0)).alias("n"))
 
-    return F.aggregate(chars, start, put, lambda acc: F.concat(acc.s, plain.substr(acc.n + 1, F.length(plain))))
+        return F.aggregate(_chars(form), start, put, lambda acc: F.concat(acc.s, plain.substr(acc.n + 1, F.length(plain))))
+
+    return _let(F.regexp_replace(filler, F.lit("[^A-Za-z0-9]"), F.lit("")), filled)
 
 
 def entity_type(e: Column) -> Column:
@@ -120,7 +133,10 @@ def entity_type(e: Column) -> Column:
 
 def parts(e: Column) -> Column:
     """array of (kind, canon, form, before): the parts of an entity that are replaced, with the literal text before each."""
-    t = entity_type(e)
+    return _let(entity_type(e), lambda t: _parts(e, t))
+
+
+def _parts(e: Column, t: Column) -> Column:
     part = lambda kind, canon, form, before="": F.struct((F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), canon.alias("canon"), form.alias("form"), (F.lit(before) if isinstance(before, str) else before).alias("before"))
     only = lambda s, c: F.regexp_replace(s, F.lit(f"[^{c}]"), F.lit(""))
     local, domain = F.substring_index(e, "@", 1), F.substring_index(e, "@", -1)
@@ -141,10 +157,11 @@ def parts(e: Column) -> Column:
 
 
 def write_part(p: Column, counter: Column, key: str) -> Column:
-    s = surrogate(p.kind, p.canon, counter, key)
-    named = F.when(p.form == F.upper(p.form), F.upper(s)).otherwise(F.initcap(s))
-    new = F.when(p.kind == "keep", p.form).when(p.kind.rlike("^(given|family)"), named).when(p.kind.startswith("email") | (p.kind == "iban"), _fill(p.form, s, "[A-Za-z0-9]")).otherwise(_fill(p.form, s, "[0-9]"))
-    return F.concat(p.before, new)
+    def written(s: Column) -> Column:
+        named = F.when(p.form == F.upper(p.form), F.upper(s)).otherwise(F.initcap(s))
+        return F.when(p.kind.rlike("^(given|family)"), named).when(p.kind.startswith("email") | (p.kind == "iban"), _fill(p.form, s, "[A-Za-z0-9]")).otherwise(_fill(p.form, s, "[0-9]"))
+
+    return F.concat(p.before, F.when(p.kind == "keep", p.form).otherwise(_let(surrogate(p.kind, p.canon, counter, key), written)))
 
 
 def collisions(entities: DataFrame, key: str) -> DataFrame:
