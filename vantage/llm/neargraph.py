@@ -357,4 +357,18 @@ def near_links(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "emb
 
 
 def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_links(table(spark, sf_dir, "embeddings"))
+    return near_links(table(spark, sf_dir, "embeddings")).drop("audited_recall")
+
+
+def near_links_sql(threshold: float = THRESHOLD) -> str:
+    """By brute force."""
+    return f"""
+        WITH RECURSIVE v AS (
+            SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND list_bool_and(list_transform(embedding, lambda e: coalesce(isfinite(e), false))) AND list_bool_or(list_transform(embedding, lambda e: e <> 0))),
+        link AS MATERIALIZED (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+            WHERE list_dot_product(a.x, b.x) / (sqrt(list_dot_product(a.x, a.x)) * sqrt(list_dot_product(b.x, b.x))) >= {threshold}),
+        reach AS (SELECT vec_id, vec_id AS root FROM embeddings UNION SELECT b, root FROM reach JOIN link ON a = vec_id WHERE root < b)
+        SELECT e.vec_id, coalesce(n, 0)::BIGINT AS n_links, root AS component_id, coalesce(e.vec_id = root, false) AS kept
+        FROM embeddings e LEFT JOIN (SELECT a, count(*) AS n FROM link GROUP BY a) l ON l.a = e.vec_id LEFT JOIN (SELECT vec_id, min(root) AS root FROM reach GROUP BY vec_id) r ON r.vec_id = e.vec_id"""

@@ -27,4 +27,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """Those that SQL can express. The others are tested against brute force, round trips or held-out accuracy."""
-    return {"op1_sharding": sharding.shard_sql(), "op7_benchmark_decontamination": decontaminate.decontamination_sql(), "op8_mixing_sources": mixing.mixing_sql()}
+    return {"op1_sharding": sharding.shard_sql(), "op5_embedding_near_dedup": neargraph.near_links_sql(), "op7_benchmark_decontamination": decontaminate.decontamination_sql(), "op8_mixing_sources": mixing.mixing_sql()}
