@@ -23,7 +23,6 @@ def boxes(scored: DataFrame, sbin: int) -> DataFrame:
 
 def detect(scored: DataFrame, truth: DataFrame, params: Params) -> DataFrame:
     """Ranked detections from scored windows and true boxes (query_id, doc_id, gt_id, x1, x2, y1, y2)."""
-    scored.sparkSession.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", max(4000, params.windows_per_page))
     best = windows.top_windows(boxes(scored, params.sbin), params.windows_per_page)
     picked = detections.nms(best, params.nms_overlap)
     return detections.ranked(detections.first_hits(picked, truth, params.hit_overlap))
