@@ -102,6 +102,11 @@ def test_vector_functions(spark):
     assert r.n == [0.6, 0.8] and all(np.isnan(r.zero)) and r.bits == [1, 0, 1, 0, 0, 0, 0, 0] and r.d == 25 and [p.place for p in r.k] == [1, 2] and r.a == 1 and r.c == 7
 
 
+def test_label_colours(spark):
+    c = [tuple(r.c) for r in spark.range(3).select(V.label_colour(F.col("id"), 3).alias("c")).collect()]
+    assert c == [(1, 0, 0), (0, 1, 0), (0, 0, 1)]
+
+
 def test_product_codes_equal_decoded_vectors(spark):
     rng = np.random.default_rng(1)
     books = [rng.normal(size=(5, 3)) for _ in range(2)]

@@ -103,3 +103,10 @@ def sub_vector(v: Column, part: Column, of: int) -> Column:
     """The part-th (from 0) of `of` equal pieces."""
     d = (F.size(v) / of).cast("int")
     return F.slice(v, part * d + 1, d)
+
+
+def label_colour(label: Column, n: int) -> Column:
+    """(red, green, blue) from 0 to 1 of a label among n, evenly around the colour wheel."""
+    at = (label % n) * 6.0 / n
+    wave = lambda turn: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.abs((at + turn) % 6 - 3) - 1))
+    return F.struct(wave(0).alias("red"), wave(4).alias("green"), wave(2).alias("blue"))

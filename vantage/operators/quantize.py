@@ -206,15 +206,17 @@ def fisher(df: DataFrame, group: str, v: str, model: Gmm, weights: bool = False,
             for i, key in enumerate(keys):
                 rows = inverse == i
                 g0, g1, g2 = p[rows].sum(0), np.einsum("nk,nkd->kd", p[rows], z[rows]), np.einsum("nk,nkd->kd", p[rows], z[rows] ** 2 - 1)
-                yield pd.DataFrame({"g": [key], "n": [int(rows.sum())], "s": [np.concatenate([g0, g1.ravel(), g2.ravel()]).tolist()]})
+                yield pd.DataFrame({"g": [key], "s": [np.concatenate([[rows.sum()], g0, g1.ravel(), g2.ravel()]).tolist()]})
 
-    width = kk + 2 * kk * d
     kind = dict(df.dtypes)[group]
-    sums = df.select(group, v).mapInPandas(partial, f"g {kind}, n long, s array<double>").groupBy("g").agg(F.sum("n").alias("n"), *[F.sum(F.element_at("s", j + 1)).alias(f"s{j}") for j in range(width)])
+    each = df.select(group, v).mapInPandas(partial, f"g {kind}, s array<double>").select("g", F.posexplode("s").alias("j", "v"))
+    sums = each.groupBy("g", "j").agg(F.sum("v").alias("v")).groupBy("g").agg(F.array_sort(F.collect_list(F.struct("j", "v"))).alias("s"))
+    sums = sums.select("g", F.transform("s", lambda p: p.v).alias("s"))  # as many as the model has gradients
 
     def finish(batches):
         for batch in batches:
-            s = batch.iloc[:, 2:].to_numpy(np.float64) / batch["n"].to_numpy()[:, None]
+            s = matrix(batch["s"]).reshape(len(batch), -1)
+            s = s[:, 1:] / s[:, :1]
             parts = []
             if weights:
                 parts.append((s[:, :kk] - model.w) / np.sqrt(model.w))

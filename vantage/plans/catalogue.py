@@ -406,7 +406,7 @@ def filter_response(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {sql_windows(2, 3)}, {MEANS} SELECT query_id, dr::INTEGER AS dr, dc::INTEGER AS dc, code, round(list_dot_product(centroid, w), 6) AS val, round(list_dot_product(centroid, centroid), 6) AS n2 FROM tpl CROSS JOIN book")
 def lut_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = fixtures.cells(spark, sf_dir)
-    table = windows.lookup(windows.templates(fixtures.queries(cells, 2, 3), cells), fixtures.codebook(spark, sf_dir))
+    table = windows.lookup(windows.templates(fixtures.queries(cells, 2, 3), cells), fixtures.codebook(spark, fixtures.label_means(spark, sf_dir)))
     return table.select("query_id", "dr", "dc", "code", *rounded("val", "n2"))
 
 
@@ -418,7 +418,7 @@ def window_scores_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = fixtures.cells(spark, sf_dir)
     means = fixtures.label_means(spark, sf_dir)
     coded = quantize.assign(cells.select("doc_id", "r", "c", "feat"), "feat", means).drop("feat")
-    table = windows.lookup(windows.templates(fixtures.queries(cells, 2, 3), cells), fixtures.codebook(spark, sf_dir))
+    table = windows.lookup(windows.templates(fixtures.queries(cells, 2, 3), cells), fixtures.codebook(spark, means))
     return windows.scores_coded(coded, table).select("query_id", "doc_id", "r", "c", *rounded("score"))
 
 
@@ -484,8 +484,9 @@ def retrieval_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = cells.select("doc_id").distinct().select("doc_id", F.lit(fixtures.SIDE).alias("bh"), F.lit(fixtures.SIDE).alias("bw"))
     negatives = samples.negative_windows(asked.select("query_id", F.col("th").alias("bh"), F.col("tw").alias("bw")), pages, 16)
     learned = retrieval.learn(windows.templates(asked, cells), cells, PARAMS, negatives)
-    coded = quantize.assign(cells.select("doc_id", "r", "c", "feat"), "feat", fixtures.label_means(spark, sf_dir)).drop("feat")
-    scored = windows.scores_coded(coded, windows.lookup(learned, fixtures.codebook(spark, sf_dir)))
+    means = fixtures.label_means(spark, sf_dir)
+    coded = quantize.assign(cells.select("doc_id", "r", "c", "feat"), "feat", means).drop("feat")
+    scored = windows.scores_coded(coded, windows.lookup(learned, fixtures.codebook(spark, means)))
     truth = fixtures.truth(cells, asked)
     found = retrieval.detect(scored, truth, PARAMS)
     ap = detections.average_precision(found, truth.groupBy("query_id").agg(F.count("*").alias("n_relevant")))
@@ -799,7 +800,7 @@ def sparse_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sparse_subset_matmul(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = fixtures.vectors(spark, sf_dir).where("label IS NOT NULL")
     at = v.select(F.col("vec_id").alias("i"), F.explode(F.array(F.col("label"), (F.col("label") + 3) % 10)).alias("k"))
-    w = fixtures.codebook(spark, sf_dir).select(F.col("code").alias("k"), F.col("centroid").alias("w"))
+    w = fixtures.codebook(spark, fixtures.label_means(spark, sf_dir)).select(F.col("code").alias("k"), F.col("centroid").alias("w"))
     return sparse.matmul_at(v.select(F.col("vec_id").alias("i"), F.col("embedding").alias("x")), w, at).select("i", "k", *rounded("v"))
 
 

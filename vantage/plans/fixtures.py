@@ -43,8 +43,7 @@ def label_means(spark: SparkSession, sf_dir: str) -> np.ndarray:
     return np.array([r.m for r in found]).reshape(len(labels), -1)
 
 
-def codebook(spark: SparkSession, sf_dir: str) -> DataFrame:
-    means = label_means(spark, sf_dir)
+def codebook(spark: SparkSession, means: np.ndarray) -> DataFrame:
     return spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(means)], "code int, centroid array<double>")
 
 
