@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from vantage.llm.common import cut, hash60, join_small, literal_map, table
 
 LEVELS = ["domain", "language", "source"]
-#: Target weights by level; a name that is not listed has weight 1.
+#: Target weights by level; a name that is not listed has weight 1. On a level without weights each name weighs its tokens.
 WEIGHTS = {"domain": {"domain0": 4, "domain1": 3, "domain2": 2, "domain3": 1}, "language": {"en": 5, "de": 2, "fr": 2, "es": 1}, "source": {}}
 MAX_EPOCHS, SEED = 4, 17
 #: Documents of a leaf that fall in one range of the epoch's order, about.
@@ -62,8 +62,9 @@ def budgets(leaves: DataFrame, weights: dict[str, dict[str, int]], budget: int |
     given = leaves.groupBy().agg((F.lit(budget) if budget is not None else F.sum("t")).cast("long").alias("budget"))
     for i, name in enumerate(LEVELS):
         keys = LEVELS[: i + 1]
-        weight = F.coalesce(F.element_at(literal_map(weights.get(name, {})), F.col(name)), F.lit(1)).cast("long")
-        nodes = leaves.groupBy(*keys).agg(F.sum("cap").alias("cap")).withColumn("weight", weight)
+        listed = weights.get(name)
+        weight = F.coalesce(F.element_at(literal_map(listed), F.col(name)), F.lit(1)).cast("long") if listed else F.col("tokens")
+        nodes = leaves.groupBy(*keys).agg(F.sum("cap").alias("cap"), F.sum("t").alias("tokens")).withColumn("weight", weight)
         nodes = nodes.join(given, LEVELS[:i]) if i else nodes.join(F.broadcast(given))  # one row
         given = water_fill(nodes, LEVELS[:i], name).select(*keys, F.col("got").alias("budget"))
     return leaves.join(given.withColumnRenamed("budget", "got"), LEVELS, "left").withColumn("got", F.coalesce("got", F.lit(0))).drop("cap")
@@ -95,7 +96,7 @@ def plan(rows: DataFrame, weights: dict[str, dict[str, int]], budget: int | None
     over = sums.withColumn("c", F.sum("s").over(upto)).where("c > rest").groupBy(*LEVELS).agg(F.min(F.struct("range", (F.col("c") - F.col("s")).alias("before"))).alias("o"))
     over = cut(over.select(*LEVELS, "o.range", "o.before"))
     inside = join_small(keyed, over, [*LEVELS, "range"])
-    running = F.col("before") + F.sum("n_tokens").over(W.partitionBy(*LEVELS).orderBy("key", "tie").rowsBetween(W.unboundedPreceding, 0))
+    running = F.col("before") + F.sum("n_tokens").over(W.partitionBy(*LEVELS).orderBy("key", "tie").rangeBetween(W.unboundedPreceding, W.currentRow))
     last = inside.withColumn("c", running).where("c <= rest").groupBy(*LEVELS).agg(F.max(F.struct("key", "tie")).alias("l"))
     found = leaf.join(over, LEVELS, "left").join(last, LEVELS, "left")
     key = F.when(F.col("range").isNull(), F.lit(LAST)).otherwise(F.coalesce(F.col("l.key"), F.shiftleft("range", shift) - 1))
@@ -115,7 +116,8 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", language: s
     """docs' rows, each as often as the epochs of its leaf read it.
 
     Null or empty texts weigh nothing: they go with the prefix they fall in, and a leaf without any token is read once.
-    Equal places in an epoch (repeated ids) are ordered by a hash of the text; exact repeats are interchangeable.
+    Equal places in an epoch (repeated ids) are ordered by a hash of the text; exact repeats of id and text stand or
+    fall together.
     A name of weight 0 gets nothing but documents without tokens at the head of its order. An empty table gives no rows.
     """
     weights = WEIGHTS if weights is None else weights
@@ -139,7 +141,7 @@ def mixing_sql(weights: dict | None = None, max_epochs: int = MAX_EPOCHS, seed:
     def fill(i: int) -> str:
         keys, above = ", ".join(LEVELS[: i + 1]), ", ".join(LEVELS[:i])
         case = "".join(f" WHEN '{k}' THEN {w}" for k, w in weights.get(LEVELS[i], {}).items())
-        weight = f"CASE {LEVELS[i]}{case} ELSE 1 END" if case else "1"
+        weight = f"CASE {LEVELS[i]}{case} ELSE 1 END" if case else "sum(t)::BIGINT"
         part, using = (f"PARTITION BY {above}", f"JOIN g{i} USING ({above})") if i else ("", "CROSS JOIN g0")
         return f"""
         n{i} AS (SELECT {keys}, budget, cap, w, cap / w AS ratio FROM (SELECT {keys}, sum(t * {max_epochs})::BIGINT AS cap, {weight} AS w FROM leaf GROUP BY {keys}) {using} WHERE w > 0),
@@ -155,5 +157,5 @@ def mixing_sql(weights: dict | None = None, max_epochs: int = MAX_EPOCHS, seed:
         g0 AS (SELECT sum(t)::BIGINT AS budget FROM leaf),{",".join(fill(i) for i in range(3))},
         l AS (SELECT leaf.*, coalesce(budget, 0) AS got, if(t > 0, coalesce(budget, 0) // t, 0) AS whole FROM leaf LEFT JOIN g3 USING (domain, language, source)),
         k AS (SELECT r.*, got, whole, got - whole * t AS rest, {h.format(f"'{seed}' || chr(31) || whole::VARCHAR || chr(31) || coalesce(doc_id::VARCHAR, '')")} AS key FROM r JOIN l USING (domain, language, source)),
-        s AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, language, source ORDER BY key, tie ROWS UNBOUNDED PRECEDING) AS c FROM k)
+        s AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, language, source ORDER BY key, tie RANGE UNBOUNDED PRECEDING) AS c FROM k)
         SELECT doc_id, domain, language, source, n_tokens, unnest(range(0, whole + if(c <= rest, 1, 0)))::BIGINT AS epoch, got::BIGINT AS leaf_budget FROM s"""
