@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 
 from vantage.operators import features as f
+from vantage.operators import features_relational as relational
 
 
 def test_uniform_images_have_no_gradient():
@@ -30,6 +31,18 @@ def test_kinds_share_their_parts():
     assert f.hog(im[:20, :20]).size == 0
 
 
+def test_relational_plan_and_kernel_agree(spark):
+    """On pages whose sides are more or less than whole cells."""
+    rng = np.random.default_rng(9)
+    sizes = [(48, 48), (45, 53), (50, 40), (20, 60), (37, 64)]
+    rows = [(i, h, w, bytearray(rng.integers(0, 256, h * w, dtype=np.uint8).tobytes())) for i, (h, w) in enumerate(sizes)]
+    rows.append((9, 48, 48, bytearray(48 * 48)))
+    pages = spark.createDataFrame(rows, "doc_id long, h int, w int, pixels binary")
+    a = {(r.doc_id, r.r, r.c): r.feat for r in f.describe(pages).collect()}
+    b = {(r.doc_id, r.r, r.c): r.feat for r in relational.describe(pages).collect()}
+    assert a.keys() == b.keys() and len(a) == 17 and all(np.allclose(a[k], b[k]) for k in a)
+
+
 def test_shrinking_keeps_the_mean():
     im = np.random.default_rng(3).random((40, 30))
     half = f.shrink(im, 0.5)

@@ -33,6 +33,14 @@ def test_vector_files_of_no_or_mixed_vectors(spark, tmp_path):
         vecs.read(spark, f"{tmp_path}/m.ivecs").collect()
 
 
+def test_vector_files_by_parts(spark, tmp_path):
+    df = spark.range(50).select(F.array(F.col("id").cast("float"), F.lit(1.0).cast("float")).alias("v")).repartitionByRange(3, F.col("v")[0])
+    paths = vecs.write_parts(df, f"{tmp_path}/parts")
+    assert len(paths) == 3 and sorted(r.n for r in vecs.file_sizes(spark, f"{tmp_path}/parts/*.fvecs").collect()) and vecs.file_sizes(spark, f"{tmp_path}/parts/*.fvecs").agg(F.sum("n")).first()[0] == 50
+    back = vecs.read(spark, f"{tmp_path}/parts", kind="fvecs").collect()
+    assert sorted(r.v[0] for r in back) == [float(i) for i in range(50)] and sorted(r.idx for r in back) == list(range(1, 51))
+
+
 def test_annotation_files(spark, tmp_path):
     (tmp_path / "q.gtp").write_text("p1.tif 5 6 14 25 word\n\n p2.tif  1 1 2 2 other \n")
     (tmp_path / "d").mkdir()

@@ -97,7 +97,7 @@ def describe(pages: DataFrame, sbin: int = 12, kind: str = "hog31") -> DataFrame
             for p in batch.itertuples():
                 d = f(np.frombuffer(p.pixels, np.uint8).reshape(p.h, p.w), sbin, kind)
                 r, c = np.divmod(np.arange(d.shape[0] * d.shape[1]), max(1, d.shape[1]))
-                yield pd.DataFrame({"doc_id": p.doc_id, "r": r, "c": c, "feat": list(d.reshape(len(r), -1))})
+                yield pd.DataFrame({"doc_id": p.doc_id, "r": r, "c": c, "feat": pd.Series(list(d.reshape(len(r), d.shape[2])), dtype=object)})
 
     return pages.select("doc_id", "h", "w", "pixels").mapInPandas(run, "doc_id long, r int, c int, feat array<double>")
 

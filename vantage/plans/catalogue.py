@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from vantage.functions import geometry
 from vantage.functions import vectors as V
 from vantage.model import GRID, Params
-from vantage.operators import annotations, detections, features, quantize, samples, search, sgd, sparse, tuning, windows
+from vantage.operators import annotations, detections, features, features_relational, quantize, samples, search, sgd, sparse, tuning, windows
 from vantage.plans import fixtures, retrieval
 from vantage.sources import generators, text, vecs
 
@@ -720,7 +720,16 @@ def hog_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
 _UNSIGNED = "SELECT doc_id, r::INTEGER AS r, c::INTEGER AS c, (d + {0})::INTEGER AS d, round(v, 6) AS v FROM uns UNION ALL SELECT doc_id, r::INTEGER, c::INTEGER, (d + {1})::INTEGER, round(v, 6) FROM tex"
 
 
-@query(f"WITH {HOG} SELECT doc_id, r::INTEGER AS r, c::INTEGER AS c, d::INTEGER AS d, round(v, 6) AS v FROM sig UNION ALL {_UNSIGNED.format(18, 27)}")
+_HOG31 = f"WITH {HOG} SELECT doc_id, r::INTEGER AS r, c::INTEGER AS c, d::INTEGER AS d, round(v, 6) AS v FROM sig UNION ALL {_UNSIGNED.format(18, 27)}"
+
+
+@query(_HOG31)
+def hog31_relational(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = features_relational.describe(fixtures.images(spark, sf_dir), fixtures.SBIN)
+    return d.select("doc_id", "r", "c", F.posexplode("feat").alias("d", "v")).select("doc_id", "r", "c", "d", *rounded("v"))
+
+
+@query(_HOG31)
 def hog31(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _described(spark, sf_dir, "hog31")
 

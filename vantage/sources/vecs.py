@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import os
 import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,7 +41,8 @@ def dimension(spark: SparkSession, path: str, kind: str | None = None) -> int:
 def read(spark: SparkSession, path: str, first: int | None = None, last: int | None = None, kind: str | None = None, as_float: bool = False) -> DataFrame:
     """(idx, v): vectors with 1-based places first..last inclusive. last beyond the end is cut; last < first gives none.
 
-    Fixed-length records are split among tasks by Hadoop, so a file of any length is read in parallel.
+    Fixed-length records are split among tasks by Hadoop, so a file of any length is read in parallel. Files of a folder
+    follow each other as Hadoop lists them.
     """
     kind = _kind(path, kind)
     if first is not None and first < 1:
@@ -81,6 +84,23 @@ def records(vectors: DataFrame, v: str = "v", kind: str = "fvecs") -> DataFrame:
     return vectors.mapInPandas(encode, f"{fields}, content binary")
 
 
+def write_parts(vectors: DataFrame, folder: str, v: str = "v", kind: str = "fvecs") -> list[str]:
+    """A file per partition, in a folder that executors and driver share; returns the paths. A task writes beside its file and
+    moves it in place when it is whole, so repeated tasks do no harm."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        context = TaskContext.get()
+        path = f"{folder}/part-{context.partitionId():06d}.{kind}"
+        with open(own := f"{path}.{context.taskAttemptId()}", "wb") as out:
+            for batch in batches:
+                out.write(b"".join(map(bytes, batch["content"])))
+        os.replace(own, path)
+        yield pd.DataFrame({"path": [path]})
+
+    os.makedirs(folder, exist_ok=True)
+    return sorted(r.path for r in records(vectors.select(v), v, kind).select("content").mapInPandas(run, "path string").collect())  # one row per file
+
+
 def write(vectors: DataFrame, path: str, order: str = "idx", v: str = "v", kind: str | None = None) -> None:
     """One local or mounted file in the given order, written vector by vector as results arrive; memory holds a partition."""
     ordered = records(vectors.select(order, v), v, _kind(path, kind)).orderBy(order).select("content")
