@@ -173,15 +173,18 @@ def pack(a: np.ndarray, b: np.ndarray, n: int, x: np.ndarray, most: int) -> np.n
     return out
 
 
+def medoids(x: np.ndarray, k: int = MEDOIDS) -> np.ndarray:
+    """The nodes nearest to the centres of k clusters of them."""
+    centres = _lloyd(x, min(k, len(x)), np.random.default_rng(7), 3)
+    return np.unique((x @ centres.T).argmax(0))
+
+
 def search(x: np.ndarray, adjacency: np.ndarray, queries: np.ndarray, own: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(query, node) pairs with cosine >= threshold, by blocks of queries. own: a query's place among the nodes, -1 if elsewhere."""
     n = len(x)
     if not n:
         return
-    centre = x.mean(0)
-    medoids = np.argsort(-(x @ centre), kind="stable")[:1]
-    spread = np.linspace(0, n - 1, min(n, MEDOIDS)).astype(np.int64)
-    entries = np.unique(np.concatenate([medoids, spread]))
+    entries = medoids(x)
     for start in range(0, len(queries), QUERIES):
         q, mine = queries[start : start + QUERIES], own[start : start + QUERIES]
         rows = np.arange(len(q))
