@@ -222,7 +222,7 @@ def templates(pages: DataFrame, url: str = "url", html: str = "html", share: flo
     found = cut(subtrees(pages, url, html).distinct())
     n_pages = found.groupBy("host", "page").agg(F.lit(1)).groupBy("host").agg(F.count("*").alias("pages"))
     counts = found.groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    often = counts.join(n_pages, "host").where(F.col("n") >= share * F.col("pages"))
+    often = join_small(counts, cut(n_pages), "host").where(F.col("n") >= share * F.col("pages"))
     # at most a page's subtrees divided by the share, per host
     return often.groupBy("host").agg(F.sort_array(F.collect_list("subtree")).alias("subtrees"))
 
