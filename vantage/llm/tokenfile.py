@@ -39,7 +39,7 @@ END = 2
 #: Bytes of rows that are encoded together, about.
 ENCODE_BYTES = 16 << 20
 #: Words whose ids a worker remembers; twice as many for a while.
-CACHE = 500_000
+CACHE = 400_000
 #: New words that go to the library as one text; it takes far more memory for long ones, and no less time.
 TOGETHER = 10_000
 #: In place of the ids of a word that cannot be encoded by itself.
