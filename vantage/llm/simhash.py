@@ -24,8 +24,8 @@ LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 LANES = np.uint64(0x0101010101010101)
 #: Members of a shard that share one tree; a larger shard is dealt out as pairs of chunks of about this size.
 CHUNK = 1024
-#: Candidate pairs that a search step holds at once.
-FRONTIER = 2_000_000
+#: Pairs of a query and a node, or a child of it, that a search step holds at once.
+FRONTIER = 1_000_000
 
 
 def fingerprint(text: bytes | None, width: int = 3, seed: int = 42) -> int:
@@ -96,7 +96,8 @@ def bk_search(queries: np.ndarray, start: np.ndarray, fp: np.ndarray, tree: tupl
     stack = [(np.flatnonzero(start >= 0), start[start >= 0])]
     while stack:
         q, node = stack.pop()
-        if len(q) > FRONTIER:
+        fan = offsets[node + 1] - offsets[node]
+        if len(q) > 1 and len(q) + int(fan.sum()) > FRONTIER:
             half = len(q) // 2
             stack += [(q[half:], node[half:]), (q[:half], node[:half])]
             continue
@@ -104,7 +105,6 @@ def bk_search(queries: np.ndarray, start: np.ndarray, fp: np.ndarray, tree: tupl
         hit = d <= radius
         if hit.any():
             yield q[hit], node[hit]
-        fan = offsets[node + 1] - offsets[node]
         total = int(fan.sum())
         if not total:
             continue
