@@ -190,7 +190,11 @@ def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radi
 
     Of rows that repeat both id and text, one stays. Texts without words form one component.
     """
-    named = cut(_components(docs, doc_id, text, radius, width).select("doc_id", "h", "root"))
+    return keep_one(docs, cut(_components(docs, doc_id, text, radius, width).select("doc_id", "h", "root")), doc_id, text)
+
+
+def keep_one(docs: DataFrame, named: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """docs with one row of each root; named: a materialised (doc_id, h, root) per row, h the xxhash64 of its text."""
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "h")
     keeper = named.groupBy("root").agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias("__vantage_id"), F.col("k.h").alias("__vantage_h"))
     # rows of one id and text are in one component, so id and text tell who stays; no join is on the component
