@@ -59,3 +59,17 @@ def test_odd_rows(spark, odd, empty):
     assert kept.columns == frame.columns
     assert langid.drop_unknown(empty).count() == 0
     assert langid.identify(empty, langid.fit(empty)).count() == 0
+
+
+UNLEARNED = [
+    "wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw", "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan",
+    "bütün insanlar hür haysiyet ve haklar bakımından eşit doğarlar", "minden emberi lény szabadon születik és egyenlő méltósága és joga van",
+]
+
+
+def test_unlearned_languages_are_rejected_and_clean_texts_kept():
+    rows = make(900)
+    model = langid.train([t for _, t, _ in rows[:700]], [x for _, _, x in rows[:700]])
+    assert [model.predict(t)[2] for t in UNLEARNED] == [True] * len(UNLEARNED)
+    held = [model.predict(t)[2] for _, t, _ in rows[700:] if len(t.split()) > 4]
+    assert len(held) > 150 and sum(held) <= 1

@@ -27,8 +27,7 @@ SAMPLE_ROWS = 3000
 #: Characters of a training text that are kept: a run from a place set by its hash. Predictions read whole texts.
 SAMPLE_CHARS = 20_000
 BUCKETS, WIDTH, EPOCHS, RATE, EXCERPTS = 1 << 15, 16, 6, 0.5, 2
-#: Share of the rightly judged calibration texts that rejection may lose. It never asks for more than a score of 1.25 times
-#: what an even guess has, as texts of mixed languages are not to be lost.
+#: Share of the rightly judged calibration texts, whole ones and short excerpts, that rejection may lose.
 LOST = 0.0005
 #: Characters handled at once, so that memory is bounded on very long texts.
 PIECE = 1 << 20
@@ -141,7 +140,7 @@ def train(texts: list[str], langs: list[str], seed: int = 7) -> Model:
     p = softmax(logits / temperature)
     right = p[p.argmax(1) == y].max(1)
     threshold = float(np.quantile(right, LOST)) if len(right) else 0.0
-    return Model(labels, folded, bias, float(temperature), min(threshold, 1.25 / max(2, len(labels))))
+    return Model(labels, folded, bias, float(temperature), threshold)
 
 
 def held_out(doc_id: Column) -> Column:
