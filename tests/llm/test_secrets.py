@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import string
 
 from vantage.llm import secrets
 
@@ -58,3 +60,16 @@ def test_query_digest(spark, tmp_path):
         want = ",".join(f"{k}:{a}:{b}" for k, a, b in brute(TEXTS[r.doc_id]))
         assert r.base_sha256 == hashlib.sha256(want.encode()).hexdigest()
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == kind for k, _, _ in brute(TEXTS[r.doc_id])) for kind in ("assign", "access", "hex"))
+
+
+def test_long_candidates_are_reported_whole():
+    rng = random.Random(5)
+    for n in (4095, 4096, 4097, 6000, 100_000):
+        key = "".join(rng.choices(string.ascii_letters + string.digits + "+/", k=n))
+        text = f'private_key = "{key}"'
+        assert [s for s in secrets.find(text.encode()) if s[0] == "novel"] == [("novel", 15, 15 + n)], n
+    name = "configuration_manager_1." * 1000
+    text = f"private_key = {name}{key} x"
+    (kind, a, b), *rest = [s for s in secrets.find(text.encode()) if s[0] == "novel"]
+    assert not rest and a <= 14 + len(name) and b == 14 + len(name) + len(key)
+    assert not [s for s in secrets.find(f"private_key = {name}".encode()) if s[0] == "novel"]

@@ -24,12 +24,14 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 SENSITIVE = (b"pass", b"pwd", b"secret", b"token", b"key", b"auth", b"cred", b"bearer", b"private", b"signature", b"cookie", b"session")
 CANDIDATE = re.compile(
-    r"""(?:pass(?:word|wd|phrase)?|pwd|secret|token|key|auth\w*|cred\w*|bearer|private|signature|cookie|session)\w{0,24}["']?[\x20\t]*(?:[:=]|=>|:=|is)?[\x20\t]*["']?([A-Za-z0-9+/_.=~!@#$%^&*-]{12,4096})""",
+    r"""(?:pass(?:word|wd|phrase)?|pwd|secret|token|key|auth\w*|cred\w*|bearer|private|signature|cookie|session)\w{0,24}["']?[\x20\t]*(?:[:=]|=>|:=|is)?[\x20\t]*["']?([A-Za-z0-9+/_.=~!@#$%^&*-]{12,})""",
     re.IGNORECASE | re.ASCII,
 )
 #: Share of a candidate's bytes that have to be new, the bytes that any short string is spared, and characters of surroundings
 #: on either side.
 NOVELTY, SPARED, AROUND = 0.66, 3, 512
+#: Characters of a candidate that are measured at once; a longer one is cut into equal pieces.
+MEASURED = 4096
 _HEX_RUN = bytes(120 if 48 <= c <= 57 or 97 <= c <= 102 else 32 for c in range(256))
 IDENTIFIERS = b"""
 access account action active address admin api app application args array async attribute auth authorization await base
@@ -70,6 +72,20 @@ def marginal_bytes(before: str, candidate: str, after: str) -> int:
     return len(c.compress(around + candidate.encode())) - len(c.compress(around))
 
 
+def novel(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """Spans of the candidate text[start:end] that are new: all of it, or those of its pieces that are, joined."""
+    n = -(-(end - start) // MEASURED)
+    bounds = [start + (end - start) * i // n for i in range(n + 1)]
+    added = [marginal_bytes(text[max(0, a - AROUND) : a], text[a:b], text[b : b + AROUND]) + SPARED for a, b in zip(bounds, bounds[1:], strict=False)]
+    if sum(added) >= NOVELTY * (end - start):
+        return [(start, end)]
+    out: list[tuple[int, int]] = []
+    for a, b, new in zip(bounds, bounds[1:], added, strict=False):
+        if new >= NOVELTY * (b - a):
+            out = [*out[:-1], (out[-1][0], b)] if out and out[-1][1] == a else [*out, (a, b)]
+    return out
+
+
 def find(data: bytes | None) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points, ordered by start and then by KINDS. Null is empty.
 
@@ -102,8 +118,7 @@ def find(data: bytes | None) -> list[tuple[str, int, int]]:
             word = m[1]
             if not (any(c.isdigit() for c in word) and sum(c.isalpha() for c in word) > 1):
                 continue  # a plain word, number or date
-            if marginal_bytes(text[max(0, a - AROUND) : a], word, text[b : b + AROUND]) + SPARED >= NOVELTY * len(word):
-                found.append(("novel", a, b))
+            found += [("novel", *span) for span in novel(text, a, b)]
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
