@@ -73,3 +73,14 @@ def test_long_candidates_are_reported_whole():
     (kind, a, b), *rest = [s for s in secrets.find(text.encode()) if s[0] == "novel"]
     assert not rest and a <= 14 + len(name) and b == 14 + len(name) + len(key)
     assert not [s for s in secrets.find(f"private_key = {name}".encode()) if s[0] == "novel"]
+
+
+def test_random_strings_of_one_class_are_reported_and_words_are_not():
+    rng = random.Random(6)
+    for letters in (string.ascii_letters, string.ascii_lowercase, string.digits):
+        for n in (16, 32, 64, 512):
+            keys = ["".join(rng.choices(letters, k=n)) for _ in range(60)]
+            found = sum((9, 9 + n) in [s[1:] for s in secrets.find(f"session: {k}\n".encode())] for k in keys)  # long digits are hex
+            assert found >= 57, (letters, n, found)
+    for text in ("the key characteristics of it", "private_key = ConfigurationManagerInstance", "secret negotiations", "pass ------------", "key: 000000000000", "auth: ================", "Bearer authentication.required", "key = aaaaaaaaaaaaaaaa"):
+        assert not [s for s in secrets.find(text.encode()) if s[0] == "novel"], text

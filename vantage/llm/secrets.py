@@ -8,8 +8,12 @@ their length. Candidates that add at least a given share of their length are rep
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from functools import cache
+from itertools import pairwise
+from string import ascii_lowercase
 
 import pyarrow as pa
 import zstandard
@@ -55,6 +59,37 @@ unit update upload uri url usage user username users utf8 util utils valid valid
 version view void wait warning web while width window with write www xml yaml your_api_key_here changeme xxxxxxxxxxxxxxxx
 0123456789 1234567890 abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ os.environ[" process.env. System.getenv("
 """
+#: Common words and syllables of other languages, which with IDENTIFIERS tell the letter pairs of names.
+WORDS = """
+schaft heit keit ung lich isch chen zeit einheit sicherheit schluessel verfahren verwaltung zugang benutzer kennwort dieser
+welche zwischen nicht auch durch werden wurde rechnung beschreibung gesellschaft freiheit wichtigkeit anmeldung berechtigung
+tion ment eur eux aux elle ance ence ique utilisateur connexion securite motdepasse toujours beaucoup gouvernement
+cion dad mente ado ido aje usuario contrasena seguridad tambien desarrollo gobierno conocimiento clave conexion
+characteristics considerations understanding negotiations performance relationship knowledge authentication requirements
+"""
+
+
+@cache
+def _pairs() -> dict[tuple[str, str], float]:
+    """By how many bits each letter is likelier after the other in names than in random strings."""
+    seen = Counter(pair for w in re.findall("[a-z]+", (IDENTIFIERS.decode() + WORDS).lower()) for pair in pairwise(w))
+    first: Counter = Counter()
+    for (x, _), n in seen.items():
+        first[x] += n
+    return {(x, y): math.log2(26 * (seen[x, y] + 0.3) / (first[x] + 26 * 0.3)) for x in ascii_lowercase for y in ascii_lowercase}
+
+
+def named(candidate: str) -> bool:
+    """Whether the pairs of its letters are those of names, more than those of random strings."""
+    weights = [_pairs()[pair] for run in re.findall("[a-z]+", candidate.lower()) for pair in pairwise(run)]
+    return sum(weights) > 0
+
+
+def needed(candidate: str) -> float:
+    """Bytes that a candidate has to add: fewer for a long one of few classes of characters, as random ones compress too."""
+    full, n = NOVELTY * len(candidate), len(candidate)
+    size = 10 * any(c.isdigit() for c in candidate) + 26 * any(c.islower() for c in candidate) + 26 * any(c.isupper() for c in candidate)
+    return min(full, full * math.log2(size) / math.log2(62) + 10) if 0 < size < 62 else full
 
 
 @cache
@@ -77,11 +112,11 @@ def novel(text: str, start: int, end: int) -> list[tuple[int, int]]:
     n = -(-(end - start) // MEASURED)
     bounds = [start + (end - start) * i // n for i in range(n + 1)]
     added = [marginal_bytes(text[max(0, a - AROUND) : a], text[a:b], text[b : b + AROUND]) + SPARED for a, b in zip(bounds, bounds[1:], strict=False)]
-    if sum(added) >= NOVELTY * (end - start):
+    if sum(added) >= sum(needed(text[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)):
         return [(start, end)]
     out: list[tuple[int, int]] = []
     for a, b, new in zip(bounds, bounds[1:], added, strict=False):
-        if new >= NOVELTY * (b - a):
+        if new >= needed(text[a:b]):
             out = [*out[:-1], (out[-1][0], b)] if out and out[-1][1] == a else [*out, (a, b)]
     return out
 
@@ -116,8 +151,10 @@ def find(data: bytes | None) -> list[tuple[str, int, int]]:
             if any(s < b and e > a for _, s, e in base[at : at + 8]):
                 continue
             word = m[1]
-            if not (any(c.isdigit() for c in word) and sum(c.isalpha() for c in word) > 1):
-                continue  # a plain word, number or date
+            if not any(c.isdigit() for c in word) and named(word):
+                continue  # words
+            if len(set(word)) < 4 and (not any(c.isdigit() for c in word) or sum(c.isalpha() for c in word) < 2):
+                continue  # a ruler, which is too short to show that it repeats
             found += [("novel", *span) for span in novel(text, a, b)]
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
