@@ -55,3 +55,11 @@ def test_hosts(spark):
 
 def test_empty_table(spark):
     assert extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_closing_tags_find_their_element_at_any_depth():
+    for n in (10, 255, 256, 5000):
+        page = Page("<div class=nav>menu " + "<b>" * n + "</div><article>the text</article>")
+        assert page.text() == "the text", n
+        page = Page("<ul><li class=ad>advert" + "<b>" * n + "<li>the item</ul>")
+        assert page.text() == "the item", n

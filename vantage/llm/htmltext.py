@@ -13,6 +13,7 @@ import hashlib
 import html as entities
 import re
 from array import array
+from collections.abc import Iterable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -70,6 +71,7 @@ class Page:
     def _parse(self, source: str) -> None:
         stack, inner = [0], [hashlib.blake2b(digest_size=8)]
         has_text = [False]
+        places: dict[str, list[int]] = {}  # of the open elements of each name in the stack
         self.hashes = [None]
         at = 0
 
@@ -82,6 +84,7 @@ class Page:
 
         def end() -> None:
             node = stack.pop()
+            places[self.tags[node]].pop()
             digest, full = inner.pop().digest(), has_text.pop()
             if full:
                 self.hashes[node] = digest
@@ -90,6 +93,10 @@ class Page:
             if self.tags[node] in BLOCK:
                 self.runs.append((stack[-1], None))
 
+        def top(names: Iterable[str]) -> int:
+            """Place of the innermost open element of these names, 0 if none."""
+            return max((places[name][-1] for name in names if places.get(name)), default=0)
+
         while True:
             m = MARKUP.search(source, at)
             if m is None:
@@ -109,11 +116,9 @@ class Page:
                 elif tag in VOID:
                     continue
                 else:
-                    for depth in range(len(stack) - 1, max(0, len(stack) - 257), -1):
-                        if self.tags[stack[depth]] == tag:
-                            while len(stack) > depth:
-                                end()
-                            break
+                    depth = top([tag])
+                    while depth and len(stack) > depth:
+                        end()
                 continue
             if tag in CLOSES_P:
                 ends, stops = frozenset(["p"]), P_SCOPE
@@ -121,14 +126,10 @@ class Page:
                 ends, stops = frozenset(), frozenset()
             for ends, stops in ((ends, stops), ENDS.get(tag, (frozenset(), frozenset()))):
                 if ends:
-                    for depth in range(len(stack) - 1, max(0, len(stack) - 65), -1):
-                        name = self.tags[stack[depth]]
-                        if name in ends:
-                            while len(stack) > depth:
-                                end()
-                            if tag not in ("tr", "body"):
-                                break
-                        elif name in stops:
+                    while (depth := top(ends)) > top(stops):
+                        while len(stack) > depth:
+                            end()
+                        if tag not in ("tr", "body"):
                             break
             if tag in BLOCK:
                 self.runs.append((stack[-1], None))
@@ -142,6 +143,7 @@ class Page:
             self.marked.append(tag in DROPPED or (len(attrs) > 1 and self._marks(tag, attrs)))
             if attrs.endswith("/>") and tag not in BLOCK and tag not in RAW:
                 continue  # an empty element of foreign markup
+            places.setdefault(tag, []).append(len(stack))
             stack.append(node)
             inner.append(hashlib.blake2b(digest_size=8))
             has_text.append(False)
