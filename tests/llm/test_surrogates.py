@@ -63,3 +63,15 @@ def test_hot_entity_and_repeated_rows(spark):
     docs = spark.createDataFrame([(i // 2, "from the same.person@example.com again") for i in range(400)], "doc_id long, text string")
     got = {r.text for r in s.replace(docs).collect()}
     assert len(got) == 1 and "same.person" not in got.pop()
+
+
+def test_two_digit_groups_other_cards_and_ipv6(spark):
+    phones = ["+33 1 23 45 67 89", "+33 6 12 34 56 78", "+34 612 34 56 78", "+34612345678", "+49 30 1234 5678 90", "+33.6.12.34.56.78"]
+    got = run(spark, [*(f"call {p}, now" for p in phones), "card 3782 822463 10005 or 3782-822463-10005", "at 2001:db8::8a2e:370:7334 or 2001:0DB8:0:0:0:8a2e:0370:7334.", "12:34:56 std::vector a::b aa:bb:cc:dd:ee:01 +12 34"])
+    for i, p in enumerate(phones):
+        assert got[i].n_entities == 1 and re.sub(r"\d", "0", got[i].text) == re.sub(r"\d", "0", f"call {p}, now") and p[4:] not in got[i].text, got[i].text
+    a, b = re.fullmatch(r"card (\d{4} \d{6} \d{5}) or (\d{4}-\d{6}-\d{5})", got[6].text).groups()
+    assert a.replace(" ", "-") == b != "3782-822463-10005"
+    a, b = re.fullmatch(r"at ((?:[0-9a-f]{4}:){7}[0-9a-f]{4}) or (\S+)\.", got[7].text).groups()
+    assert a == b and "8a2e" not in a
+    assert got[8].n_entities == 0

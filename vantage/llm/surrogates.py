@@ -24,8 +24,11 @@ PATTERNS = [
     ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     ("card", r"(?<![A-Za-z0-9])[0-9]{4}([ -]?)[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}(?![A-Za-z0-9])"),
+    ("card", r"(?<![A-Za-z0-9])[0-9]{4}(?: [0-9]{6} |-[0-9]{6}-)[0-9]{5}(?![A-Za-z0-9])"),
+    ("ip6", r"(?<![A-Za-z0-9:.])(?=[A-Fa-f:]*[0-9])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=(?:[0-9A-Fa-f]*:){2,7}[0-9A-Fa-f]*(?![A-Za-z0-9:]))(?:[0-9A-Fa-f]{1,4}:)+(?::[0-9A-Fa-f]{1,4})+)(?![A-Za-z0-9:])"),
     ("ip", r"(?<![A-Za-z0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![A-Za-z0-9]|\.[0-9])"),
     ("ssn", r"(?<![A-Za-z0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9-])"),
+    ("phone", r"(?<![A-Za-z0-9+])\+(?!1[ .(-])(?=(?:[ .()-]{0,2}[0-9]){7,15}(?![ .()-]{0,2}[0-9])(?![A-Za-z]))[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,6}(?![A-Za-z0-9])"),
     ("phone", r"(?<![A-Za-z0-9+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![A-Za-z0-9])"),
     ("phone", r"(?<![A-Za-z0-9+])(?:\([0-9]{2,4}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3,4}[ .-][0-9]{4}(?![A-Za-z0-9])"),
     ("person", PERSON),
@@ -91,6 +94,8 @@ def _surrogate(kind: Column, canon: Column, counter: Column, digest: Column) ->
     octet = lambda o, i: F.when(F.length(o) == 1, _byte(digest, i) % 10).when(F.length(o) == 2, 10 + _byte(digest, i) % 90).otherwise(100 + _byte(digest, i) % 156).cast("string")
     ip = F.array_join(F.transform(F.split(canon, r"\."), octet), ".")
 
+    hex_ = F.array_join(F.transform(_chars(canon), lambda c, i: F.lower(F.hex(_byte(digest, i) % 16))), "")
+
     def checked(digits: Column) -> Column:
         """The digits with the last one set so that the sum is 0 modulo 10."""
         head = digits.substr(F.lit(1), F.length(digits) - 1)
@@ -106,7 +111,7 @@ def _surrogate(kind: Column, canon: Column, counter: Column, digest: Column) ->
         return F.concat(stem, ends)
 
     named = F.when(kind.endswith("cyrillic"), name("cyrillic")).when(kind.endswith("greek"), name("greek")).otherwise(name("latin"))
-    return F.when(kind.rlike("^(given|family)"), named).when(kind == "ip", F.concat(ip, longer)).when(kind == "card", F.concat(card, longer)).otherwise(F.concat(alike, longer))
+    return F.when(kind.rlike("^(given|family)"), named).when(kind == "ip", F.concat(ip, longer)).when(kind == "ip6", hex_).when(kind == "card", F.concat(card, longer)).otherwise(F.concat(alike, longer))
 
 
 def _fill(form: Column, filler: Column, class_: str) -> Column:
@@ -153,13 +158,18 @@ def _parts(e: Column, t: Column) -> Column:
     kind = lambda i: F.concat(F.when(i == F.size(names) - 1, F.lit("family")).otherwise(F.concat(F.lit("given_"), gender)), script)
     person = F.transform(names, lambda w, i: part(kind(i), F.lower(w), w, F.when(i == 0, title).otherwise(F.lit(" "))))
     digits = F.array(part(t, only(e, "0-9"), e))
-    return F.when(t == "email", email).when(t == "phone", phone).when(t == "iban", F.array(part("iban", only(e, "A-Z0-9"), e))).when(t == "ip", F.array(part("ip", e, e))).when(t == "person", person).otherwise(digits)
+    groups = lambda s: F.filter(F.split(s, ":"), lambda g: g != "")
+    head, tail = groups(F.substring_index(e, "::", 1)), F.when(e.contains("::"), groups(F.substring_index(e, "::", -1))).otherwise(F.array().cast("array<string>"))
+    zeros = F.array_repeat(F.lit("0"), F.greatest(F.lit(0), 8 - F.size(head) - F.size(tail)))
+    ip6 = F.array(part("ip6", F.array_join(F.transform(F.concat(head, zeros, tail), lambda g: F.lpad(F.lower(g), 4, "0")), ""), e))
+    return F.when(t == "email", email).when(t == "phone", phone).when(t == "iban", F.array(part("iban", only(e, "A-Z0-9"), e))).when(t == "ip", F.array(part("ip", e, e))).when(t == "ip6", ip6).when(t == "person", person).otherwise(digits)
 
 
 def write_part(p: Column, counter: Column, key: str) -> Column:
     def written(s: Column) -> Column:
         named = F.when(p.form == F.upper(p.form), F.upper(s)).otherwise(F.initcap(s))
-        return F.when(p.kind.rlike("^(given|family)"), named).when(p.kind.startswith("email") | (p.kind == "iban"), _fill(p.form, s, "[A-Za-z0-9]")).otherwise(_fill(p.form, s, "[0-9]"))
+        whole = F.regexp_replace(s, "(.{4})(?=.)", "$1:")
+        return F.when(p.kind.rlike("^(given|family)"), named).when(p.kind == "ip6", whole).when(p.kind.startswith("email") | (p.kind == "iban"), _fill(p.form, s, "[A-Za-z0-9]")).otherwise(_fill(p.form, s, "[0-9]"))
 
     return F.concat(p.before, F.when(p.kind == "keep", p.form).otherwise(_let(surrogate(p.kind, p.canon, counter, key), written)))
 
