@@ -35,13 +35,22 @@ def test_held_out_column(spark):
     assert all(h == (zlib.crc32(("" if i is None else str(i)).encode()) % 4 == 2) for i, h in got)
 
 
-def test_pieces_of_long_texts_agree(monkeypatch):
-    rows = make(200)
+@pytest.mark.parametrize("piece", [1, 2, 3, 7, 100])
+def test_pieces_of_long_texts_agree(monkeypatch, piece):
+    rows = make(60)
     model = langid.train([t for _, t, _ in rows], [x for _, _, x in rows])
-    text = " ".join(t for _, t, x in rows if x == "aa")
-    whole = model.predict(text)
-    monkeypatch.setattr(langid, "PIECE", 100)
-    assert model.predict(text)[0] == whole[0] == "aa" and abs(model.predict(text)[1] - whole[1]) < 0.05
+    for text in (" ".join(t for _, t, x in rows if x == "aa"), "  ab--Çdé  ΣΑΣ. 12x", "ein" * 50, "", " a", "a "):
+        monkeypatch.setattr(langid, "PIECE", 1 << 20)
+        whole = model.predict(text), [x.tolist() for x in langid.counts(text)]
+        monkeypatch.setattr(langid, "PIECE", piece)
+        assert (model.predict(text), [x.tolist() for x in langid.counts(text)]) == whole
+
+
+def test_subwords_are_those_of_a_plain_count():
+    text = "Ab-cde f 12 ÉGH"
+    w = " ab cde f égh "
+    grams = [w[i : i + n] for n in (2, 3, 4) for i in range(len(w) - n + 1) if " " not in w[i + 1 : i + n - 1]]
+    assert sum(langid.counts(text)[1]) == len(grams) and len(langid.counts(text)[0]) == len(set(grams))
 
 
 @pytest.mark.parametrize("text", [None, "", " \n", "123 !? 4", "١٢"])
@@ -73,3 +82,24 @@ def test_unlearned_languages_are_rejected_and_clean_texts_kept():
     assert [model.predict(t)[2] for t in UNLEARNED] == [True] * len(UNLEARNED)
     held = [model.predict(t)[2] for _, t, _ in rows[700:] if len(t.split()) > 4]
     assert len(held) > 150 and sum(held) <= 1
+
+
+def test_scrambled_texts_are_rejected_at_the_stated_rate():
+    import numpy as np
+
+    rows = make(900, seed=3)
+    model = langid.train([t for _, t, _ in rows[:700]], [x for _, _, x in rows[:700]])
+    rng = np.random.default_rng(1)
+    long = [" ".join(t for _, t, x in rows[700:] if x == lang)[:n] for lang in WORDS for n in range(400, 2000, 40)]
+    found = sum(model.predict(langid.scrambled(t, rng))[2] for t in long)
+    assert found >= 0.3 * len(long)  # five words a language scramble into much of the same
+    assert model.thresholds[1] >= model.thresholds[0] > 0
+    assert not any(model.predict(t)[2] for t in long)
+
+
+def test_fit_counts_whole_texts(spark):
+    """What is learned lies at the end of very long texts, too."""
+    filler = "123 " * 10_000
+    rows = [(i, filler + ("kalo mipe tusa rano" if i % 2 else "schwund gricht pfalz strom"), "aa" if i % 2 else "bb") for i in range(60)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert [model.predict(t)[0] for t in ("mipe tusa", "pfalz gricht")] == ["aa", "bb"]

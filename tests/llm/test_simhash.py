@@ -55,26 +55,43 @@ def test_fingerprint_of_many_shingles():
 def test_bk_search_finds_all_pairs():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
-    flips = np.array([np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, rng.integers(0, 4)).astype(np.uint64)) if True else 0 for _ in range(400)], np.uint64)
+    flips = np.array([np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, rng.integers(1, 4)).astype(np.uint64)) for _ in range(400)], np.uint64)
     fp = np.unique(np.concatenate([base, rng.choice(base, 400) ^ flips]))
     group = rng.integers(0, 3, len(fp))
     group = np.unique(group, return_inverse=True)[1]
-    tree = simhash.bk_forest(group, fp)
+    roots, *tree = simhash.bk_forest(group, fp)
     found = set()
-    for q, r in simhash.bk_search(fp, tree[0][group], fp, tree, 3):
+    for q, r in simhash.bk_search(fp, np.arange(len(fp)), roots[group], fp, *tree, 3):
         found |= set(zip(q.tolist(), r.tolist()))
     d = np.bitwise_count(fp[:, None] ^ fp[None])
     assert found == {(i, j) for i in range(len(fp)) for j in range(len(fp)) if group[i] == group[j] and d[i, j] <= 3}
 
 
-@pytest.mark.parametrize("chunk", [5, 1024])
-def test_links_keep_components_in_large_shards(spark, chunk):
-    """Many fingerprints that share blocks, dealt out in chunks or not."""
+def test_search_follows_only_edges_within_the_radius(monkeypatch):
+    """Nodes that a search looks at are few beside all of the tree's."""
+    rng = np.random.default_rng(2)
+    fp = np.unique(rng.integers(0, 1 << 63, 2000, dtype=np.uint64))
+    roots, *tree = simhash.bk_forest(np.zeros(len(fp), int), fp)
+    looked = 0
+
+    def counted(x):
+        nonlocal looked
+        looked += len(x)
+        return np.vectorize(lambda v: bin(v).count("1"))(x)
+
+    monkeypatch.setattr(np, "bitwise_count", counted)
+    found = list(simhash.bk_search(fp, np.arange(20), np.full(20, roots[0]), fp, *tree, 3))
+    assert sum(len(q) for q, _ in found) == 20 and looked < 0.6 * 20 * len(fp)
+
+
+@pytest.mark.parametrize(("tree", "wave"), [(5, 1 << 30), (5, 1000), (2048, 1 << 30)])
+def test_links_keep_components_in_large_shards(spark, tree, wave):
+    """Many fingerprints that share blocks, in one tree or many, broadcast at once or in waves."""
     rng = random.Random(5)
     base = rng.getrandbits(64)
     values = {base ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for _ in range(60)} | {rng.getrandbits(64) for _ in range(40)}
     signed = [v - (1 << 64) if v >> 63 else v for v in values]
-    edges = simhash.fingerprint_links(spark.createDataFrame([(v,) for v in signed], "fp long"), "fp", 3, chunk).collect()
+    edges = simhash.fingerprint_links(spark.createDataFrame([(v,) for v in signed], "fp long"), "fp", 3, tree, wave).collect()
     group = {v: v for v in signed}
 
     def find(v):

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -10,40 +9,33 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows an Arrow batch holds at most, so that a batch of long texts stays small beside a Python worker's memory.
-BATCH_ROWS = 1000
+from vantage.shared import BROADCAST_ROWS, cut  # noqa: F401  for the operators
+from vantage.shared import folder as shared_dir  # noqa: F401
+
+#: Rows and bytes an Arrow batch holds at most, so that a batch stays small beside a Python worker's memory; a text that is
+#: longer by itself makes a batch of its own.
+BATCH_ROWS, BATCH_BYTES = 1000, 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. A local one is made only where none is configured, as in tests."""
-    context = spark.sparkContext
-    folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="vantage-")
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(folder)
-    return folder
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise into the shared folder and forget the lineage: later stages survive lost executors without recomputing."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def parts(spark: SparkSession, rows: int, per_task: int) -> int:
     """Partitions for so many rows: the session's number, or more where a task would get over per_task rows."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_task))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches by rows and by bytes. The setting is read when a plan runs, so it has to stay."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def map_arrow(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | T.StructType, rows: int | None = None) -> DataFrame:
     """Apply a kernel to each Arrow batch. Kernels see one batch at a time and keep nothing between batches but caches.
     rows: pieces in which a batch of large values is handed to the kernel."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -74,10 +66,6 @@ def hash60(*columns: Column) -> Column:
     return F.conv(F.substring(F.md5(joined), 1, 15), 16, 10).cast("long")
 
 
-#: Rows of a table that a join may broadcast; a longer one is shuffled.
-BROADCAST_ROWS = 200_000
-
-
 def join_small(df: DataFrame, small: DataFrame, on, how: str = "inner") -> DataFrame:
     """Join with a materialised table of narrow rows: broadcast if its counted rows are within the bound, else by shuffle."""
     return df.join(F.broadcast(small) if small.count() <= BROADCAST_ROWS else small, on, how)

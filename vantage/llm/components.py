@@ -1,4 +1,4 @@
-"""Connected components: a local union-find for kernels and a distributed star contraction for edge tables."""
+"""Connected components: a local union-find for kernels, a distributed star contraction for edge tables, and one row of each."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vantage.llm.common import cut
+from vantage.llm.common import cut, join_small
 
 
 class Forest:
@@ -54,3 +54,21 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         # each end below u is tied to the least of them, and u itself too
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e"))
         e = cut(small.select("e.u", "e.v").where("u <> v").distinct())
+
+
+def keep_one(docs: DataFrame, named: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """docs with one row of each root; named: a materialised (doc_id, h, root) per row, h the xxhash64 of its text."""
+    order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "h")
+    keeper = named.groupBy("root").agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias("__vantage_id"), F.col("k.h").alias("__vantage_h"))
+    # rows of one id and text are in one component, so id and text tell who stays; no join is on the component
+    keeper = cut(keeper)
+    rows = named.groupBy("doc_id", "h").agg(F.count("*").alias("times"))
+    same = F.col("doc_id").eqNullSafe(F.col("__vantage_id")) & (F.col("h") == F.col("__vantage_h"))
+    name = [F.col("doc_id").alias("__vantage_id"), F.col("h").alias("__vantage_h")]
+    gone = rows.join(keeper, same, "left_anti").select(*name)
+    again = rows.where("times > 1").join(keeper, same, "left_semi").select(*name)
+    on = docs[doc_id].eqNullSafe(F.col("__vantage_id")) & (F.xxhash64(docs[text]) == F.col("__vantage_h"))
+    kept = join_small(docs, cut(gone), on, "left_anti")
+    again = cut(again)
+    single = join_small(kept, again, on, "left_anti")
+    return single.unionByName(join_small(kept, again, on, "left_semi").dropDuplicates([doc_id, text]))

@@ -1,15 +1,16 @@
-"""Near duplicates by the Jaccard similarity of word shingles, exact: no pair at or over the similarity is missed.
+"""Links by the Jaccard similarity of word shingles, exact: no pair at or over the similarity is missed.
 
 Two sets of n and m shingles that are that similar share one of the first n - ceil(similarity * n) + 1 shingles of each, in
 whatever order all sets are sorted (prefix filter). The order puts shingles that are common in a sample last, so that few
 sets meet only by chance. Sets that meet are candidates if their sizes and the places of the shared shingle leave room for
-the similarity; candidates are verified on their whole texts. A first round asks each set only about its neighbours under a
-shingle, a second one about all sets that are not yet in its component, so that a group of near copies is not paired out.
+the similarity; candidates are verified on their whole texts. A first round asks each set only about pairs that are given and
+its neighbours under a shingle, a second one about all sets that are not yet in its component, so that a group of near copies
+is not paired out.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -20,24 +21,29 @@ from pyspark.sql import functions as F
 
 from vantage.llm.common import cut, join_small, map_arrow, parts, schema_of, utf8
 from vantage.llm.components import components
-from vantage.llm.simhash import LOWER, keep_one
 
 #: Rows whose shingles tell which are common, on average, and the number of common ones told to tasks at most. Both only
 #: set the order of the shingles, not which pairs are found.
 SAMPLE_ROWS, COMMON = 5000, 200_000
 #: Pairs that are put out at once.
 PAIRS = 100_000
+LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def shingles(text: bytes | None, width: int = 5, seed: int = 42) -> np.ndarray:
-    """Sorted hashes of the different word shingles, of words as in simhash.fingerprint."""
+def hashes(text: bytes | None, width: int = 5, seed: int = 42) -> np.ndarray:
+    """XXH64 of the word shingles of a UTF-8 text, with repeats: A-Z lower-cased, words parted by ASCII white space. Fewer words
+    than the width make one shingle of all of them; null and texts without words have none."""
     words = text.translate(LOWER).split() if text else []
     if not words:
         return np.empty(0, np.uint64)
     if len(words) < width:
         return np.array([xxhash.xxh64_intdigest(b" ".join(words), seed)], np.uint64)
     joined = map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False))
-    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, joined, repeat(seed)), np.uint64, len(words) - width + 1))
+    return np.fromiter(map(xxhash.xxh64_intdigest, joined, repeat(seed)), np.uint64, len(words) - width + 1)
+
+
+def shingles(text: bytes | None, width: int = 5) -> np.ndarray:
+    return np.unique(hashes(text, width))
 
 
 def least_overlap(n, m, percent: int):
@@ -110,11 +116,27 @@ def _candidates(tokens: DataFrame, percent: int, first: bool, tasks: int) -> Dat
     return tokens.repartition(tasks, "t").mapInArrow(pair, "a long, b long").distinct()
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
-    """The pairs whose texts are similar enough; texts: (s, text)."""
+def _shared(tokens: DataFrame, tasks: int) -> DataFrame:
+    """The rows of tokens (t, s, n, place) whose shingle several sets have first; one that a set has alone leads nowhere."""
+
+    def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]  # as in _candidates
+        if not held:
+            return
+        got = pa.Table.from_batches(held)
+        _, at, times = np.unique(got.column("t").to_numpy(), return_inverse=True, return_counts=True)
+        yield from got.filter(pa.array(times[at] > 1)).combine_chunks().to_batches()
+
+    return tokens.repartition(tasks, "t").mapInArrow(several, "t long, s long, n int, place int")
+
+
+def _verified(pairs: DataFrame, named: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame:
+    """The pairs of sets whose texts are similar enough. named: (h, s) tells which text has a set; docs: (h, text)."""
     pairs = cut(pairs)
-    members = cut(pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct())
-    asked = cut(join_small(texts, members, "s", "left_semi").groupBy("s").agg(F.first("text").alias("text")))
+    members = pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct()
+    # one text of each set; only texts of pairs are read again and moved
+    wanted = cut(named.select("h", "s").join(members, "s", "left_semi").groupBy("s").agg(F.min("h").alias("h")))
+    asked = cut(join_small(docs, wanted, "h").groupBy("s").agg(F.first("text").alias("text")))
     both = pairs.join(asked.select(F.col("s").alias("a"), F.col("text").alias("x")), "a").join(asked.select(F.col("s").alias("b"), F.col("text").alias("y")), "b")
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -127,35 +149,34 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> D
     return cut(map_arrow(both.select("a", "b", "x", "y"), kernel, "a long, b long"))
 
 
-def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 80, width: int = 5) -> DataFrame:
-    """docs with one row of each component of texts whose shingles have a Jaccard similarity of percent / 100 or more; which
-    one stays is as in simhash.near_dedup. Texts without words form one component."""
-    spark = docs.sparkSession
+def sets(docs: DataFrame, doc_id: str, text: str, width: int, percent: int, digest: Callable[[np.ndarray], int]) -> DataFrame:
+    """(doc_id, h, s, n, firsts, print) per row: a hash of its text and of its set of shingles, the set's size, the shingles of its
+    prefix, and the digest of its shingles with repeats."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
-    common = spark.sparkContext.broadcast(_common(rows, width))
+    common = docs.sparkSession.sparkContext.broadcast(_common(rows, width))
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingles(t, width) for t in utf8(batch, "text")]
-        s = np.array([xxhash.xxh64_intdigest(x.tobytes(), 42) for x in sets], np.uint64).view(np.int64)
-        firsts = pa.array([prefix(x, *common.value, percent).view(np.int64) for x in sets], pa.list_(pa.int64()))
-        return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(s), pa.array([len(x) for x in sets], pa.int32()), firsts], ["doc_id", "h", "s", "n", "firsts"])
-
-    sets = cut(map_arrow(rows, kernel, schema_of(rows, ["doc_id", "h"], "s long, n int, firsts array<long>")))
-    distinct = sets.groupBy("s").agg(F.first("n").alias("n"), F.first("firsts").alias("firsts"))
-    tokens = cut(distinct.select("s", "n", F.posexplode("firsts").alias("place", "t")))
-    # a shingle that one set alone has first leads nowhere
-    met = tokens.join(tokens.groupBy("t").agg(F.count("*").alias("c")).where("c > 1").select("t"), "t", "left_semi")
-    met = cut(met.select("t", "s", "n", "place"))
-    tasks = parts(spark, met.count(), 400_000)
-    # texts by set: rows of one id and text have one set, so one row of each hash tells it
-    sets_of = cut(sets.select("h", "s").distinct())
-    members = cut(met.select("s").distinct())
-    wanted = cut(sets_of.join(members, "s", "left_semi").groupBy("s").agg(F.min("h").alias("h")))
-    texts = cut(join_small(rows.select("h", "text"), wanted, "h").select("s", "text").dropDuplicates(["s"]))
-    links = _verified(_candidates(met.withColumn("root", F.col("s")), percent, True, tasks), texts, percent, width)
+        every = [hashes(t, width) for t in utf8(batch, "text")]
+        own = [np.unique(h) for h in every]
+        s = np.array([xxhash.xxh64_intdigest(x.tobytes(), 42) for x in own], np.uint64).view(np.int64)
+        prints = np.array([digest(h) for h in every], np.uint64).view(np.int64)
+        firsts = pa.array([prefix(x, *common.value, percent).view(np.int64) for x in own], pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(s), pa.array([len(x) for x in own], pa.int32()), firsts, pa.array(prints)], ["doc_id", "h", "s", "n", "firsts", "print"])
+
+    return map_arrow(rows, kernel, schema_of(rows, ["doc_id", "h"], "s long, n int, firsts array<long>, print long"))
+
+
+def components_of(docs: DataFrame, named: DataFrame, pairs: DataFrame, text: str, width: int, percent: int) -> DataFrame:
+    """(doc_id, h, root) per row: components of the links of the similarity. named: the materialised sets of docs; pairs (a, b) of
+    sets that may be alike."""
+    distinct = named.groupBy("s").agg(F.first("n").alias("n"), F.first("firsts").alias("firsts"))
+    tasks = parts(docs.sparkSession, named.agg(F.sum(F.size("firsts"))).first()[0] or 0, 400_000)
+    met = cut(_shared(distinct.select(F.posexplode("firsts").alias("place", "t"), "s", "n").select("t", "s", "n", "place"), tasks))
+    rows = docs.select(F.xxhash64(text).alias("h"), F.col(text).alias("text"))
+    near = pairs.union(_candidates(met.withColumn("root", F.col("s")), percent, True, tasks)).distinct()
+    links = _verified(near, named, rows, percent, width)
     root = cut(components(links, "a", "b"))
     rooted = met.join(root, met.s == root.node, "left").select("t", "s", "n", "place", F.coalesce("root", "s").alias("root"))
-    links = links.union(_verified(_candidates(rooted, percent, False, tasks), texts, percent, width))
+    links = links.union(_verified(_candidates(rooted, percent, False, tasks), named, rows, percent, width))
     root = components(links, "a", "b")
-    named = sets.join(root, sets.s == root.node, "left").select("doc_id", "h", F.coalesce("root", "s").alias("root"))
-    return keep_one(docs, cut(named), doc_id, text)
+    return cut(named.join(root, named.s == root.node, "left").select("doc_id", "h", F.coalesce("root", "s").alias("root")))

@@ -5,6 +5,10 @@ included, hashed into a fixed number of buckets. Embeddings and softmax are trai
 in numpy, on whole texts and on short excerpts of them, so that short texts are judged well too. Since the classifier is
 linear in the mean, embeddings and softmax weights are multiplied once after training: predicting takes one table lookup
 per subword, over the whole text.
+
+Rejection is calibrated on texts set aside, from two sides: clean ones, whole and excerpts, and scrambled ones, whose
+letters are dealt anew to their places, as a stand-in for what is of no learned language. Short and long texts have a
+threshold each, as a score means more the more subwords it rests on.
 """
 
 from __future__ import annotations
@@ -24,12 +28,13 @@ from vantage.llm.common import cut, join_small, map_arrow, schema_of, table
 UNKNOWN = "und"
 #: Labelled rows that the classifier is fitted on at most, on average: rows are taken by a hash of their id at this rate.
 SAMPLE_ROWS = 3000
-#: Characters of a training text that are kept: a run from a place set by its hash. Predictions read whole texts.
-SAMPLE_CHARS = 20_000
-BUCKETS, WIDTH, EPOCHS, RATE, EXCERPTS = 1 << 15, 16, 6, 0.5, 2
-#: Share of the rightly judged calibration texts, whole ones and short excerpts, that rejection may lose.
-LOST = 0.0005
-#: Characters handled at once, so that memory is bounded on very long texts.
+BUCKETS, WIDTH, EPOCHS, RATE, EXCERPTS, HELD = 1 << 15, 16, 6, 0.5, 2, 0.2
+#: Share of the rightly judged calibration texts, whole ones and short excerpts, that rejection may lose, and share of the
+#: scrambled ones that it finds where that costs no more clean ones.
+LOST, FOUND = 0.0005, 0.5
+#: Subwords from which a text is long.
+LONG = 512
+#: Characters handled at once, so that memory is bounded on very long texts. It does not change what is counted.
 PIECE = 1 << 20
 
 
@@ -39,15 +44,18 @@ def letters() -> np.ndarray:
 
 
 def subwords(text: str) -> Iterator[np.ndarray]:
-    """Bucket numbers, in pieces. Characters that are not letters part words; a piece begins where the last one ended."""
+    """Bucket numbers, in pieces. Characters that are not letters part words. What a piece leaves unfinished goes on in the next:
+    the subwords are those of the whole text wherever it is cut."""
+    tail = np.full(1, 32, np.uint32)
     for at in range(0, len(text), PIECE):
-        lower = text[at : at + PIECE].lower()
-        code = np.frombuffer(f" {lower} ".encode("utf-32-le", "surrogatepass"), np.uint32)
-        code = np.where(letters()[code], code, np.uint32(32))
+        lower = text[at : at + PIECE].replace("Σ", "σ").lower()  # the one letter whose lower case depends on its neighbours
+        code = np.frombuffer(lower.encode("utf-32-le", "surrogatepass"), np.uint32)
+        code = np.concatenate([tail, np.where(letters()[code], code, np.uint32(32)), tail[:0] if at + PIECE < len(text) else np.full(1, 32, np.uint32)])
         space = code == 32
         keep = np.ones(len(code), bool)
         keep[1:] = ~(space[1:] & space[:-1])
-        code, space = code[keep].astype(np.uint64), space[keep]
+        own, code, space = len(tail), code[keep].astype(np.uint64), space[keep]
+        tail = code[-3:].astype(np.uint32)
         h, inner = code, None
         for n in (2, 3, 4):
             if len(code) < n:
@@ -55,36 +63,69 @@ def subwords(text: str) -> Iterator[np.ndarray]:
             h = (h[:-1] * np.uint64(1_000_003) ^ code[n - 1 :]) & np.uint64(0xFFFFFFFFFFFF)
             # a space may end a subword, not lie inside it
             inner = np.zeros(len(h), bool) if n == 2 else inner[:-1] | space[n - 2 : len(code) - 1]
-            good = h[~inner]
+            first = max(0, own - n + 1)  # those that end in the tail were counted with the piece before
+            good = h[first:][~inner[first:]]
             mixed = (good ^ (good >> np.uint64(23))) * np.uint64(0x9E3779B97F4A7C15)
             yield (mixed >> np.uint64(49)).astype(np.int64) % BUCKETS
 
 
+def counts(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, times) of a text's subwords, by rising bucket."""
+    times = np.zeros(BUCKETS, np.int64)
+    for found in subwords(text):
+        times += np.bincount(found, minlength=BUCKETS)
+    ids = np.flatnonzero(times)
+    return ids, times[ids]
+
+
+def scrambled(text: str, rng: np.random.Generator) -> str:
+    """The text with its letters dealt anew to the places of letters."""
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).copy()
+    places = np.flatnonzero(letters()[code])
+    code[places] = code[rng.permutation(places)]
+    return code.tobytes().decode("utf-32-le", "surrogatepass")
+
+
+def excerpt(text: str, words: list[int], rng: np.random.Generator) -> str:
+    a = int(rng.integers(0, len(words) - 1))
+    return text[words[a] : words[min(len(words) - 1, a + int(rng.integers(1, 30)))]]
+
+
+def examples(text: str, key: int) -> tuple[bool, list[tuple[np.ndarray, np.ndarray]], list[tuple[np.ndarray, np.ndarray]]]:
+    """What is learned from a text: whether it is set aside for calibration, the counts of the whole text and of excerpts of it, and
+    of the same scrambled if it is set aside. key seeds the draws. The size is bounded by the buckets, not by the text."""
+    rng = np.random.default_rng(key % (1 << 63))
+    held = bool(rng.random() < HELD)
+    words = [m.start() for m in re.finditer(r"\S+", text)]
+    own = [text, *(excerpt(text, words, rng) for _ in range(EXCERPTS if len(words) > 4 else 0))]
+    none = [counts(scrambled(x, rng)) for x in own] if held else []
+    return held, [counts(x) for x in own], none
+
+
 @dataclass
 class Model:
     labels: list[str]
     table: np.ndarray  # buckets x labels: embedding times softmax weight
     bias: np.ndarray
     temperature: float
-    threshold: float
+    thresholds: tuple[float, float]  # of short and of long texts
 
-    def scores(self, text: str | None) -> np.ndarray | None:
-        """Calibrated probabilities, or null if the text is null or has no letter."""
+    def scores(self, text: str | None) -> tuple[np.ndarray, float] | None:
+        """Calibrated probabilities and the threshold of the text's length; null if the text is null or has no letter."""
         if not text or not self.labels:
             return None
-        total, n = np.zeros(len(self.labels)), 0
-        for buckets in subwords(text):
-            total += np.bincount(buckets, minlength=BUCKETS) @ self.table if len(buckets) > BUCKETS else self.table[buckets].sum(0)
-            n += len(buckets)
-        return softmax((total / n + self.bias) / self.temperature) if n else None
+        ids, times = counts(text)
+        n = times.sum()
+        return (softmax((times @ self.table[ids] / n + self.bias) / self.temperature), self.thresholds[int(n >= LONG)]) if n else None
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """(language, score, rejected)."""
-        p = self.scores(text)
-        if p is None:
+        got = self.scores(text)
+        if got is None:
             return UNKNOWN, 0.0, True
+        p, threshold = got
         best = int(p.argmax())
-        return self.labels[best], float(p[best]), bool(p[best] < self.threshold)
+        return self.labels[best], float(p[best]), bool(p[best] < threshold)
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -92,39 +133,30 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(-1, keepdims=True)
 
 
-def _counts(text: str) -> tuple[np.ndarray, np.ndarray] | None:
-    found = [b for b in subwords(text)]
-    if not found or not sum(map(len, found)):
-        return None
-    ids, n = np.unique(np.concatenate(found), return_counts=True)
-    return ids, n / n.sum()
+def train(texts: list[str], langs: list[str], seed: int = 7) -> Model:
+    return learn([(lang, *examples(text, i)) for i, (text, lang) in enumerate(zip(texts, langs, strict=True))], seed)
 
 
-def train(texts: list[str], langs: list[str], seed: int = 7) -> Model:
-    """Fit on labelled texts; every fifth is set aside to calibrate the temperature and the rejection threshold."""
+def learn(rows: list[tuple], seed: int = 7) -> Model:
+    """Fit on rows (language, set aside, own counts, scrambled counts); those set aside calibrate the temperature and the rejection
+    thresholds: what loses LOST of all clean ones, and for long texts more where scrambled ones ask for it: what finds FOUND of
+    those, or what loses LOST of the long clean ones if that is less."""
     rng = np.random.default_rng(seed)
-    labels = sorted(set(langs))
+    labels = sorted({r[0] for r in rows})
     target = {name: i for i, name in enumerate(labels)}
-    fit: list[tuple] = []
-    held: list[tuple] = []
-    for i, (text, lang) in enumerate(zip(texts, langs, strict=True)):
-        own = [text]
-        words = [m.start() for m in re.finditer(r"\S+", text)]
-        for _ in range(EXCERPTS if len(words) > 4 else 0):
-            a = int(rng.integers(0, len(words) - 1))
-            b = min(len(words) - 1, a + int(rng.integers(1, 30)))
-            own.append(text[words[a] : words[b]])
-        for x in own:
-            if (c := _counts(x)) is not None:
-                (held if i % 5 == 4 else fit).append((c, target[lang]))
+    shares = lambda found: [(ids, times / times.sum(), times.sum() >= LONG) for ids, times in found if len(ids)]
+    fit = [(c, target[lang]) for lang, held, own, _ in rows if not held for c in shares(own)]
+    held = [(c, target[lang]) for lang, held, own, _ in rows if held for c in shares(own)]
+    none = [c for _, _, _, scrambles in rows for c in shares(scrambles)]
+    fit = fit or held
     if not fit:
-        return Model([], np.zeros((BUCKETS, 0)), np.zeros(0), 1.0, 0.0)
+        return Model([], np.zeros((BUCKETS, 0)), np.zeros(0), 1.0, (0.0, 0.0))
     emb = rng.normal(0, 1 / WIDTH, (BUCKETS, WIDTH))
     w, bias = np.zeros((WIDTH, len(labels))), np.zeros(len(labels))
     for epoch in range(EPOCHS):
         rate = RATE * (1 - epoch / EPOCHS)
         for k in rng.permutation(len(fit)):
-            (ids, share), y = fit[k]
+            (ids, share, _), y = fit[k]
             mean = share @ emb[ids]
             g = softmax(mean @ w + bias)
             g[y] -= 1
@@ -134,13 +166,16 @@ def train(texts: list[str], langs: list[str], seed: int = 7) -> Model:
             emb[ids] -= rate * len(ids) ** 0.5 * share[:, None] * back
     folded = emb @ w
     judged = held or fit
-    logits = np.array([share @ folded[ids] + bias for (ids, share), _ in judged])
-    y = np.array([t for _, t in judged])
+    scored = lambda found: np.array([share @ folded[ids] + bias for ids, share, _ in found]).reshape(len(found), -1)
+    logits, y = scored([c for c, _ in judged]), np.array([t for _, t in judged])
     temperature = min(np.geomspace(0.05, 20, 60), key=lambda t: -np.log(softmax(logits / t)[np.arange(len(y)), y] + 1e-12).sum())
     p = softmax(logits / temperature)
-    right = p[p.argmax(1) == y].max(1)
-    threshold = float(np.quantile(right, LOST)) if len(right) else 0.0
-    return Model(labels, folded, bias, float(temperature), threshold)
+    right, long = p.argmax(1) == y, np.array([c[2] for c, _ in judged])
+    junk, long_junk = softmax(scored(none) / temperature).max(1) if none else np.empty(0), np.array([c[2] for c in none], bool)
+    short = float(np.quantile(p[right].max(1), LOST)) if right.any() else 0.0
+    clean, lost = p[right & long].max(1), junk[long_junk]
+    higher = min(np.quantile(clean, LOST), np.quantile(lost, FOUND)) if len(clean) and len(lost) else 0.0
+    return Model(labels, folded, bias, float(temperature), (short, max(short, float(higher))))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -148,22 +183,32 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = SAMPLE_ROWS) -> Model:
-    """Train on a hash sample, of about `rows` rows, of the labelled texts that are not held out."""
+    """Train on a hash sample, of about `rows` rows, of the labelled texts that are not held out. Whole texts are counted in the
+    tasks; the driver gets their counts, whose size the buckets bound."""
     usable = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(F.col(doc_id)))
     n = usable.count()
     place = F.xxhash64(F.col(doc_id), F.lit("sample"))
     share = min(1.0, rows / max(1, n))
     usable = usable.where(F.pmod(place, F.lit(1 << 30)) <= int(share * (1 << 30)))
-    start = F.pmod(place, F.greatest(F.lit(1), F.length(text) - SAMPLE_CHARS)).cast("int") + 1
-    sample = usable.select(F.col(doc_id).cast("string").alias("i"), F.col(text).substr(start, F.lit(SAMPLE_CHARS)).alias("t"), F.col(lang).cast("string").alias("l"))
-    got = sorted((r.i or "", r.t, r.l) for r in sample.collect())
-    return train([t for _, t, _ in got], [x for _, _, x in got])
+    sample = usable.select(F.col(doc_id).cast("string").alias("i"), F.xxhash64(doc_id, text).alias("k"), F.col(lang).cast("string").alias("l"), F.col(text).alias("t"))
+    pack = lambda found: [{"b": ids.astype("<u4").tobytes(), "n": times.astype("<i8").tobytes()} for ids, times in found]
+    kind = pa.list_(pa.struct([("b", pa.binary()), ("n", pa.binary())]))
+
+    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
+        got = [examples(t, k) for k, t in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+        columns = [pa.array([g[0] for g in got], pa.bool_()), *(pa.array([pack(g[i]) for g in got], kind) for i in (1, 2))]
+        return pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], ["i", "k", "l", "held", "own", "none"])
+
+    seen = map_arrow(sample, kernel, "i string, k long, l string, held boolean, own array<struct<b:binary,n:binary>>, none array<struct<b:binary,n:binary>>")
+    read = lambda found: [(np.frombuffer(x.b, "<u4").astype(np.int64), np.frombuffer(x.n, "<i8")) for x in found]
+    return learn([(r.l, r.held, read(r.own), read(r.none)) for r in sorted(seen.collect(), key=lambda r: (r.i or "", r.k))])
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The kept columns, lang_pred, score, rejected. Null texts and texts without letters are `und`, scored 0 and rejected.
 
-    Without any labelled text to learn from, everything is `und`.
+    Without any labelled text to learn from, everything is `und`. Repeated rows each give a row; columns of docs with these
+    three names are replaced.
     """
     names = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score", "rejected")]
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -1,31 +1,40 @@
-"""Near duplicates by SimHash: fingerprints of word shingles, linked through BK-trees.
+"""Near duplicates by SimHash: fingerprints of word shingles, linked through broadcast BK-trees.
 
 A BK-tree keeps each child under the integer Hamming distance to its parent; a search within a radius follows only the
-edges whose key differs from the query's distance by no more than the radius. Fingerprints that lie within the radius of
-each other agree on enough blocks of bits (pigeonhole), so a tree is built per shard of equal blocks and each shard's tree
-is searched by the members of that shard. No link is lost: every pair within the radius meets in at least one shard.
+edges whose key differs from the query's distance by no more than the radius. The different fingerprints are dealt to
+shards of about TREE members and each shard becomes a tree. Trees are broadcast in waves of bounded bytes, and every
+fingerprint searches the trees of its shards where it lies; queries are not shuffled and never gathered.
+
+Which shards a fingerprint has is a matter of routing alone: two fingerprints within the radius agree on all bits of some
+blocks (pigeonhole), so each takes part in one shard for each choice of blocks, by a hash of their bits. A shard holds many
+different values of them, and finding the near ones among its members is up to the tree. No link is lost.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations, repeat
+from dataclasses import dataclass
+from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vantage.llm.common import cut, join_small, map_arrow, parts, schema_of, table, utf8
-from vantage.llm.components import Forest, components
+from vantage.llm import jaccard
+from vantage.llm.common import cut, map_arrow, parts, schema_of, table, utf8
+from vantage.llm.components import Forest, components, keep_one
 
-LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 LANES = np.uint64(0x0101010101010101)
-#: Members of a shard that share one tree; a larger shard is dealt out as pairs of chunks of about this size.
-CHUNK = 1024
+#: Fingerprints that a tree aims at; a shard of more becomes several trees, all of which its members search.
+TREE = 2048
+#: Bytes of trees that are broadcast at once, and bytes of a tree per fingerprint.
+WAVE, NODE_BYTES = 64 << 20, 40
 #: Pairs of a query and a node, or a child of it, that a search step holds at once.
 FRONTIER = 1_000_000
+#: Linked pairs that a task holds before it reduces them to trees of links.
+PAIRS = 1_000_000
 
 
 def fingerprint(text: bytes | None, width: int = 3, seed: int = 42) -> int:
@@ -33,15 +42,14 @@ def fingerprint(text: bytes | None, width: int = 3, seed: int = 42) -> int:
 
     Null and texts without words give 0; fewer words than the width make one shingle of all of them.
     """
-    words = text.translate(LOWER).split() if text else []
-    if not words:
+    return majority(jaccard.hashes(text, width, seed))
+
+
+def majority(h: np.ndarray) -> int:
+    """The 64-bit number whose bits are set in over half of the hashes, 0 of none."""
+    n = len(h)
+    if not n:
         return 0
-    if len(words) < width:
-        shingles, n = [b" ".join(words)], 1
-    else:
-        n = len(words) - width + 1
-        shingles = map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False))
-    h = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(seed)), np.uint64, n)
     starts = np.arange(0, n, 255)  # a byte lane holds 255 ones
     counts = np.empty((8, 8), np.int64)  # [bit in byte, byte]
     for bit in range(8):
@@ -90,10 +98,9 @@ def bk_forest(group: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, ...]:
     return (np.full(1, -1) if roots is None else roots), offsets, children, edge[children]
 
 
-def bk_search(queries: np.ndarray, start: np.ndarray, fp: np.ndarray, tree: tuple, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(query, row) index pairs within the radius, in pieces; start: each query's root (-1: none)."""
-    _, offsets, children, keys = tree
-    stack = [(np.flatnonzero(start >= 0), start[start >= 0])]
+def bk_search(queries: np.ndarray, asking: np.ndarray, start: np.ndarray, fp: np.ndarray, offsets: np.ndarray, children: np.ndarray, keys: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(query, node) index pairs within the radius, in pieces. asking, start: queries and the roots at which they begin."""
+    stack = [(asking, start)]
     while stack:
         q, node = stack.pop()
         fan = offsets[node + 1] - offsets[node]
@@ -114,55 +121,145 @@ def bk_search(queries: np.ndarray, start: np.ndarray, fp: np.ndarray, tree: tupl
             stack.append((np.repeat(q, fan)[near], children[reached[near]]))
 
 
-def block_keys(fp: str, n_rows: int, radius: int) -> list:
-    """Columns that give a shard key per choice of agreeing blocks. Two values within the radius differ in at most `radius`
-    blocks, so they agree on all others; more rows take more blocks, hence longer keys and smaller shards."""
-    blocks = radius + (1 if n_rows <= 1 << 22 else 2 if n_rows <= 1 << 32 else 3)
+def blocks_of(n_rows: int, radius: int) -> list[int]:
+    """Bit masks, one per choice of agreeing blocks. Two values within the radius differ in at most `radius` blocks, so they agree
+    on all others; more rows take more blocks, hence more bits that agree, so that shards can be told apart by them."""
+    blocks = radius + (1 if n_rows <= 1 << 26 else 2 if n_rows <= 1 << 34 else 3)
     bounds = [round(i * 64 / blocks) for i in range(blocks + 1)]
     masks = [((1 << hi) - 1) ^ ((1 << lo) - 1) for lo, hi in zip(bounds, bounds[1:], strict=False)]
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
-    return [F.struct(F.lit(i).alias("family"), F.col(fp).bitwiseAND(F.lit(signed(sum(masks[j] for j in chosen))).cast("long")).alias("bits")) for i, chosen in enumerate(combinations(range(blocks), blocks - radius))]
-
-
-def fingerprint_links(values: DataFrame, fp: str, radius: int = 3, chunk: int = CHUNK) -> DataFrame:
-    """(a, b) edges that connect all distinct fingerprints within the radius of each other: for each shard, each linked member
-    and its shard-local root. Linear in the members, whatever the number of links."""
-    spark = values.sparkSession
-    distinct = values.select(fp).distinct()
-    n = distinct.count()
-    keyed = distinct.select(fp, F.explode(F.array(*block_keys(fp, n, radius))).alias("k")).select(fp, "k.family", "k.bits")
-    sizes = keyed.groupBy("family", "bits").count().where("count > 1").withColumn("chunks", F.ceil(F.col("count") / chunk).cast("int"))
-    dealt = keyed.join(sizes, ["family", "bits"]).withColumn("own", F.pmod(F.xxhash64(fp), F.col("chunks")).cast("int"))
-    # a shard within the bound is one task; a larger one is dealt out as all pairs of its chunks
-    pairs = F.explode(F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda o: F.struct(F.least("own", o).alias("i"), F.greatest("own", o).alias("j"))))
-    dealt = dealt.withColumn("p", pairs).select(fp, "family", "bits", "own", "p.i", "p.j")
-    dealt = dealt.repartition(parts(spark, n * 4, 400_000), "family", "bits", "i", "j")
-
-    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]  # rows of 36 bytes, their number per task bounded above
+    return [sum(masks[j] for j in chosen) for chosen in combinations(range(blocks), blocks - radius)]
+
+
+def shard_of(fp: Column, mask: int, family: int, shards: int) -> Column:
+    bits = fp.bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask).cast("long"))
+    return F.pmod(F.xxhash64(bits, F.lit(family)), F.lit(shards)).cast("int")
+
+
+@dataclass(frozen=True)
+class Wave:
+    """Trees of some shards. The roots of the shard that is the i-th of its family lie at roots[first[family][i] :]."""
+
+    shards: list[np.ndarray]
+    first: list[np.ndarray]
+    roots: np.ndarray
+    fp: np.ndarray
+    offsets: np.ndarray
+    children: np.ndarray
+    keys: np.ndarray
+
+    def begin(self, family: int, shard: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query, root) for queries of the given shards."""
+        own, first = self.shards[family], self.first[family]
+        if not len(own):
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        at = np.minimum(np.searchsorted(own, shard), len(own) - 1)
+        n = np.where(own[at] == shard, first[at + 1] - first[at], 0)
+        q = np.repeat(np.arange(len(shard)), n)
+        return q, self.roots[np.repeat(first[at] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(len(q))]
+
+
+def trees(distinct: DataFrame, fp: str, masks: list[int], shards: int, tree: int) -> DataFrame:
+    """(family, shard, fps, offsets, children, keys): the BK-trees of all shards, arrays as bytes. A task builds those it is dealt,
+    together; a shard of more than `tree` members is dealt by a hash to several trees."""
+    families = F.explode(F.array(*[F.struct(F.lit(i).alias("family"), shard_of(F.col(fp), m, i, shards).alias("shard")) for i, m in enumerate(masks)]))
+    keyed = distinct.select(F.col(fp).alias("fp"), families.alias("k")).select("fp", "k.family", "k.shard")
+    pieces = keyed.groupBy("family", "shard").agg(F.ceil(F.count("*") / (2 * tree)).cast("int").alias("pieces"))
+    dealt = keyed.join(pieces, ["family", "shard"]).withColumn("piece", F.pmod(F.xxhash64("fp"), F.col("pieces")).cast("int"))
+    dealt = dealt.select("fp", "family", "shard", "piece").repartition(parts(distinct.sparkSession, shards * tree * len(masks), 400_000), "family", "shard", "piece")
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]  # rows of 20 bytes; a task gets about 400,000, whatever the shards
         if not held:
             return
         got = pa.Table.from_batches(held)
-        column = {name: got.column(name).to_numpy() for name in got.column_names}
-        order = np.lexsort((column["j"], column["i"], column["bits"], column["family"]))
-        column = {name: x[order] for name, x in column.items()}
-        new = np.zeros(len(order), bool)
-        for name in ("family", "bits", "i", "j"):
-            new[1:] |= column[name][1:] != column[name][:-1]
-        group, value = np.cumsum(new), column[fp].view(np.uint64)
-        indexed = np.flatnonzero(column["own"] == column["i"])
-        asking = np.flatnonzero(column["own"] == column["j"])
-        tree = bk_forest(group[indexed], value[indexed])
-        roots = np.full(group[-1] + 1, -1)
-        roots[: len(tree[0])] = tree[0]
-        forest = Forest(len(order))
-        for q, row in bk_search(value[asking], roots[group[asking]], value[indexed], tree, radius):
-            forest.union(asking[q], indexed[row])
-        root = forest.roots()
-        linked = np.flatnonzero(root != np.arange(len(root)))
-        yield pa.RecordBatch.from_arrays([pa.array(column[fp][linked]), pa.array(column[fp][root[linked]])], ["a", "b"])
-
-    return dealt.mapInArrow(link, "a long, b long").distinct()
+        f, family, shard, piece = (got.column(c).to_numpy() for c in ("fp", "family", "shard", "piece"))
+        order = np.lexsort((f, piece, shard, family))
+        f, family, shard, piece = f[order].view(np.uint64), family[order], shard[order], piece[order]
+        new = np.ones(len(f), bool)
+        new[1:] = (family[1:] != family[:-1]) | (shard[1:] != shard[:-1]) | (piece[1:] != piece[:-1])
+        bounds = [*np.flatnonzero(new).tolist(), len(f)]
+        _, offsets, children, keys = bk_forest(np.cumsum(new) - 1, f)
+        for a, b in zip(bounds, bounds[1:], strict=False):
+            lo, hi = offsets[a], offsets[b]
+            values = [f[a:b].astype("<u8"), (offsets[a : b + 1] - lo).astype("<i4"), (children[lo:hi] - a).astype("<i4"), keys[lo:hi].astype("u1")]
+            yield pa.RecordBatch.from_arrays([pa.array([family[a]], pa.int32()), pa.array([shard[a]], pa.int32()), *(pa.array([v.tobytes()], pa.binary()) for v in values)], ["family", "shard", "fps", "offsets", "children", "keys"])
+
+    return dealt.mapInArrow(build, "family int, shard int, fps binary, offsets binary, children binary, keys binary")
+
+
+def wave_of(rows: list, families: int) -> Wave:
+    """rows of trees(), as one structure. A tree's root is its first node, as bk_forest makes it."""
+    rows = sorted(rows, key=lambda r: (r.family, r.shard))
+    fps = [np.frombuffer(r.fps, "<u8") for r in rows]
+    base = np.concatenate([[0], np.cumsum([len(x) for x in fps])]).astype(np.int64)
+    children = [np.frombuffer(r.children, "<i4") for r in rows]
+    edges = np.concatenate([[0], np.cumsum([len(x) for x in children])]).astype(np.int64)
+    offsets = [np.frombuffer(r.offsets, "<i4")[:-1] + e for r, e in zip(rows, edges, strict=False)]
+    join = lambda x, kind: np.concatenate(x).astype(kind) if x else np.empty(0, kind)
+    family, shard = np.array([r.family for r in rows], np.int64), np.array([r.shard for r in rows], np.int64)
+    shards, first = [], []
+    for i in range(families):
+        own = np.flatnonzero(family == i)
+        names, at = np.unique(shard[own], return_index=True)
+        shards.append(names)
+        first.append(np.concatenate([own[at], [own[-1] + 1 if len(own) else 0]]))
+    keys = join([np.frombuffer(r.keys, "u1") for r in rows], np.int64)
+    return Wave(shards, first, base[:-1], join(fps, np.uint64), np.concatenate([join(offsets, np.int64), edges[-1:]]), join([c + b for c, b in zip(children, base, strict=False)], np.int64), keys)
+
+
+def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect what the edges (a, b) of values connect: from each value to the least of its component."""
+    values, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    forest = Forest(len(values))
+    forest.union(at[: len(a)], at[len(a) :])
+    root = forest.roots()
+    linked = np.flatnonzero(root != np.arange(len(root)))
+    return values[linked], values[root[linked]]
+
+
+def fingerprint_links(values: DataFrame, fp: str, radius: int = 3, tree: int = TREE, wave: int = WAVE) -> DataFrame:
+    """(a, b) edges that connect all different fingerprints within the radius of each other. A task gives at most one edge for each
+    fingerprint that it links, whatever the number of links."""
+    spark = values.sparkSession
+    distinct = cut(values.select(F.col(fp).alias("fp")).where("fp IS NOT NULL").distinct())
+    n = distinct.count()
+    masks = blocks_of(n, radius)
+    shards = max(1, -(-n // tree))
+    forest = cut(trees(distinct, "fp", masks, shards, tree))
+    waves = max(1, -(-n * len(masks) * NODE_BYTES // wave))
+    own = [shard_of(F.col("fp"), m, i, shards).alias(f"s{i}") for i, m in enumerate(masks)]
+    asking = distinct.select("fp", *own).repartition(parts(spark, n, 50_000))
+    found = None
+    for w in range(waves):
+        # about `wave` bytes of trees: a shard's place in a wave is by its number, its number by a hash
+        rows = forest.where(F.pmod("shard", F.lit(waves)) == w).collect()
+        shared = spark.sparkContext.broadcast(wave_of(rows, len(masks)))
+
+        def link(batches: Iterator[pa.RecordBatch], shared=shared, w=w) -> Iterator[pa.RecordBatch]:
+            t = shared.value
+            a, b, held = [], [], 0
+            for batch in batches:
+                q = batch.column(0).to_numpy().view(np.uint64)
+                for i in range(len(masks)):
+                    asks, roots = t.begin(i, batch.column(i + 1).to_numpy().astype(np.int64))
+                    for x, node in bk_search(q, asks, roots, t.fp, t.offsets, t.children, t.keys, radius):
+                        x, y = q[x], t.fp[node]
+                        later = x > y  # the other one finds the pair too
+                        a.append(x[later])
+                        b.append(y[later])
+                        held += len(a[-1])
+                        if held >= PAIRS:
+                            x, y = spanning(np.concatenate(a), np.concatenate(b))
+                            a, b, held = [x], [y], 0
+            if held or a:
+                x, y = spanning(np.concatenate(a), np.concatenate(b))
+                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], ["a", "b"])
+
+        here = reduce(lambda x, y: x | y, [F.pmod(f"s{i}", F.lit(waves)) == w for i in range(len(masks))])
+        part = cut(asking.where(here).mapInArrow(link, "a long, b long"))
+        shared.destroy()
+        found = part if found is None else found.union(part)
+    return found.distinct()
 
 
 def _components(docs: DataFrame, doc_id: str, text: str, radius: int, width: int) -> DataFrame:
@@ -193,22 +290,22 @@ def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radi
     return keep_one(docs, cut(_components(docs, doc_id, text, radius, width).select("doc_id", "h", "root")), doc_id, text)
 
 
-def keep_one(docs: DataFrame, named: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """docs with one row of each root; named: a materialised (doc_id, h, root) per row, h the xxhash64 of its text."""
-    order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "h")
-    keeper = named.groupBy("root").agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias("__vantage_id"), F.col("k.h").alias("__vantage_h"))
-    # rows of one id and text are in one component, so id and text tell who stays; no join is on the component
-    keeper = cut(keeper)
-    rows = named.groupBy("doc_id", "h").agg(F.count("*").alias("times"))
-    same = F.col("doc_id").eqNullSafe(F.col("__vantage_id")) & (F.col("h") == F.col("__vantage_h"))
-    name = [F.col("doc_id").alias("__vantage_id"), F.col("h").alias("__vantage_h")]
-    gone = rows.join(keeper, same, "left_anti").select(*name)
-    again = rows.where("times > 1").join(keeper, same, "left_semi").select(*name)
-    on = docs[doc_id].eqNullSafe(F.col("__vantage_id")) & (F.xxhash64(docs[text]) == F.col("__vantage_h"))
-    kept = join_small(docs, cut(gone), on, "left_anti")
-    again = cut(again)
-    single = join_small(kept, again, on, "left_anti")
-    return single.unionByName(join_small(kept, again, on, "left_semi").dropDuplicates([doc_id, text]))
+def similar_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = 3, width: int = 5, percent: int = 80) -> DataFrame:
+    """As near_dedup, of the components of texts whose sets of shingles have a Jaccard similarity of percent / 100 or more.
+
+    The trees find what lies within the radius; links are verified on the whole texts. Texts of just that similarity may
+    differ in more bits than any radius that trees can search, so that the prefix filter of jaccard.py completes the links
+    between different components, exactly.
+    """
+    sets = cut(jaccard.sets(docs, doc_id, text, width, percent, majority))
+    distinct = sets.groupBy("s").agg(F.first("n").alias("n"), F.first("print").alias("fp"))
+    root = components(fingerprint_links(distinct, "fp", radius), "a", "b")
+    named = cut(distinct.join(root, distinct.fp == root.node, "left").select("s", "n", F.coalesce("root", "fp").alias("root")))
+    first = named.groupBy("root").agg(F.min(F.struct("s", "n")).alias("f"), F.count("*").alias("c")).where("c > 1")
+    pairs = named.join(first, "root").where(F.col("s") != F.col("f.s"))
+    alike = 100 * F.least("n", "f.n") >= percent * F.greatest("n", "f.n")
+    pairs = pairs.where(alike).select(F.col("f.s").alias("a"), F.col("s").alias("b"))
+    return keep_one(docs, jaccard.components_of(docs, sets, pairs, text, width, percent), doc_id, text)
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

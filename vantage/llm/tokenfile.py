@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vantage.llm.common import BATCH_ROWS, map_arrow, shared_dir, table
+from vantage.llm.common import map_arrow, shared_dir, small_batches, table
 
 MAGIC, HEAD = b"VPF1", struct.Struct("<4sIIQI")
 BLOCK, PERCENTILE = 512, 90
@@ -242,7 +242,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, doc_id: str = "doc_id",
         size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + size // TASK_BYTES)
     ordered = rows.repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    small_batches(spark)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq, before = TaskContext.get().partitionId(), 0, 0
@@ -277,7 +277,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     starts, total = {}, 0
     for r in sorted(files.groupBy("part").agg(F.sum("n_ids").alias("n")).collect()):
         starts[r.part], total = total, total + r.n
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    small_batches(spark)
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
         out: list[list] = [[], [], [], []]
