@@ -63,3 +63,59 @@ def test_closing_tags_find_their_element_at_any_depth():
         assert page.text() == "the text", n
         page = Page("<ul><li class=ad>advert" + "<b>" * n + "<li>the item</ul>")
         assert page.text() == "the item", n
+
+
+@pytest.mark.parametrize(
+    "source,text",
+    [
+        ("<main><div>the story of the day, told at length</div><article>first reader says hi</article></main>", "the story of the day, told at length"),
+        ("<article><header><h1>Headline</h1><p>by someone</p></header><p>body</p></article>", "Headline body"),
+        ("<header><h1>Site</h1></header><article><p>body</p></article>", "body"),
+        ("<article><p>a long enough story</p><article>a reader</article></article>", "a long enough story"),
+        ("<article>one teaser</article><article>another teaser</article>", "one teaser another teaser"),
+        ("<main><p>intro</p><article>the article is the larger part</article></main>", "the article is the larger part"),
+    ],
+)
+def test_the_article_is_chosen_by_its_text(source, text):
+    assert Page(source).text() == text
+
+
+def big_site(n):
+    """Pages of one host: a menu of a section on 40 % of them, a line that many articles share, own texts."""
+    out = []
+    for i in range(n):
+        menu = "<div><p>section menu</p><p>more of it</p></div>" if i % 5 < 2 else ""
+        line = "<p>This line stands in many articles.</p>" if i % 2 else ""
+        note = f"<div><p>notice of the month {i % 3}</p></div>"
+        out.append((i, "http://big.example/x", f"<body>{menu}<div id=content><p>page {i} has a text of its own that is long enough to be most of it</p>{line}<p>end {i}</p></div>{note}</body>"))
+    return out
+
+
+def brute_texts(rows, share, least, many):
+    """The definition, on parsed pages held in one process."""
+    pages = [Page(h) for _, _, h in rows]
+    seen = {}
+    for p in pages:
+        for h in {h for h in p.hashes[1:] if h}:
+            seen.setdefault(h, set()).add(p.hashes[0])
+    n = len({p.hashes[0] for p in pages})
+    always = frozenset(h for h, own in seen.items() if len(own) >= least and len(own) >= share * n)
+    often = frozenset(h for h, own in seen.items() if len(own) >= many) - always
+    return [p.text(always, often) for p in pages]
+
+
+def test_recurring_subtrees_go_outside_the_block_of_the_text_only(spark):
+    rows = big_site(100)
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for (i, _, _), text in zip(rows, brute_texts(rows, 0.6, 5, 20), strict=True):
+        line = "This line stands in many articles. " if i % 2 else ""
+        assert got[i] == text == f"page {i} has a text of its own that is long enough to be most of it {line}end {i}"
+
+
+def test_very_long_and_repeated_pages(spark):
+    long = "<body><div>menu</div><article>" + "".join(f"<p>paragraph {i} with words</p>" for i in range(40_000)) + "</article></body>"
+    deep = "<div>" * 10_000 + "deep text" + "</div>" * 10_000
+    rows = [(1, "http://a/", long), (1, "http://a/", long), (2, "http://a/", deep), (3, None, None), (4, "http://a/", "")]
+    got = sorted((r.page_id, r.text) for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
+    want = " ".join(f"paragraph {i} with words" for i in range(40_000))
+    assert got == [(1, want), (1, want), (2, "deep text"), (3, ""), (4, "")]

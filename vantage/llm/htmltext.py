@@ -1,10 +1,14 @@
 """Main text of web pages with site template removal.
 
 Each page is read into a flat list of elements and text runs. Every element's subtree is hashed (tag and text below it).
-Spark counts, per host, on how many different pages a subtree occurs; subtrees that recur on most of them are the site's
-template and are deleted from every page of the host. Elements that name themselves as something else than the article
-(menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments) are deleted too. Pages that are
-copies of each other count once, so that a copied article does not become a template of its host.
+Spark counts, per host, on how many different pages a subtree occurs. What recurs on most of a host's pages is its template
+and is deleted wherever it stands; what recurs on many pages, though a small part of a large host (the menu of a section, a
+rotating notice), is deleted outside the block that holds most of the page's text. Pages that are copies of each other count
+once, so that a copied article does not become a template of its host.
+
+Before that, elements that name themselves as something else than the article (menus, headers, footers, sidebars, notices,
+adverts, forms, scripts, styles, comments) are dropped, by tag, role and class name. On hosts of few pages only these lists
+tell what is not the article. The article is chosen by the mass of its text: see Page.text.
 """
 
 from __future__ import annotations
@@ -13,7 +17,7 @@ import hashlib
 import html as entities
 import re
 from array import array
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -55,16 +59,19 @@ MARKS = frozenset(
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation note search status toolbar tablist".split())
 #: Elements that hold the page and are never dropped by a class name.
 FRAME = frozenset("html body main".split())
-#: A template recurs on this share of a host's different pages, and on so many at least.
-SHARE, LEAST = 0.6, 5
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+#: A template recurs on this share of a host's different pages, and on so many at least; or on so many, whatever their share.
+SHARE, LEAST, MANY = 0.6, 5, 20
+#: Hashes of recurring subtrees that a join may broadcast, for all pages together.
+BROADCAST_HASHES = 2_000_000
 
 
 class Page:
-    """Elements in document order: tag, parent, whether marked as not the article, hash of the subtree, whether it has text.
-    runs: (element, text) and (element, None) for a block's border."""
+    """Elements in document order: tag, parent, whether marked as not the article, whether the head of an article, hash of the
+    subtree. runs: (element, text) and (element, None) for a block's border."""
 
     def __init__(self, source: str):
-        self.tags, self.parents, self.marked, self.hashes = [""], array("q", [-1]), bytearray(1), [b""]
+        self.tags, self.parents, self.marked, self.heads, self.hashes = [""], array("q", [-1]), bytearray(1), bytearray(1), [b""]
         self.runs: list[tuple[int, str | None]] = []
         self._parse(source)
 
@@ -140,7 +147,9 @@ class Page:
             self.tags.append(tag)
             self.parents.append(stack[-1])
             self.hashes.append(None)
-            self.marked.append(tag in DROPPED or (len(attrs) > 1 and self._marks(tag, attrs)))
+            head = tag == "header" and bool(places.get("article"))
+            self.heads.append(head)
+            self.marked.append(not head and (tag in DROPPED or (len(attrs) > 1 and self._marks(tag, attrs))))
             if attrs.endswith("/>") and tag not in BLOCK and tag not in RAW:
                 continue  # an empty element of foreign markup
             places.setdefault(tag, []).append(len(stack))
@@ -171,83 +180,159 @@ class Page:
                         return True
         return False
 
-    def text(self, templates: frozenset[bytes] = frozenset()) -> str:
-        """Blocks of the live articles, else of the live main element, else of all that is live."""
+    def text(self, templates: frozenset[bytes] = frozenset(), elsewhere: frozenset[bytes] = frozenset()) -> str:
+        """Blocks of the article: of the live article elements, else of the main element, else of all that is live.
+
+        Of an article's header the headings stay. An article inside another, larger one is a comment on it, and articles
+        inside a main element whose own text outweighs theirs are asides of it; both go. templates: hashes of subtrees that
+        are deleted anywhere. elsewhere: hashes deleted outside the innermost element that holds over half of the text, where
+        neither an article nor a main element tells the place of the text.
+        """
         n = len(self.tags)
-        dead, inside = bytearray(n), {"article": bytearray(n), "main": bytearray(n)}
+        dead, article, main, link, heading, head = bytearray(n), array("q", [0]) * n, bytearray(n), bytearray(n), bytearray(n), bytearray(n)
         for i in range(1, n):
-            p = self.parents[i]
-            dead[i] = dead[p] or self.marked[i] or self.hashes[i] in templates
-            for name, flags in inside.items():
-                flags[i] = flags[p] or self.tags[i] == name
-        for flags in (inside["article"], inside["main"], None):
-            blocks, run = [], []
-            for node, value in self.runs:
-                if value is None:
-                    if run:
-                        blocks.append(" ".join("".join(run).split()))
-                        run = []
-                elif not dead[node] and (flags is None or flags[node]):
-                    run.append(value)
-            if run:
-                blocks.append(" ".join("".join(run).split()))
-            if found := " ".join(b for b in blocks if b):
+            p, tag = self.parents[i], self.tags[i]
+            head[i], heading[i], link[i] = head[p] or self.heads[i], heading[p] or tag in HEADINGS, link[p] or tag == "a"
+            dead[i] = dead[p] or self.marked[i] or self.hashes[i] in templates or (head[i] and not heading[i] and tag != "header" and tag not in FRAME and not self._holds_heading(i))
+            article[i], main[i] = (i if tag == "article" else article[p]), main[p] or tag == "main"
+        mass = array("q", [0]) * n  # characters of an element's own live text outside links
+        for node, value in self.runs:
+            if value is not None and not dead[node] and not link[node] and not (head[node] and not heading[node]):
+                mass[node] += len("".join(value.split()))
+        own: dict[int, int] = {}  # by innermost article
+        for i in range(n):
+            if mass[i]:
+                own[article[i]] = own.get(article[i], 0) + mass[i]
+        dropped = set()
+        for a in sorted(set(article) - {0}):
+            outer = article[self.parents[a]]
+            if outer and (outer in dropped or own.get(outer, 0) > own.get(a, 0)):
+                dropped.add(a)
+        inside = sum(mass[i] for i in range(n) if main[i] and article[i] and article[i] not in dropped)
+        if inside and sum(mass[i] for i in range(n) if main[i] and not article[i]) > inside:
+            dropped |= {a for a in set(article) - {0} if main[a]}
+        live = lambda i: not dead[i] and article[i] not in dropped and not (head[i] and not heading[i])
+        for flags in (article, main, None):
+            found = self._joined(live if flags is None else lambda i, flags=flags: flags[i] and live(i))
+            if found and flags is None and elsewhere:
+                return self._joined(lambda i, out=self._recurring(live, mass, elsewhere): live(i) and not out[i])
+            if found:
                 return found
         return ""
 
+    def _holds_heading(self, node: int) -> bool:
+        """Whether a heading lies below an element; those of a document follow it in order."""
+        for i in range(node + 1, len(self.tags)):
+            if self.parents[i] < node:
+                break
+            if self.tags[i] in HEADINGS:
+                return True
+        return False
+
+    def _joined(self, live: Callable[[int], bool]) -> str:
+        blocks, run = [], []
+        for node, value in self.runs:
+            if value is None:
+                if run:
+                    blocks.append(" ".join("".join(run).split()))
+                    run = []
+            elif live(node):
+                run.append(value)
+        if run:
+            blocks.append(" ".join("".join(run).split()))
+        return " ".join(b for b in blocks if b)
+
+    def _recurring(self, live: Callable[[int], bool], mass: array, hashes: frozenset[bytes]) -> bytearray:
+        """Elements below those of the hashes that neither lie in the block of most of the text nor hold it."""
+        n = len(self.tags)
+        below = array("q", [mass[i] if live(i) else 0 for i in range(n)])
+        for i in range(n - 1, 0, -1):
+            below[self.parents[i]] += below[i]
+        block = 0
+        for i in range(1, n):  # a child of the block so far that holds over half of the whole is the block
+            if self.parents[i] == block and 2 * below[i] > below[0]:
+                block = i
+        inside, out = bytearray(n), bytearray(n)
+        inside[block] = 1
+        holds = {block}
+        while (up := self.parents[min(holds)]) >= 0:
+            holds.add(up)
+        for i in range(1, n):
+            p = self.parents[i]
+            inside[i] = inside[i] or inside[p]
+            out[i] = out[p] or (not inside[i] and i not in holds and self.hashes[i] in hashes)
+        return out
+
 
 def host_of(url: str) -> Column:
     """Lower-cased host of a URL; null and unreadable URLs share the host ""."""
     return F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
+def page_key(html: Column, host: Column) -> Column:
+    return F.xxhash64(host, html)
+
+
+def page_key(html: Column, host: Column) -> Column:
+    return F.xxhash64(host, html)
+
+
+def page_key(html: Column, host: Column) -> Column:
+    return F.xxhash64(host, html)
+
+
 def subtrees(pages: DataFrame, url: str, html: str) -> DataFrame:
-    """(host, page, subtree): hashes of a page's whole text and of each different subtree with text below it."""
+    """(host, key, page, subtree): hashes of the host, of the page's source, of its whole text, and of each different subtree with
+    text below it."""
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out: tuple[list, list, list] = ([], [], [])
-        for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        out: list[list[int]] = [[], [], [], []]
+        for host, key, source in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             if source:
                 page = Page(source)
-                own = int.from_bytes(page.hashes[0], "little", signed=True)
-                for h in {h for h in page.hashes[1:] if h}:
-                    out[0].append(host)
-                    out[1].append(own)
-                    out[2].append(int.from_bytes(h, "little", signed=True))
-        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64())], ["host", "page", "subtree"])
+                found = {h for h in page.hashes[1:] if h}
+                out[0] += [host] * len(found)
+                out[1] += [key] * len(found)
+                out[2] += [int.from_bytes(page.hashes[0], "little", signed=True)] * len(found)
+                out[3] += [int.from_bytes(h, "little", signed=True) for h in found]
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["host", "key", "page", "subtree"])
 
-    return map_arrow(pages.select(host_of(url).alias("host"), F.col(html).alias("html")), kernel, "host string, page long, subtree long")
+    rows = pages.select(F.xxhash64(host_of(url)).alias("host"), page_key(F.col(html), host_of(url)).alias("key"), F.col(html).alias("html"))
+    return map_arrow(rows, kernel, "host long, key long, page long, subtree long")
 
 
-def templates(pages: DataFrame, url: str = "url", html: str = "html", share: float = SHARE, least: int = LEAST) -> DataFrame:
-    """(host, subtrees): hashes of the subtrees that recur on enough of the host's different pages."""
-    found = cut(subtrees(pages, url, html).distinct())
-    n_pages = found.groupBy("host", "page").agg(F.lit(1)).groupBy("host").agg(F.count("*").alias("pages"))
-    counts = found.groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    often = join_small(counts, cut(n_pages), "host").where(F.col("n") >= share * F.col("pages"))
-    # at most a page's subtrees divided by the share, per host
-    return often.groupBy("host").agg(F.sort_array(F.collect_list("subtree")).alias("subtrees"))
+def templates(pages: DataFrame, url: str = "url", html: str = "html", share: float = SHARE, least: int = LEAST, many: int = MANY) -> DataFrame:
+    """(key, always, elsewhere) of pages with recurring subtrees: hashes of those that recur on enough of their host's different
+    pages, and of those that recur on many. A page has no more of them than elements, however many its host has."""
+    found = cut(subtrees(pages, url, html))
+    each = found.select("host", "subtree", "page").distinct()
+    counts = each.groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= min(least, many))
+    n_pages = found.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages"))
+    template = (F.col("n") >= least) & (F.col("n") >= share * F.col("pages"))
+    often = join_small(counts, cut(n_pages), "host").select("host", "subtree", template.alias("template"), F.col("n").alias("n")).where(F.col("template") | (F.col("n") >= many))
+    often = cut(often.select("host", "subtree", "template"))
+    mine = join_small(found.select("host", "subtree", "key").distinct(), often, ["host", "subtree"])
+    listed = lambda flag: F.collect_set(F.when(flag, F.col("subtree")))
+    return mine.groupBy("key").agg(listed(F.col("template")).alias("always"), listed(~F.col("template")).alias("elsewhere"))
 
 
-def extract(pages: DataFrame, url: str = "url", html: str = "html", share: float = SHARE, least: int = LEAST) -> DataFrame:
+def extract(pages: DataFrame, url: str = "url", html: str = "html", share: float = SHARE, least: int = LEAST, many: int = MANY) -> DataFrame:
     """pages without html, and text: the page's main text, empty if none. Null html is empty.
 
-    Repeated rows each give a row. An existing column named text is replaced.
+    Repeated rows each give a row. Pages without a readable URL share a host. An existing column named text is replaced.
+    Pages of any length and depth are read whole.
     """
     kept = [c for c in pages.columns if c not in (html, "text")]
-    known = cut(templates(pages, url, html, share, least)).select(F.col("host").alias("__vantage_host"), F.col("subtrees").alias("__vantage_subtrees"))
-    rows = pages.select(*kept, F.col(html).alias("__vantage_html"), host_of(url).alias("__vantage_at"))
-    rows = join_small(rows, known, F.col("__vantage_at") == F.col("__vantage_host"), "left").select(*kept, "__vantage_subtrees", "__vantage_html")
+    known = cut(templates(pages, url, html, share, least, many).withColumnsRenamed({c: f"__vantage_{c}" for c in ("key", "always", "elsewhere")}))
+    hashes = known.agg(F.sum(F.size("__vantage_always") + F.size("__vantage_elsewhere"))).first()[0] or 0
+    rows = pages.select(*kept, page_key(F.col(html), host_of(url)).alias("__vantage_at"), F.col(html).alias("__vantage_html"))
+    rows = rows.join(F.broadcast(known) if hashes <= BROADCAST_HASHES else known, F.col("__vantage_at") == F.col("__vantage_key"), "left")
+    rows = rows.select(*kept, "__vantage_always", "__vantage_elsewhere", "__vantage_html")
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-        at = batch.num_columns - 2
-        seen: dict[tuple, frozenset] = {}
-        out = []
-        for hashes, source in zip(batch.column(at).to_pylist(), batch.column(at + 1).to_pylist(), strict=True):
-            key = tuple(hashes or ())
-            if key not in seen:
-                seen[key] = frozenset(h.to_bytes(8, "little", signed=True) for h in key)
-            out.append(Page(source).text(seen[key]) if source else "")
+        at = batch.num_columns - 3
+        read = lambda found: frozenset(h.to_bytes(8, "little", signed=True) for h in found or ())
+        out = [Page(source).text(read(always), read(elsewhere)) if source else "" for always, elsewhere, source in zip(*(batch.column(at + i).to_pylist() for i in range(3)), strict=True)]
         return pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(out, pa.string())], [*kept, "text"])
 
     return map_arrow(rows, kernel, schema_of(pages, kept, "text string"))
