@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 import corpus_pipeline
 from vantage.llm import jaccard
 
@@ -60,3 +62,15 @@ def test_prefixes_of_similar_sets_meet_in_any_order():
             if 100 * both >= 80 * (len(p) + len(q) - both):
                 assert both >= jaccard.least_overlap(len(p), len(q), 80)
                 assert set(jaccard.prefix(p, p[:0], p[:0], 80).tolist()) & set(jaccard.prefix(q, q[:0], q[:0], 80).tolist())
+
+
+def test_bitmaps_bound_what_sets_share():
+    rng = random.Random(9)
+    for n in (1, 5, 40, 400, 40_000):
+        for m in (1, 30, 500, 30_000):
+            p, q = (jaccard.shingles(words(rng, k + 4, 1000).encode()) for k in (n, m))
+            q = np.unique(np.concatenate([q, p[: rng.randrange(len(p) + 1)]]))
+            both = len(np.intersect1d(p, q))
+            assert both <= jaccard.most_shared(len(p), len(q), jaccard.sketch(p), jaccard.sketch(q)) <= min(len(p), len(q))
+    p, q = (jaccard.shingles(words(rng, 500, 1000).encode()) for _ in range(2))
+    assert jaccard.most_shared(len(p), len(q), jaccard.sketch(p), jaccard.sketch(q)) < 0.8 * len(p)

@@ -103,3 +103,12 @@ def test_fit_counts_whole_texts(spark):
     rows = [(i, filler + ("kalo mipe tusa rano" if i % 2 else "schwund gricht pfalz strom"), "aa" if i % 2 else "bb") for i in range(60)]
     model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert [model.predict(t)[0] for t in ("mipe tusa", "pfalz gricht")] == ["aa", "bb"]
+
+
+def test_texts_of_several_learned_languages_stay():
+    rows = make(900, seed=3)
+    model = langid.train([t for _, t, _ in rows[:700]], [x for _, _, x in rows[:700]])
+    by = {lang: " ".join(t for _, t, x in rows[700:] if x == lang)[:600] for lang in WORDS}
+    for a in by:
+        for b in by:
+            assert not model.predict(by[a] + " " + by[b])[2]

@@ -3,9 +3,10 @@
 Two sets of n and m shingles that are that similar share one of the first n - ceil(similarity * n) + 1 shingles of each, in
 whatever order all sets are sorted (prefix filter). The order puts shingles that are common in a sample last, so that few
 sets meet only by chance. Sets that meet are candidates if their sizes and the places of the shared shingle leave room for
-the similarity; candidates are verified on their whole texts. A first round asks each set only about pairs that are given and
-its neighbours under a shingle, a second one about all sets that are not yet in its component, so that a group of near copies
-is not paired out.
+the similarity. Bitmaps of the sets bound what candidates can share from above, so that few texts are moved for nothing; what
+is left is verified on the whole texts. A first round takes pairs that are given, a second one each set's neighbour under a
+shingle that seems nearest, a third one all candidates of different components, so that a group of near copies is not paired
+out.
 """
 
 from __future__ import annotations
@@ -77,62 +78,113 @@ def _common(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     return hashes[order], times[order]
 
 
-def _candidates(tokens: DataFrame, percent: int, first: bool, tasks: int) -> DataFrame:
-    """(a, b) of tokens (t, s, n, place, root): sets that meet under a shingle; in the first round neighbours only."""
+def sketch(own: np.ndarray) -> bytes:
+    """A bitmap of a set by the low bits of its hashes, of about two bits a shingle."""
+    bits = 1 << max(6, min(16, (2 * len(own)).bit_length()))
+    out = np.zeros(bits, bool)
+    out[(own & np.uint64(bits - 1)).astype(np.int64)] = True
+    return np.packbits(out, bitorder="little").tobytes()
+
+
+def most_shared(n: int, m: int, x: bytes, y: bytes) -> int:
+    """A bound of what two sets share: a bit of one that the other lacks is a shingle that it lacks."""
+    p, q = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    while len(p) > len(q):
+        p = p[: len(p) // 2] | p[len(p) // 2 :]
+    while len(q) > len(p):
+        q = q[: len(q) // 2] | q[len(q) // 2 :]
+    return min(n - int(np.bitwise_count(p & ~q).sum()), m - int(np.bitwise_count(q & ~p).sum()))
+
+
+def _groups(batches: Iterator[pa.RecordBatch], columns: str) -> list[np.ndarray] | None:
+    """The rows of a task by shingle, size and set; rows of 32 bytes, their number bounded by tasks but for a single shingle's."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return None
+    got = pa.Table.from_batches(held)
+    values = [got.column(c).to_numpy() for c in columns.split()]
+    order = np.lexsort((values[1], values[2], values[0]))
+    return [v[order] for v in values]
+
+
+def _pairs(t: np.ndarray, s: np.ndarray, n: np.ndarray, place: np.ndarray, root: np.ndarray, percent: int, steps: int | None) -> Iterator[np.ndarray]:
+    """(a, b) rows, a < b: sets of different roots that meet under a shingle and leave room for the similarity; steps: how many
+    sets on, in the order of size, partners are looked for; all if none is given."""
+    n, place = n.astype(np.int64), place.astype(np.int64)
+    stop = np.searchsorted(t, t, side="right")
+    seen: list[np.ndarray] = []
+    held, i, step = 0, np.arange(len(t)), 1
+    # partners of i are at i + step, as long as one of them is in its group and not too large
+    while steps is None or step <= steps:
+        i = i[i + step < stop[i]]
+        i = i[100 * n[i] >= percent * n[i + step]]
+        if not len(i):
+            break
+        j = i + step
+        room = np.minimum(n[i] - place[i], n[j] - place[j])
+        ok = (root[i] != root[j]) & (room >= least_overlap(n[i], n[j], percent))
+        if ok.any():
+            seen.append(np.stack([np.minimum(s[i[ok]], s[j[ok]]), np.maximum(s[i[ok]], s[j[ok]])], 1))
+            held += len(seen[-1])
+        if held >= PAIRS:
+            yield np.unique(np.concatenate(seen), axis=0)
+            seen, held = [], 0
+        step += 1
+    if seen:
+        yield np.unique(np.concatenate(seen), axis=0)
+
+
+def _meet(tokens: DataFrame, percent: int, tasks: int) -> DataFrame:
+    """Of tokens (t, s, n, place), the rows whose shingle several sets have first, and rows with a and b: neighbours under a
+    shingle. A shingle that a set has alone leads nowhere."""
 
-    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]  # rows of 32 bytes, their number per task bounded by tasks but for a single shingle's
-        if not held:
+    def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = _groups(batches, "t s n place")
+        if got is None:
             return
-        got = pa.Table.from_batches(held)
-        t, s, n, place, root = (got.column(c).to_numpy() for c in ("t", "s", "n", "place", "root"))
-        order = np.lexsort((s, n, t))
-        t, s, n, place, root = t[order], s[order], n[order].astype(np.int64), place[order].astype(np.int64), root[order]
-        stop = np.searchsorted(t, t, side="right")
-        seen: list[np.ndarray] = []
-        held_pairs = 0
-        # partners of i are at i + step, as long as one of them is in its group and not too large
-        i, step = np.arange(len(t)), 1
-        while True:
-            i = i[i + step < stop[i]]
-            i = i[100 * n[i] >= percent * n[i + step]]
-            if not len(i) or first and step > 1:
-                break
-            j = i + step
-            room = np.minimum(n[i] - place[i], n[j] - place[j])
-            ok = (root[i] != root[j]) & (room >= least_overlap(n[i], n[j], percent))
-            if ok.any():
-                seen.append(np.stack([np.minimum(s[i[ok]], s[j[ok]]), np.maximum(s[i[ok]], s[j[ok]])], 1))
-                held_pairs += len(seen[-1])
-            if held_pairs >= PAIRS:
-                out = np.unique(np.concatenate(seen), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], ["a", "b"])
-                seen, held_pairs = [], 0
-            step += 1
-        if seen:
-            out = np.unique(np.concatenate(seen), axis=0)
+        t, s, n, place = got
+        names = ["t", "s", "n", "place", "a", "b"]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+        same = np.zeros(len(t) + 1, bool)
+        same[1:-1] = t[1:] == t[:-1]
+        keep = np.flatnonzero(same[1:] | same[:-1])
+        yield pa.RecordBatch.from_arrays([*(pa.array(v[keep]) for v in got), *(pa.nulls(len(keep), k) for k in kinds[4:])], names)
+        for out in _pairs(t, s, n, place, s, percent, 1):
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(len(out), k) for k in kinds[:4]), pa.array(out[:, 0]), pa.array(out[:, 1])], names)
+
+    return tokens.repartition(tasks, "t").mapInArrow(several, "t long, s long, n int, place int, a long, b long")
+
+
+def _candidates(rooted: DataFrame, percent: int, tasks: int) -> DataFrame:
+    """(a, b) of rooted (t, s, n, place, root): sets of different roots that meet under a shingle."""
+
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = _groups(batches, "t s n place root")
+        for out in _pairs(*got, percent, None) if got else ():
             yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], ["a", "b"])
 
-    return tokens.repartition(tasks, "t").mapInArrow(pair, "a long, b long").distinct()
+    return rooted.repartition(tasks, "t").mapInArrow(pair, "a long, b long").distinct()
 
 
-def _shared(tokens: DataFrame, tasks: int) -> DataFrame:
-    """The rows of tokens (t, s, n, place) whose shingle several sets have first; one that a set has alone leads nowhere."""
+def _possible(pairs: DataFrame, named: DataFrame, percent: int) -> DataFrame:
+    """(a, b, most) of the pairs whose bitmaps leave room for the similarity. named: (s, n, sketch) of rows."""
+    pairs = cut(pairs)
+    members = pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct()
+    known = cut(named.select("s", "n", "sketch").join(members, "s", "left_semi").groupBy("s").agg(F.first("n").alias("n"), F.first("sketch").alias("x")))
+    side = lambda c: known.select(F.col("s").alias(c), F.col("n").alias(f"n{c}"), F.col("x").alias(f"x{c}"))
 
-    def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]  # as in _candidates
-        if not held:
-            return
-        got = pa.Table.from_batches(held)
-        _, at, times = np.unique(got.column("t").to_numpy(), return_inverse=True, return_counts=True)
-        yield from got.filter(pa.array(times[at] > 1)).combine_chunks().to_batches()
+    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
+        most = [(most_shared(n, m, x, y), least_overlap(n, m, percent)) for n, m, x, y in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True)]
+        out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([a for a, _ in most], pa.int64())], ["a", "b", "most"])
+        return out.filter(pa.array([a >= b for a, b in most], pa.bool_()))
 
-    return tokens.repartition(tasks, "t").mapInArrow(several, "t long, s long, n int, place int")
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "xa", "xb")
+    return map_arrow(both, kernel, "a long, b long, most long")
 
 
 def _verified(pairs: DataFrame, named: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame:
     """The pairs of sets whose texts are similar enough. named: (h, s) tells which text has a set; docs: (h, text)."""
-    pairs = cut(pairs)
+    pairs = cut(pairs.select("a", "b"))
     members = pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct()
     # one text of each set; only texts of pairs are read again and moved
     wanted = cut(named.select("h", "s").join(members, "s", "left_semi").groupBy("s").agg(F.min("h").alias("h")))
@@ -150,8 +202,8 @@ def _verified(pairs: DataFrame, named: DataFrame, docs: DataFrame, percent: int,
 
 
 def sets(docs: DataFrame, doc_id: str, text: str, width: int, percent: int, digest: Callable[[np.ndarray], int]) -> DataFrame:
-    """(doc_id, h, s, n, firsts, print) per row: a hash of its text and of its set of shingles, the set's size, the shingles of its
-    prefix, and the digest of its shingles with repeats."""
+    """(doc_id, h, s, n, firsts, sketch, print) per row: a hash of its text and of its set of shingles, the set's size, the shingles of
+    its prefix, its bitmap, and the digest of its shingles with repeats."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
     common = docs.sparkSession.sparkContext.broadcast(_common(rows, width))
 
@@ -161,9 +213,10 @@ def sets(docs: DataFrame, doc_id: str, text: str, width: int, percent: int, dige
         s = np.array([xxhash.xxh64_intdigest(x.tobytes(), 42) for x in own], np.uint64).view(np.int64)
         prints = np.array([digest(h) for h in every], np.uint64).view(np.int64)
         firsts = pa.array([prefix(x, *common.value, percent).view(np.int64) for x in own], pa.list_(pa.int64()))
-        return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(s), pa.array([len(x) for x in own], pa.int32()), firsts, pa.array(prints)], ["doc_id", "h", "s", "n", "firsts", "print"])
+        columns = [pa.array(s), pa.array([len(x) for x in own], pa.int32()), firsts, pa.array([sketch(x) for x in own], pa.binary()), pa.array(prints)]
+        return pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], ["doc_id", "h", "s", "n", "firsts", "sketch", "print"])
 
-    return map_arrow(rows, kernel, schema_of(rows, ["doc_id", "h"], "s long, n int, firsts array<long>, print long"))
+    return map_arrow(rows, kernel, schema_of(rows, ["doc_id", "h"], "s long, n int, firsts array<long>, sketch binary, print long"))
 
 
 def components_of(docs: DataFrame, named: DataFrame, pairs: DataFrame, text: str, width: int, percent: int) -> DataFrame:
@@ -171,12 +224,21 @@ def components_of(docs: DataFrame, named: DataFrame, pairs: DataFrame, text: str
     sets that may be alike."""
     distinct = named.groupBy("s").agg(F.first("n").alias("n"), F.first("firsts").alias("firsts"))
     tasks = parts(docs.sparkSession, named.agg(F.sum(F.size("firsts"))).first()[0] or 0, 400_000)
-    met = cut(_shared(distinct.select(F.posexplode("firsts").alias("place", "t"), "s", "n").select("t", "s", "n", "place"), tasks))
+    tokens = distinct.select(F.posexplode("firsts").alias("place", "t"), "s", "n").select("t", "s", "n", "place")
+    met = cut(_meet(tokens, percent, tasks))
     rows = docs.select(F.xxhash64(text).alias("h"), F.col(text).alias("text"))
-    near = pairs.union(_candidates(met.withColumn("root", F.col("s")), percent, True, tasks)).distinct()
-    links = _verified(near, named, rows, percent, width)
+    links = _verified(_possible(pairs, named, percent), named, rows, percent, width)
+    root = cut(components(links, "a", "b"))
+    # of each set's neighbours in other components the one that seems nearest
+    other = lambda c, name: root.select(F.col("node").alias(c), F.col("root").alias(name))
+    near = join_small(join_small(met.where("a IS NOT NULL").select("a", "b").distinct(), other("a", "ra"), "a", "left"), other("b", "rb"), "b", "left")
+    near = _possible(near.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b"), named, percent)
+    ends = F.explode(F.array(F.struct(F.col("a").alias("s"), F.col("b").alias("o")), F.struct(F.col("b").alias("s"), F.col("a").alias("o")))).alias("e")
+    nearest = near.select("most", ends).groupBy("e.s").agg(F.max(F.struct("most", "e.o")).alias("m")).select(F.least("s", "m.o").alias("a"), F.greatest("s", "m.o").alias("b")).distinct()
+    links = links.union(_verified(nearest, named, rows, percent, width))
     root = cut(components(links, "a", "b"))
-    rooted = met.join(root, met.s == root.node, "left").select("t", "s", "n", "place", F.coalesce("root", "s").alias("root"))
-    links = links.union(_verified(_candidates(rooted, percent, False, tasks), named, rows, percent, width))
+    rooted = join_small(met.where("t IS NOT NULL").select("t", "s", "n", "place"), root.select(F.col("node").alias("s"), "root"), "s", "left")
+    rooted = rooted.select("t", "s", "n", "place", F.coalesce("root", "s").alias("root"))
+    links = links.union(_verified(_possible(_candidates(rooted, percent, tasks), named, percent), named, rows, percent, width))
     root = components(links, "a", "b")
     return cut(named.join(root, named.s == root.node, "left").select("doc_id", "h", F.coalesce("root", "s").alias("root")))

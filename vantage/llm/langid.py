@@ -8,7 +8,8 @@ per subword, over the whole text.
 
 Rejection is calibrated on texts set aside, from two sides: clean ones, whole and excerpts, and scrambled ones, whose
 letters are dealt anew to their places, as a stand-in for what is of no learned language. Short and long texts have a
-threshold each, as a score means more the more subwords it rests on.
+threshold each, as a score means more the more subwords it rests on. A long text of several learned languages scores low as
+a whole, too; so one in doubt is judged again by its parts, and stays if they are sure on average.
 """
 
 from __future__ import annotations
@@ -32,8 +33,8 @@ BUCKETS, WIDTH, EPOCHS, RATE, EXCERPTS, HELD = 1 << 15, 16, 6, 0.5, 2, 0.2
 #: Share of the rightly judged calibration texts, whole ones and short excerpts, that rejection may lose, and share of the
 #: scrambled ones that it finds where that costs no more clean ones.
 LOST, FOUND = 0.0005, 0.5
-#: Subwords from which a text is long.
-LONG = 512
+#: Subwords from which a text is long, and characters of the parts in which a long text that is in doubt is judged again.
+LONG, PART = 512, 200
 #: Characters handled at once, so that memory is bounded on very long texts. It does not change what is counted.
 PIECE = 1 << 20
 
@@ -75,7 +76,7 @@ def counts(text: str) -> tuple[np.ndarray, np.ndarray]:
     for found in subwords(text):
         times += np.bincount(found, minlength=BUCKETS)
     ids = np.flatnonzero(times)
-    return ids, times[ids]
+    return ids.astype(np.uint16), times[ids]
 
 
 def scrambled(text: str, rng: np.random.Generator) -> str:
@@ -110,22 +111,37 @@ class Model:
     temperature: float
     thresholds: tuple[float, float]  # of short and of long texts
 
-    def scores(self, text: str | None) -> tuple[np.ndarray, float] | None:
-        """Calibrated probabilities and the threshold of the text's length; null if the text is null or has no letter."""
+    def scores(self, text: str | None) -> tuple[np.ndarray, int] | None:
+        """Calibrated probabilities and the number of subwords; null if the text is null or has no letter."""
         if not text or not self.labels:
             return None
         ids, times = counts(text)
-        n = times.sum()
-        return (softmax((times @ self.table[ids] / n + self.bias) / self.temperature), self.thresholds[int(n >= LONG)]) if n else None
+        n = int(times.sum())
+        return (softmax((times @ self.table[ids] / n + self.bias) / self.temperature), n) if n else None
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """(language, score, rejected)."""
         got = self.scores(text)
         if got is None:
             return UNKNOWN, 0.0, True
-        p, threshold = got
-        best = int(p.argmax())
-        return self.labels[best], float(p[best]), bool(p[best] < threshold)
+        p, n = got
+        best, threshold = int(p.argmax()), self.thresholds[int(n >= LONG)]
+        return self.labels[best], float(p[best]), bool(p[best] < threshold) and not (n >= LONG and self.by_parts(text) >= threshold)
+
+    def by_parts(self, text: str) -> float:
+        """The mean score of a text's parts, weighted by their subwords."""
+        judged = [got for part in parts(text) if (got := self.scores(part)) is not None]
+        return float(np.average([p.max() for p, _ in judged], weights=[n for _, n in judged])) if judged else 0.0
+
+
+def parts(text: str) -> Iterator[str]:
+    """Runs of at least PART characters that end before white space."""
+    at = 0
+    for m in re.finditer(r"\s+", text):
+        if m.start() - at >= PART:
+            yield text[at : m.start()]
+            at = m.start()
+    yield text[at:]
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -144,7 +160,7 @@ def learn(rows: list[tuple], seed: int = 7) -> Model:
     rng = np.random.default_rng(seed)
     labels = sorted({r[0] for r in rows})
     target = {name: i for i, name in enumerate(labels)}
-    shares = lambda found: [(ids, times / times.sum(), times.sum() >= LONG) for ids, times in found if len(ids)]
+    shares = lambda found: [(ids, (times / times.sum()).astype(np.float32), times.sum() >= LONG) for ids, times in found if len(ids)]
     fit = [(c, target[lang]) for lang, held, own, _ in rows if not held for c in shares(own)]
     held = [(c, target[lang]) for lang, held, own, _ in rows if held for c in shares(own)]
     none = [c for _, _, _, scrambles in rows for c in shares(scrambles)]
@@ -191,7 +207,7 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     share = min(1.0, rows / max(1, n))
     usable = usable.where(F.pmod(place, F.lit(1 << 30)) <= int(share * (1 << 30)))
     sample = usable.select(F.col(doc_id).cast("string").alias("i"), F.xxhash64(doc_id, text).alias("k"), F.col(lang).cast("string").alias("l"), F.col(text).alias("t"))
-    pack = lambda found: [{"b": ids.astype("<u4").tobytes(), "n": times.astype("<i8").tobytes()} for ids, times in found]
+    pack = lambda found: [{"b": ids.astype("<u2").tobytes(), "n": times.astype("<u4").tobytes()} for ids, times in found]
     kind = pa.list_(pa.struct([("b", pa.binary()), ("n", pa.binary())]))
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -200,8 +216,9 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
         return pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], ["i", "k", "l", "held", "own", "none"])
 
     seen = map_arrow(sample, kernel, "i string, k long, l string, held boolean, own array<struct<b:binary,n:binary>>, none array<struct<b:binary,n:binary>>")
-    read = lambda found: [(np.frombuffer(x.b, "<u4").astype(np.int64), np.frombuffer(x.n, "<i8")) for x in found]
-    return learn([(r.l, r.held, read(r.own), read(r.none)) for r in sorted(seen.collect(), key=lambda r: (r.i or "", r.k))])
+    read = lambda found: [(np.frombuffer(x.b, "<u2"), np.frombuffer(x.n, "<u4")) for x in found]
+    got = [((r.i or "", r.k), r.l, r.held, read(r.own), read(r.none)) for r in seen.toLocalIterator()]
+    return learn([row[1:] for row in sorted(got, key=lambda r: r[0])])
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
