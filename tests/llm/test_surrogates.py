@@ -1,5 +1,9 @@
+import hashlib
+import hmac
 import re
 
+from pyspark.sql import functions as F
+
 from vantage.llm import surrogates as s
 
 
@@ -75,3 +79,60 @@ def test_two_digit_groups_other_cards_and_ipv6(spark):
     a, b = re.fullmatch(r"at ((?:[0-9a-f]{4}:){7}[0-9a-f]{4}) or (\S+)\.", got[7].text).groups()
     assert a == b and "8a2e" not in a
     assert got[8].n_entities == 0
+
+
+def iban_ok(x):
+    x = x.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97 == 1
+
+
+def test_titles_do_not_part_an_entity_and_tell_the_gender(spark):
+    got = run(spark, ["Mr John Smith", "Dr John Smith", "JOHN: Mr JOHN SMITH", "Mrs Anna Smith and Prof Anna Smith", "Dr Kim Lee", "Mr Robin Lee and Ms Robin Lee", "Mr Robin Lee"], key="k")
+    names = [re.findall(r"(?:Mrs?|Ms|Dr|Prof) (\w+) (\w+)", got[i].text) for i in range(7)]
+    assert names[0] == names[1] and [tuple(x.lower() for x in n) for n in names[2]] == [tuple(x.lower() for x in n) for n in names[0]]
+    assert names[3][0] == names[3][1] and names[3][0][1] == names[0][0][1]
+    assert names[0][0][0].endswith(tuple(s.ENDINGS["latin"]["m"])) and names[3][0][0].endswith(tuple(s.ENDINGS["latin"]["f"]))
+    assert names[4][0][0].endswith(tuple(s.ENDINGS["latin"]["n"])) and len(set(names[5] + names[6])) == 1 and names[5][0][0].endswith(tuple(s.ENDINGS["latin"]["m"]))
+
+
+def test_names_keep_their_script(spark):
+    got = run(spark, ["Mr Արամ Խաչատրյան said", "Dr Νίκος Παππάς said", "Mr Ⲁⲃⲅⲇ Ⲇⲉⲍ said"], key="k")
+    for i, letters in enumerate((r"[\u0530-\u058f]+", r"[\u0370-\u03ff]+", r"[\u2c80-\u2cff]+")):
+        given, family = re.fullmatch(rf"\w+ ({letters}) ({letters}) said", got[i].text).groups()
+        assert given[0].isupper() and family[0].isupper() and given not in ("Արամ", "Νίκος") and family not in ("Խաչատրյան", "Παππάς")
+
+
+def test_valid_ibans_stay_valid_and_keep_their_country(spark):
+    real = ["DE89 3704 0044 0532 0130 00", "GB29NWBK60161331926819", "FR1420041010050500013M02606"]
+    got = run(spark, [*(f"pay {x} now" for x in real), "pay DE00 3704 0044 0532 0130 00 now"], key="k")
+    for i, x in enumerate(real):
+        new = got[i].text.removeprefix("pay ").removesuffix(" now")
+        assert iban_ok(x) and iban_ok(new) and new[:2] == x[:2] and new != x and re.sub(r"\d", "0", re.sub("[A-Z]", "A", new)) == re.sub(r"\d", "0", re.sub("[A-Z]", "A", x))
+    assert not iban_ok(got[3].text.removeprefix("pay ").removesuffix(" now"))
+
+
+def test_the_draw_is_an_hmac(spark):
+    for key in ("k", "long key " * 30):
+        got = spark.range(1).select(s._hmac(key, F.lit("mésßage"))).first()[0]
+        assert got == hmac.new(key.encode(), "mésßage".encode(), hashlib.sha512).hexdigest()
+
+
+def test_distinctness_and_coreference_over_a_table(spark):
+    """Every entity has one surrogate wherever it stands, different ones have different ones, and the text around them stays."""
+    import random
+
+    rng = random.Random(5)
+    mails = [f"u{i}.{rng.choice('abc')}@host{i % 7}.example.org" for i in range(60)]
+    phones = [f"+1 (0{rng.randrange(10, 99)}) 555-{i:04d}" for i in range(60)]
+    people = [f"{rng.choice(['Mr', 'Dr'])} {rng.choice('ABCDEF')}{rng.choice('aeiou')}n{rng.choice('aeiou')} {rng.choice('KLMNOP')}{rng.choice('aeiou')}ss{rng.choice('aeiou')}" for _ in range(60)]
+    pools = mails + phones + people
+    docs = [[rng.choice(pools) for _ in range(rng.randrange(1, 6))] for _ in range(300)]
+    got = run(spark, [" | ".join(f"at {e} end" for e in d) for d in docs], key="k")
+    bare = lambda x: re.sub(r"^(Mr|Dr) ", "", x)
+    seen = {}
+    for i, d in enumerate(docs):
+        new = [p.removeprefix("at ").removesuffix(" end") for p in got[i].text.split(" | ")]
+        assert len(new) == len(d) and got[i].n_entities == len(d)
+        for a, b in zip(d, new, strict=True):
+            assert a != b and seen.setdefault(bare(a), bare(b)) == bare(b)
+    assert len(set(seen.values())) == len(seen)
