@@ -4,7 +4,9 @@ Vectors of a label are dealt to overlapping shards by their nearest centroids. E
 candidates are pruned so that none is kept that a kept neighbour already leads to (robust pruning), edges run both ways. The
 adjacency lists of all shards are united. Every vector is then a query: a greedy search from the shard's medoids finds its
 neighbourhood and expands over all nodes within the range; each link found is verified by its cosine in double precision.
-Recall is audited against brute force on sampled queries, and the shards overlap more until it suffices.
+Recall is audited against brute force on sampled nodes, each of which weighs the same. The shards overlap more until it
+suffices for every label that has audited links; where the widest overlap does not, the labels concerned are compared whole,
+in blocks.
 
 Equal vectors are one node with a count. A pair that meets in several shards counts in the first of them only, so links are
 counted without listing them.
@@ -18,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vantage.llm.common import cut, map_arrow, table
@@ -76,14 +78,26 @@ def centroids(points: DataFrame, overlap: int, shard: int) -> dict[tuple[str, in
     return out
 
 
+def by_label(labels: pa.Array, vectors: pa.Array) -> Iterator[tuple[tuple[str, int], np.ndarray, np.ndarray]]:
+    """((label, dimension), rows, normalised vectors) of an Arrow batch."""
+    ends = vectors.offsets.to_numpy()
+    flat, names = vectors.values.to_numpy(), np.array(labels.to_pylist(), object)
+    for label in set(names.tolist()):
+        for d in np.unique((ends[1:] - ends[:-1])[names == label]).tolist():
+            rows = np.flatnonzero((names == label) & (ends[1:] - ends[:-1] == d))
+            yield (label, d), rows, normalised(flat[ends[rows][:, None] + np.arange(d)])
+
+
 def assign(points: DataFrame, centres, overlap: int) -> DataFrame:
     """points with shards: the sorted numbers of the nearest centroids, [0] where a label has one shard."""
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-        shards = []
-        for label, x in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            c = centres.value.get((label, len(x)))
-            shards.append([0] if c is None else sorted(np.argpartition(-(c @ normalised([x])[0]), min(overlap, len(c)) - 1)[:overlap].tolist()))
+        shards: list[list[int]] = [[0]] * batch.num_rows
+        for key, rows, x in by_label(batch.column(1), batch.column(3)):
+            if (c := centres.value.get(key)) is not None:
+                near = np.argpartition(-(x @ c.T), min(overlap, len(c)) - 1, axis=1)[:, :overlap]
+                for row, own in zip(rows.tolist(), np.sort(near, axis=1).tolist(), strict=True):
+                    shards[row] = own
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(shards, pa.list_(pa.int32()))], [*batch.schema.names, "shards"])
 
     return map_arrow(points, kernel, "node long, label string, n long, x array<double>, shards array<int>")
@@ -179,28 +193,26 @@ def medoids(x: np.ndarray, k: int = MEDOIDS) -> np.ndarray:
     return np.unique((x @ centres.T).argmax(0))
 
 
-def search(x: np.ndarray, adjacency: np.ndarray, queries: np.ndarray, own: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(query, node) pairs with cosine >= threshold, by blocks of queries. own: a query's place among the nodes, -1 if elsewhere."""
+def search(x: np.ndarray, adjacency: np.ndarray, queries: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(query, node) pairs with cosine >= threshold, by blocks of queries. All queries begin at the medoids."""
     n = len(x)
     if not n:
         return
     entries = medoids(x)
     for start in range(0, len(queries), QUERIES):
-        q, mine = queries[start : start + QUERIES], own[start : start + QUERIES]
+        q = queries[start : start + QUERIES]
         rows = np.arange(len(q))
         seen = np.zeros((len(q), n), bool)
         hit = np.zeros((len(q), n), bool)
-        entry = np.column_stack([np.broadcast_to(entries, (len(q), len(entries))), np.where(mine >= 0, mine, entries[0])])
-        sims = np.einsum("qd,qed->qe", q, x[entry])
-        sims[:, -1] = np.where(np.isin(entry[:, -1], entries), -np.inf, sims[:, -1])
-        seen[rows[:, None], entry] = True
-        hit[rows[:, None], entry] = np.einsum("qd,qed->qe", q, x[entry]) >= threshold
+        sims = q @ x[entries].T
+        seen[:, entries] = True
+        hit[:, entries] = sims >= threshold
+        entry = np.broadcast_to(entries, sims.shape)
         beam = np.full((len(q), BEAM), -1, np.int64)
         score = np.full((len(q), BEAM), -np.inf)
-        m = min(BEAM, entry.shape[1])
+        m = min(BEAM, len(entries))
         best = np.argsort(-sims, axis=1, kind="stable")[:, :m]
         beam[:, :m], score[:, :m] = np.take_along_axis(entry, best, 1), np.take_along_axis(sims, best, 1)
-        beam[score == -np.inf] = -1
         done = beam < 0
         while True:  # greedy: expand each query's best open node
             open_ = np.where(done, -np.inf, score)
@@ -259,36 +271,53 @@ def graph(members: DataFrame) -> DataFrame:
     return lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))  # at most OVERLAP lists
 
 
-def links(members: DataFrame, threshold: float) -> DataFrame:
+def compare(x: np.ndarray, queries: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """As search, by all products in blocks."""
+    for a in range(0, len(queries), QUERIES):
+        q, node = np.nonzero(queries[a : a + QUERIES] @ x.T >= threshold)
+        yield q + a, node
+
+
+def _first_shared(sets: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The smallest number that rows u and v of sets share; sets: sorted numbers, padded with negative ones that differ by column."""
+    out = np.full(len(u), np.iinfo(np.int64).max)
+    for i in range(sets.shape[1]):
+        mine = sets[u, i]
+        shared = (mine >= 0) & (mine[:, None] == sets[v]).any(1)
+        out = np.where(shared, np.minimum(out, mine), out)
+    return out
+
+
+def links(members: DataFrame, threshold: float, whole: bool = False) -> DataFrame:
     """(node, found, root) per node and task: links counted there, weighted by the rows of the other vector, and the root of the
-    node's links in that task."""
+    node's links in that task. whole: by comparison instead of search."""
 
     def kernel(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("node", ignore_index=True)
         x, ids, weight, shard = _matrix(rows["x"]), rows["node"].to_numpy(), rows["n"].to_numpy(), int(rows["shard"].iloc[0])
         indexed = np.flatnonzero((rows["own"] == rows["i"]).to_numpy())
         asking = np.flatnonzero((rows["own"] == rows["j"]).to_numpy())
-        place = np.full(len(rows), -1)
-        place[indexed] = np.arange(len(indexed))
-        a, b = [], []
-        at = {int(i): k for k, i in enumerate(ids[indexed])}
-        for k, near in enumerate(rows["near"].iloc[indexed]):
-            for other in near if near is not None else ():
-                if (to := at.get(int(other))) is not None:
-                    a.append(k)
-                    b.append(to)
         base = x[indexed]
-        adjacency = pack(np.array(a, np.int64), np.array(b, np.int64), len(indexed), base, 8 * DEGREE) if len(indexed) else np.empty((0, 1), np.int64)
-        sets = [list(map(int, s)) for s in rows["shards"]]
-        several = any(len(s) > 1 for s in sets)
+        if whole:
+            hits = compare(base, x[asking], threshold)
+        else:
+            lists = [np.empty(0, np.int64) if near is None else np.asarray(near, np.int64) for near in rows["near"].iloc[indexed]]
+            to = np.concatenate(lists) if lists else np.empty(0, np.int64)
+            a = np.repeat(np.arange(len(lists)), [len(near) for near in lists])
+            at = np.minimum(np.searchsorted(ids[indexed], to), max(0, len(indexed) - 1))
+            here = ids[indexed][at] == to if len(indexed) else np.zeros(0, bool)  # united lists lead to other shards, too
+            adjacency = pack(a[here], at[here], len(indexed), base, 8 * DEGREE) if len(indexed) else np.empty((0, 1), np.int64)
+            hits = search(base, adjacency, x[asking], threshold)
+        width = max(map(len, rows["shards"]))
+        sets = np.array([[*map(int, own), *range(-1, len(own) - width - 1, -1)] for own in rows["shards"]], np.int64)
         found, forest = np.zeros(len(rows), np.int64), Forest(len(rows))
-        for q, node in search(base, adjacency, x[asking], place[asking], threshold):
+        for q, node in hits:
             q, node = asking[q], indexed[node]
             differ = q != node
             q, node = q[differ], node[differ]
             forest.union(q, node)
-            if several:  # a pair counts in the first shard that both are in
-                first = np.array([next(s for s in sets[u] if s in sets[v]) == shard for u, v in zip(q.tolist(), node.tolist(), strict=True)], bool)
+            if width > 1:  # a pair counts in the first shard that both are in
+                first = _first_shared(sets, q, node) == shard
                 q, node = q[first], node[first]
             np.add.at(found, q, weight[node])
         root = ids[forest.roots()]
@@ -298,12 +327,16 @@ def links(members: DataFrame, threshold: float) -> DataFrame:
     return members.groupBy("label", "d", "shard", "i", "j").applyInPandas(kernel, "node long, found long, root long")
 
 
-def audit(points: DataFrame, counted: DataFrame, threshold: float, n: int) -> float:
-    """Links found over links there are, for about AUDIT hash-chosen nodes against all nodes of their label, in blocks."""
-    chosen = points.where(F.pmod(F.xxhash64("node", F.lit("audit")), F.lit(max(1, n // AUDIT))) == 0).select("node", "label", "x").limit(4 * AUDIT)
+def audited(node: Column, every: int) -> Column:
+    """Whether a node is audited: about one in so many, by arithmetic that other SQL engines share."""
+    return F.pmod(F.pmod(node, F.lit(1_000_003)) * 7919 + 13, F.lit(1_000_003)) % every == 0
+
+
+def audit(points: DataFrame, counted: DataFrame, threshold: float, n: int) -> dict[str, tuple[int, float]]:
+    """Label -> (links there are, recall) of the audited nodes of labels that have audited links, by comparing them with all nodes
+    of their label, in blocks. A label's recall is the mean of its nodes'."""
+    chosen = points.where(audited(F.col("node"), max(1, n // AUDIT))).select("node", "label", "x").limit(16 * AUDIT)
     asked = chosen.toPandas()
-    if not len(asked):
-        return 1.0
     by: dict[tuple[str, int], list[int]] = {}
     for k, (label, x) in enumerate(zip(asked["label"], asked["x"], strict=True)):
         by.setdefault((label, len(x)), []).append(k)
@@ -312,29 +345,28 @@ def audit(points: DataFrame, counted: DataFrame, threshold: float, n: int) -> fl
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
         total = np.zeros(len(ids), np.int64)
-        nodes_, labels, weights, xs = (batch.column(i).to_pylist() for i in range(4))
-        group: dict[tuple[str, int], list[int]] = {}
-        for k, (label, x) in enumerate(zip(labels, xs, strict=True)):
-            if (label, len(x)) in index:
-                group.setdefault((label, len(x)), []).append(k)
-        for key, rows in group.items():
-            at, q = index[key]
-            near = q @ normalised(np.array([xs[r] for r in rows])).T >= threshold
-            near &= ids[at][:, None] != np.array([nodes_[r] for r in rows])[None]
-            total[at] += near @ np.array([weights[r] for r in rows])
-        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], ["node", "there"])
+        own, weight = (batch.column(i).to_numpy() for i in (0, 2))
+        for key, rows, x in by_label(batch.column(1), batch.column(3)):
+            if key in index:
+                at, q = index[key]
+                near = (q @ x.T >= threshold) & (ids[at][:, None] != own[rows][None])
+                total[at] += near @ weight[rows]
+        some = np.flatnonzero(total)
+        return pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(total[some])], ["node", "there"])
 
     there = map_arrow(points.select("node", "label", "n", "x"), kernel, "node long, there long").groupBy("node").agg(F.sum("there").alias("there"))
-    r = there.join(counted, "node", "left").agg(F.sum("there"), F.sum(F.least(F.coalesce("found", F.lit(0)), "there"))).first()
-    return (r[1] or 0) / r[0] if r[0] else 1.0
+    got = there.join(counted, "node", "left").select("node", "there", F.least(F.coalesce("found", F.lit(0)), "there").alias("found")).toPandas()  # audited nodes
+    got = got.merge(asked[["node", "label"]], on="node")
+    return {label: (int(rows["there"].sum()), float((rows["found"] / rows["there"]).mean())) for label, rows in got.groupby("label")}
 
 
 def near_links(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", threshold: float = THRESHOLD, shard: int = SHARD, recall: float = RECALL) -> DataFrame:
-    """(vec_id, n_links, component_id, kept, audited_recall) per row of vectors.
+    """(vec_id, n_links, component_id, kept, audited_links, audited_recall) per row of vectors.
 
     Vectors link only under equal labels that are not null, and only to others of their dimension; null, empty and zero
     vectors and those with null or non-finite components link with nothing. A row with a null id has no links, a null
-    component and is not kept. Rows that repeat an id each give a row; equal vectors link with each other.
+    component and is not kept. Rows that repeat an id each give a row; equal vectors link with each other. The last two
+    columns tell how many links the audited nodes have, and the smallest recall of a label; null if they have none.
     """
     every = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(label).cast("string").alias("label"), F.col(embedding).cast("array<double>").alias("x"))
     points = cut(nodes(vectors, vec_id, embedding, label))
@@ -347,31 +379,68 @@ def near_links(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "emb
         tied = cut(links(members.join(graph(members), "node", "left"), threshold))
         counted = tied.groupBy("node").agg(F.sum("found").alias("found"))
         got = audit(points, counted, threshold, n)
+        low = [name for name, (_, found) in got.items() if found < recall]
         widest = max((len(c) for c in centres.values()), default=1)
-        if got >= recall or overlap >= widest:
+        if not low or overlap >= widest:
             break
         overlap = min(widest, 2 * overlap)
+    if low:
+        part = points.where(F.col("label").isin(low)).withColumn("shards", F.array(F.lit(0)))
+        rest = points.where(~F.col("label").isin(low)).select("node")
+        tied = cut(tied.join(rest, "node", "left_semi").union(links(cut(dealt(part, shard)), threshold, whole=True)))
+        counted = tied.groupBy("node").agg(F.sum("found").alias("found"))
+        got = audit(points, counted, threshold, n)
+    n_audited, worst = sum(there for there, _ in got.values()), min((found for _, found in got.values()), default=None)
     root = components(tied.where("node <> root"), "node", "root").withColumnRenamed("root", "component").withColumnRenamed("node", "__node")
     named = points.join(counted, "node", "left").join(root, F.col("node") == F.col("__node"), "left")
     named = named.select(F.col("label").alias("__label"), F.col("x").alias("__x"), (F.coalesce("found", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "node").alias("component"))
     linked = every.join(named, (F.col("label") == F.col("__label")) & (F.col("x") == F.col("__x")) & F.col("vec_id").isNotNull(), "left")
     component = F.coalesce("component", "vec_id")
-    return linked.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"), F.lit(float(got)).alias("audited_recall"))
+    report = F.lit(n_audited).cast("long").alias("audited_links"), F.lit(worst).cast("double").alias("audited_recall")
+    return linked.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"), *report)
 
 
 def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_links(table(spark, sf_dir, "embeddings")).drop("audited_recall")
+    return near_links(table(spark, sf_dir, "embeddings"))
+
+
+#: How far the copies of planted_links differ from their vectors, component by component.
+SPREAD = (0.1, 0.5, 0.62)
+
+
+def planted_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over the vectors and distorted copies of every third one, near and about the threshold, in shards so small that
+    labels have several."""
+    own = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("embedding"))
+    every = own
+
+    def wave(k: int, spread: float):
+        return lambda x, j: x * (1 + F.lit(spread) * (F.pmod(F.col("vec_id") * 31 + (j + 1) * (17 + 4 * k), F.lit(7)) - 3) / 3)
+
+    for k, spread in enumerate(SPREAD):
+        copies = own.where("vec_id % 3 = 0").withColumn("embedding", F.transform("embedding", wave(k, spread))).withColumn("vec_id", F.col("vec_id") + 1_000_000 * (k + 1))
+        every = every.unionByName(copies)
+    return near_links(every, shard=64, recall=1.0)
 
 
-def near_links_sql(threshold: float = THRESHOLD) -> str:
-    """By brute force."""
+def near_links_sql(threshold: float = THRESHOLD, vectors: str = "SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings") -> str:
+    """By brute force; audited nodes have all of their links."""
     return f"""
-        WITH RECURSIVE v AS (
-            SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings
-            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND list_bool_and(list_transform(embedding, lambda e: coalesce(isfinite(e), false))) AND list_bool_or(list_transform(embedding, lambda e: e <> 0))),
+        WITH RECURSIVE every AS MATERIALIZED ({vectors}),
+        v AS MATERIALIZED (SELECT * FROM every
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(x) > 0 AND list_bool_and(list_transform(x, lambda e: coalesce(isfinite(e), false))) AND list_bool_or(list_transform(x, lambda e: e <> 0))),
         link AS MATERIALIZED (
             SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
             WHERE list_dot_product(a.x, b.x) / (sqrt(list_dot_product(a.x, a.x)) * sqrt(list_dot_product(b.x, b.x))) >= {threshold}),
-        reach AS (SELECT vec_id, vec_id AS root FROM embeddings UNION SELECT b, root FROM reach JOIN link ON a = vec_id WHERE root < b)
-        SELECT e.vec_id, coalesce(n, 0)::BIGINT AS n_links, root AS component_id, coalesce(e.vec_id = root, false) AS kept
-        FROM embeddings e LEFT JOIN (SELECT a, count(*) AS n FROM link GROUP BY a) l ON l.a = e.vec_id LEFT JOIN (SELECT vec_id, min(root) AS root FROM reach GROUP BY vec_id) r ON r.vec_id = e.vec_id"""
+        node AS MATERIALIZED (SELECT min(vec_id) AS node, label, x FROM v GROUP BY label, x),
+        audit AS (SELECT coalesce(sum(there), 0)::BIGINT AS audited_links FROM (SELECT (SELECT count(*) FROM link JOIN v y ON y.vec_id = link.b WHERE link.a = node.node AND y.x <> node.x) AS there
+            FROM node WHERE ((node % 1000003) * 7919 + 13) % 1000003 % greatest(1, (SELECT count(*) FROM node) // {AUDIT}) = 0)),
+        reach AS (SELECT vec_id, vec_id AS root FROM every UNION SELECT b, root FROM reach JOIN link ON a = vec_id WHERE root < b)
+        SELECT e.vec_id, coalesce(n, 0)::BIGINT AS n_links, root AS component_id, coalesce(e.vec_id = root, false) AS kept, audited_links, CASE WHEN audited_links > 0 THEN 1.0::DOUBLE END AS audited_recall
+        FROM every e LEFT JOIN (SELECT a, count(*) AS n FROM link GROUP BY a) l ON l.a = e.vec_id LEFT JOIN (SELECT vec_id, min(root) AS root FROM reach GROUP BY vec_id) r ON r.vec_id = e.vec_id CROSS JOIN audit"""
+
+
+def planted_links_sql() -> str:
+    wave = "list_transform(embedding::DOUBLE[], lambda e, j: e * (1 + {1}::DOUBLE * ((vec_id * 31 + j * (17 + 4 * {0})) % 7 - 3) / 3))"
+    copies = "".join(f" UNION ALL SELECT vec_id + {1_000_000 * (k + 1)}, label, {wave.format(k, spread)} FROM embeddings WHERE vec_id % 3 = 0" for k, spread in enumerate(SPREAD))
+    return near_links_sql(vectors=f"SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings{copies}")

@@ -21,10 +21,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         mixing.op8_mixing_sources,
         simhash.op9_simhash_near_dedup,
         tokenfile.op10_token_output,
+        # of op1 and op5 again, where shards have to split and vectors have to link
+        sharding.small_shards,
+        neargraph.planted_links,
     ]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
     """Those that SQL can express. The others are tested against brute force, round trips or held-out accuracy."""
-    return {"op1_sharding": sharding.shard_sql(), "op5_embedding_near_dedup": neargraph.near_links_sql(), "op7_benchmark_decontamination": decontaminate.decontamination_sql(), "op8_mixing_sources": mixing.mixing_sql()}
+    return {"op1_sharding": sharding.shard_sql(), "op5_embedding_near_dedup": neargraph.near_links_sql(), "op7_benchmark_decontamination": decontaminate.decontamination_sql(), "op8_mixing_sources": mixing.mixing_sql(), "small_shards": sharding.shard_sql(sharding.SMALL), "planted_links": neargraph.planted_links_sql()}

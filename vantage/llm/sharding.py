@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from vantage.llm.common import cut, hash60, join_small, table
 
-LIMIT = 64 << 20
+LIMIT, SMALL = 64 << 20, 64 << 10
 BITS = 120
 #: Bits by which the directory of a still too large cell is deepened.
 STEP = 12
@@ -82,6 +82,12 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(docs, ["doc_id"], "text").select("doc_id", "shard", "local_depth", "shard_bytes", "shard_rows", "oversized")
 
 
+def small_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with a limit that small tables exceed many times over."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return shard(docs, ["doc_id"], "text", SMALL).select("doc_id", "shard", "local_depth", "shard_bytes", "shard_rows", "oversized")
+
+
 def shard_sql(limit: int = LIMIT) -> str:
     half = "lpad(bin(('0x' || substr(md5(coalesce({}, '')), 1, 15))::BIGINT), 60, '0')"
     return f"""
