@@ -88,3 +88,31 @@ def test_hill_climb_finds_the_best_neighbour_and_wraps_below(spark):
     ranges = {"lambda_": (1e-4, 1e-2), "eta0": (1e-4, 1e-1)}
     best, score = tuning.hill_climb(spark, x, y, 4, sgd.Settings("mul", epochs=2, eval_every=1), ranges, {"lambda_": 1e-4, "eta0": 1e-4}, folds=3, tolerance=1.0)
     assert score > 0.7 and best
+
+
+def test_blocks_learn_what_single_samples_do():
+    x, y = data(150, 5, 2)
+    s = sgd.Settings(epochs=2, beta=1, bias_term=0.7, lambda_=1e-2)
+    m = sgd.train(x, y, 2, s)
+    for size in (1, 7, 64, 150):
+        h = sgd.Hinge(np.zeros(5))
+        for _ in range(2):
+            for a in range(0, 150, size):
+                h.block(x[a : a + size], np.where(y == 0, 1, -1)[a : a + size], s)
+        assert np.allclose(h.w, m.w[0], atol=1e-10) and h.b == pytest.approx(m.b[0]) and h.t == 300
+
+
+@pytest.mark.parametrize("plain", [False, True])
+def test_classes_train_apart_as_they_do_together(spark, plain):
+    x, y = data(90, 4, 5)
+    s = sgd.Settings("ovr", epochs=2, beta=2, bias_term=0.5, plain=plain)
+    want = sgd.train(x, y, 5, s).flat(s)
+    rows = spark.createDataFrame([(i, int(y[i]), x[i].tolist()) for i in range(90)], "i long, y int, x array<double>")
+    got = {(r.class_id, r.j): r.w for r in sgd.train_ovr(rows, "i", "y", "x", 5, s).collect()}
+    assert np.allclose([[got[k, j] for j in range(5)] for k in range(5)], want, atol=1e-10)
+
+
+def test_draws_are_even():
+    y = np.zeros(20_000, int)
+    first = np.bincount(sgd.draws(20_000, y, 6, sgd.Settings(), 3)[:, 0], minlength=6)
+    assert first[0] == 0 and np.all(np.abs(first[1:] / 4000 - 1) < 0.1)

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from vantage.shared import cut
+
 NO_CLASS = -1
 
 
@@ -17,10 +19,20 @@ def words_on_lines(docs: DataFrame, per_line: int = 8, sbin: int = 12) -> DataFr
 
 
 def class_dictionary(queries: DataFrame, text: str, order: list[str]) -> DataFrame:
-    """(text, class_id): different texts numbered from 1 in the order of their first appearance. The window runs over the
-    different texts only, after they were aggregated."""
+    """(text, class_id): different texts numbered from 1 in the order of their first appearance."""
     first = queries.groupBy(F.col(text).alias("text")).agg(F.min(F.struct(*order)).alias("at"))
-    return first.select("text", F.row_number().over(W.orderBy("at")).alias("class_id"))
+    return numbered(first, "at", "class_id").select("text", (F.col("class_id") + 1).cast("int").alias("class_id"))
+
+
+def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
+    """df with each row's place, from 0, in an order without ties. Ranges of the order are numbered each in its task; the numbers
+    of rows of the ranges before it are added, so no task gets all rows."""
+    n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = cut(df.repartitionByRange(n, order).sortWithinPartitions(order).withColumn("__at", F.monotonically_increasing_id()))
+    ranged = ranged.withColumn("__range", F.shiftright("__at", 33)).withColumn("__at", F.col("__at").bitwiseAND((1 << 33) - 1))
+    before = ranged.groupBy("__range").agg(F.count("*").alias("__n"))  # a row per range
+    before = before.select("__range", (F.sum("__n").over(W.orderBy("__range")) - F.col("__n")).alias("__before"))
+    return ranged.join(F.broadcast(before), "__range").withColumn(name, F.col("__at") + F.col("__before")).drop("__range", "__at", "__before")
 
 
 def classify(words: DataFrame, classes: DataFrame) -> DataFrame:

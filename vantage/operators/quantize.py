@@ -1,11 +1,13 @@
 """PCA, k-means, vector and product quantisation, mixtures and Fisher vectors.
 
-Fitting passes over the rows once per round and reduces in the tasks: each Arrow batch gives sums of fixed size. Models
-(a mean, a d x d matrix, k centroids) are small by their parameters and go to the tasks with the kernels.
+Fitting passes over the rows once per round. Each task adds up its batches and gives one matrix of sums, of a size that the
+model fixes; the shuffle adds these up place by place, so that the driver gets one matrix whatever the number of tasks.
+Models (a mean, a d x d matrix, k centroids) are small by their parameters and go to the tasks with the kernels.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,27 +29,42 @@ class Pca:
     axes: np.ndarray  # one column per axis
 
 
-def moments(df: DataFrame, v: str) -> tuple[int, np.ndarray, np.ndarray]:
-    """Number, mean and covariance (over n - 1) of the vectors. Batches are centred on their own means before they are merged."""
+def summed(df: DataFrame, v: str, sums: Callable[[np.ndarray], np.ndarray]) -> np.ndarray | None:
+    """The sum over all batches of sums(vectors of a batch), a matrix; null if there are no vectors."""
 
     def partial(batches):
+        total = None
         for batch in batches:
-            x = matrix(batch[v])
-            mean = x.mean(0)
-            yield pd.DataFrame({"n": [len(x)], "m": [mean.tolist()], "s": [((x - mean).T @ (x - mean)).ravel().tolist()]})
-
-    n, mean, scatter = 0, None, None
-    for r in df.select(v).mapInPandas(partial, "n long, m array<double>, s array<double>").toLocalIterator():
-        m, s = np.array(r.m), np.array(r.s).reshape(len(r.m), -1)
-        if mean is None:
-            n, mean, scatter = r.n, m, s
-        else:
-            gap, both = m - mean, n + r.n
-            scatter = scatter + s + np.outer(gap, gap) * n * r.n / both
-            mean, n = mean + gap * r.n / both, both
-    if mean is None:
+            if len(batch):
+                own = sums(matrix(batch[v]))
+                total = own if total is None else total + own
+        if total is not None:
+            yield pd.DataFrame({"i": np.arange(len(total)), "s": list(total)})
+
+    rows = df.select(v).mapInPandas(partial, "i int, s array<double>").select("i", F.posexplode("s").alias("j", "x"))
+    got = rows.groupBy("i", "j").agg(F.sum("x").alias("x")).toPandas()  # one row for each place of the matrix
+    if not len(got):
+        return None
+    out = np.zeros((int(got["i"].max()) + 1, int(got["j"].max()) + 1))
+    out[got["i"], got["j"]] = got["x"]
+    return out
+
+
+def moments(df: DataFrame, v: str) -> tuple[int, np.ndarray, np.ndarray]:
+    """Number, mean and covariance (over n - 1) of the vectors, summed around one of them, so that little cancels."""
+    first = df.select(v).limit(1).toPandas()
+    if not len(first):
         raise ValueError("no vectors")
-    return n, mean, scatter / max(1, n - 1)
+    origin = matrix(first[v])[0]
+
+    def sums(x: np.ndarray) -> np.ndarray:
+        x = x - origin
+        one = np.column_stack([x, np.ones(len(x))])
+        return one.T @ one
+
+    total = summed(df, v, sums)
+    n, mean = total[-1, -1], total[-1, :-1] / total[-1, -1]
+    return int(n), origin + mean, (total[:-1, :-1] - n * np.outer(mean, mean)) / max(1, n - 1)
 
 
 def fit_pca(df: DataFrame, v: str) -> Pca:
@@ -91,32 +108,32 @@ def lloyd_step(df: DataFrame, v: str, centroids: np.ndarray) -> tuple[np.ndarray
     k, d = centroids.shape
     c2 = (centroids * centroids).sum(1)
 
-    def partial(batches):
-        for batch in batches:
-            x = matrix(batch[v])
-            dist = np.maximum(0, (x * x).sum(1)[:, None] + c2[None] - 2 * (x @ centroids.T))
-            code = dist.argmin(1)
-            sums = np.zeros((k, d))
-            np.add.at(sums, code, x)
-            yield pd.DataFrame({"code": np.arange(k), "n": np.bincount(code, minlength=k), "s": sums.tolist(), "e": np.bincount(code, dist.min(1), k)})
-
-    got = df.select(v).mapInPandas(partial, "code int, n long, s array<double>, e double")
-    summed = got.groupBy("code").agg(F.sum("n").alias("n"), F.sum("e").alias("e"), *[F.sum(F.element_at("s", j + 1)).alias(f"s{j}") for j in range(d)])
-    out, counts, cost = centroids.copy(), np.zeros(k, np.int64), 0.0
-    for r in summed.collect():  # k rows
-        counts[r.code] = r.n
-        cost += r.e
-        if r.n:
-            out[r.code] = np.array(r[3:]) / r.n
-    return out, counts, cost
+    def sums(x: np.ndarray) -> np.ndarray:
+        dist = np.maximum(0, (x * x).sum(1)[:, None] + c2[None] - 2 * (x @ centroids.T))
+        code = dist.argmin(1)
+        out = np.zeros((k, d + 2))
+        np.add.at(out, code, np.column_stack([x, np.ones(len(x)), dist.min(1)]))
+        return out
+
+    total = summed(df, v, sums)
+    if total is None:
+        return centroids.copy(), np.zeros(k, np.int64), 0.0
+    counts = total[:, d].astype(np.int64)
+    out = np.where(counts[:, None] > 0, total[:, :d] / np.maximum(counts, 1)[:, None], centroids)
+    return out, counts, float(total[:, d + 1].sum())
+
+
+def first_vectors(df: DataFrame, v: str, vid: str, k: int, seed: int) -> np.ndarray:
+    """k vectors in an order that a seed sets, by arithmetic on their ids that other SQL engines share."""
+    place = F.pmod(F.pmod(F.col(vid).cast("long"), F.lit(1_000_003)) * (7919 + 2 * seed) + 131 * seed, F.lit(1_000_003))
+    return matrix(df.select(v, vid).orderBy(place, vid).limit(k).toPandas()[v])
 
 
 def kmeans(df: DataFrame, v: str, vid: str, k: int, rounds: int = 100, redo: int = 3, seed: int = 0) -> tuple[np.ndarray, np.ndarray, float]:
-    """Centroids, counts and cost of the best of `redo` runs, each from k vectors that come first in a seeded hash order."""
+    """Centroids, counts and cost of the best of `redo` runs, each from k vectors that come first in a seeded order."""
     best = None
     for run in range(redo):
-        start = df.select(v, vid).orderBy(F.xxhash64(vid, F.lit(seed + run)), vid).limit(k).toPandas()
-        c, last = matrix(start[v]), None
+        c, last = first_vectors(df, v, vid, k, seed + run), None
         for _ in range(rounds):
             c2, counts, cost = lloyd_step(df, v, c)
             if last is not None and cost >= last * (1 - 1e-9):
@@ -156,6 +173,16 @@ def pq_dot(codes: Column, tables: Column) -> Column:
     return V.total(F.transform(codes, lambda code, q: F.element_at(F.element_at(tables, q + 1), code + 1)))
 
 
+def pq_norm2(codes: Column, books: Column) -> Column:
+    """Squared norm of a coded vector, from its pieces' sub-centroids."""
+    return V.total(F.transform(codes, lambda code, q: V.sqnorm(F.element_at(F.element_at(books, q + 1), code + 1))))
+
+
+def pq_axpy(y: Column, a: Column, codes: Column, books: Column) -> Column:
+    """y + a x for a coded vector x."""
+    return F.zip_with(V.doubles(y), pq_decode(codes, books), lambda u, x: u + a * x)
+
+
 @dataclass(frozen=True)
 class Gmm:
     w: np.ndarray
@@ -169,25 +196,21 @@ class Gmm:
 
 
 def fit_gmm(df: DataFrame, v: str, vid: str, k: int, rounds: int = 10, floor: float = 1e-6, seed: int = 0) -> Gmm:
-    """Diagonal mixture by EM, from k vectors in a seeded hash order and the overall variance."""
-    n, mean, cov = moments(df, v)
-    start = matrix(df.select(v, vid).orderBy(F.xxhash64(vid, F.lit(seed)), vid).limit(k).toPandas()[v])
+    """Diagonal mixture by EM, from k vectors in a seeded order and the overall variance."""
+    n, _, cov = moments(df, v)
+    start = first_vectors(df, v, vid, k, seed)
+    d = start.shape[1]
     model = Gmm(np.full(len(start), 1 / len(start)), start, np.tile(np.maximum(np.diag(cov), floor), (len(start), 1)))
     for _ in range(rounds):
 
-        def partial(batches, model=model):
-            for batch in batches:
-                x = matrix(batch[v])
-                p = model.posteriors(x)
-                yield pd.DataFrame({"k": np.arange(p.shape[1]), "s0": p.sum(0), "s1": (p.T @ x).tolist(), "s2": (p.T @ (x * x)).tolist()})
-
-        s0, s1, s2 = np.zeros(len(model.w)), np.zeros_like(model.mu), np.zeros_like(model.mu)
-        for r in df.select(v).mapInPandas(partial, "k int, s0 double, s1 array<double>, s2 array<double>").toLocalIterator():
-            s0[r.k] += r.s0
-            s1[r.k] += r.s1
-            s2[r.k] += r.s2
-        s = np.maximum(s0, 1e-12)[:, None]
-        model = Gmm(s0 / n, s1 / s, np.maximum(s2 / s - (s1 / s) ** 2, floor))
+        def sums(x: np.ndarray, model=model) -> np.ndarray:
+            p = model.posteriors(x)
+            return np.hstack([p.sum(0)[:, None], p.T @ x, p.T @ (x * x)])
+
+        total = summed(df, v, sums)
+        s = np.maximum(total[:, :1], 1e-12)
+        mu = total[:, 1 : d + 1] / s
+        model = Gmm(total[:, 0] / n, mu, np.maximum(total[:, d + 1 :] / s - mu**2, floor))
     return model
 
 

@@ -65,10 +65,19 @@ class Linear:
         return np.hstack([self.w, (self.b * s.bias_term)[:, None]])
 
 
-def draws(n: int, y: np.ndarray, classes: int, s: Settings, epoch: int) -> np.ndarray:
-    """Orders of the other classes per sample, pre-drawn: the first beta of them serve ovr, the first rnk, all war."""
-    rng = np.random.default_rng((s.seed, epoch))
-    order = rng.random((n, classes)).argsort(1)
+def draw_key(i, k, epoch, seed: int):
+    """What the other classes of a sample are ordered by: arithmetic on its place, the class, the epoch and the seed."""
+    a = ((i + 1) * 48271 + (epoch + 1) * 7919 + seed * 104729) % 2147483647
+    b = (a * a + (k + 1) * 69621) % 2147483647
+    c = (b * b + a) % 2147483647
+    return (c * c + 11) % 2147483647
+
+
+def draws(n: int, y: np.ndarray, classes: int, s: Settings, epoch: int, first: int = 0) -> np.ndarray:
+    """Orders of the other classes per sample, pre-drawn: the first beta of them serve ovr, the first rnk, all war. first: the
+    place of the first sample among all."""
+    i, k = np.arange(first, first + n)[:, None], np.arange(classes)[None]
+    order = draw_key(i, k, epoch, s.seed).argsort(1, kind="stable")
     return order[order != y[:, None]].reshape(n, classes - 1)
 
 
@@ -206,18 +215,96 @@ def train(x: np.ndarray, y: np.ndarray, classes: int, s: Settings, valid: tuple[
     return m
 
 
-def train_per_class(samples: DataFrame, key: str, order: str, y: str, x: str, s: Settings) -> DataFrame:
-    """(key, j, w): the binary hinge classifier of each group's samples (y = 1 or -1) in their order; j runs over the components
-    and, last, the bias. Groups train in parallel; a group is what one model is trained on."""
+@dataclass
+class Hinge:
+    """One class against the rest, trained sample by sample or, with the same result up to rounding, block by block: the scores of
+    a block are one product with the weights at its beginning, corrected by the block's inner products for what is learned
+    inside it."""
+
+    w: np.ndarray
+    b: float = 0.0
+    t: int = 0
+
+    def block(self, x: np.ndarray, sense: np.ndarray, s: Settings, t: np.ndarray | None = None) -> None:
+        """x: samples in order, sense: 1 or -1, t: their steps; they follow each other if none are given."""
+        at = np.arange(self.t, self.t + len(x)) if t is None else t
+        eta = np.full(len(x), s.eta0) if s.fixed_eta else s.eta0 / (1 + s.lambda_ * s.eta0 * (at + s.plain))
+        score, gram = x @ self.w, x @ x.T
+        scale, part = 1.0, np.zeros(len(x))  # the weights are scale * w + part @ x
+        for i in range(len(x)):
+            own = scale * score[i] + part[:i] @ gram[:i, i] + self.b * s.bias_term
+            shrink = 1 - eta[i] * s.lambda_
+            scale *= shrink
+            part[:i] *= shrink
+            if s.plain:
+                self.b *= shrink
+            if sense[i] * own < 1:
+                part[i] = eta[i] * sense[i]
+                self.b += eta[i] * sense[i] * s.bias_term
+        self.w = scale * self.w + part @ x
+        self.t += len(x)
+
+
+#: Samples of a block.
+BLOCK = 64
+
+
+def fold(samples: DataFrame, key: str, order: list[str], sense: str, x: str, s: Settings, t: str | None = None) -> DataFrame:
+    """(key, j, w): for each key a Hinge folded over its samples in order; j runs over the components and, last, the bias. Samples
+    stream past, sorted, in their task: it holds a batch and a model however many they are. t: the column of the steps."""
     kind = dict(samples.dtypes)[key]
+    rows = samples.select(*dict.fromkeys([key, *order, sense, x, *([t] if t else [])])).repartition(key).sortWithinPartitions(key, *order)
+
+    def run(batches):
+        at, model = None, None
+
+        def done() -> pd.DataFrame:
+            flat = np.append(model.w, model.b * s.bias_term)
+            return pd.DataFrame({key: [at] * len(flat), "j": np.arange(len(flat)), "w": flat})
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            keys = batch[key].to_numpy()
+            values = np.array(batch[x].tolist(), np.float64)
+            starts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+            for a, b in zip(starts, starts[1:], strict=False):
+                if model is None or keys[a] != at:
+                    if model is not None:
+                        yield done()
+                    at, model = keys[a], Hinge(np.zeros(values.shape[1]))
+                for i in range(a, b, BLOCK):
+                    part = slice(i, min(b, i + BLOCK))
+                    model.block(values[part], batch[sense].to_numpy()[part], s, batch[t].to_numpy()[part] if t else None)
+        if model is not None:
+            yield done()
+
+    return rows.mapInPandas(run, f"`{key}` {kind}, j int, w double")
 
-    def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order)
-        m = train(np.array(rows[x].tolist(), np.float64), (rows[y].to_numpy() < 0).astype(int), 2, replace(s, algo="ovr", beta=1))
-        flat = m.flat(s)[0]
-        return pd.DataFrame({key: rows[key].iloc[0], "j": np.arange(len(flat)), "w": flat})
 
-    return samples.select(key, order, y, x).groupBy(key).applyInPandas(fit, f"`{key}` {kind}, j int, w double")
+def train_per_class(samples: DataFrame, key: str, order: str, y: str, x: str, s: Settings) -> DataFrame:
+    """(key, j, w): the binary hinge classifier of each group's samples (y = 1 or -1) in their order. Groups train in parallel;
+    every epoch reads the group once more in the sorted stream."""
+    if not s.eta0:
+        raise ValueError("the step search needs its samples at hand: use train")
+    again = samples.select(key, order, y, x).withColumn("__epoch", F.explode(F.sequence(F.lit(0), F.lit(s.epochs - 1))))
+    return fold(again, key, ["__epoch", order], y, x, s)
+
+
+def train_ovr(samples: DataFrame, place: str, y: str, x: str, classes: int, s: Settings) -> DataFrame:
+    """(class_id, j, w) of the one-versus-rest model that train() learns from all samples in the order of their places 0..n-1. Once
+    the other classes of each step are drawn, classes do not depend on each other, so each is a task of its own."""
+    n = samples.count()
+    beta = min(s.beta or int(classes**0.5), classes - 1)
+    own = F.col(y).cast("int")
+    epochs = samples.select(F.col(place).cast("long").alias("__i"), own.alias("__y"), x, F.explode(F.sequence(F.lit(0), F.lit(s.epochs - 1))).alias("__e"))
+    key = lambda k: draw_key(F.col("__i"), k, F.col("__e"), s.seed)
+    others = F.array(*[F.struct(key(F.lit(k).cast("long")).alias("c"), F.lit(k).alias("k")) for k in range(classes)])
+    drawn = F.slice(F.array_sort(F.filter(others, lambda o: o.k != F.col("__y"))), 1, beta)
+    touched = F.explode(F.concat(F.array(F.col("__y")), F.transform(drawn, lambda o: o.k))).alias("class_id")
+    steps = epochs.select("__i", "__e", "__y", x, touched)
+    steps = steps.withColumn("__sense", F.when(F.col("class_id") == F.col("__y"), 1).otherwise(-1)).withColumn("__t", F.col("__e") * n + F.col("__i"))
+    return fold(steps, "class_id", ["__t"], "__sense", x, s, "__t")
 
 
 def binary_fold(samples: Column, d: int, s: Settings) -> Column:

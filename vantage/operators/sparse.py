@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -22,6 +24,28 @@ def dots(left: DataFrame, right: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.join(found, ["a", "b"], "left").select("a", "b", F.coalesce("dot", F.lit(0.0)).alias("dot"))
 
 
+def norms2(df: DataFrame) -> DataFrame:
+    """(i, n2): squared norms of the rows of a sparse table."""
+    return df.groupBy("i").agg(F.sum(F.col("v") * F.col("v")).alias("n2"))
+
+
+def axpy(y: DataFrame, a: DataFrame, x: DataFrame) -> DataFrame:
+    """y + a x of sparse tables, row by row; a: (i, a). Entries that add up to 0 go."""
+    scaled = x.join(a, "i").select("i", "j", (F.col("a") * F.col("v")).alias("v"))
+    return y.select("i", "j", "v").unionByName(scaled).groupBy("i", "j").agg(F.sum("v").alias("v")).where("v <> 0")
+
+
+def from_csr(spark: SparkSession, indptr, indices, data) -> DataFrame:
+    """(i, j, v) of a compressed-row matrix held as three arrays on the driver; explicit zeros stay out. Rows go to tasks in Arrow
+    batches of bounded size."""
+    indptr, indices, data = np.asarray(indptr, np.int64), np.asarray(indices, np.int64), np.asarray(data, np.float64)
+    if len(indptr) < 1 or indptr[0] != 0 or (np.diff(indptr) < 0).any() or indptr[-1] != len(indices) or len(indices) != len(data):
+        raise ValueError("not a compressed-row matrix")
+    rows = np.repeat(np.arange(len(indptr) - 1), np.diff(indptr))
+    table = pa.table({"i": pa.array(rows, pa.int64()), "j": pa.array(indices.astype(np.int32)), "v": pa.array(data)})
+    return spark.createDataFrame(table).where("v <> 0")
+
+
 def matmul_at(x: DataFrame, w: DataFrame, at: DataFrame) -> DataFrame:
     """at (i, k) with v = x_i . w_k, only at the given places. x: (i, x), w: (k, w), vectors as arrays."""
     return at.join(x, "i").join(w, "k").select("i", "k", V.dot(F.col("x"), F.col("w")).alias("v"))

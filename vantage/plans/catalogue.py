@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from vantage import shared
 from vantage.functions import geometry
 from vantage.functions import vectors as V
 from vantage.model import GRID, Params
@@ -302,11 +303,33 @@ def cluster_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(k, int(x)) for k, x in enumerate(n)], "code int, n long")
 
 
-@query()
+def sql_first(k: int, seed: int) -> str:
+    """quantize.first_vectors, numbered."""
+    place = f"((vec_id % 1000003) * {7919 + 2 * seed} + {131 * seed}) % 1000003"
+    return f"SELECT (row_number() OVER (ORDER BY {place}, vec_id) - 1)::INTEGER AS code, x FROM v QUALIFY code < {k}"
+
+
+def sql_kmeans(k: int, rounds: int, redo: int) -> str:
+    """Rounds of each run, one after the other; a run that has converged stays as it is."""
+    dist = "greatest(0, list_dot_product(v.x, v.x) + list_dot_product(c.x, c.x) - 2 * list_dot_product(v.x, c.x))"
+    coded = f"(SELECT v.vec_id, any_value(v.x) AS x, arg_min(code, {{{{'d': {dist}, 'code': code}}}}) AS code, min({dist}) AS d FROM v CROSS JOIN {{0}} c GROUP BY v.vec_id)"
+    parts = []
+    for run in range(redo):
+        parts.append(f"c{run}_0 AS MATERIALIZED ({sql_first(k, run)})")
+        for i in range(rounds):
+            last = f"c{run}_{i}"
+            means = f"SELECT code, list(m ORDER BY j) AS x FROM (SELECT code, j, avg(e) AS m FROM (SELECT code, generate_subscripts(x, 1) AS j, unnest(x) AS e FROM {coded.format(last)}) GROUP BY code, j) GROUP BY code"
+            parts.append(f"c{run}_{i + 1} AS MATERIALIZED (SELECT l.code, coalesce(n.x, l.x) AS x FROM {last} l LEFT JOIN ({means}) n USING (code))")
+        parts.append(f"e{run} AS MATERIALIZED (SELECT code, count(*) AS n, sum(d) AS cost FROM {coded.format(f'c{run}_{rounds}')} GROUP BY code)")
+    runs = " UNION ALL ".join(f"SELECT {run} AS run, c.code, coalesce(e.n, 0) AS n, c.x AS centroid, (SELECT sum(cost) FROM e{run}) AS cost FROM c{run}_{rounds} c LEFT JOIN e{run} e USING (code)" for run in range(redo))
+    return f"WITH {V_ALL}, {', '.join(parts)}, every AS ({runs}) SELECT code, j::INTEGER AS j, n::BIGINT AS n, round(centroid[j + 1], 6) AS v FROM every, range(0, 64) t(j) QUALIFY run = first_value(run) OVER (ORDER BY cost, run)"
+
+
+@query(sql_kmeans(16, 10, 2))
 def kmeans_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, n, _ = quantize.kmeans(fixtures.vectors(spark, sf_dir), "embedding", "vec_id", 16, rounds=10, redo=2)
-    rows = [(k, int(n[k]), [round(float(x), 6) for x in c[k]]) for k in range(len(c))]
-    return spark.createDataFrame(rows, "code int, n long, centroid array<double>")
+    rows = [(k, j, int(n[k]), round(float(x), 6)) for k in range(len(c)) for j, x in enumerate(c[k])]
+    return spark.createDataFrame(rows, "code int, j int, n long, v double")
 
 
 def _books(spark: SparkSession, sf_dir: str) -> list[np.ndarray]:
@@ -338,11 +361,24 @@ def pq_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("vec_id", F.round(quantize.pq_dot(F.col("codes"), tables), 6).alias("dot"))
 
 
-@query()
+def sql_gmm(k: int, rounds: int, floor: float = 1e-6) -> str:
+    """Rounds of EM, one after the other, on rows (component, place)."""
+    parts = [f"first AS ({sql_first(k, 0)})", "e AS MATERIALIZED (SELECT vec_id, generate_subscripts(x, 1) - 1 AS j, unnest(x) AS x FROM v)", f"g AS (SELECT j, greatest(var_samp(x), {floor}) AS s FROM e GROUP BY j)"]
+    parts.append(f"m0 AS MATERIALIZED (SELECT code AS k, j, x[j + 1] AS m, s, 1 / {k}::DOUBLE AS w FROM first, g)")
+    for i in range(rounds):
+        parts.append(f"l{i} AS (SELECT vec_id, k, ln(any_value(w)) - 0.5 * sum(ln(2 * pi() * s) + (x - m) ** 2 / s) AS l FROM e JOIN m{i} USING (j) GROUP BY vec_id, k)")
+        parts.append(f"x{i} AS (SELECT vec_id, k, exp(l - max(l) OVER (PARTITION BY vec_id)) AS p FROM l{i})")
+        parts.append(f"p{i} AS MATERIALIZED (SELECT vec_id, k, p / sum(p) OVER (PARTITION BY vec_id) AS p FROM x{i})")
+        sums = f"SELECT k, j, sum(p) AS s0, sum(p * x) AS s1, sum(p * x * x) AS s2 FROM p{i} JOIN e USING (vec_id) GROUP BY k, j"
+        parts.append(f"m{i + 1} AS MATERIALIZED (SELECT k, j, s1 / greatest(s0, 1e-12) AS m, greatest(s2 / greatest(s0, 1e-12) - (s1 / greatest(s0, 1e-12)) ** 2, {floor}) AS s, s0 / (SELECT count(*) FROM v) AS w FROM ({sums}))")
+    return f"WITH {V_ALL}, {', '.join(parts)} SELECT k, j::INTEGER AS j, round(w, 6) AS w, round(m, 6) AS mu, round(s, 6) AS sigma FROM m{rounds}"
+
+
+@query(sql_gmm(4, 5))
 def gmm_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = quantize.fit_gmm(fixtures.vectors(spark, sf_dir), "embedding", "vec_id", 4, rounds=5)
-    rows = [(k, round(float(m.w[k]), 6), [round(float(x), 6) for x in m.mu[k]], [round(float(x), 6) for x in m.var[k]]) for k in range(len(m.w))]
-    return spark.createDataFrame(rows, "k int, w double, mu array<double>, sigma array<double>")
+    rows = [(k, j, *(round(float(x), 6) for x in (m.w[k], m.mu[k, j], m.var[k, j]))) for k in range(len(m.w)) for j in range(m.mu.shape[1])]
+    return spark.createDataFrame(rows, "k int, j int, w double, mu double, sigma double")
 
 
 @query("""
@@ -379,13 +415,9 @@ def window_scores_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(spark, sf_dir, 2, 3).select("query_id", "doc_id", "r", "c", *rounded("score"))
 
 
-def _models(spark: SparkSession, sf_dir: str, th: int, tw: int) -> tuple[DataFrame, dict[int, np.ndarray]]:
+def _kernel_scores(spark: SparkSession, sf_dir: str, th: int, tw: int, normalise: bool = True) -> DataFrame:
     cells = fixtures.cells(spark, sf_dir)
-    rows = windows.templates(fixtures.queries(cells, th, tw), cells).orderBy("query_id", "dr", "dc").collect()  # the queries' own cells
-    models: dict[int, list] = {}
-    for r in rows:
-        models.setdefault(r.query_id, []).append(r.w)
-    return windows.page_arrays(cells), {q: np.array(w).reshape(th, tw, -1) for q, w in models.items()}
+    return windows.scores_by_page(windows.page_arrays(cells), windows.templates(fixtures.queries(cells, th, tw), cells), normalise=normalise)
 
 
 _WHOLE = "AND doc_id IN (SELECT doc_id FROM cells GROUP BY doc_id HAVING count(*) = (max(r) + 1) * (max(c) + 1))"
@@ -393,14 +425,12 @@ _WHOLE = "AND doc_id IN (SELECT doc_id FROM cells GROUP BY doc_id HAVING count(*
 
 @query(f"WITH {sql_windows(2, 3)} SELECT query_id, doc_id, r, c, round(score, 6) AS score FROM win WHERE true {_WHOLE}")
 def window_scores_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages, models = _models(spark, sf_dir, 2, 3)
-    return windows.scores_kernel(pages, models).select("query_id", "doc_id", "r", "c", *rounded("score"))
+    return _kernel_scores(spark, sf_dir, 2, 3).select("query_id", "doc_id", "r", "c", *rounded("score"))
 
 
 @query(f"WITH {sql_windows(4, 6, norm=False)} SELECT query_id, doc_id, r, c, round(score, 6) AS score FROM win WHERE true {_WHOLE}")
 def filter_response(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages, models = _models(spark, sf_dir, 4, 6)
-    return windows.scores_kernel(pages, models, normalise=False).select("query_id", "doc_id", "r", "c", *rounded("score"))
+    return _kernel_scores(spark, sf_dir, 4, 6, normalise=False).select("query_id", "doc_id", "r", "c", *rounded("score"))
 
 
 @query(f"WITH {sql_windows(2, 3)}, {MEANS} SELECT query_id, dr::INTEGER AS dr, dc::INTEGER AS dc, code, round(list_dot_product(centroid, w), 6) AS val, round(list_dot_product(centroid, centroid), 6) AS n2 FROM tpl CROSS JOIN book")
@@ -531,36 +561,68 @@ def _multiclass(spark: SparkSession, sf_dir: str, s: sgd.Settings) -> DataFrame:
     return _page_samples(spark, sf_dir).groupBy("doc_id").applyInPandas(fit, "doc_id long, class_id int, j int, w double")
 
 
-@query()
+def sql_draws(i: str, epoch: str, label: str, classes: int = 10, seed: int = 0) -> str:
+    """The other classes of the i-th sample in drawn order."""
+    a = f"(({i} + 1) * 48271 + ({epoch} + 1) * 7919 + {seed * 104729}) % 2147483647"
+    b = f"((({a}) * ({a}) + (k + 1) * 69621) % 2147483647)"
+    c = f"(({b} * {b} + {a}) % 2147483647)"
+    key = f"(({c} * {c} + 11) % 2147483647)"
+    return f"list_transform(list_sort(list_transform(list_filter(range(0, {classes}), lambda k: k <> {label}), lambda k: {{'c': {key}, 'k': k}})), lambda drawn_: drawn_.k)"
+
+
+def sql_multiclass(algo: str, epochs: int = 3) -> str:
+    """The fold of a trainer with the default settings over each page's samples; the bias is the last component."""
+    touched = {"ovr": "list_concat([label], others[1:4])", "mul": "range(0, 10)", "rnk": "range(0, 10)", "war": "range(0, 10)"}[algo]
+    broken = "list_transform(others, lambda o: 1 - sc[label + 1] + sc[o + 1] > 0)"
+    other = {
+        "ovr": "label", "mul": "list_position(rival, list_max(rival)) - 1",
+        "rnk": f"CASE WHEN ({broken})[1] THEN others[1] ELSE label END",
+        "war": f"coalesce(others[nullif(coalesce(list_position({broken}, true), 0), 0)], label)",
+    }[algo]
+    harmonic = "list_sum(list_transform(range(1, 9 // list_position({0}, true) + 2), lambda r: 1 / r::DOUBLE))".format(broken)
+    step = f"CASE WHEN coalesce(list_position({broken}, true), 0) > 0 THEN eta * {harmonic} ELSE 0 END" if algo == "war" else "eta"
+    gain = "CASE WHEN NOT list_contains(touched, k) THEN 0 WHEN k = label AND sc[k + 1] < 1 THEN eta WHEN k <> label AND -sc[k + 1] < 1 THEN -eta ELSE 0 END" if algo == "ovr" else "CASE WHEN other = label THEN 0 WHEN k = label THEN step WHEN k = other THEN -step ELSE 0 END"
+    return f"""
+    WITH RECURSIVE {CELLS}, s AS (SELECT doc_id, label, x, row_number() OVER (PARTITION BY doc_id ORDER BY vec_id) - 1 AS i, count(*) OVER (PARTITION BY doc_id) AS n FROM cells WHERE label IS NOT NULL),
+    drawn AS MATERIALIZED (SELECT s.*, e AS epoch, {sql_draws('s.i', 'e', 's.label')} AS others FROM s, range(0, {epochs}) t(e)),
+    f AS (SELECT doc_id, any_value(n) AS n, 0::BIGINT AS t, list_transform(range(0, 10), lambda k: list_transform(range(0, 65), lambda i: 0::DOUBLE)) AS w FROM s GROUP BY doc_id
+        UNION ALL
+        SELECT doc_id, n, t + 1, list_transform(range(0, 10), lambda k: list_transform(range(1, 66), lambda i: w[k + 1][i] * (CASE WHEN i < 65 AND list_contains(touched, k) THEN 1 - eta * 0.0001::DOUBLE ELSE 1 END)
+            + ({gain}) * (CASE WHEN i < 65 THEN x[i] ELSE 0.1::DOUBLE END)))
+        FROM (SELECT *, {step} AS step FROM (SELECT *, {other} AS other FROM (SELECT *, {touched} AS touched, list_transform(range(0, 10), lambda k: sc[k + 1] + CASE WHEN k = label THEN 0 ELSE 1 END) AS rival FROM (
+            SELECT f.*, d.label, d.x, d.others, 0.1::DOUBLE / (1 + 0.0001::DOUBLE * 0.1::DOUBLE * t) AS eta, list_transform(range(0, 10), lambda k: list_dot_product(f.w[k + 1][1:64], d.x) + f.w[k + 1][65] * 0.1::DOUBLE) AS sc
+            FROM f JOIN drawn d ON d.doc_id = f.doc_id AND d.i = f.t % f.n AND d.epoch = f.t // f.n)))))
+    , m AS (SELECT doc_id, unnest(range(0, 10))::INTEGER AS class_id, w FROM f WHERE t = {epochs} * n)
+    SELECT doc_id, class_id, (j - 1)::INTEGER AS j, round(w[class_id + 1][j] * (CASE WHEN j = 65 THEN 0.1::DOUBLE ELSE 1 END), 6) AS w FROM m, range(1, 66) t(j)"""
+
+
+@query(sql_multiclass("ovr"))
 def sgd_ovr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _multiclass(spark, sf_dir, sgd.Settings("ovr", epochs=3))
 
 
-@query(f"""
-    WITH RECURSIVE {CELLS}, s AS (SELECT doc_id, label, x, row_number() OVER (PARTITION BY doc_id ORDER BY vec_id) - 1 AS i, count(*) OVER (PARTITION BY doc_id) AS n FROM cells WHERE label IS NOT NULL),
-    f AS (SELECT doc_id, any_value(n) AS n, 0::BIGINT AS t, list_transform(range(0, 10), lambda k: list_transform(range(0, 65), lambda i: 0::DOUBLE)) AS w FROM s GROUP BY doc_id
-        UNION ALL
-        SELECT doc_id, n, t + 1, list_transform(range(0, 10), lambda k: list_transform(range(1, 66), lambda i: w[k + 1][i] * (CASE WHEN i < 65 THEN 1 - eta * 0.0001::DOUBLE ELSE 1 END)
-            + (CASE WHEN other = label THEN 0 WHEN k = label THEN eta WHEN k = other THEN -eta ELSE 0 END) * (CASE WHEN i < 65 THEN x[i] ELSE 0.1::DOUBLE END)))
-        FROM (SELECT *, list_position(sc, list_max(sc)) - 1 AS other FROM (
-            SELECT f.*, s.label, s.x, 0.1::DOUBLE / (1 + 0.0001::DOUBLE * 0.1::DOUBLE * t) AS eta, list_transform(range(0, 10), lambda k: list_dot_product(f.w[k + 1][1:64], s.x) + f.w[k + 1][65] * 0.1::DOUBLE + CASE WHEN k = s.label THEN 0 ELSE 1 END) AS sc
-            FROM f JOIN s ON s.doc_id = f.doc_id AND s.i = f.t % f.n WHERE t < 3 * f.n))),
-    m AS (SELECT doc_id, unnest(range(0, 10))::INTEGER AS class_id, w FROM f WHERE t = 3 * n)
-    SELECT doc_id, class_id, (j - 1)::INTEGER AS j, round(w[class_id + 1][j] * (CASE WHEN j = 65 THEN 0.1::DOUBLE ELSE 1 END), 6) AS w FROM m, range(1, 66) t(j)""")
+@query(sql_multiclass("mul"))
 def sgd_mul(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _multiclass(spark, sf_dir, sgd.Settings("mul", epochs=3))
 
 
-@query()
+@query(sql_multiclass("rnk"))
 def sgd_rnk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _multiclass(spark, sf_dir, sgd.Settings("rnk", epochs=3))
 
 
-@query()
+@query(sql_multiclass("war"))
 def sgd_war(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _multiclass(spark, sf_dir, sgd.Settings("war", epochs=3))
 
 
+@query(sql_multiclass("ovr", 1).replace("PARTITION BY doc_id", "PARTITION BY 0").replace("SELECT vec_id, vec_id // 100 AS doc_id", "SELECT vec_id, 0::BIGINT AS doc_id").replace("SELECT doc_id, class_id,", "SELECT class_id,"))
+def sgd_ovr_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One model of all samples; a class to a task, samples streaming past it in blocks."""
+    v = annotations.numbered(fixtures.vectors(spark, sf_dir).where("label IS NOT NULL"), "vec_id", "place")
+    return sgd.train_ovr(v, "place", "label", "embedding", 10, sgd.Settings("ovr", epochs=1)).select("class_id", "j", *rounded("w"))
+
+
 def _class_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores by the labels' means as weights."""
     w = fixtures.label_means(spark, sf_dir)
@@ -643,9 +705,8 @@ def grid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT vec_id, (((row_number() OVER (ORDER BY vec_id)) * 5 - 1) // count(*) OVER ())::INTEGER AS fold FROM embeddings")
 def cv_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = fixtures.vectors(spark, sf_dir).select("vec_id")
-    placed = v.rdd.map(lambda r: r.vec_id).sortBy(lambda i: i).zipWithIndex().toDF("vec_id long, place long")
-    return placed.select("vec_id", tuning.fold_of(F.col("place"), F.lit(v.count()), 5).alias("fold"))
+    placed = annotations.numbered(fixtures.vectors(spark, sf_dir).select("vec_id"), "vec_id", "place")
+    return placed.select("vec_id", tuning.fold_of(F.col("place"), F.lit(placed.count()), 5).alias("fold"))
 
 
 @query()
@@ -838,18 +899,14 @@ def harmonic_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _folder(spark: SparkSession) -> str:
     """Where executors and driver both read."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/vantage-files"
-    return f"{base.removeprefix('file://')}/files-{uuid.uuid4().hex}"
+    return f"{shared.folder(spark).removeprefix('file://')}/files-{uuid.uuid4().hex}"
 
 
 @query("SELECT dense_rank() OVER (ORDER BY vec_id) AS idx, j, v FROM (SELECT vec_id, (generate_subscripts(embedding, 1) - 1)::INTEGER AS j, round(unnest(embedding)::DOUBLE, 6) AS v FROM embeddings)")
 def vecs_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors written to a file in id order and read back."""
-    import os
-
-    os.makedirs(folder := _folder(spark), exist_ok=True)
-    vecs.write(fixtures.vectors(spark, sf_dir), f"{folder}/all.fvecs", "vec_id", "embedding")
-    back = vecs.read(spark, f"file://{folder}/all.fvecs")
+    """Vectors written to files in id order and read back."""
+    vecs.write_ordered(fixtures.vectors(spark, sf_dir), folder := _folder(spark), "vec_id", "embedding")
+    back = vecs.read(spark, f"file://{folder}", kind="fvecs")
     return back.select("idx", F.posexplode("v").alias("j", "v")).select("idx", "j", F.round(F.col("v").cast("double"), 6).alias("v"))
 
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import shutil
 import struct
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import numpy as np
 import pandas as pd
@@ -22,39 +24,51 @@ def _kind(path: str, kind: str | None) -> str:
     return kind
 
 
-def file_sizes(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
-    """(path, n, d) per file from its length and first record; an empty file gives (0, 0)."""
-    item = KINDS[_kind(path, kind)].itemsize
-    head = F.conv(F.hex(F.reverse(F.substring("content", 1, 4))), 16, 10).cast("long")
-    files = spark.read.format("binaryFile").load(path).select("path", "length", F.when(F.col("length") > 0, head).otherwise(0).alias("d"))
-    return files.select("path", F.when(F.col("d") > 0, F.expr(f"length div (4 + {item} * d)")).otherwise(0).alias("n"), "d")
+def _heads(spark: SparkSession, paths: list[str]) -> list[int]:
+    """The first int32 of each file, read through Hadoop's file system: four bytes a file, whatever its length."""
+    out = []
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        stream = at.getFileSystem(spark._jsc.hadoopConfiguration()).open(at)
+        try:
+            out.append(struct.unpack("<i", struct.pack(">i", stream.readInt()))[0])
+        finally:
+            stream.close()
+    return out
+
+
+def _files(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """Path and length of the files, as Spark lists them; their content is not read."""
+    return sorted((r.path, r.length) for r in spark.read.format("binaryFile").load(path).select("path", "length").collect())
 
 
-def dimension(spark: SparkSession, path: str, kind: str | None = None) -> int:
-    """The dimension that all files under the path share."""
-    found = [r.d for r in file_sizes(spark, path, kind).where("n > 0").select("d").distinct().limit(2).collect()]
-    if len(found) > 1:
-        raise ValueError("vectors of different dimensions")
-    return found[0] if found else 0
+def file_sizes(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
+    """(path, n, d) per file from its length and its first four bytes; an empty file gives (0, 0). No vector is read."""
+    item = KINDS[_kind(path, kind)].itemsize
+    files = _files(spark, path)
+    heads = dict(zip(full := [p for p, size in files if size], _heads(spark, full), strict=True))
+    rows = [(p, size // (4 + item * heads[p]) if p in heads else 0, heads.get(p, 0)) for p, size in files]
+    return spark.createDataFrame(rows, "path string, n long, d long")
 
 
 def read(spark: SparkSession, path: str, first: int | None = None, last: int | None = None, kind: str | None = None, as_float: bool = False) -> DataFrame:
     """(idx, v): vectors with 1-based places first..last inclusive. last beyond the end is cut; last < first gives none.
 
     Fixed-length records are split among tasks by Hadoop, so a file of any length is read in parallel. Files of a folder
-    follow each other as Hadoop lists them.
+    follow each other by name.
     """
     kind = _kind(path, kind)
     if first is not None and first < 1:
         raise ValueError("places begin at 1")
-    d, dtype = dimension(spark, path, kind), KINDS[kind]
+    paths = [p for p, size in _files(spark, path) if size]
+    d, dtype = _heads(spark, paths[:1])[0] if paths else 0, KINDS[kind]
     element = "float" if kind == "fvecs" or as_float else "int"
     schema = f"idx long, v array<{element}>"
     if not d:
         return spark.createDataFrame([], schema)
     length = 4 + d * dtype.itemsize
     # the one place where the RDD API is needed: no DataFrame source splits binary records
-    records = spark.sparkContext.binaryRecords(path, length).zipWithIndex().toDF("content binary, idx long")
+    records = spark.sparkContext.binaryRecords(",".join(paths), length).zipWithIndex().toDF("content binary, idx long")
     records = records.select((F.col("idx") + 1).alias("idx"), "content")
     if first is not None:
         records = records.where(F.col("idx") >= first)
@@ -101,9 +115,38 @@ def write_parts(vectors: DataFrame, folder: str, v: str = "v", kind: str = "fvec
     return sorted(r.path for r in records(vectors.select(v), v, kind).select("content").mapInPandas(run, "path string").collect())  # one row per file
 
 
+def write_ordered(vectors: DataFrame, folder: str, order: str = "idx", v: str = "v", kind: str = "fvecs") -> list[str]:
+    """Files in the given order, within a file and from file to file by their names, so that read() of the folder gives it back.
+    A range of the order is a task; nothing passes through the driver but the paths."""
+    return write_parts(vectors.select(order, v).orderBy(order), folder, v, kind)
+
+
 def write(vectors: DataFrame, path: str, order: str = "idx", v: str = "v", kind: str | None = None) -> None:
-    """One local or mounted file in the given order, written vector by vector as results arrive; memory holds a partition."""
-    ordered = records(vectors.select(order, v), v, _kind(path, kind)).orderBy(order).select("content")
+    """One local or mounted file in the given order: tasks write its parts beside it, which are then put together byte by byte."""
+    folder = f"{path}.parts"
+    parts = write_ordered(vectors, folder, order, v, _kind(path, kind))
     with open(path, "wb") as out:
-        for row in ordered.toLocalIterator():
-            out.write(row.content)
+        for part in parts:
+            with open(part, "rb") as own:
+                shutil.copyfileobj(own, out, 1 << 20)
+            os.remove(part)
+    os.rmdir(folder)
+
+
+def read_one(stream: BinaryIO, kind: str = "fvecs") -> np.ndarray | None:
+    """The next vector of an open stream, null at its end. For streams that are read as they come; files have read()."""
+    head = stream.read(4)
+    if not head:
+        return None
+    if len(head) < 4:
+        raise ValueError("a broken record")
+    size = struct.unpack("<i", head)[0] * KINDS[kind].itemsize
+    if size < 0 or len(raw := stream.read(size)) < size:
+        raise ValueError("a broken record")
+    return np.frombuffer(raw, KINDS[kind])
+
+
+def write_one(stream: BinaryIO, vector, kind: str = "fvecs") -> None:
+    """One vector to the end of an open stream."""
+    values = np.asarray(vector).astype(KINDS[kind])
+    stream.write(struct.pack("<i", len(values)) + values.tobytes())
