@@ -686,23 +686,6 @@ def eta0_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _page_samples(spark, sf_dir).groupBy("doc_id").applyInPandas(fit, "doc_id long, algo string, eta0 double")
 
 
-@query()
-def grid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The grid's settings by their mean training accuracy over all pages; the best one is marked."""
-    points = tuning.grid(GRID)
-    rows = _page_samples(spark, sf_dir).withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(len(points) - 1))))
-
-    def fit(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("vec_id")
-        x, y, p = np.array(g["feat"].tolist(), np.float64), g["label"].to_numpy(), int(g["point"].iloc[0])
-        s = sgd.Settings("mul", epochs=2, **points[p])
-        return pd.DataFrame({"point": [p], "doc_id": [g["doc_id"].iloc[0]], "score": [sgd.accuracy(sgd.train(x, y, 10, s).scores(x, s), y)]})
-
-    mean = rows.groupBy("doc_id", "point").applyInPandas(fit, "point int, doc_id long, score double").groupBy("point").agg(F.avg("score").alias("score"))
-    best = mean.agg(F.max_by("point", F.struct("score", -F.col("point"))).alias("best"))
-    return mean.join(F.broadcast(best)).select("point", *rounded("score"), (F.col("point") == F.col("best")).alias("best"))  # one row
-
-
 @query("SELECT vec_id, (((row_number() OVER (ORDER BY vec_id)) * 5 - 1) // count(*) OVER ())::INTEGER AS fold FROM embeddings")
 def cv_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = annotations.numbered(fixtures.vectors(spark, sf_dir).select("vec_id"), "vec_id", "place")
@@ -722,29 +705,45 @@ def crossval_hillclimb(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALONG = "[" + ", ".join(f"{sign}({c}::DOUBLE * dx + {s}::DOUBLE * dy)" for c, s in zip(features.COS, features.SIN, strict=True) for sign in ("", "-")) + "]"
 PIXELS = "pix AS MATERIALIZED (SELECT doc_id, (p // 80)::INTEGER AS y, (p % 80)::INTEGER AS x, v FROM (SELECT vec_id // 100 AS doc_id, (vec_id % 100) * 64 + generate_subscripts(embedding, 1) - 1 AS p, floor((unnest(embedding)::DOUBLE + 1) * 127.5) AS v FROM embeddings) WHERE doc_id IN (SELECT vec_id // 100 FROM embeddings GROUP BY 1 HAVING count(*) = 100))"
-GRADIENT = f"""{PIXELS},
+def sql_gradient(pixels: str, side: int) -> str:
+    """Gradients of square pages of that side."""
+    return f"""{pixels},
     inl AS (SELECT doc_id, y, x, lead(v) OVER (PARTITION BY doc_id, y ORDER BY x) - lag(v) OVER (PARTITION BY doc_id, y ORDER BY x) AS dx,
         lead(v) OVER (PARTITION BY doc_id, x ORDER BY y) - lag(v) OVER (PARTITION BY doc_id, x ORDER BY y) AS dy FROM pix),
-    spread AS (SELECT i, p FROM (SELECT i, least(i, 78) AS p FROM range(1, 83) t(i))),
+    spread AS (SELECT i, p FROM (SELECT i, least(i, {side - 2}) AS p FROM range(1, {features.half_up(side / 12) * 12 - 1}) t(i))),
     dif AS (SELECT doc_id, b.i AS y, a.i AS x, dx, dy FROM inl JOIN spread a ON a.p = inl.x JOIN spread b ON b.p = inl.y),
     gra AS (SELECT doc_id, y, x, sqrt(dx * dx + dy * dy) AS v, CASE WHEN list_max(a) > 0 THEN (list_position(a, list_max(a)) - 1) // 2 + 9 * ((list_position(a, list_max(a)) - 1) % 2) ELSE 0 END AS o FROM (SELECT *, {_ALONG} AS a FROM dif))"""
+
+
 VOTES = """pos AS (SELECT *, (y + 0.5::DOUBLE) / 12 - 0.5 AS fy, (x + 0.5::DOUBLE) / 12 - 0.5 AS fx FROM gra),
     low AS (SELECT *, floor(fy)::INTEGER AS cy, floor(fx)::INTEGER AS cx FROM pos)"""
-HIST = f"""{GRADIENT}, {VOTES},
+
+
+def sql_hist(pixels: str, side: int) -> str:
+    last = features.half_up(side / 12) - 1
+    return f"""{sql_gradient(pixels, side)}, {VOTES},
     vot AS (SELECT doc_id, cy + i AS r, cx + j AS c, o, v * (CASE WHEN i = 0 THEN 1 - (fy - cy) ELSE fy - cy END) * (CASE WHEN j = 0 THEN 1 - (fx - cx) ELSE fx - cx END) AS v FROM low, range(0, 2) a(i), range(0, 2) b(j)),
-    his AS (SELECT doc_id, r::INTEGER AS r, c::INTEGER AS c, o::INTEGER AS o, sum(v) AS v FROM vot WHERE r BETWEEN 0 AND 6 AND c BETWEEN 0 AND 6 GROUP BY ALL)"""
-HOG = f"""{HIST},
-    ful AS MATERIALIZED (SELECT d.doc_id, r::INTEGER AS r, c::INTEGER AS c, o::INTEGER AS o, coalesce(v, 0) AS v FROM (SELECT DISTINCT doc_id FROM pix) d CROSS JOIN range(0, 7) a(r) CROSS JOIN range(0, 7) b(c) CROSS JOIN range(0, 18) e(o) LEFT JOIN his USING (doc_id, r, c, o)),
+    his AS (SELECT doc_id, r::INTEGER AS r, c::INTEGER AS c, o::INTEGER AS o, sum(v) AS v FROM vot WHERE r BETWEEN 0 AND {last} AND c BETWEEN 0 AND {last} GROUP BY ALL)"""
+
+
+
+def sql_hog(pixels: str, side: int) -> str:
+    n = features.half_up(side / 12)
+    return f"""{sql_hist(pixels, side)},
+    ful AS MATERIALIZED (SELECT d.doc_id, r::INTEGER AS r, c::INTEGER AS c, o::INTEGER AS o, coalesce(v, 0) AS v FROM (SELECT DISTINCT doc_id FROM pix) d CROSS JOIN range(0, {n}) a(r) CROSS JOIN range(0, {n}) b(c) CROSS JOIN range(0, 18) e(o) LEFT JOIN his USING (doc_id, r, c, o)),
     ene AS (SELECT doc_id, r, c, sum(s * s) AS e FROM (SELECT doc_id, r, c, o % 9 AS o, sum(v) AS s FROM ful GROUP BY ALL) GROUP BY ALL),
     row AS (SELECT doc_id, r, c, e + lead(e) OVER (PARTITION BY doc_id, r ORDER BY c) AS e FROM ene),
     nor AS MATERIALIZED (SELECT * FROM (SELECT doc_id, r, c, 1 / sqrt(e + lead(e) OVER (PARTITION BY doc_id, c ORDER BY r) + 0.0001) AS s FROM row) WHERE s IS NOT NULL),
     inn AS (SELECT f.doc_id, f.r - 1 AS r, f.c - 1 AS c, o, v, CASE WHEN n.r = f.r AND n.c = f.c THEN 0 WHEN n.r = f.r - 1 AND n.c = f.c THEN 1 WHEN n.r = f.r AND n.c = f.c - 1 THEN 2 ELSE 3 END AS k, s
-        FROM ful f CROSS JOIN range(0, 2) a(i) CROSS JOIN range(0, 2) b(j) JOIN nor n ON n.doc_id = f.doc_id AND n.r = f.r - a.i AND n.c = f.c - b.j WHERE f.r BETWEEN 1 AND 5 AND f.c BETWEEN 1 AND 5),
+        FROM ful f CROSS JOIN range(0, 2) a(i) CROSS JOIN range(0, 2) b(j) JOIN nor n ON n.doc_id = f.doc_id AND n.r = f.r - a.i AND n.c = f.c - b.j WHERE f.r BETWEEN 1 AND {n - 2} AND f.c BETWEEN 1 AND {n - 2}),
     sig AS (SELECT doc_id, r, c, o AS d, 0.5 * sum(least(v * s, 0.2)) AS v FROM inn GROUP BY ALL),
     uns AS (SELECT doc_id, r, c, o AS d, 0.5 * sum(least(v * s, 0.2)) AS v FROM (SELECT doc_id, r, c, o % 9 AS o, k, s, sum(v) AS v FROM inn GROUP BY doc_id, r, c, o % 9, k, s) GROUP BY ALL),
     tex AS (SELECT doc_id, r, c, k AS d, 0.2357 * sum(least(v * s, 0.2)) AS v FROM inn GROUP BY ALL)"""
 
 
+GRADIENT, HIST, HOG = sql_gradient(PIXELS, 80), sql_hist(PIXELS, 80), sql_hog(PIXELS, 80)
+
+
 def _described(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     d = features.describe(fixtures.images(spark, sf_dir), fixtures.SBIN, kind)
     return d.select("doc_id", "r", "c", F.posexplode("feat").alias("d", "v")).select("doc_id", "r", "c", "d", *rounded("v"))
@@ -838,13 +837,80 @@ def page_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.coded.select("doc_id", "r", "c", "code")
 
 
-@query()
+#: A window in the middle of each page, whose positives are never cut; few of them and few negatives, for SQL's sake.
+WINDOW = {"x1": 29, "x2": 52, "y1": 29, "y2": 52}
+FEW = Params(shifts=(-4, 0, 4), epochs=2, eta0=0.1, lambda_=1e-2)
+NEGATIVES = 4
+_PARTS = "SELECT doc_id, r, c, d, v FROM sig UNION ALL SELECT doc_id, r, c, d + 18, v FROM uns UNION ALL SELECT doc_id, r, c, d + 27, v FROM tex"
+_SHIFTS = "sh AS (SELECT dx, dy, row_number() OVER (ORDER BY dx, dy) - 1 AS s FROM (SELECT unnest([-4, 0, 4]) AS dx), (SELECT unnest([-4, 0, 4]) AS dy))"
+_MOVED = PIXELS.replace("pix AS MATERIALIZED", "page AS MATERIALIZED") + f", {_SHIFTS}, pix AS MATERIALIZED (SELECT doc_id * 100 + s AS doc_id, (y - 16 - dy)::INTEGER AS y, (x - 16 - dx)::INTEGER AS x, v FROM page, sh WHERE y - 16 - dy BETWEEN 0 AND 47 AND x - 16 - dx BETWEEN 0 AND 47)"
+_POSITIVES = f"SELECT doc_id // 100 AS query_id, dx::BIGINT AS dx, dy::BIGINT AS dy, j, v / sqrt(sum(v * v) OVER (PARTITION BY doc_id)) AS v FROM (SELECT doc_id, (r * 2 + c) * 31 + d AS j, v FROM ({_PARTS})) JOIN sh ON s = doc_id % 100"
+
+
+def _window(pages: DataFrame) -> DataFrame:
+    return pages.select(F.col("doc_id").alias("query_id"), "doc_id", *[F.lit(v).alias(k) for k, v in WINDOW.items()])
+
+
+@query(f"WITH {sql_hog(_MOVED, 48)} SELECT query_id, dx::INTEGER AS dx, dy::INTEGER AS dy, j::INTEGER AS j, round(v, 6) AS v FROM ({_POSITIVES})")
 def positive_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Descriptors of a window on every page at all shifts."""
     pages = fixtures.images(spark, sf_dir)
-    asked = pages.select("doc_id").select(F.col("doc_id").alias("query_id"), "doc_id", F.lit(5).alias("x1"), F.lit(52).alias("x2"), F.lit(13).alias("y1"), F.lit(48).alias("y2"))
-    found = retrieval.positive_samples(asked, pages, PARAMS)
-    return found.select("query_id", "dx", "dy", F.transform("x", lambda v: F.round(v, 6)).alias("x"))
+    found = retrieval.positive_samples(geometry.query_window(_window(pages), PARAMS.sbin), pages, FEW)
+    return found.select("query_id", "dx", "dy", F.posexplode("x").alias("j", "v")).select("query_id", "dx", "dy", "j", *rounded("v"))
+
+
+_CROPPED = PIXELS.replace("pix AS MATERIALIZED", "page AS MATERIALIZED") + ", pix AS MATERIALIZED (SELECT doc_id, (y - 4)::INTEGER AS y, (x - 4)::INTEGER AS x, v FROM page WHERE y BETWEEN 4 AND 75 AND x BETWEEN 4 AND 75)"
+
+
+def sql_exemplars() -> str:
+    s = FEW
+    positives = f"pos_x AS MATERIALIZED (WITH {sql_hog(_MOVED, 48)} SELECT query_id, 1 AS sense, {_mix('query_id', '(dx + 1000)', '(dy + 1000)', '3')} AS place, dx AS a, dy AS b, list(v ORDER BY j) AS x FROM ({_POSITIVES}) GROUP BY query_id, dx, dy)"
+    cell = f"cell AS MATERIALIZED (WITH {sql_hog(_CROPPED, 72)} SELECT doc_id, r, c, list(v ORDER BY d) AS x FROM ({_PARTS}) GROUP BY doc_id, r, c)"
+    start = lambda salt: f"floor(({_mix('q.doc_id', 'p.doc_id', 'n', str(salt))}) + 0.5)::INTEGER"
+    windows_ = f"win AS (SELECT q.doc_id AS query_id, p.doc_id, n, {start(1)} AS r, {start(2)} AS c FROM (SELECT DISTINCT doc_id FROM cell) q, (SELECT DISTINCT doc_id FROM cell) p, range(0, {NEGATIVES}) t(n))"
+    negatives = f"neg AS (SELECT query_id, w.doc_id, n, flatten(list(x ORDER BY i, j)) AS x FROM win w, range(0, 2) a(i), range(0, 2) b(j) JOIN cell k ON k.doc_id = w.doc_id AND k.r = w.r + i AND k.c = w.c + j GROUP BY query_id, w.doc_id, n)"
+    both = f"both_x AS (SELECT * FROM pos_x UNION ALL SELECT query_id, -1, {_mix('query_id', 'doc_id', 'n', '4')}, doc_id, n, list_transform(x, lambda e: e / sqrt(list_dot_product(x, x))) FROM neg)"
+    return f"""WITH RECURSIVE {positives}, {cell}, {windows_}, {negatives}, {both},
+        o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY place, sense, a, b) - 1 AS i, count(*) OVER (PARTITION BY query_id) AS n FROM both_x),
+        f AS (SELECT query_id, any_value(n) AS n, 0::BIGINT AS t, list_transform(range(0, 124), lambda i: 0::DOUBLE) AS w, 0::DOUBLE AS b FROM o GROUP BY query_id
+            UNION ALL
+            SELECT query_id, n, t + 1, list_transform(range(1, 125), lambda i: w[i] * (1 - eta * {s.lambda_}::DOUBLE) + step * x[i]), b + step
+            FROM (SELECT *, CASE WHEN sense * (list_dot_product(w, x) + b) < 1 THEN eta * sense ELSE 0 END AS step
+                FROM (SELECT f.*, o.x, o.sense, {s.eta0}::DOUBLE / (1 + {s.lambda_}::DOUBLE * {s.eta0}::DOUBLE * t) AS eta FROM f JOIN o ON o.query_id = f.query_id AND o.i = f.t % f.n WHERE t < {s.epochs} * f.n)))
+        SELECT query_id, (j // 62)::INTEGER AS dr, (j // 31 % 2)::INTEGER AS dc, (j % 31)::INTEGER AS d, round(w[j + 1], 6) AS w FROM f, range(0, 124) t(j) WHERE f.t = {s.epochs} * n"""
+
+
+@query(sql_exemplars())
+def exemplar_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Templates learned from a window at its shifts against random windows of all pages, on plain descriptors."""
+    pages = fixtures.images(spark, sf_dir)
+    cells = features.describe(retrieval.crop_to_cells(pages, PARAMS.sbin), PARAMS.sbin)
+    learned = retrieval.learn_exemplars(_window(pages), pages, cells, FEW, per_page=NEGATIVES)
+    return learned.select("query_id", "dr", "dc", F.posexplode("w").alias("d", "w")).select("query_id", "dr", "dc", "d", *rounded("w"))
+
+
+def _image_truth(spark: SparkSession, sf_dir: str, pages: DataFrame) -> DataFrame:
+    """The window's place on all pages whose cell at its first corner has the label of the query's."""
+    label = fixtures.cells(spark, sf_dir).where("r = 2 AND c = 2").select("doc_id", "label").join(pages.select("doc_id"), "doc_id")
+    box = geometry.query_window(_window(pages), PARAMS.sbin).select("doc_id", "x1", "x2", "y1", "y2")
+    mine = label.select(F.col("doc_id").alias("query_id"), "label")
+    return mine.join(label, "label").join(box, "doc_id").select("query_id", "doc_id", F.col("doc_id").alias("gt_id"), "x1", "x2", "y1", "y2")
+
+
+@query()
+def image_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From page images to average precision: 121 positives and 7,744 negatives a query, axes, codebook, scores, suppression."""
+    pages = fixtures.images(spark, sf_dir)
+    got = retrieval.retrieve(_window(pages), _image_truth(spark, sf_dir, pages), pages, Params(n_codes=64), redo=1, rounds=10)
+    return got.select("query_id", "n_relevant", *rounded("ap", "recall"))
+
+
+@query()
+def grid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The grid's settings by the mean average precision of the retrieval that they give; the best one is marked."""
+    pages = fixtures.images(spark, sf_dir)
+    got = retrieval.retrieve(_window(pages), _image_truth(spark, sf_dir, pages), pages, Params(n_codes=16, pca_dim=8, shifts=(-4, 0, 4)), grid=tuning.grid(GRID), redo=1, rounds=5)
+    return retrieval.best_point(got).select("point", *rounded("mean_ap"), "best")
 
 
 # ---------------------------------------------------------------- sparse data and files

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vantage.functions import geometry
+from vantage.functions import geometry, vectors
 from vantage.model import Params
 from vantage.operators import detections, features, quantize, samples, sgd, windows
+from vantage.shared import cut
 
 
 def boxes(scored: DataFrame, sbin: int) -> DataFrame:
@@ -21,10 +22,21 @@ def boxes(scored: DataFrame, sbin: int) -> DataFrame:
     return scored.select("*", *geometry.window_box(F.col("r"), F.col("c"), one, one, F.col("th") * sbin, F.col("tw") * sbin, sbin))
 
 
+def boxes_on(scored: DataFrame, origins: DataFrame, sbin: int) -> DataFrame:
+    """Scored windows with pixel boxes on pages (doc_id, x_ini, y_ini) cropped to whole cells. A window has a cell of context on each
+    side of those that are scored."""
+    box = geometry.window_box(F.col("r"), F.col("c"), F.col("x_ini"), F.col("y_ini"), (F.col("th") + 2) * sbin, (F.col("tw") + 2) * sbin, sbin)
+    return scored.join(origins.select("doc_id", "x_ini", "y_ini"), "doc_id").select(*scored.columns, *box)
+
+
 def detect(scored: DataFrame, truth: DataFrame, params: Params) -> DataFrame:
     """Ranked detections from scored windows and true boxes (query_id, doc_id, gt_id, x1, x2, y1, y2)."""
-    best = windows.top_windows(boxes(scored, params.sbin), params.windows_per_page)
-    picked = detections.nms(best, params.nms_overlap)
+    return rank(boxes(scored, params.sbin), truth, params)
+
+
+def rank(placed: DataFrame, truth: DataFrame, params: Params) -> DataFrame:
+    """Ranked detections from scored windows with their boxes."""
+    picked = detections.nms(windows.top_windows(placed, params.windows_per_page), params.nms_overlap)
     return detections.ranked(detections.first_hits(picked, truth, params.hit_overlap))
 
 
@@ -46,11 +58,11 @@ def sampled_cells(cells: DataFrame, per_page: int, seed: int) -> DataFrame:
 def index(pages: DataFrame, params: Params, kind: str = "hog31", seed: int = 0, redo: int = 3, rounds: int = 100) -> Index:
     """Describe pages (doc_id, h, w, pixels), cropped to whole cells; fit the axes and the codebook on sampled cells; code all."""
     cropped = crop_to_cells(pages, params.sbin)
-    cells = features.describe(cropped, params.sbin, kind).persist()  # read by both fits and by the coding
+    cells = cut(features.describe(cropped, params.sbin, kind))  # read by both fits and by the coding
     per_page = max(1, params.pca_cells // max(1, pages.count()))
     pca = quantize.fit_pca(sampled_cells(cells, per_page, seed), "feat")
     low = quantize.project(cells, "feat", pca, params.pca_dim)
-    sample = sampled_cells(low, per_page, seed + 1).withColumn("i", F.xxhash64("doc_id", "r", "c")).persist()  # read each round
+    sample = cut(sampled_cells(low, per_page, seed + 1).withColumn("i", F.xxhash64("doc_id", "r", "c")))  # read each round
     book, _, _ = quantize.kmeans(sample, "feat", "i", params.n_codes, rounds, redo, seed)
     return Index(quantize.assign(low, "feat", book).drop("feat"), pca, book)
 
@@ -61,8 +73,8 @@ def crop_to_cells(pages: DataFrame, sbin: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            cut = [np.frombuffer(p.pixels, np.uint8).reshape(p.h, p.w)[p.y_ini - 1 : p.y_ini - 1 + p.crop_h, p.x_ini - 1 : p.x_ini - 1 + p.crop_w] for p in batch.itertuples()]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "h": batch["crop_h"], "w": batch["crop_w"], "x_ini": batch["x_ini"], "y_ini": batch["y_ini"], "pixels": [c.tobytes() for c in cut]})
+            inner = [np.frombuffer(p.pixels, np.uint8).reshape(p.h, p.w)[p.y_ini - 1 : p.y_ini - 1 + p.crop_h, p.x_ini - 1 : p.x_ini - 1 + p.crop_w] for p in batch.itertuples()]
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "h": batch["crop_h"], "w": batch["crop_w"], "x_ini": batch["x_ini"], "y_ini": batch["y_ini"], "pixels": [c.tobytes() for c in inner]})
 
     return sized.mapInPandas(run, "doc_id long, h int, w int, x_ini int, y_ini int, pixels binary")
 
@@ -70,14 +82,26 @@ def crop_to_cells(pages: DataFrame, sbin: int) -> DataFrame:
 def positive_samples(queries: DataFrame, pages: DataFrame, params: Params, pca: quantize.Pca | None = None, kind: str = "hog31") -> DataFrame:
     """(query_id, dx, dy, x): descriptors of the exemplar's window at every pair of shifts, normalised. queries: query_id, doc_id, x1,
     x2, y1, y2, the window; a window that the page cuts is resized to its full size."""
-    sized = queries.join(pages, "doc_id").withColumn("new_h", F.col("y2") - F.col("y1") + 1).withColumn("new_w", F.col("x2") - F.col("x1") + 1)
-    moved = samples.positive_shifts(sized, params.shifts, F.col("w"), F.col("h"))
+    sized = queries.select("query_id", "doc_id", "x1", "x2", "y1", "y2").join(pages, "doc_id").withColumn("new_h", F.col("y2") - F.col("y1") + 1).withColumn("new_w", F.col("x2") - F.col("x1") + 1)
+    reach = max(map(abs, params.shifts), default=0)
+
+    def around(batches):
+        for batch in batches:
+            tops = np.clip(batch["y1"] - 1 - reach, 0, batch["h"]), np.clip(batch["x1"] - 1 - reach, 0, batch["w"])
+            near = [np.frombuffer(p.pixels, np.uint8).reshape(p.h, p.w)[y : max(0, p.y2 + reach), x : max(0, p.x2 + reach)] for p, y, x in zip(batch.itertuples(), *tops, strict=True)]
+            yield batch.drop(columns="pixels").assign(oy=tops[0], ox=tops[1], nh=[n.shape[0] for n in near], nw=[n.shape[1] for n in near], near=[n.tobytes() for n in near])
+
+    columns = [c for c in ("query_id", "x1", "x2", "y1", "y2", "new_h", "new_w", "h", "w")]
+    kinds = dict(sized.dtypes)
+    # only what the shifts can reach of a page is copied for each of them
+    cropped = sized.select(*columns, "pixels").mapInPandas(around, ", ".join(f"{c} {kinds[c]}" for c in columns) + ", oy int, ox int, nh int, nw int, near binary")
+    moved = samples.positive_shifts(cropped, params.shifts, F.col("w"), F.col("h"))
 
     def run(batches):
         for batch in batches:
             out = []
             for p in batch.itertuples():
-                im = np.frombuffer(p.pixels, np.uint8).reshape(p.h, p.w)[p.y1 - 1 : p.y2, p.x1 - 1 : p.x2]
+                im = np.frombuffer(p.near, np.uint8).reshape(p.nh, p.nw)[p.y1 - 1 - p.oy : p.y2 - p.oy, p.x1 - 1 - p.ox : p.x2 - p.ox]
                 d = features.hog(features.bicubic(im, p.new_h, p.new_w) if p.resized else im, params.sbin, kind)
                 x = d.reshape(-1, d.shape[2])
                 x = ((x - pca.mean) @ pca.axes[:, : params.pca_dim] if pca else x).ravel()
@@ -87,6 +111,82 @@ def positive_samples(queries: DataFrame, pages: DataFrame, params: Params, pca:
     return moved.mapInPandas(run, "query_id long, dx int, dy int, x array<double>")
 
 
+def negative_samples(windows_: DataFrame, cells: DataFrame, shapes: DataFrame) -> DataFrame:
+    """(query_id, doc_id, n, x): descriptors of windows (query_id, doc_id, n, r, c), put together of cells (doc_id, r, c, feat) and
+    normalised. shapes: (query_id, bh, bw)."""
+    span = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    places = windows_.join(shapes, "query_id").withColumn("dr", span("bh")).withColumn("dc", span("bw"))
+    places = places.select("query_id", "n", "doc_id", "dr", "dc", (F.col("r") + F.col("dr")).alias("r"), (F.col("c") + F.col("dc")).alias("c"))
+    own = places.join(cells, ["doc_id", "r", "c"]).groupBy("query_id", "doc_id", "n").agg(F.array_sort(F.collect_list(F.struct("dr", "dc", "feat"))).alias("s"))  # a window's cells
+    return own.select("query_id", "doc_id", "n", vectors.normalize(F.flatten(F.transform("s", lambda s: s.feat))).alias("x"))
+
+
+def learn_exemplars(queries: DataFrame, pages: DataFrame, cells: DataFrame, params: Params, pca: quantize.Pca | None = None, kind: str = "hog31", per_page: int | None = None, grid: list[dict] | None = None) -> DataFrame:
+    """(query_id, point, dr, dc, w, th, tw): for each query a template learned from its window at all shifts against random windows
+    of all pages. queries: query_id, doc_id, x1, x2, y1, y2; pages: doc_id, h, w, pixels; cells: doc_id, r, c, feat of the cropped
+    pages. grid: settings to learn with, one template for each (point: its place); else those of params. per_page: negatives of a
+    page; else as many as params asks for. A task trains a query on its own sample, whose size the parameters fix.
+    """
+    asked = cut(geometry.query_window(queries, params.sbin))
+    places = geometry.page_crop(pages.select("doc_id", "h", "w"), params.sbin).select("doc_id", "bh", "bw")
+    if per_page is None:
+        n = places.count()
+        per_page = params.negatives(n) // max(1, n)
+    drawn = samples.negative_windows(asked.select("query_id", "bh", "bw"), places, per_page)
+    negatives = negative_samples(drawn, cells, asked.select("query_id", "bh", "bw"))
+    positives = positive_samples(asked, pages, params, pca, kind)
+    place = lambda a, b, salt: samples.draw(F.col("query_id"), a, b, F.lit(salt))
+    both = positives.select("query_id", F.lit(1).alias("sense"), place(F.col("dx") + 1000, F.col("dy") + 1000, 3).alias("place"), F.col("dx").cast("long").alias("a"), F.col("dy").cast("long").alias("b"), "x")
+    both = both.unionByName(negatives.select("query_id", F.lit(-1).alias("sense"), place(F.col("doc_id"), F.col("n"), 4).alias("place"), F.col("doc_id").alias("a"), F.col("n").cast("long").alias("b"), "x"))
+    both = both.join(asked.select("query_id", F.col("bh").alias("th"), F.col("bw").alias("tw")), "query_id")
+    base = sgd.Settings(lambda_=params.lambda_, eta0=params.eta0, epochs=params.epochs, bias_term=params.bias_term, beta=1)
+    points = [replace(base, **g) for g in grid or [{}]]
+
+    def fit(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["place", "sense", "a", "b"], kind="stable")
+        x, sense = np.array(rows["x"].tolist(), np.float64), rows["sense"].to_numpy()
+        q, th, tw = (int(rows[c].iloc[0]) for c in ("query_id", "th", "tw"))
+        at, out = np.arange(th * tw), []
+        for point, s in enumerate(points):
+            model = sgd.Hinge(np.zeros(x.shape[1]))
+            for _ in range(s.epochs):
+                for i in range(0, len(x), sgd.BLOCK):
+                    model.block(x[i : i + sgd.BLOCK], sense[i : i + sgd.BLOCK], s)
+            out.append(pd.DataFrame({"query_id": q, "point": point, "dr": at // tw, "dc": at % tw, "w": list(model.w.reshape(th * tw, -1)), "th": th, "tw": tw}))
+        return pd.concat(out)
+
+    return both.groupBy("query_id").applyInPandas(fit, "query_id long, point int, dr int, dc int, w array<double>, th int, tw int")
+
+
+def retrieve(queries: DataFrame, truth: DataFrame, pages: DataFrame, params: Params, kind: str = "hog31", grid: list[dict] | None = None, redo: int = 3, rounds: int = 100) -> DataFrame:
+    """(query_id, point, n_relevant, ap, recall): the whole chain from page images. Pages are described, projected and coded; each
+    query's template is learned; windows of all pages are scored in the code domain, suppressed, matched with truth (query_id,
+    doc_id, gt_id, x1, x2, y1, y2) and ranked. With a grid, for each of its settings."""
+    made = index(pages, params, kind, redo=redo, rounds=rounds)
+    coded = cut(made.coded)
+    spark = pages.sparkSession
+    book = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(made.codebook)], "code int, centroid array<double>")
+    cells = coded.join(F.broadcast(book), "code").select("doc_id", "r", "c", F.col("centroid").alias("feat"))  # a row per code
+    template = cut(learn_exemplars(queries, pages, cells, params, made.pca, kind, grid=grid))
+    n = len(grid or [{}])
+    each = F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("point")
+    key = (F.col("query_id") * n + F.col("point")).alias("query_id")
+    scored = windows.scores_coded(coded, windows.lookup(template.select(key, "dr", "dc", "w", "th", "tw"), book))
+    origins = geometry.page_crop(pages.select("doc_id", "h", "w"), params.sbin)
+    known = truth.select("*", each).select(key, *[c for c in truth.columns if c != "query_id"])
+    found = rank(boxes_on(scored, origins, params.sbin), known, params)
+    relevant = queries.select("query_id", each).select(key).join(known.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left").select("query_id", F.coalesce("n", F.lit(0)).alias("n_relevant"))
+    ap = detections.average_precision(found, relevant)
+    return ap.select(F.expr(f"query_id div {n}").alias("query_id"), (F.col("query_id") % n).cast("int").alias("point"), "n_relevant", "ap", "recall")
+
+
+def best_point(results: DataFrame) -> DataFrame:
+    """(point, mean_ap, best) of a grid's results: the best is the highest mean, of equal ones the first."""
+    mean = results.groupBy("point").agg(F.avg("ap").alias("mean_ap"))
+    best = mean.agg(F.max_by("point", F.struct("mean_ap", -F.col("point"))).alias("__best"))
+    return mean.join(F.broadcast(best)).select("point", "mean_ap", (F.col("point") == F.col("__best")).alias("best"))  # one row
+
+
 def unlearned(positives: DataFrame) -> DataFrame:
     """(query_id, x): the middle one of each query's positives, by dx and dy, as its template."""
     order = W.partitionBy("query_id").orderBy("dx", "dy")
