@@ -58,3 +58,39 @@ def test_clean_documents_stay(spark, odd, empty):
     assert kept.columns == frame.columns and kept.count() == len(clean)
     assert d.decontaminate(frame, items.limit(0)).count() == len(rows)
     assert d.decontaminate(empty, items).count() == 0
+
+
+def test_index_against_a_plain_search():
+    """Many items that share words and windows, looked up without Spark, also in small steps."""
+    import random
+
+    rng = random.Random(4)
+    say = lambda n, v: " ".join(f"w{rng.randrange(v)}" for _ in range(n))
+    items = [(str(i % 25), say(rng.randrange(1, 40), 6)) for i in range(40)] + [("r", "w1 " * 50)]
+    docs = [(i, say(rng.randrange(0, 200), 7)) for i in range(30)] + [(99, "w1 " * 300)]
+    counts = {}
+    for _, t in docs:
+        for w in set(t.encode().split()):
+            counts[w] = counts.get(w, 0) + 1
+    for size in (3, 10):
+        index = d.build_index([(i, t.encode()) for i, t in items], counts, size)
+        for held in (1_000_000, 7):
+            d.HELD = held
+            got = []
+            for i, t in docs:
+                spans, names = index.scan(d.words(t.encode()))
+                assert all(a < b for a, b in spans) and all(b < c for (_, b), (c, _) in zip(spans, spans[1:]))
+                got.append((str(i), len(t.split()), sum(b - a for a, b in spans), names))
+            assert sorted(got) == brute(docs, items, size)
+    d.HELD = 1_000_000
+
+
+def test_an_index_stays_small_beside_its_text():
+    import random
+    import sys
+
+    rng = random.Random(6)
+    text = " ".join(f"word{rng.randrange(20_000)}" for _ in range(200_000))
+    index = d.build_index([("a", text.encode())], {w: 1 for w in text.encode().split()}, 10)
+    flat = sum(x.nbytes for x in (index.text, index.first, index.at, index.length, index.offset, index.owner, index.owned))
+    assert flat + sum(map(sys.getsizeof, index.numbers)) + sys.getsizeof(index.numbers) < 12 * len(text)

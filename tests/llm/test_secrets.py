@@ -84,3 +84,13 @@ def test_random_strings_of_one_class_are_reported_and_words_are_not():
             assert found >= 57, (letters, n, found)
     for text in ("the key characteristics of it", "private_key = ConfigurationManagerInstance", "secret negotiations", "pass ------------", "key: 000000000000", "auth: ================", "Bearer authentication.required", "key = aaaaaaaaaaaaaaaa"):
         assert not [s for s in secrets.find(text.encode()) if s[0] == "novel"], text
+
+
+def test_candidates_beside_many_base_spans():
+    """Base spans that a candidate overlaps are found however many lie in it."""
+    from vantage.llm import secrets as own
+
+    text = 'key: "' + "/".join(f"secret={'ab12cd' * 2}" for _ in range(40)) + '" end'
+    assert [s[0] for s in own.find(text.encode())] == ["assign"] and own.find(text.encode())[0][2] == len(text) - 5
+    text = "token " + " ".join("AKIA" + "QX3Z7WVB" * 3 for _ in range(30))
+    assert {s[0] for s in own.find(text.encode())} == {"access"}

@@ -43,3 +43,19 @@ def test_odd_rows(spark, odd, empty):
     got = sharding.shard(frame, ["doc_id"], "text", 2000)
     assert sorted((str(r.doc_id), r.shard) for r in got.collect()) == sorted((d, s) for d, s, *_ in brute([(r[0], r[1]) for r in rows], 2000))
     assert sharding.shard(empty, ["doc_id"], "text").count() == 0
+
+
+def test_written_shards_hold_their_rows_and_fit(spark, tmp_path):
+    import os
+
+    docs = spark.createDataFrame([(i, "x" * (i % 90)) for i in range(200)], "doc_id long, text string")
+    sharded = sharding.shard(docs, ["doc_id"], "text", 700)
+    sharding.write_shards(sharded, f"{tmp_path}/out")
+    folders = sorted(d for d in os.listdir(f"{tmp_path}/out") if d.startswith("shard_name="))
+    want = {}
+    for r in sharded.collect():
+        want.setdefault(f"shard_name=s{r.shard}", set()).add(r.doc_id)
+    assert folders == sorted(want) and len(folders) > 8
+    for d in folders:
+        rows = spark.read.parquet(f"{tmp_path}/out/{d}").collect()
+        assert {r.doc_id for r in rows} == want[d] and len(rows) == len(want[d]) and sum(len(r.text) for r in rows) <= 700

@@ -1,16 +1,22 @@
 """Benchmark decontamination as a prefix-filtered set join.
 
 An item's windows are runs of consecutive words. A document contains a window only if it holds all its words, so one word
-is a sufficient prefix to filter by; words are ordered by rarity (the number of documents that hold them, counted over the
+is a sufficient prefix to join by; words are ordered by rarity (the number of documents that hold them, counted over the
 whole corpus) and a window is indexed under its rarest word only. Where a document has an indexed word, the window's place
 follows from the word's offset in it; windows that would begin before the document or end after it are passed over
 (positional and length bounds), and what is left is verified word by word.
+
+The join is one of hashes against an index that every task holds: the benchmark is dealt to blocks of bounded bytes, a block
+becomes an index of a few flat arrays, and all documents stream past it. Documents are not shuffled, so a word that a third
+of them has makes no task large.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,24 +26,17 @@ from vantage.llm.common import cut, join_small, map_arrow, schema_of, table, utf
 #: Maps A-Z to a-z, keeps 0-9, a-z and every byte of a non-ASCII character, and turns all else into a space.
 WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 WINDOW = 10
-#: UTF-8 bytes of benchmark text that an index holds; a larger benchmark takes several indexes, one after the other.
-INDEX_BYTES = 32 << 20
+#: UTF-8 bytes of benchmark text that an index holds, about; a larger benchmark takes several indexes, one after the other. An
+#: index has about ten bytes for each of its text's.
+INDEX_BYTES = 16 << 20
+#: Places of a document and windows under their words that are compared at once.
+HELD = 1_000_000
 
 
 def words(text: bytes | None) -> list[bytes]:
     return text.translate(WORDS).split() if text else []
 
 
-def windows(items: list[tuple[str, bytes]], size: int) -> dict[tuple[bytes, ...], set[str]]:
-    found: dict[tuple[bytes, ...], set[str]] = {}
-    for item, text in items:
-        w = words(text)
-        n = min(size, len(w))
-        for i in range(len(w) - n + 1 if w else 0):
-            found.setdefault(tuple(w[i : i + n]), set()).add(item)
-    return found
-
-
 def document_counts(docs: DataFrame, text: str, vocabulary) -> DataFrame:
     """(word, n): documents that hold each word of the broadcast vocabulary."""
 
@@ -50,45 +49,107 @@ def document_counts(docs: DataFrame, text: str, vocabulary) -> DataFrame:
     return map_arrow(docs.select(text), kernel, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def prefix_index(found: dict, counts: dict[bytes, int]) -> dict[bytes, list[tuple[int, int]]]:
-    """Rarest word -> (offset, length) of the windows under it. A window with a word that no document holds needs no entry."""
-    index: dict[bytes, set[tuple[int, int]]] = {}
-    for window in found:
-        if all(w in counts for w in window):
-            at = min(range(len(window)), key=lambda i: (counts[window[i]], window[i]))
-            index.setdefault(window[at], set()).add((at, len(window)))
-    return {w: sorted(at) for w, at in index.items()}
-
-
-def scan(w: list[bytes], index: dict, found: dict) -> tuple[list[tuple[int, int]], set[str]]:
-    """Merged spans [start, end) of hit words and the items with an occurring window."""
-    spans: list[list[int]] = []
-    items: set[str] = set()
-    n = len(w)
-    if index.keys().isdisjoint(w):
-        return [], items
-    starts = []
-    for i, word in enumerate(w):
-        if word in index:
-            for offset, length in index[word]:
-                start = i - offset
-                if start >= 0 and start + length <= n:
-                    hit = found.get(tuple(w[start : start + length]))
-                    if hit:
-                        items |= hit
-                        starts.append((start, start + length))
-    for a, b in sorted(starts):
-        if spans and a <= spans[-1][1]:
-            spans[-1][1] = max(b, spans[-1][1])
-        else:
-            spans.append([a, b])
-    return [(a, b) for a, b in spans], items
+@dataclass(frozen=True)
+class Index:
+    """Different windows of a block of items. Words are numbers by their order; `text` has all items' words, one after the other.
+    Windows lie by the word they are indexed under: those of word w at first[w] up to first[w + 1]."""
+
+    numbers: dict[bytes, int]
+    text: np.ndarray
+    first: np.ndarray
+    at: np.ndarray  # where a window begins in text
+    length: np.ndarray
+    offset: np.ndarray  # of the word that it is indexed under
+    names: list[str]
+    owner: np.ndarray  # items of a window: owner[owned[i] : owned[i + 1]]
+    owned: np.ndarray
+
+    def lookup(self, w: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(place, window) of all occurrences in a document's words."""
+        doc = np.fromiter((self.numbers.get(x, -1) for x in w), np.int64, len(w))
+        places = np.flatnonzero((doc >= 0) & (self.first[doc + 1] > self.first[doc]))
+        out = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+        fan = self.first[doc[places] + 1] - self.first[doc[places]]
+        ends = np.cumsum(fan)
+        at = 0
+        while at < len(places):
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + HELD, side="right")))
+            n = fan[at:stop]
+            window = np.repeat(self.first[doc[places[at:stop]]] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(int(n.sum()))
+            start = np.repeat(places[at:stop], n) - self.offset[window]
+            fits = (start >= 0) & (start + self.length[window] <= len(w))
+            start, window = start[fits], window[fits]
+            for k in range(int(self.length[window].max(initial=0))):
+                same = (k >= self.length[window]) | (doc[np.minimum(start + k, len(w) - 1)] == self.text[np.minimum(self.at[window] + k, len(self.text) - 1)])
+                start, window = start[same], window[same]
+            out.append((start, window))
+            at = stop
+        return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
+
+    def scan(self, w: list[bytes]) -> tuple[list[tuple[int, int]], list[str]]:
+        """Merged spans [start, end) of hit words and the items with an occurring window, sorted."""
+        if self.numbers.keys().isdisjoint(w):
+            return [], []
+        start, window = self.lookup(w)
+        if not len(start):
+            return [], []
+        order = np.argsort(start, kind="stable")
+        begin, reach = start[order], np.maximum.accumulate((start + self.length[window])[order])
+        new = np.concatenate([[True], begin[1:] > reach[:-1]])
+        ends = reach[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(begin) - 1]])]
+        found = np.unique(window)
+        items = {self.names[i] for a, b in zip(self.owned[found], self.owned[found + 1], strict=True) for i in self.owner[a:b].tolist()}
+        return list(zip(begin[new].tolist(), ends.tolist(), strict=True)), sorted(items)
+
+
+def build_index(items: list[tuple[str, bytes]], counts: dict[bytes, int], size: int) -> Index:
+    """counts: documents that hold each word. A window with a word that no document holds needs no entry."""
+    texts = [(name, own) for name, text in items if (own := words(text))]
+    numbers = {w: i for i, w in enumerate(sorted({w for _, own in texts for w in own}))}
+    names = sorted({name for name, _ in texts})
+    place = {name: i for i, name in enumerate(names)}
+    text = np.array([numbers[w] for _, own in texts for w in own], np.int64)
+    lengths = np.array([len(own) for _, own in texts], np.int64)
+    begins = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64) if len(lengths) else np.empty(0, np.int64)
+    n = np.minimum(lengths, size)
+    each = lengths - n + 1
+    owner = np.repeat(np.arange(len(texts)), each)
+    at = begins[owner] + np.arange(len(owner)) - np.concatenate([[0], np.cumsum(each)[:-1]])[owner] if len(owner) else np.empty(0, np.int64)
+    length = n[owner] if len(owner) else np.empty(0, np.int64)
+    rarity = np.array([counts.get(w, 0) for w in numbers], np.int64)  # numbers are in the order of the words
+    best, offset = np.full(len(at), np.iinfo(np.int64).max), np.zeros(len(at), np.int64)
+    digest, known = length.astype(np.uint64), np.ones(len(at), bool)
+    for k in range(int(length.max(initial=0))):
+        inside = k < length
+        word = text[np.minimum(at + k, max(0, len(text) - 1))]
+        digest = np.where(inside, (digest ^ word.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k + 1), digest)
+        known &= ~inside | (rarity[word] > 0)
+        rank = rarity[word] * len(numbers) + word
+        offset = np.where(inside & (rank < best), k, offset)
+        best = np.where(inside, np.minimum(best, rank), best)
+    at, length, offset, digest, owner = (x[known] for x in (at, length, offset, digest, owner))
+    owner = np.array([place[texts[i][0]] for i in range(len(texts))], np.int64)[owner] if len(texts) else owner
+    key = text[at + offset] if len(at) else np.empty(0, np.int64)
+    order = np.lexsort((owner, digest, key))
+    at, length, offset, digest, owner, key = (x[order] for x in (at, length, offset, digest, owner, key))
+    new = np.ones(len(at), bool)
+    if len(at) > 1:  # a window is the one before it if all their words are the same
+        same = (digest[1:] == digest[:-1]) & (length[1:] == length[:-1]) & (key[1:] == key[:-1])
+        for k in range(size):
+            same &= (k >= length[1:]) | (text[np.minimum(at[1:] + k, len(text) - 1)] == text[np.minimum(at[:-1] + k, len(text) - 1)])
+        new[1:] = ~same
+    once = np.ones(len(at), bool)
+    once[1:] = new[1:] | (owner[1:] != owner[:-1])
+    window = np.cumsum(new) - 1
+    owned = np.searchsorted(window[once], np.arange(int(new.sum()) + 1))
+    first = np.searchsorted(key[new], np.arange(len(numbers) + 2))
+    return Index(numbers, text.astype(np.int32), first, at[new].astype(np.int32), length[new].astype(np.int16), offset[new].astype(np.int16), names, owner[once].astype(np.int32), owned)
 
 
 SPANS = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 
 
-def occurrences(docs: DataFrame, text: str, index, found) -> DataFrame:
+def occurrences(docs: DataFrame, text: str, index) -> DataFrame:
     """docs' other columns, n_words, spans of hit words and items for one broadcast index."""
     kept = [c for c in docs.columns if c not in (text, "n_words", "spans", "items")]
 
@@ -96,10 +157,10 @@ def occurrences(docs: DataFrame, text: str, index, found) -> DataFrame:
         n_words, spans, items = [], [], []
         for t in utf8(batch, text):
             w = words(t)
-            s, i = scan(w, index.value, found.value)
+            s, i = index.value.scan(w)
             n_words.append(len(w))
             spans.append([{"a": a, "b": b} for a, b in s])
-            items.append(sorted(i))
+            items.append(i)
         return pa.RecordBatch.from_arrays(
             [*(batch.column(batch.schema.get_field_index(c)) for c in kept), pa.array(n_words, pa.int64()), pa.array(spans, SPANS), pa.array(items, pa.list_(pa.string()))],
             [*kept, "n_words", "spans", "items"],
@@ -113,7 +174,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 
     Null texts have no words. An item without words has no window; one of fewer than `size` words is one window. Items that
     share an id count as one; a null id is the item "". Repeated rows each give a row. The benchmark is read in blocks of
-    bounded bytes (more than one item of over INDEX_BYTES never meet in a block); results of several blocks are merged.
+    about INDEX_BYTES, dealt by a hash; results of several blocks are merged.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
@@ -123,12 +184,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     results = []
     for block in range(blocks):
         part = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block)
-        found = windows([(r.i, r.t.encode()) for r in part.toLocalIterator()], size)
-        vocabulary = spark.sparkContext.broadcast({w for window in found for w in window})
-        counts = {bytes(r.word): r.n for r in document_counts(rows, "text", vocabulary).collect()}  # no more than the block's words
+        own = [(r.i, r.t.encode()) for r in part.toLocalIterator()]
+        vocabulary = spark.sparkContext.broadcast({w for _, t in own for w in words(t)})
+        counts = {bytes(r.word): r.n for r in document_counts(rows, "text", vocabulary).toLocalIterator()}  # no more than the block's words
         vocabulary.unpersist()
-        index = prefix_index(found, counts)
-        results.append(occurrences(rows, "text", spark.sparkContext.broadcast(index), spark.sparkContext.broadcast(found)))
+        results.append(occurrences(rows, "text", spark.sparkContext.broadcast(build_index(own, counts, size))))
     if blocks == 1:
         return results[0]
     results = [cut(r) for r in results]

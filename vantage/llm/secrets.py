@@ -12,7 +12,7 @@ import math
 import re
 from collections import Counter
 from functools import cache
-from itertools import pairwise
+from itertools import islice, pairwise, takewhile
 from string import ascii_lowercase
 
 import pyarrow as pa
@@ -148,7 +148,7 @@ def find(data: bytes | None) -> list[tuple[str, int, int]]:
             a, b = m.span(1)
             while at < len(base) and base[at][2] <= a:
                 at += 1
-            if any(s < b and e > a for _, s, e in base[at : at + 8]):
+            if any(e > a for _, s, e in takewhile(lambda x: x[1] < b, islice(base, at, None))):
                 continue
             word = m[1]
             if not any(c.isdigit() for c in word) and named(word):
@@ -163,7 +163,12 @@ SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end"
 
 
 def scan(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The kept columns (all but the text by default) and spans: array of (kind, start, end), end exclusive, in code points."""
+    """The kept columns (all but the text by default) and spans: array of (kind, start, end), end exclusive, in code points.
+
+    Null and empty texts have no spans. Repeated rows each give a row. An existing column spans is replaced. A sensitive
+    context is a word of the pattern with up to 24 more word characters before the string; what surrounds a candidate, and is
+    measured with it, are AROUND characters on either side.
+    """
     names = [c for c in docs.columns if c not in (text, "spans")] if keep is None else keep
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vantage.llm.common import cut, hash60, join_small, table
+from vantage.llm.common import cut, hash60, join_small, parts, table
 
 LIMIT, SMALL = 64 << 20, 64 << 10
 BITS = 120
@@ -77,6 +77,14 @@ def shard(docs: DataFrame, key: list[str], payload: str, limit: int = LIMIT) ->
     )
 
 
+def write_shards(sharded: DataFrame, folder: str) -> None:
+    """A Parquet folder `shard_name=s<bits>` for each shard of a shard() result. The rows of a shard meet in one task, which the byte
+    limit bounds; several small shards may share a task."""
+    n = parts(sharded.sparkSession, sharded.select("shard").distinct().count(), 1)
+    named = sharded.withColumn("shard_name", F.concat(F.lit("s"), F.col("shard")))
+    named.repartition(n, "shard_name").sortWithinPartitions("shard_name").write.partitionBy("shard_name").parquet(folder)
+
+
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return shard(docs, ["doc_id"], "text").select("doc_id", "shard", "local_depth", "shard_bytes", "shard_rows", "oversized")

@@ -233,7 +233,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str, doc_id: str = "doc_id",
 
     Each file is a row (part, seq, before, n_ids, n_docs, data) of a Parquet table, so that Spark's committer makes the
     output whole although tasks fail and repeat, in any store. `before` counts the ids of the files before it in its part.
-    Null texts encode as empty: the end id alone.
+    Null texts encode as empty: the end id alone. Rows that repeat an id, or both id and text, each have their ids. Columns but
+    the two are not read, whatever their names; an empty table gives a table of files without rows.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
