@@ -27,7 +27,7 @@ def test_groups_are_limited_early(spark, name):
     assert "WindowGroupLimit" in plan(catalogue.queries()[name](spark, DATA))
 
 
-@pytest.mark.parametrize("name", ["window_scores_pq", "first_hit", "average_precision", "sparse_dot", "block_gram", "relevant_boxes"])
+@pytest.mark.parametrize("name", ["window_scores_raw", "topk_windows", "window_scores_pq", "first_hit", "average_precision", "sparse_dot", "block_gram", "relevant_boxes"])
 def test_joins_have_keys(spark, name):
     assert "CartesianProduct" not in plan(catalogue.queries()[name](spark, DATA))
 
@@ -35,3 +35,11 @@ def test_joins_have_keys(spark, name):
 @pytest.mark.parametrize("name", ["relevant_counts", "window_scores_raw", "window_scores_pq", "ovr_loss"])
 def test_aggregates_combine_before_the_shuffle(spark, name):
     assert "partial_" in plan(catalogue.queries()[name](spark, DATA))
+
+
+@pytest.mark.parametrize("name", ["window_scores_raw", "window_scores_pq"])
+def test_cells_join_templates_by_place_or_code(spark, name):
+    """The one nested-loop join left is with the single row of the templates' frame, or with the codebook."""
+    text = plan(catalogue.queries()[name](spark, DATA))
+    assert re.search(r"HashJoin|SortMergeJoin", text)
+    assert not re.search(r"NestedLoopJoin.*\(r#\d+ >=", text)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from vantage.functions import geometry
 from vantage.functions import vectors as V
-from vantage.operators import annotations, quantize
+from vantage.operators import annotations, quantize, sparse
 from vantage.sources import generators, images, text, vecs
 
 
@@ -140,3 +140,54 @@ def test_quantisers(spark):
     assert g.w.sum() == pytest.approx(1)
     f = quantize.fisher(df.withColumn("g", F.col("i") % 2), "g", "v", g, weights=True, sigma=True).collect()
     assert len(f) == 2 and all(len(r.fisher) == 3 + 18 and np.linalg.norm(r.fisher) == pytest.approx(1) for r in f)
+
+
+def test_vectors_one_by_one(tmp_path):
+    for kind, vectors in (("fvecs", [[1.5, -2.0], [], [3.0]]), ("ivecs", [[1, -2, 7], [4]]), ("bvecs", [[0, 255]])):
+        with open(tmp_path / kind, "wb") as out:
+            for v in vectors:
+                vecs.write_one(out, v, kind)
+        with open(tmp_path / kind, "rb") as stream:
+            for v in vectors:
+                assert vecs.read_one(stream, kind).tolist() == v
+            assert vecs.read_one(stream, kind) is None
+    (tmp_path / "broken").write_bytes(struct.pack("<if", 2, 1.0))
+    with open(tmp_path / "broken", "rb") as stream, pytest.raises(ValueError):
+        vecs.read_one(stream)
+
+
+def test_ordered_files_are_read_in_order(spark, tmp_path):
+    df = spark.range(200).select(((F.col("id") * 37) % 200).alias("k")).select("k", F.array(F.col("k").cast("float")).alias("v")).repartition(5)
+    vecs.write_ordered(df, f"{tmp_path}/all", "k")
+    assert [r.v[0] for r in vecs.read(spark, f"{tmp_path}/all", kind="fvecs").orderBy("idx").collect()] == [float(i) for i in range(200)]
+
+
+def test_file_statistics_read_no_vector(spark, tmp_path):
+    """Four bytes a file: a file that claims more than it holds is not noticed."""
+    (tmp_path / "a.fvecs").write_bytes(struct.pack("<i", 3) + b"x" * 100)
+    (tmp_path / "b.fvecs").write_bytes(b"")
+    got = sorted((r.path[-7:], r.n, r.d) for r in vecs.file_sizes(spark, f"{tmp_path}/*.fvecs").collect())
+    assert got == [("a.fvecs", 104 // 16, 3), ("b.fvecs", 0, 0)]
+
+
+def test_compressed_rows(spark):
+    got = sorted(map(tuple, sparse.from_csr(spark, [0, 2, 2, 3], [1, 4, 0], [1.0, 0.0, -2.0]).collect()))
+    assert got == [(0, 1, 1.0), (2, 0, -2.0)]
+    with pytest.raises(ValueError):
+        sparse.from_csr(spark, [0, 2], [1], [1.0])
+
+
+def test_numbers_of_rows(spark):
+    df = spark.range(997).select((F.col("id") * 7919 % 997).alias("k"))
+    got = {r.k: r.place for r in annotations.numbered(df, "k", "place").collect()}
+    assert got == {i: i for i in range(997)}
+    assert annotations.numbered(df.limit(0), "k", "place").count() == 0
+
+
+def test_fits_do_not_depend_on_partitions(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 4)) + 1e6
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "i long, v array<double>")
+    for parts in (1, 7, 400):
+        n, mean, cov = quantize.moments(df.repartition(parts), "v")
+        assert n == 300 and np.allclose(mean, x.mean(0)) and np.allclose(cov, np.cov(x.T), atol=1e-6)

@@ -361,6 +361,16 @@ def pq_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("vec_id", F.round(quantize.pq_dot(F.col("codes"), tables), 6).alias("dot"))
 
 
+@query(f"WITH {_PQ}, d AS (SELECT vec_id, (q * 16 + i - 1)::INTEGER AS j, y[i] AS y FROM pq JOIN b USING (q, code), range(1, 17) t(i)), n AS (SELECT vec_id, sum(y * y) AS n2 FROM d GROUP BY vec_id) SELECT vec_id, j, round(n2, 6) AS n2, round(x[j + 1] - 2 * y, 6) AS v FROM d JOIN n USING (vec_id) JOIN v USING (vec_id)")
+def pq_axpy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector less twice its coded form, with the coded form's squared norm."""
+    books = _books(spark, sf_dir)
+    coded = quantize.pq_encode(fixtures.vectors(spark, sf_dir), "embedding", books)
+    book = quantize.books_column(books)
+    out = coded.select("vec_id", F.round(quantize.pq_norm2(F.col("codes"), book), 6).alias("n2"), F.posexplode(quantize.pq_axpy(F.col("embedding"), F.lit(-2.0), F.col("codes"), book)).alias("j", "v"))
+    return out.select("vec_id", "j", "n2", *rounded("v"))
+
+
 def sql_gmm(k: int, rounds: int, floor: float = 1e-6) -> str:
     """Rounds of EM, one after the other, on rows (component, place)."""
     parts = [f"first AS ({sql_first(k, 0)})", "e AS MATERIALIZED (SELECT vec_id, generate_subscripts(x, 1) - 1 AS j, unnest(x) AS x FROM v)", f"g AS (SELECT j, greatest(var_samp(x), {floor}) AS s FROM e GROUP BY j)"]
@@ -512,7 +522,7 @@ def retrieval_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = fixtures.cells(spark, sf_dir)
     asked = fixtures.queries(cells, 1, 2)
     pages = cells.select("doc_id").distinct().select("doc_id", F.lit(fixtures.SIDE).alias("bh"), F.lit(fixtures.SIDE).alias("bw"))
-    negatives = samples.negative_windows(asked.select("query_id", F.col("th").alias("bh"), F.col("tw").alias("bw")), pages, 16)
+    negatives = samples.negative_windows(asked.select("query_id", F.col("th").alias("bh"), F.col("tw").alias("bw")), pages, PARAMS.negatives_per_positive)
     learned = retrieval.learn(windows.templates(asked, cells), cells, PARAMS, negatives)
     means = fixtures.label_means(spark, sf_dir)
     coded = quantize.assign(cells.select("doc_id", "r", "c", "feat"), "feat", means).drop("feat")
@@ -549,6 +559,23 @@ def _page_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixtures.cells(spark, sf_dir).where("label IS NOT NULL").select("doc_id", "vec_id", "label", "feat")
 
 
+@query(f"""
+    WITH RECURSIVE {CELLS}, s AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY vec_id) - 1 AS i, count(*) OVER (PARTITION BY doc_id) AS n, k, CASE WHEN label = k THEN 1 ELSE -1 END AS y, x FROM cells, range(0, 2) t(k) WHERE label IS NOT NULL),
+    o AS MATERIALIZED (SELECT doc_id, k, y, x, row_number() OVER (PARTITION BY doc_id, k ORDER BY i) - 1 AS i, count(*) OVER (PARTITION BY doc_id, k) AS n FROM s),
+    f AS (SELECT doc_id, k, any_value(n) AS n, 0::BIGINT AS t, list_transform(range(0, 64), lambda i: 0::DOUBLE) AS w, 0::DOUBLE AS b FROM o GROUP BY doc_id, k
+        UNION ALL
+        SELECT doc_id, k, n, t + 1, list_transform(range(1, 65), lambda i: w[i] * (1 - eta * {BINARY.lambda_}) + step * x[i]), b + step
+        FROM (SELECT *, CASE WHEN y * (list_dot_product(w, x) + b) < 1 THEN eta * y ELSE 0 END AS step
+            FROM (SELECT f.*, o.x, o.y, {BINARY.eta0}::DOUBLE / (1 + {BINARY.lambda_}::DOUBLE * {BINARY.eta0}::DOUBLE * t) AS eta FROM f JOIN o ON o.doc_id = f.doc_id AND o.k = f.k AND o.i = f.t % f.n WHERE t < {BINARY.epochs} * f.n)))
+    SELECT doc_id, k::INTEGER AS k, (generate_subscripts(w, 1) - 1)::INTEGER AS j, round(unnest(w), 6) AS w FROM (SELECT doc_id, k, list_append(w, b) AS w FROM f WHERE t = {BINARY.epochs} * n)""")
+def sgd_binary_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hinge classifiers of two labels on each page's own cells, as a Catalyst fold."""
+    rows = _page_samples(spark, sf_dir).withColumn("k", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("y", F.when(F.col("label") == F.col("k"), 1).otherwise(-1))
+    ordered = rows.groupBy("doc_id", "k").agg(F.array_sort(F.collect_list(F.struct("vec_id", "y", F.col("feat").alias("x")))).alias("s"))  # a page's cells
+    m = ordered.select("doc_id", "k", sgd.binary_fold(F.col("s"), 64, BINARY).alias("m"))
+    return m.select("doc_id", "k", F.posexplode(F.concat("m.w", F.array("m.b"))).alias("j", "w")).select("doc_id", "k", "j", *rounded("w"))
+
+
 def _multiclass(spark: SparkSession, sf_dir: str, s: sgd.Settings) -> DataFrame:
     """A model per page, of its own cells: (doc_id, class_id, j, w), bias last."""
 
@@ -932,6 +959,16 @@ def sparse_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sparse.dots(s, s, pairs).select("a", "b", *rounded("dot"))
 
 
+@query(f"WITH {_SPARSE}, n AS (SELECT i, sum(v * v) AS n2 FROM s GROUP BY i), e AS (SELECT i, j, sum(v) AS v FROM (SELECT i, j, v FROM s UNION ALL SELECT i - 1, j, 0.5 * v FROM s) GROUP BY i, j) SELECT i, round(any_value(n2), 6) AS n2, count(*) AS n, round(sum(v * (j + 1)), 6) AS moment FROM e JOIN n USING (i) WHERE v <> 0 GROUP BY i")
+def sparse_axpy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector, small components left out, plus half the next one: its entries and their first moment, with its squared norm."""
+    s = _sparse(spark, sf_dir)
+    nxt = s.select((F.col("i") - 1).alias("i"), "j", "v")
+    half = nxt.select("i").distinct().withColumn("a", F.lit(0.5))
+    e = sparse.axpy(s, half, nxt).join(sparse.norms2(s), "i")
+    return e.groupBy("i").agg(F.round(F.first("n2"), 6).alias("n2"), F.count("*").alias("n"), F.round(F.sum(F.col("v") * (F.col("j") + 1)), 6).alias("moment"))
+
+
 @query(f"WITH {V_ALL}, {MEANS} SELECT vec_id AS i, k, round(list_dot_product(x, centroid), 6) AS v FROM (SELECT vec_id, x, unnest([label, (label + 3) % 10])::INTEGER AS k FROM v WHERE label IS NOT NULL) JOIN book ON code = k")
 def sparse_subset_matmul(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = fixtures.vectors(spark, sf_dir).where("label IS NOT NULL")
