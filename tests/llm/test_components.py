@@ -38,3 +38,17 @@ def test_components(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame([*edges, (None, 4)], "a long, b long"), "a", "b").collect()}
     assert got == {k: v for k, v in roots(edges).items() if k != 1}
     assert components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
+
+
+def test_contraction_and_one_task_agree(spark, monkeypatch):
+    import random
+
+    from vantage.llm import components as module
+
+    rng = random.Random(3)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(300)] + [(i, i + 1) for i in range(1000, 1060)] + [(2000, i) for i in range(2001, 2100)]
+    frame = spark.createDataFrame(edges, "a long, b long")
+    want = roots([e for e in edges if e[0] != e[1]])
+    for limit in (0, 1 << 20):
+        monkeypatch.setattr(module, "AT_ONCE", limit)
+        assert {r.node: r.root for r in components(frame, "a", "b").collect()} == want

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,19 +34,42 @@ class Forest:
             np.minimum.at(self.parent, np.maximum(a, b), np.minimum(a, b))
 
 
+#: Edges of which one task finds the components at once; longer tables are contracted step by step.
+AT_ONCE = 200_000
+
+
+def _at_once(e: DataFrame) -> DataFrame:
+    """components() of edges (u, v) that are few, in one task."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        got = pa.Table.from_batches(held)
+        nodes, at = np.unique(np.concatenate([got.column(0).to_numpy(), got.column(1).to_numpy()]), return_inverse=True)
+        forest = Forest(len(nodes))
+        forest.union(at[: got.num_rows], at[got.num_rows :])
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[forest.roots()])], ["node", "root"])
+
+    return e.repartition(1).mapInArrow(kernel, "node long, root long")
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, root) for every node on an edge; root is the smallest node of its component. Ids are longs; null ends are ignored.
 
     Alternates large-star and small-star steps until the edges are stars. A step is one aggregation (combined before
     the shuffle) and one join on the node, so a hub's edges are never gathered in one task: the join streams them and
-    adaptive execution splits a skewed side. Edges never reach the driver; only a count and a checksum do.
+    adaptive execution splits a skewed side. Edges never reach the driver; only a count and a checksum do. Up to AT_ONCE
+    edges are left to one task, with the same result.
     """
     e = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v")
     e = cut(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     seen = None
     while True:
         state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(state) == seen or not state[0]:
+        if state[0] <= AT_ONCE:
+            return _at_once(e)
+        if tuple(state) == seen:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select("v", "v").distinct())
         seen = tuple(state)
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -28,7 +28,7 @@ from vantage.llm.common import cut, join_small, map_arrow, schema_of, table
 
 UNKNOWN = "und"
 #: Labelled rows that the classifier is fitted on at most, on average: rows are taken by a hash of their id at this rate.
-SAMPLE_ROWS = 3000
+SAMPLE_ROWS = 2000
 BUCKETS, WIDTH, EPOCHS, RATE, EXCERPTS, HELD = 1 << 15, 16, 6, 0.5, 2, 0.2
 #: Share of the rightly judged calibration texts, whole ones and short excerpts, that rejection may lose, and share of the
 #: scrambled ones that it finds where that costs no more clean ones.

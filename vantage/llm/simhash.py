@@ -30,7 +30,7 @@ LANES = np.uint64(0x0101010101010101)
 #: Fingerprints that a tree aims at; a shard of more becomes several trees, all of which its members search.
 TREE = 2048
 #: Bytes of trees that are broadcast at once, and bytes of a tree per fingerprint.
-WAVE, NODE_BYTES = 64 << 20, 40
+WAVE, NODE_BYTES = 16 << 20, 20
 #: Pairs of a query and a node, or a child of it, that a search step holds at once.
 FRONTIER = 1_000_000
 #: Linked pairs that a task holds before it reduces them to trees of links.
@@ -103,7 +103,7 @@ def bk_search(queries: np.ndarray, asking: np.ndarray, start: np.ndarray, fp: np
     stack = [(asking, start)]
     while stack:
         q, node = stack.pop()
-        fan = offsets[node + 1] - offsets[node]
+        fan = (offsets[node + 1] - offsets[node]).astype(np.int64)
         if len(q) > 1 and len(q) + int(fan.sum()) > FRONTIER:
             half = len(q) // 2
             stack += [(q[half:], node[half:]), (q[:half], node[:half])]
@@ -191,11 +191,11 @@ def wave_of(rows: list, families: int) -> Wave:
     """rows of trees(), as one structure. A tree's root is its first node, as bk_forest makes it."""
     rows = sorted(rows, key=lambda r: (r.family, r.shard))
     fps = [np.frombuffer(r.fps, "<u8") for r in rows]
-    base = np.concatenate([[0], np.cumsum([len(x) for x in fps])]).astype(np.int64)
+    base = np.concatenate([[0], np.cumsum([len(x) for x in fps])]).astype(np.int32)
     children = [np.frombuffer(r.children, "<i4") for r in rows]
-    edges = np.concatenate([[0], np.cumsum([len(x) for x in children])]).astype(np.int64)
+    edges = np.concatenate([[0], np.cumsum([len(x) for x in children])]).astype(np.int32)
     offsets = [np.frombuffer(r.offsets, "<i4")[:-1] + e for r, e in zip(rows, edges, strict=False)]
-    join = lambda x, kind: np.concatenate(x).astype(kind) if x else np.empty(0, kind)
+    join = lambda x, kind: np.concatenate(x) if x else np.empty(0, kind)
     family, shard = np.array([r.family for r in rows], np.int64), np.array([r.shard for r in rows], np.int64)
     shards, first = [], []
     for i in range(families):
@@ -203,8 +203,8 @@ def wave_of(rows: list, families: int) -> Wave:
         names, at = np.unique(shard[own], return_index=True)
         shards.append(names)
         first.append(np.concatenate([own[at], [own[-1] + 1 if len(own) else 0]]))
-    keys = join([np.frombuffer(r.keys, "u1") for r in rows], np.int64)
-    return Wave(shards, first, base[:-1], join(fps, np.uint64), np.concatenate([join(offsets, np.int64), edges[-1:]]), join([c + b for c, b in zip(children, base, strict=False)], np.int64), keys)
+    keys = join([np.frombuffer(r.keys, "u1") for r in rows], np.uint8)
+    return Wave(shards, first, base[:-1].astype(np.int64), join(fps, np.uint64), np.concatenate([join(offsets, np.int32), edges[-1:]]), join([c + b for c, b in zip(children, base, strict=False)], np.int32), keys)
 
 
 def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -232,8 +232,9 @@ def fingerprint_links(values: DataFrame, fp: str, radius: int = 3, tree: int = T
     found = None
     for w in range(waves):
         # about `wave` bytes of trees: a shard's place in a wave is by its number, its number by a hash
-        rows = forest.where(F.pmod("shard", F.lit(waves)) == w).collect()
+        rows = list(forest.where(F.pmod("shard", F.lit(waves)) == w).toLocalIterator())
         shared = spark.sparkContext.broadcast(wave_of(rows, len(masks)))
+        del rows
 
         def link(batches: Iterator[pa.RecordBatch], shared=shared, w=w) -> Iterator[pa.RecordBatch]:
             t = shared.value
