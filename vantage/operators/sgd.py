@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vantage.functions import draws as drawn_by
 from vantage.functions import vectors as V
 
 ALGORITHMS = ("ovr", "mul", "rnk", "war")
@@ -65,19 +66,11 @@ class Linear:
         return np.hstack([self.w, (self.b * s.bias_term)[:, None]])
 
 
-def draw_key(i, k, epoch, seed: int):
-    """What the other classes of a sample are ordered by: arithmetic on its place, the class, the epoch and the seed."""
-    a = ((i + 1) * 48271 + (epoch + 1) * 7919 + seed * 104729) % 2147483647
-    b = (a * a + (k + 1) * 69621) % 2147483647
-    c = (b * b + a) % 2147483647
-    return (c * c + 11) % 2147483647
-
-
 def draws(n: int, y: np.ndarray, classes: int, s: Settings, epoch: int, first: int = 0) -> np.ndarray:
     """Orders of the other classes per sample, pre-drawn: the first beta of them serve ovr, the first rnk, all war. first: the
     place of the first sample among all."""
     i, k = np.arange(first, first + n)[:, None], np.arange(classes)[None]
-    order = draw_key(i, k, epoch, s.seed).argsort(1, kind="stable")
+    order = drawn_by.key(i, k, epoch, s.seed).argsort(1, kind="stable")
     return order[order != y[:, None]].reshape(n, classes - 1)
 
 
@@ -298,8 +291,7 @@ def train_ovr(samples: DataFrame, place: str, y: str, x: str, classes: int, s: S
     beta = min(s.beta or int(classes**0.5), classes - 1)
     own = F.col(y).cast("int")
     epochs = samples.select(F.col(place).cast("long").alias("__i"), own.alias("__y"), x, F.explode(F.sequence(F.lit(0), F.lit(s.epochs - 1))).alias("__e"))
-    key = lambda k: draw_key(F.col("__i"), k, F.col("__e"), s.seed)
-    others = F.array(*[F.struct(key(F.lit(k).cast("long")).alias("c"), F.lit(k).alias("k")) for k in range(classes)])
+    others = F.array(*[F.struct(drawn_by.key(F.col("__i"), F.lit(k).cast("long"), F.col("__e"), s.seed).alias("c"), F.lit(k).alias("k")) for k in range(classes)])
     drawn = F.slice(F.array_sort(F.filter(others, lambda o: o.k != F.col("__y"))), 1, beta)
     touched = F.explode(F.concat(F.array(F.col("__y")), F.transform(drawn, lambda o: o.k))).alias("class_id")
     steps = epochs.select("__i", "__e", "__y", x, touched)

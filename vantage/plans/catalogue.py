@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vantage import shared
+from vantage.functions import draws as drawn_by
 from vantage.functions import geometry
 from vantage.functions import vectors as V
 from vantage.model import GRID, Params
@@ -590,15 +591,13 @@ def _multiclass(spark: SparkSession, sf_dir: str, s: sgd.Settings) -> DataFrame:
 
 def sql_draws(i: str, epoch: str, label: str, classes: int = 10, seed: int = 0) -> str:
     """The other classes of the i-th sample in drawn order."""
-    a = f"(({i} + 1) * 48271 + ({epoch} + 1) * 7919 + {seed * 104729}) % 2147483647"
-    b = f"((({a}) * ({a}) + (k + 1) * 69621) % 2147483647)"
-    c = f"(({b} * {b} + {a}) % 2147483647)"
-    key = f"(({c} * {c} + 11) % 2147483647)"
+    key = drawn_by.key_sql(i, "k", epoch, seed)
     return f"list_transform(list_sort(list_transform(list_filter(range(0, {classes}), lambda k: k <> {label}), lambda k: {{'c': {key}, 'k': k}})), lambda drawn_: drawn_.k)"
 
 
-def sql_multiclass(algo: str, epochs: int = 3) -> str:
-    """The fold of a trainer with the default settings over each page's samples; the bias is the last component."""
+def sql_fold(algo: str, epochs: int, etas: list[float]) -> str:
+    """The fold of a trainer with the default settings, but for its first step, over each page's samples, as f (doc_id, e0, n, t, w);
+    the bias is the last component of w."""
     touched = {"ovr": "list_concat([label], others[1:4])", "mul": "range(0, 10)", "rnk": "range(0, 10)", "war": "range(0, 10)"}[algo]
     broken = "list_transform(others, lambda o: 1 - sc[label + 1] + sc[o + 1] > 0)"
     other = {
@@ -612,17 +611,36 @@ def sql_multiclass(algo: str, epochs: int = 3) -> str:
     return f"""
     WITH RECURSIVE {CELLS}, s AS (SELECT doc_id, label, x, row_number() OVER (PARTITION BY doc_id ORDER BY vec_id) - 1 AS i, count(*) OVER (PARTITION BY doc_id) AS n FROM cells WHERE label IS NOT NULL),
     drawn AS MATERIALIZED (SELECT s.*, e AS epoch, {sql_draws('s.i', 'e', 's.label')} AS others FROM s, range(0, {epochs}) t(e)),
-    f AS (SELECT doc_id, any_value(n) AS n, 0::BIGINT AS t, list_transform(range(0, 10), lambda k: list_transform(range(0, 65), lambda i: 0::DOUBLE)) AS w FROM s GROUP BY doc_id
+    f AS (SELECT doc_id, e0, any_value(n) AS n, 0::BIGINT AS t, list_transform(range(0, 10), lambda k: list_transform(range(0, 65), lambda i: 0::DOUBLE)) AS w FROM s, (SELECT unnest({etas})::DOUBLE AS e0) GROUP BY doc_id, e0
         UNION ALL
-        SELECT doc_id, n, t + 1, list_transform(range(0, 10), lambda k: list_transform(range(1, 66), lambda i: w[k + 1][i] * (CASE WHEN i < 65 AND list_contains(touched, k) THEN 1 - eta * 0.0001::DOUBLE ELSE 1 END)
+        SELECT doc_id, e0, n, t + 1, list_transform(range(0, 10), lambda k: list_transform(range(1, 66), lambda i: w[k + 1][i] * (CASE WHEN i < 65 AND list_contains(touched, k) THEN 1 - eta * 0.0001::DOUBLE ELSE 1 END)
             + ({gain}) * (CASE WHEN i < 65 THEN x[i] ELSE 0.1::DOUBLE END)))
         FROM (SELECT *, {step} AS step FROM (SELECT *, {other} AS other FROM (SELECT *, {touched} AS touched, list_transform(range(0, 10), lambda k: sc[k + 1] + CASE WHEN k = label THEN 0 ELSE 1 END) AS rival FROM (
-            SELECT f.*, d.label, d.x, d.others, 0.1::DOUBLE / (1 + 0.0001::DOUBLE * 0.1::DOUBLE * t) AS eta, list_transform(range(0, 10), lambda k: list_dot_product(f.w[k + 1][1:64], d.x) + f.w[k + 1][65] * 0.1::DOUBLE) AS sc
-            FROM f JOIN drawn d ON d.doc_id = f.doc_id AND d.i = f.t % f.n AND d.epoch = f.t // f.n)))))
-    , m AS (SELECT doc_id, unnest(range(0, 10))::INTEGER AS class_id, w FROM f WHERE t = {epochs} * n)
+            SELECT f.*, d.label, d.x, d.others, e0 / (1 + 0.0001::DOUBLE * e0 * t) AS eta, list_transform(range(0, 10), lambda k: list_dot_product(f.w[k + 1][1:64], d.x) + f.w[k + 1][65] * 0.1::DOUBLE) AS sc
+            FROM f JOIN drawn d ON d.doc_id = f.doc_id AND d.i = f.t % f.n AND d.epoch = f.t // f.n)))))"""
+
+
+def sql_multiclass(algo: str, epochs: int = 3) -> str:
+    return f"""{sql_fold(algo, epochs, [0.1])},
+    m AS (SELECT doc_id, unnest(range(0, 10))::INTEGER AS class_id, w FROM f WHERE t = {epochs} * n)
     SELECT doc_id, class_id, (j - 1)::INTEGER AS j, round(w[class_id + 1][j] * (CASE WHEN j = 65 THEN 0.1::DOUBLE ELSE 1 END), 6) AS w FROM m, range(1, 66) t(j)"""
 
 
+def sql_eta(algo: str) -> str:
+    """The step that sgd.search_eta finds: objectives after one epoch for powers of two, and the first at which they rise again."""
+    own = "sc[label + 1]"
+    hinge = "greatest(0, 1 - CASE WHEN k = label THEN 1 ELSE -1 END * sc[k + 1])"
+    margin = f"CASE WHEN k = label THEN 0 ELSE 1 END + sc[k + 1] - {own}"
+    loss = {"ovr": f"sum({hinge} * CASE WHEN k = label THEN 0.2::DOUBLE / c ELSE 0.8::DOUBLE / (n - c) END)", "mul": f"max({margin})", "rnk": f"sum(greatest(0, {margin}))"}[algo]
+    return f"""({sql_fold(algo, 1, [2.0**p for p in range(-16, 9)])},
+        z AS (SELECT f.doc_id, e0, f.n, s.i, s.label, w, list_transform(range(0, 10), lambda k: list_dot_product(f.w[k + 1][1:64], s.x) + f.w[k + 1][65] * 0.1::DOUBLE) AS sc FROM f JOIN s ON s.doc_id = f.doc_id WHERE f.t = f.n),
+        l AS (SELECT z.doc_id, e0, i, {loss} AS l FROM z JOIN (SELECT doc_id, k, count(*) FILTER (label = k) AS c FROM s, range(0, 10) t(k) GROUP BY doc_id, k) h ON h.doc_id = z.doc_id GROUP BY z.doc_id, e0, i),
+        r AS (SELECT doc_id, e0, 0.5 * 0.0001::DOUBLE * list_sum(list_transform(w, lambda v: list_dot_product(v[1:64], v[1:64]) + (v[65] * 0.1::DOUBLE) ** 2)) AS r FROM f WHERE t = n),
+        c AS (SELECT doc_id, e0, sum(l) + any_value(r) AS c FROM l JOIN r USING (doc_id, e0) GROUP BY doc_id, e0),
+        p AS (SELECT *, lead(c) OVER (PARTITION BY doc_id ORDER BY e0) AS up, lag(c) OVER (PARTITION BY doc_id ORDER BY e0) AS down, any_value(c) FILTER (e0 = 2) OVER w > any_value(c) FILTER (e0 = 1) OVER w AS falls FROM c WINDOW w AS (PARTITION BY doc_id))
+        SELECT doc_id, '{algo}' AS algo, CASE WHEN any_value(falls) THEN max(e0) FILTER (e0 <= 1 AND NOT c > down) / 2 ELSE min(e0) FILTER (e0 >= 2 AND NOT c > up) END AS eta0 FROM p GROUP BY doc_id)"""
+
+
 @query(sql_multiclass("ovr"))
 def sgd_ovr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _multiclass(spark, sf_dir, sgd.Settings("ovr", epochs=3))
@@ -703,7 +721,7 @@ def objective(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.agg(F.round(F.sum(worst) + 0.5 * 1e-4 * w2, 6).alias("objective"))
 
 
-@query()
+@query(" UNION ALL ".join(f"SELECT * FROM {sql_eta(a)}" for a in ("ovr", "mul", "rnk")))
 def eta0_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("vec_id")
@@ -1022,6 +1040,15 @@ def svmlight_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("label", "j", "v").agg(F.count("*").alias("n"))
 
 
-@query()
+def sql_toy(per_class: int = 200, spread: float = 0.05, seed: int = 1) -> str:
+    u = lambda i, j, e: drawn_by.uniform_sql(i, j, str(e), seed)
+    noise = f"sqrt(-2 * ln({u('i', 'j', 1)})) * cos(2 * pi() * {u('i', 'j', 2)})"
+    half = f"row_number() OVER (ORDER BY {drawn_by.key_sql('i', '0', '3', seed)}, i) % 2"
+    return f"""SELECT i AS idx, (i // {per_class})::INTEGER AS label, j::INTEGER AS j, round({u(f'(i // {per_class})', 'j', 0)} + {spread}::DOUBLE * {noise}, 6) AS x, split
+        FROM (SELECT i, CASE WHEN {half} = 0 THEN 'test' ELSE 'train' END AS split FROM range(0, {5 * per_class}) a(i)), range(0, 2) b(j)"""
+
+
+@query(sql_toy())
 def toy_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return generators.toy_mixture(spark)
+    toy = generators.toy_mixture(spark)
+    return toy.select("idx", "label", "split", F.posexplode("x").alias("j", "x")).select("idx", "label", "j", *rounded("x"), "split")

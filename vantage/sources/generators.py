@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from vantage.functions import draws
+
 
 def read_gmm(spark: SparkSession, path: str) -> DataFrame:
     """(w, mu, sigma) of a mixture file: int32 d, int32 k, then k weights, k x d means and k x d variances as float32."""
@@ -32,9 +36,10 @@ def gmm_bytes(w: np.ndarray, mu: np.ndarray, sigma: np.ndarray) -> bytes:
 
 def toy_mixture(spark: SparkSession, d: int = 2, n_classes: int = 5, per_class: int = 200, spread: float = 0.05, seed: int = 1) -> DataFrame:
     """(idx, label, x, split): a Gaussian around a random centre in the unit cube per class; a random half trains."""
-    centre = F.transform(F.sequence(F.lit(1), F.lit(d)), lambda j: F.pmod(F.xxhash64("label", j, F.lit(seed)), F.lit(1 << 30)) / (1 << 30))
-    noise = F.array(*[F.randn(seed + 1 + j) for j in range(d)])
+    u = lambda i, j, e: draws.uniform(i.cast("long"), F.lit(j).cast("long"), F.lit(e).cast("long"), seed)
+    normal = lambda j: F.sqrt(-2 * F.log(u(F.col("idx"), j, 1))) * F.cos(2 * math.pi * u(F.col("idx"), j, 2))
     rows = spark.range(n_classes * per_class).select(F.col("id").alias("idx"), F.expr(f"cast(id div {per_class} AS int)").alias("label"))
-    rows = rows.withColumn("x", F.zip_with(centre, noise, lambda c, e: c + spread * e))
-    half = F.row_number().over(W.orderBy(F.xxhash64("idx", F.lit(seed)), "idx")) % 2  # as many rows as are asked for
+    rows = rows.withColumn("x", F.array(*[u(F.col("label"), j, 0) + spread * normal(j) for j in range(d)]))
+    order = draws.key(F.col("idx"), F.lit(0).cast("long"), F.lit(3).cast("long"), seed)
+    half = F.row_number().over(W.orderBy(order, "idx")) % 2  # as many rows as are asked for
     return rows.withColumn("split", F.when(half == 0, "test").otherwise("train"))
