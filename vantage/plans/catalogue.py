@@ -60,6 +60,13 @@ V_ALL = "v AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings)"
 Q_SOME = "q AS (SELECT vec_id AS query_id, x FROM v WHERE vec_id % 20 = 0)"
 
 
+def _mix(*places: str) -> str:
+    mixed = "12345::BIGINT"
+    for i, p in enumerate(places):
+        mixed = f"(({mixed} * 48271 + {p} * {7919 + 2 * i} + 11) % 2147483647)"
+    return f"({mixed} % 10007) / 10007.0::DOUBLE"
+
+
 def sql_windows(th: int, tw: int, norm: bool = True) -> str:
     score = "sum(list_dot_product(a.x, t.w))" + (" / sqrt(sum(list_dot_product(a.x, a.x)))" if norm else "")
     return f"""{CELLS},
@@ -67,23 +74,23 @@ def sql_windows(th: int, tw: int, norm: bool = True) -> str:
         win AS (SELECT query_id, doc_id, (r - dr)::INTEGER AS r, (c - dc)::INTEGER AS c, {score} AS score FROM cells a JOIN tpl t ON a.r >= dr AND a.c >= dc GROUP BY query_id, doc_id, r - dr, c - dc HAVING count(*) = {th * tw})"""
 
 
-def sql_top(th: int, tw: int, k: int) -> str:
-    return f"""{sql_windows(th, tw)},
+def sql_top(th: int, tw: int, k: int, scored: str | None = None) -> str:
+    return f"""{scored or sql_windows(th, tw)},
         top AS (SELECT *, (row_number() OVER (PARTITION BY query_id, doc_id ORDER BY score DESC, r DESC, c DESC))::INTEGER AS place,
             c * 12 + 1 AS x1, c * 12 + {tw * 12} AS x2, r * 12 + 1 AS y1, r * 12 + {th * 12} AS y2 FROM win QUALIFY place <= {k})"""
 
 
-def sql_nms(th: int, tw: int, k: int, overlap: float) -> str:
+def sql_nms(th: int, tw: int, k: int, overlap: float, scored: str | None = None) -> str:
     cut = "greatest(0, least(k.x2, s[i].x2) - greatest(k.x1, s[i].x1) + 1) * greatest(0, least(k.y2, s[i].y2) - greatest(k.y1, s[i].y1) + 1)"
-    return f"""{sql_top(th, tw, k)},
+    return f"""{sql_top(th, tw, k, scored)},
         lists AS (SELECT query_id, doc_id, list({{'place': place, 'score': score, 'x1': x1, 'x2': x2, 'y1': y1, 'y2': y2}} ORDER BY place) AS s FROM top GROUP BY ALL),
         fold AS (SELECT query_id, doc_id, s, 2 AS i, [s[1]] AS kept FROM lists
             UNION ALL SELECT query_id, doc_id, s, i + 1, CASE WHEN len(list_filter(kept, lambda k: {cut} >= {overlap} * ((s[i].x2 - s[i].x1 + 1) * (s[i].y2 - s[i].y1 + 1)))) > 0 THEN kept ELSE list_append(kept, s[i]) END FROM fold WHERE i <= len(s)),
         picked AS (SELECT query_id, doc_id, (generate_subscripts(kept, 1) - 1)::INTEGER AS pick, unnest(kept, recursive := true) FROM fold WHERE i > len(s))"""
 
 
-def sql_hits() -> str:
-    return f"""{sql_nms(1, 2, PARAMS.windows_per_page, PARAMS.nms_overlap)},
+def sql_hits(scored: str | None = None) -> str:
+    return f"""{sql_nms(1, 2, PARAMS.windows_per_page, PARAMS.nms_overlap, scored)},
         qs AS (SELECT doc_id AS query_id, label AS class_id FROM cells WHERE r = 2 AND c = 3),
         gt AS (SELECT query_id, doc_id, vec_id AS gt_id, c * 12 + 1 AS x1, c * 12 + 12 AS x2, r * 12 + 1 AS y1, r * 12 + 12 AS y2 FROM qs JOIN cells ON label = class_id),
         near AS (SELECT p.query_id, p.doc_id, p.pick, g.gt_id, greatest(0, least(p.x2, g.x2) - greatest(p.x1, g.x1) + 1) * greatest(0, least(p.y2, g.y2) - greatest(p.y1, g.y1) + 1) AS cut, (p.x2 - p.x1 + 1) * (p.y2 - p.y1 + 1) AS ap, (g.x2 - g.x1 + 1) * (g.y2 - g.y1 + 1) AS ag FROM picked p JOIN gt g USING (query_id, doc_id)),
@@ -150,13 +157,6 @@ def positive_shifts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return samples.positive_shifts(boxes, PARAMS.shifts, F.lit(75), F.lit(40)).select("doc_id", "dx", "dy", "x1", "x2", "y1", "y2", "resized")
 
 
-def _mix(*places: str) -> str:
-    mixed = "12345::BIGINT"
-    for i, p in enumerate(places):
-        mixed = f"(({mixed} * 48271 + {p} * {7919 + 2 * i} + 11) % 2147483647)"
-    return f"({mixed} % 10007) / 10007.0::DOUBLE"
-
-
 @query(f"WITH {CELLS} SELECT query_id, doc_id, n, floor(7 * ({_mix('query_id', 'doc_id', 'n', '1')}) + 0.5)::INTEGER AS r, floor(6 * ({_mix('query_id', 'doc_id', 'n', '2')}) + 0.5)::INTEGER AS c FROM (SELECT DISTINCT doc_id AS query_id FROM cells WHERE r = 2 AND c = 3), (SELECT DISTINCT doc_id FROM cells), (SELECT unnest(range(0, 64))::INTEGER AS n)")
 def negative_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = fixtures.cells(spark, sf_dir)
@@ -517,7 +517,27 @@ def mean_ap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detections.mean_ap(ap).select(*rounded("mean_ap"), "n_queries")
 
 
-@query()
+def sql_learned() -> str:
+    """Windows of 1 x 2 cells scored in the code domain by templates learned from each query's own window against random ones."""
+    side = lambda rest, salt: f"floor({rest} * ({_mix('q.query_id', 'p.doc_id', 'n', str(salt))}) + 0.5)::INTEGER"
+    s = PARAMS
+    return f"""{CELLS}, {MEANS},
+        own AS (SELECT doc_id AS query_id, flatten(list(x ORDER BY c)) AS x FROM cells WHERE r = 2 AND c IN (3, 4) GROUP BY doc_id HAVING count(*) = 2),
+        neg AS (SELECT q.query_id, p.doc_id, n, {side(8, 1)} AS r, {side(7, 2)} AS c FROM own q, (SELECT DISTINCT doc_id FROM cells) p, range(0, {s.negatives_per_positive}) t(n)),
+        both_x AS (SELECT query_id, 1 AS sense, -1::BIGINT AS n, x FROM own UNION ALL
+            SELECT query_id, -1, any_value(g.n + g.doc_id * 1000003), flatten(list(k.x ORDER BY k.c)) FROM neg g JOIN cells k ON k.doc_id = g.doc_id AND k.r = g.r AND k.c BETWEEN g.c AND g.c + 1 GROUP BY query_id, g.doc_id, g.n HAVING count(*) = 2),
+        o AS MATERIALIZED (SELECT query_id, sense, list_transform(x, lambda e: e / sqrt(list_dot_product(x, x))) AS x, row_number() OVER (PARTITION BY query_id ORDER BY {_mix('query_id', '(n + 1)', '7')}, n) - 1 AS i, count(*) OVER (PARTITION BY query_id) AS n FROM both_x),
+        learned AS (SELECT query_id, any_value(n) AS n, 0::BIGINT AS t, list_transform(range(0, 128), lambda i: 0::DOUBLE) AS w, 0::DOUBLE AS b FROM o GROUP BY query_id
+            UNION ALL
+            SELECT query_id, n, t + 1, list_transform(range(1, 129), lambda i: w[i] * (1 - eta * {s.lambda_}::DOUBLE) + step * x[i]), b + step * {s.bias_term}
+            FROM (SELECT *, CASE WHEN sense * (list_dot_product(w, x) + b * {s.bias_term}) < 1 THEN eta * sense ELSE 0 END AS step
+                FROM (SELECT f.*, o.x, o.sense, {s.eta0}::DOUBLE / (1 + {s.lambda_}::DOUBLE * {s.eta0}::DOUBLE * t) AS eta FROM learned f JOIN o ON o.query_id = f.query_id AND o.i = f.t % f.n WHERE t < {s.epochs} * f.n))),
+        lut AS (SELECT query_id, dc, code, list_dot_product(centroid, w[dc * 64 + 1 : dc * 64 + 64]) AS val, list_dot_product(centroid, centroid) AS n2 FROM learned, range(0, 2) t(dc), book WHERE learned.t = {s.epochs} * n),
+        coded AS (SELECT a.vec_id, arg_min(code, {{'d': greatest(0, list_dot_product(a.x, a.x) + list_dot_product(centroid, centroid) - 2 * list_dot_product(a.x, centroid)), 'code': code}}) AS code FROM cells a CROSS JOIN book GROUP BY a.vec_id),
+        win AS (SELECT query_id, doc_id, r::INTEGER AS r, (c - dc)::INTEGER AS c, sum(val) / sqrt(sum(n2)) AS score FROM cells JOIN coded USING (vec_id) JOIN lut USING (code) WHERE c >= dc GROUP BY query_id, doc_id, r, c - dc HAVING count(*) = 2)"""
+
+
+@query(f"WITH RECURSIVE {sql_hits(sql_learned())} SELECT query_id, n_relevant, round(ap, 6) AS ap, round(recall, 6) AS recall FROM ap")
 def retrieval_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learned templates, coded cells, suppression and matching, to the average precision of every query."""
     cells = fixtures.cells(spark, sf_dir)

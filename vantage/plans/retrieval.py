@@ -196,26 +196,30 @@ def unlearned(positives: DataFrame) -> DataFrame:
 
 def learn(template: DataFrame, cells: DataFrame, params: Params, negatives: DataFrame) -> DataFrame:
     """(query_id, dr, dc, w, th, tw): templates learned from the exemplar's own window against the negatives (query_id, doc_id, n,
-    r, c), all normalised, in a seeded order. A task trains a query on its own sample, whose size the parameters fix."""
-    own = template.select("query_id", F.lit(-1).alias("n"), "dr", "dc", "th", "tw", F.col("w").alias("x"))
+    r, c), all normalised, in a drawn order; for cells without pixels, which cannot be shifted (learn_exemplars is for images). A
+    task trains a query on its own sample, whose size the parameters fix."""
+    own = template.select("query_id", F.lit(-1).cast("long").alias("n"), "dr", "dc", "th", "tw", F.col("w").alias("x"))
     shape = template.groupBy("query_id").agg(F.first("th").alias("th"), F.first("tw").alias("tw"))
     span = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     places = negatives.join(shape, "query_id").withColumn("dr", span("th")).withColumn("dc", span("tw"))
     places = places.select("query_id", "n", "doc_id", "dr", "dc", "th", "tw", (F.col("r") + F.col("dr")).alias("r"), (F.col("c") + F.col("dc")).alias("c"))
     other = places.join(cells, ["doc_id", "r", "c"]).select("query_id", (F.col("n") + F.col("doc_id") * 1_000_003).alias("n"), "dr", "dc", "th", "tw", F.col("feat").cast("array<double>").alias("x"))
+    both = own.unionByName(other).withColumn("place", samples.draw(F.col("query_id"), F.col("n") + 1, F.lit(7)))
+    s = sgd.Settings(lambda_=params.lambda_, eta0=params.eta0, epochs=params.epochs, bias_term=params.bias_term, beta=1)
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["n", "dr", "dc"], kind="stable")
+        rows = rows.sort_values(["place", "n", "dr", "dc"], kind="stable")
         th, tw, q = int(rows["th"].iloc[0]), int(rows["tw"].iloc[0]), int(rows["query_id"].iloc[0])
         size = rows.groupby("n").size()
         rows = rows[rows["n"].isin(size[size == th * tw].index)]
         n = rows["n"].to_numpy()[:: th * tw]
         x = np.array(rows["x"].tolist(), np.float64).reshape(len(n), -1)
         x = x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-300)
-        order = np.random.default_rng(q).permutation(len(n))
-        s = sgd.Settings(lambda_=params.lambda_, eta0=params.eta0, epochs=params.epochs, bias_term=params.bias_term, beta=1, eval_every=params.epochs)
-        w = sgd.train(x[order], (n[order] >= 0).astype(int), 2, s).w[0].reshape(th * tw, -1)
-        place = np.arange(th * tw)
-        return pd.DataFrame({"query_id": q, "dr": place // tw, "dc": place % tw, "w": list(w), "th": th, "tw": tw})
-
-    return own.unionByName(other.withColumn("n", F.col("n").cast("long"))).groupBy("query_id").applyInPandas(fit, "query_id long, dr int, dc int, w array<double>, th int, tw int")
+        model, sense = sgd.Hinge(np.zeros(x.shape[1])), np.where(n < 0, 1, -1)
+        for _ in range(s.epochs):
+            for i in range(0, len(x), sgd.BLOCK):
+                model.block(x[i : i + sgd.BLOCK], sense[i : i + sgd.BLOCK], s)
+        at = np.arange(th * tw)
+        return pd.DataFrame({"query_id": q, "dr": at // tw, "dc": at % tw, "w": list(model.w.reshape(th * tw, -1)), "th": th, "tw": tw})
+
+    return both.groupBy("query_id").applyInPandas(fit, "query_id long, dr int, dc int, w array<double>, th int, tw int")
