@@ -74,3 +74,18 @@ def test_bitmaps_bound_what_sets_share():
             assert both <= jaccard.most_shared(len(p), len(q), jaccard.sketch(p), jaccard.sketch(q)) <= min(len(p), len(q))
     p, q = (jaccard.shingles(words(rng, 500, 1000).encode()) for _ in range(2))
     assert jaccard.most_shared(len(p), len(q), jaccard.sketch(p), jaccard.sketch(q)) < 0.8 * len(p)
+
+
+def test_small_bitmaps_drop_no_similar_pair():
+    rng = random.Random(12)
+    texts = [words(rng, rng.randrange(5, 300)) for _ in range(30)]
+    texts += [" ".join(w for w in t.split() if rng.random() > 0.01) for t in texts for _ in range(3)]
+    own = [jaccard.shingles(t.encode()) for t in texts]
+    maps = np.array([jaccard.small_sketch(x) for x in own], np.int64)
+    k = len(own)
+    n = np.array([len(x) for x in own])
+    order = np.argsort(n, kind="stable")
+    columns = [np.zeros(k, np.int64), order, n[order], np.zeros(k, np.int64), order, *(maps[order, i] for i in range(jaccard.SMALL))]
+    got = {tuple(p) for out in jaccard._pairs(*columns, percent=80) for p in out.tolist()}
+    want = {(i, j) for i in range(k) for j in range(i + 1, k) if 100 * len(np.intersect1d(own[i], own[j])) >= 80 * len(np.union1d(own[i], own[j]))}
+    assert len(want) > 20 and want <= got and len(got) < k * k // 8

@@ -1,12 +1,14 @@
 """Links by the Jaccard similarity of word shingles, exact: no pair at or over the similarity is missed.
 
 Two sets of n and m shingles that are that similar share one of the first n - ceil(similarity * n) + 1 shingles of each, in
-whatever order all sets are sorted (prefix filter). The order puts shingles that are common in a sample last, so that few
-sets meet only by chance. Sets that meet are candidates if their sizes and the places of the shared shingle leave room for
-the similarity. Bitmaps of the sets bound what candidates can share from above, so that few texts are moved for nothing; what
-is left is verified on the whole texts. A first round takes pairs that are given, a second one each set's neighbour under a
-shingle that seems nearest, a third one all candidates of different components, so that a group of near copies is not paired
-out.
+whatever order all sets are sorted (prefix filter). The order is that of the hashes, but for shingles that several texts
+have among their first: these are counted over all texts, and the most common ones come last, the more common the later. So
+texts that share a passage do not meet under it as long as they have enough shingles of their own. Sets that meet are
+candidates if their sizes and the places of the shared shingle leave room for the similarity. Bitmaps of the sets bound what
+candidates can share from above, so that few texts are moved for nothing; what is left is verified on the whole texts. A first
+round takes pairs that are given, a second one, for each set, that of a few sets of its size under its shingles which seems
+nearest, the most typical one among them; this is repeated with sets that a hash picks; a last one takes all candidates of
+different components, so that a group of near copies is not paired out.
 """
 
 from __future__ import annotations
@@ -23,9 +25,13 @@ from pyspark.sql import functions as F
 from vantage.llm.common import cut, join_small, map_arrow, parts, schema_of, utf8
 from vantage.llm.components import components
 
-#: Rows whose shingles tell which are common, on average, and the number of common ones told to tasks at most. Both only
-#: set the order of the shingles, not which pairs are found.
-SAMPLE_ROWS, COMMON = 5000, 200_000
+#: Number of common shingles told to tasks at most, texts that a common one has at least, and prefixes that are counted. They
+#: only set the order of the shingles, not which pairs are found.
+COMMON, TEXTS, REGION = 200_000, 3, 2
+#: Rounds in which sets hang on others before all candidates are compared.
+ROUNDS = 1
+#: First hashes of a set under which it looks for the most typical set of its size.
+LEAD = 4
 #: Pairs that are put out at once.
 PAIRS = 100_000
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -52,30 +58,36 @@ def least_overlap(n, m, percent: int):
     return -(-percent * (n + m) // (100 + percent))
 
 
+def prefix_length(n: int, percent: int) -> int:
+    return n - -(-percent * n // 100) + 1 if n else 0
+
+
 def prefix(own: np.ndarray, common: np.ndarray, times: np.ndarray, percent: int) -> np.ndarray:
-    n = len(own)
-    if not n:
-        return own
-    seen = np.zeros(n, np.int64)
-    if len(common):
-        at = np.minimum(np.searchsorted(common, own), len(common) - 1)
-        seen = np.where(common[at] == own, times[at], 0)
-    return own[np.lexsort((own, seen))[: n - -(-percent * n // 100) + 1]]
+    """own, sorted: the hashes of a set; common, sorted, and how many texts have them."""
+    return own[np.lexsort((own, texts_of(own, common, times)))[: prefix_length(len(own), percent)]]
+
+
+def texts_of(own: np.ndarray, common: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """How many texts have each hash, 0 if it is not among the common ones."""
+    if not len(common) or not len(own):
+        return np.zeros(len(own), np.int64)
+    at = np.minimum(np.searchsorted(common, own), len(common) - 1)
+    return np.where(common[at] == own, times[at], 0)
 
 
-def _common(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that recur in a sample of the rows, sorted, and how often."""
-    share = min(1.0, SAMPLE_ROWS / max(1, rows.count()))
-    sample = rows.where(F.pmod(F.xxhash64("h", F.lit("sample")), F.lit(1 << 30)) <= int(share * (1 << 30))).dropDuplicates(["h"]).select("text")
+def _common(rows: DataFrame, width: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that most texts have among the first of their hashes, sorted, and how many."""
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([shingles(t, width).view(np.int64) for t in utf8(batch, "text")], pa.list_(pa.int64()))], ["sh"])
+        own = [shingles(t, width) for t in utf8(batch, "text")]
+        first = [x[: REGION * prefix_length(len(x), percent)].view(np.int64) for x in own]
+        return pa.RecordBatch.from_arrays([pa.array(first, pa.list_(pa.int64()))], ["sh"])
 
-    counted = map_arrow(sample, kernel, "sh array<long>").select(F.explode("sh").alias("t")).groupBy("t").agg(F.count("*").alias("c")).where("c > 1")
+    counted = map_arrow(rows.select("text"), kernel, "sh array<long>").select(F.explode("sh").alias("t")).groupBy("t").agg(F.count("*").alias("c")).where(F.col("c") >= TEXTS)
     got = counted.orderBy(F.desc("c"), "t").limit(COMMON).toPandas()
-    hashes, times = got["t"].to_numpy(np.int64).view(np.uint64), got["c"].to_numpy(np.int64)
-    order = np.argsort(hashes)
-    return hashes[order], times[order]
+    hashes_, times = got["t"].to_numpy(np.int64).view(np.uint64), got["c"].to_numpy(np.int64)
+    order = np.argsort(hashes_)
+    return hashes_[order], times[order]
 
 
 def sketch(own: np.ndarray) -> bytes:
@@ -96,6 +108,16 @@ def most_shared(n: int, m: int, x: bytes, y: bytes) -> int:
     return min(n - int(np.bitwise_count(p & ~q).sum()), m - int(np.bitwise_count(q & ~p).sum()))
 
 
+#: Numbers that hold a set's small bitmap, of 64 bits each; tasks compare those of pairs before they give them out.
+SMALL = 4
+
+
+def small_sketch(own: np.ndarray) -> list[int]:
+    out = np.zeros(64 * SMALL, bool)
+    out[(own & np.uint64(64 * SMALL - 1)).astype(np.int64)] = True
+    return np.packbits(out, bitorder="little").view("<i8").tolist()
+
+
 def _groups(batches: Iterator[pa.RecordBatch], columns: str) -> list[np.ndarray] | None:
     """The rows of a task by shingle, size and set; rows of 32 bytes, their number bounded by tasks but for a single shingle's."""
     held = [b for b in batches if b.num_rows]
@@ -107,24 +129,28 @@ def _groups(batches: Iterator[pa.RecordBatch], columns: str) -> list[np.ndarray]
     return [v[order] for v in values]
 
 
-def _pairs(t: np.ndarray, s: np.ndarray, n: np.ndarray, place: np.ndarray, root: np.ndarray, percent: int, steps: int | None) -> Iterator[np.ndarray]:
-    """(a, b) rows, a < b: sets of different roots that meet under a shingle and leave room for the similarity; steps: how many
-    sets on, in the order of size, partners are looked for; all if none is given."""
-    n, place = n.astype(np.int64), place.astype(np.int64)
+def _pairs(t: np.ndarray, s: np.ndarray, n: np.ndarray, place: np.ndarray, root: np.ndarray, *small: np.ndarray, percent: int) -> Iterator[np.ndarray]:
+    """(a, b) rows, a < b: sets of different roots that meet under a shingle and leave room for the similarity, also by what their
+    small bitmaps say that one has and the other lacks."""
+    n, place, small = n.astype(np.int64), place.astype(np.int64), tuple(m.view(np.uint64) for m in small)
     stop = np.searchsorted(t, t, side="right")
     seen: list[np.ndarray] = []
     held, i, step = 0, np.arange(len(t)), 1
     # partners of i are at i + step, as long as one of them is in its group and not too large
-    while steps is None or step <= steps:
+    while True:
         i = i[i + step < stop[i]]
         i = i[100 * n[i] >= percent * n[i + step]]
         if not len(i):
             break
         j = i + step
         room = np.minimum(n[i] - place[i], n[j] - place[j])
-        ok = (root[i] != root[j]) & (room >= least_overlap(n[i], n[j], percent))
-        if ok.any():
-            seen.append(np.stack([np.minimum(s[i[ok]], s[j[ok]]), np.maximum(s[i[ok]], s[j[ok]])], 1))
+        ok = np.flatnonzero((root[i] != root[j]) & (room >= least_overlap(n[i], n[j], percent)))
+        p, q = i[ok], j[ok]
+        lacks = lambda x, y: sum((np.bitwise_count(m[x] & ~m[y]).astype(np.int64) for m in small), np.zeros(len(x), np.int64))
+        fits = np.minimum(n[p] - lacks(p, q), n[q] - lacks(q, p)) >= least_overlap(n[p], n[q], percent)
+        p, q = p[fits], q[fits]
+        if len(p):
+            seen.append(np.stack([np.minimum(s[p], s[q]), np.maximum(s[p], s[q])], 1))
             held += len(seen[-1])
         if held >= PAIRS:
             yield np.unique(np.concatenate(seen), axis=0)
@@ -134,8 +160,35 @@ def _pairs(t: np.ndarray, s: np.ndarray, n: np.ndarray, place: np.ndarray, root:
         yield np.unique(np.concatenate(seen), axis=0)
 
 
-def _meet(tokens: DataFrame, percent: int, tasks: int) -> DataFrame:
-    """Of tokens (t, s, n, place), the rows whose shingle several sets have first, and rows with a and b: neighbours under a
+def _stars(t: np.ndarray, s: np.ndarray, n: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """(centre, set) rows: each set under a shingle with the one of the least rank, then number, of about its size there. A group of
+    near copies has the same centre under most of its shingles, so it gives few different pairs."""
+    size = np.floor(np.log(np.maximum(n, 1)) / np.log(1.25)).astype(np.int64)
+    order = np.lexsort((s, rank, size, t))
+    t, s, size = t[order], s[order], size[order]
+    new = np.ones(len(t), bool)
+    new[1:] = (t[1:] != t[:-1]) | (size[1:] != size[:-1])
+    least = s[np.flatnonzero(new)][np.cumsum(new) - 1]
+    other = least != s
+    return np.unique(np.stack([least[other], s[other]], 1), axis=0)
+
+
+def _centres(tokens: DataFrame, tasks: int) -> DataFrame:
+    """(a, b) of tokens (t, s, n, typical): each set under a shingle with the most typical set of about its size there. Of a group of
+    near copies that is the text that they were made from, or one much like it, so that most of the group hangs on it."""
+
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = _groups(batches, "t s n typical")
+        if got is not None:
+            t, s, n, typical = got
+            out = _stars(t, s, n, -typical.astype(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(out.min(1)), pa.array(out.max(1))], ["a", "b"])
+
+    return tokens.repartition(tasks, "t").mapInArrow(pair, "a long, b long").distinct()
+
+
+def _meet(tokens: DataFrame, tasks: int) -> DataFrame:
+    """Of tokens (t, s, n, place), the rows whose shingle several sets have first, and rows with a and b: the stars of each
     shingle. A shingle that a set has alone leads nowhere."""
 
     def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,18 +202,18 @@ def _meet(tokens: DataFrame, percent: int, tasks: int) -> DataFrame:
         same[1:-1] = t[1:] == t[:-1]
         keep = np.flatnonzero(same[1:] | same[:-1])
         yield pa.RecordBatch.from_arrays([*(pa.array(v[keep]) for v in got), *(pa.nulls(len(keep), k) for k in kinds[4:])], names)
-        for out in _pairs(t, s, n, place, s, percent, 1):
+        if len(out := _stars(t[keep], s[keep], n[keep], s[keep])):
             yield pa.RecordBatch.from_arrays([*(pa.nulls(len(out), k) for k in kinds[:4]), pa.array(out[:, 0]), pa.array(out[:, 1])], names)
 
     return tokens.repartition(tasks, "t").mapInArrow(several, "t long, s long, n int, place int, a long, b long")
 
 
 def _candidates(rooted: DataFrame, percent: int, tasks: int) -> DataFrame:
-    """(a, b) of rooted (t, s, n, place, root): sets of different roots that meet under a shingle."""
+    """(a, b) of rooted (t, s, n, place, root, m0..): sets of different roots that meet under a shingle."""
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = _groups(batches, "t s n place root")
-        for out in _pairs(*got, percent, None) if got else ():
+        got = _groups(batches, " ".join(["t s n place root", *(f"m{i}" for i in range(SMALL))]))
+        for out in _pairs(*got, percent=percent) if got else ():
             yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], ["a", "b"])
 
     return rooted.repartition(tasks, "t").mapInArrow(pair, "a long, b long").distinct()
@@ -202,10 +255,11 @@ def _verified(pairs: DataFrame, named: DataFrame, docs: DataFrame, percent: int,
 
 
 def sets(docs: DataFrame, doc_id: str, text: str, width: int, percent: int, digest: Callable[[np.ndarray], int]) -> DataFrame:
-    """(doc_id, h, s, n, firsts, sketch, print) per row: a hash of its text and of its set of shingles, the set's size, the shingles of
-    its prefix, its bitmap, and the digest of its shingles with repeats."""
+    """(doc_id, h, s, n, firsts, lead, typical, small, sketch, print) per row: a hash of its text and of its set of shingles, the set's size,
+    the shingles of its prefix, its first hashes, how common its shingles are on average, its bitmaps, and the digest of its
+    shingles with repeats."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
-    common = docs.sparkSession.sparkContext.broadcast(_common(rows, width))
+    common = docs.sparkSession.sparkContext.broadcast(_common(rows, width, percent))
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
         every = [hashes(t, width) for t in utf8(batch, "text")]
@@ -213,10 +267,12 @@ def sets(docs: DataFrame, doc_id: str, text: str, width: int, percent: int, dige
         s = np.array([xxhash.xxh64_intdigest(x.tobytes(), 42) for x in own], np.uint64).view(np.int64)
         prints = np.array([digest(h) for h in every], np.uint64).view(np.int64)
         firsts = pa.array([prefix(x, *common.value, percent).view(np.int64) for x in own], pa.list_(pa.int64()))
-        columns = [pa.array(s), pa.array([len(x) for x in own], pa.int32()), firsts, pa.array([sketch(x) for x in own], pa.binary()), pa.array(prints)]
-        return pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], ["doc_id", "h", "s", "n", "firsts", "sketch", "print"])
+        lead = pa.array([x[:LEAD].view(np.int64) for x in own], pa.list_(pa.int64()))
+        typical = pa.array([int(16 * texts_of(x, *common.value).mean()) if len(x) else 0 for x in own], pa.int64())
+        columns = [pa.array(s), pa.array([len(x) for x in own], pa.int32()), firsts, lead, typical, pa.array([small_sketch(x) for x in own], pa.list_(pa.int64())), pa.array([sketch(x) for x in own], pa.binary()), pa.array(prints)]
+        return pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], ["doc_id", "h", "s", "n", "firsts", "lead", "typical", "small", "sketch", "print"])
 
-    return map_arrow(rows, kernel, schema_of(rows, ["doc_id", "h"], "s long, n int, firsts array<long>, sketch binary, print long"))
+    return map_arrow(rows, kernel, schema_of(rows, ["doc_id", "h"], "s long, n int, firsts array<long>, lead array<long>, typical long, small array<long>, sketch binary, print long"))
 
 
 def components_of(docs: DataFrame, named: DataFrame, pairs: DataFrame, text: str, width: int, percent: int) -> DataFrame:
@@ -225,20 +281,30 @@ def components_of(docs: DataFrame, named: DataFrame, pairs: DataFrame, text: str
     distinct = named.groupBy("s").agg(F.first("n").alias("n"), F.first("firsts").alias("firsts"))
     tasks = parts(docs.sparkSession, named.agg(F.sum(F.size("firsts"))).first()[0] or 0, 400_000)
     tokens = distinct.select(F.posexplode("firsts").alias("place", "t"), "s", "n").select("t", "s", "n", "place")
-    met = cut(_meet(tokens, percent, tasks))
+    met = cut(_meet(tokens, tasks))
     rows = docs.select(F.xxhash64(text).alias("h"), F.col(text).alias("text"))
     links = _verified(_possible(pairs, named, percent), named, rows, percent, width)
     root = cut(components(links, "a", "b"))
-    # of each set's neighbours in other components the one that seems nearest
-    other = lambda c, name: root.select(F.col("node").alias(c), F.col("root").alias(name))
-    near = join_small(join_small(met.where("a IS NOT NULL").select("a", "b").distinct(), other("a", "ra"), "a", "left"), other("b", "rb"), "b", "left")
-    near = _possible(near.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b"), named, percent)
-    ends = F.explode(F.array(F.struct(F.col("a").alias("s"), F.col("b").alias("o")), F.struct(F.col("b").alias("s"), F.col("a").alias("o")))).alias("e")
-    nearest = near.select("most", ends).groupBy("e.s").agg(F.max(F.struct("most", "e.o")).alias("m")).select(F.least("s", "m.o").alias("a"), F.greatest("s", "m.o").alias("b")).distinct()
-    links = links.union(_verified(nearest, named, rows, percent, width))
-    root = cut(components(links, "a", "b"))
+    first = named.groupBy("s").agg(F.first("n").alias("n"), F.first("lead").alias("lead"), F.first("typical").alias("typical"))
+    centres = _centres(first.select(F.explode("lead").alias("t"), "s", "n", "typical"), tasks)
+    stars = met.where("a IS NOT NULL").select("a", "b").union(centres).distinct()
+    tokens = met.where("t IS NOT NULL").select("t", "s", "n")
+    for turn in range(ROUNDS):
+        # of each set's stars in other components the one that seems nearest
+        other = lambda c, name, root=root: root.select(F.col("node").alias(c), F.col("root").alias(name))
+        near = join_small(join_small(stars, other("a", "ra"), "a", "left"), other("b", "rb"), "b", "left")
+        near = _possible(near.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b"), named, percent)
+        ends = F.explode(F.array(F.struct(F.col("a").alias("s"), F.col("b").alias("o")), F.struct(F.col("b").alias("s"), F.col("a").alias("o")))).alias("e")
+        nearest = near.select("most", ends).groupBy("e.s").agg(F.max(F.struct("most", "e.o")).alias("m")).select(F.least("s", "m.o").alias("a"), F.greatest("s", "m.o").alias("b")).distinct()
+        links = links.union(_verified(nearest, named, rows, percent, width))
+        root = cut(components(links, "a", "b"))
+        # then on sets that a hash picks anew
+        drawn = F.pmod(F.xxhash64("s", F.lit(turn)), F.lit(1 << 30)).alias("typical")
+        stars = _centres(tokens.select("t", "s", "n", drawn), tasks)
     rooted = join_small(met.where("t IS NOT NULL").select("t", "s", "n", "place"), root.select(F.col("node").alias("s"), "root"), "s", "left")
-    rooted = rooted.select("t", "s", "n", "place", F.coalesce("root", "s").alias("root"))
+    members = cut(rooted.select("s").distinct())
+    maps = cut(join_small(named.select("s", "small"), members, "s", "left_semi").groupBy("s").agg(F.first("small").alias("small")))
+    rooted = join_small(rooted, maps, "s").select("t", "s", "n", "place", F.coalesce("root", "s").alias("root"), *[F.col("small")[i].alias(f"m{i}") for i in range(SMALL)])
     links = links.union(_verified(_possible(_candidates(rooted, percent, tasks), named, percent), named, rows, percent, width))
     root = components(links, "a", "b")
     return cut(named.join(root, named.s == root.node, "left").select("doc_id", "h", F.coalesce("root", "s").alias("root")))
