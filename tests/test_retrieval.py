@@ -75,7 +75,7 @@ def test_a_pattern_is_found_on_all_pages_that_show_it(spark):
     df = spark.createDataFrame(rows, "doc_id long, h int, w int, pixels binary")
     asked = spark.createDataFrame([(0, 0, 24 + 13, 24 + 36, 12 + 13, 12 + 36)], "query_id long, doc_id long, x1 int, x2 int, y1 int, y2 int")
     true = spark.createDataFrame(truth, "query_id long, doc_id long, gt_id long, x1 int, x2 int, y1 int, y2 int")
-    params = Params(n_codes=48, pca_dim=12, shifts=(-2, 0, 2), eta0=0.1, lambda_=1e-4)
+    params = Params(n_codes=48, pca_dim=12, shifts=(-2, 0, 2), eta0=0.1, lambda_=1e-4, negatives_per_positive=2)  # few, as small pages have few other windows
     got = retrieval.retrieve(asked, true, df, params, redo=1, rounds=5).collect()
     assert [(r.query_id, r.n_relevant, r.ap, r.recall) for r in got] == [(0, 3, 1.0, 1.0)]
     grid = retrieval.retrieve(asked, true, df, params, grid=[{"eta0": 0.1}, {"eta0": 1e-9, "lambda_": 0.0}], redo=1, rounds=5)

@@ -43,7 +43,7 @@ def _files(spark: SparkSession, path: str) -> list[tuple[str, int]]:
 
 
 def file_sizes(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
-    """(path, n, d) per file from its length and its first four bytes; an empty file gives (0, 0). No vector is read."""
+    """(path, n, d) per file from its length and its first four bytes. No vector is read. Spark lists no empty files."""
     item = KINDS[_kind(path, kind)].itemsize
     files = _files(spark, path)
     heads = dict(zip(full := [p for p, size in files if size], _heads(spark, full), strict=True))
