@@ -27,7 +27,7 @@ from vantage.llm.components import components
 
 #: Number of common shingles told to tasks at most, texts that a common one has at least, and prefixes that are counted. They
 #: only set the order of the shingles, not which pairs are found.
-COMMON, TEXTS, REGION = 200_000, 3, 2
+COMMON, TEXTS, REGION = 1_000_000, 3, 2
 #: Rounds in which sets hang on others before all candidates are compared.
 ROUNDS = 1
 #: First hashes of a set under which it looks for the most typical set of its size.
