@@ -89,3 +89,22 @@ def test_small_bitmaps_drop_no_similar_pair():
     got = {tuple(p) for out in jaccard._pairs(*columns, percent=80) for p in out.tolist()}
     want = {(i, j) for i in range(k) for j in range(i + 1, k) if 100 * len(np.intersect1d(own[i], own[j])) >= 80 * len(np.union1d(own[i], own[j]))}
     assert len(want) > 20 and want <= got and len(got) < k * k // 8
+
+
+def test_common_shingles_reach_the_driver_as_plain_arrays(spark, monkeypatch):
+    """No sort of all counts gathers at the driver and no Python object is made per shingle; those of a count go together."""
+    from pyspark.sql import DataFrame
+
+    def refused(*_):
+        raise AssertionError("a million rows as Python objects")
+
+    monkeypatch.setattr(DataFrame, "toPandas", refused)
+    monkeypatch.setattr(jaccard, "REGION", 100)
+    texts = ["a b c d e"] * 5 + ["f g h i j"] * 4 + ["k l m n o"] * 4 + ["p q r s t"] * 3
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    for most, want in ((4, [5, 4, 4, 3]), (3, [5, 4, 4]), (2, [5]), (1, [5])):
+        monkeypatch.setattr(jaccard, "COMMON", most)
+        hashes, times = jaccard._common(rows, 5, 80)
+        assert sorted(times.tolist(), reverse=True) == want and (np.diff(hashes.astype(object)) > 0).all()
+    monkeypatch.setattr(jaccard, "COMMON", 0)
+    assert [len(x) for x in jaccard._common(rows, 5, 80)] == [0, 0]

@@ -75,6 +75,17 @@ def texts_of(own: np.ndarray, common: np.ndarray, times: np.ndarray) -> np.ndarr
     return np.where(common[at] == own, times[at], 0)
 
 
+def least_count(counted: DataFrame) -> int:
+    """The smallest count c from which on no more than COMMON shingles are as common; counted: (t, c)."""
+    least, held = 1 << 62, 0
+    for c, n in counted.groupBy("c").count().orderBy(F.desc("c")).collect():  # a row per different count
+        held += n
+        if held > COMMON:
+            break
+        least = c
+    return least
+
+
 def _common(rows: DataFrame, width: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """The shingles that most texts have among the first of their hashes, sorted, and how many."""
 
@@ -84,8 +95,9 @@ def _common(rows: DataFrame, width: int, percent: int) -> tuple[np.ndarray, np.n
         return pa.RecordBatch.from_arrays([pa.array(first, pa.list_(pa.int64()))], ["sh"])
 
     counted = map_arrow(rows.select("text"), kernel, "sh array<long>").select(F.explode("sh").alias("t")).groupBy("t").agg(F.count("*").alias("c")).where(F.col("c") >= TEXTS)
-    got = counted.orderBy(F.desc("c"), "t").limit(COMMON).toPandas()
-    hashes_, times = got["t"].to_numpy(np.int64).view(np.uint64), got["c"].to_numpy(np.int64)
+    counted = cut(counted)
+    got = counted.where(F.col("c") >= least_count(counted)).toArrow()  # 16 bytes each, without a sort that gathers at the driver
+    hashes_, times = got.column("t").to_numpy().view(np.uint64), got.column("c").to_numpy()
     order = np.argsort(hashes_)
     return hashes_[order], times[order]
 
