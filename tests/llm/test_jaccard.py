@@ -108,3 +108,70 @@ def test_common_shingles_reach_the_driver_as_plain_arrays(spark, monkeypatch):
         assert sorted(times.tolist(), reverse=True) == want and (np.diff(hashes.astype(object)) > 0).all()
     monkeypatch.setattr(jaccard, "COMMON", 0)
     assert [len(x) for x in jaccard._common(rows, 5, 80)] == [0, 0]
+
+
+def just_dissimilar(texts=200):
+    """Texts of 90 words with one of 17 places replaced: alike (0.89) at the same place, just not (0.79) at different ones."""
+    rng = random.Random(33)
+    base = [f"w{i}" for i in range(90)]
+    places = [4 + 5 * (i % 17) for i in range(texts)]
+    return [(i, " ".join([*base[:p], f"new{i}", *base[p + 1 :]])) for i, p in enumerate(rng.sample(places, texts))]
+
+
+def test_a_group_that_is_just_not_similar_is_not_paired_out(spark, tmp_path, monkeypatch):
+    rows, paired = just_dissimilar(), []
+
+    def counted(pairs, *rest, real=jaccard._possible):
+        paired.append(pairs.count())
+        return real(pairs, *rest)
+
+    monkeypatch.setattr(jaccard, "_possible", counted)
+    want, _ = brute(rows)
+    docs = spark.createDataFrame([(i, t, "en", "src1", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want) and len(want) == 17
+    assert sum(paired) < 10 * len(rows)  # of 18,800 pairs of different components
+
+
+def test_blocks_of_many_chunks_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "CHUNK", 7)
+    rows = corpus()[60:] + just_dissimilar(60)
+    own = {jaccard.xxhash.xxh64_intdigest(x.tobytes(), 42) - (1 << 63): x for x in (jaccard.shingles(t.encode()) for _, t in rows)}
+    texts = {jaccard.xxhash.xxh64_intdigest(jaccard.shingles(t.encode()).tobytes(), 42) - (1 << 63): t for _, t in rows}
+    s = sorted(own)
+    docs = spark.createDataFrame([(i, texts[v]) for i, v in enumerate(s)], "h long, text string")
+    named = spark.createDataFrame(list(enumerate(s)), "h long, s long")
+    members = spark.createDataFrame([(v, len(own[v]), v) for v in s], "s long, n int, root long")
+    for most, shingles in ((32, 2_000_000), (3, 2_000_000), (3, 2000)):
+        monkeypatch.setattr(jaccard, "CHUNKS", most)
+        monkeypatch.setattr(jaccard, "CHUNK_SHINGLES", shingles)
+        for blocks in (1, 5):
+            edges = spark.createDataFrame([(v, s[i % blocks]) for i, v in enumerate(s)], "a long, b long")
+            got = jaccard._in_blocks(edges, members, named, docs, 80, 5).collect()
+            links = [(a, b) for i, a in enumerate(s) for k, b in enumerate(s[:i]) if i % blocks == k % blocks and 100 * len(np.intersect1d(own[a], own[b])) >= 80 * len(np.union1d(own[a], own[b]))]
+            assert len(links) > 20 and connected(got) == connected(links)
+
+
+def connected(edges):
+    root = {}
+
+    def find(i):
+        while root.setdefault(i, i) != i:
+            i = root[i]
+        return i
+
+    for a, b in edges:
+        root[max(find(a), find(b))] = min(find(a), find(b))
+    return {(i, find(i)) for i in list(root)}
+
+
+def test_block_links_join_roots_and_hold_few_pairs(monkeypatch):
+    monkeypatch.setattr(jaccard, "PAIRS", 10)
+    own = [jaccard.shingles(t.encode()) for _, t in just_dissimilar(100)]
+    place = [t.split().index(next(w for w in t.split() if w.startswith("new"))) for _, t in just_dissimilar(100)]
+    for i, j in ((0, 0), (0, 1)):
+        c = [k % 2 if i != j else 0 for k in range(100)]
+        columns = [jaccard.pa.array(v) for v in ([i] * 100, [j] * 100, c, [k // 2 for k in range(100)], [x.tobytes() for x in own])]
+        a, b = jaccard._block_links([jaccard.pa.RecordBatch.from_arrays(columns, ["i", "j", "c", "root", "own"])], 80)
+        want = [(p // 2, q // 2) for p in range(100) for q in range(p) if place[p] == place[q] and p // 2 != q // 2 and (i == j or c[p] != c[q])]
+        assert connected(zip(a.tolist(), b.tolist(), strict=True)) == connected(want) and len(a) < 50

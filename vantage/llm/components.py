@@ -1,4 +1,4 @@
-"""Connected components: a local union-find for kernels, a distributed star contraction for edge tables, and one row of each."""
+"""Connected components: a local union-find and spanning edges for kernels, a distributed star contraction for edge tables, and one row of each."""
 
 from __future__ import annotations
 
@@ -34,6 +34,16 @@ class Forest:
             np.minimum.at(self.parent, np.maximum(a, b), np.minimum(a, b))
 
 
+def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect what the edges (a, b) of values connect: from each value to the least of its component."""
+    values, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    forest = Forest(len(values))
+    forest.union(at[: len(a)], at[len(a) :])
+    root = forest.roots()
+    linked = np.flatnonzero(root != np.arange(len(root)))
+    return values[linked], values[root[linked]]
+
+
 #: Edges of which one task finds the components at once; longer tables are contracted step by step.
 AT_ONCE = 200_000
 

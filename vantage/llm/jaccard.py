@@ -7,8 +7,10 @@ texts that share a passage do not meet under it as long as they have enough shin
 candidates if their sizes and the places of the shared shingle leave room for the similarity. Bitmaps of the sets bound what
 candidates can share from above, so that few texts are moved for nothing; what is left is verified on the whole texts. A first
 round takes pairs that are given, a second one, for each set, that of a few sets of its size under its shingles which seems
-nearest, the most typical one among them; this is repeated with sets that a hash picks; a last one takes all candidates of
-different components, so that a group of near copies is not paired out.
+nearest, the most typical one among them; this is repeated with sets that a hash picks. A last one takes all candidates of
+different components. These grow with the square of a group of texts that are nearly similar enough, so their pairs are not moved:
+the sets that candidates connect make a block, whose whole sets are compared where they lie, and a task gives edges that connect
+what it has linked, at most one for each component.
 """
 
 from __future__ import annotations
@@ -22,8 +24,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vantage.llm.common import cut, join_small, map_arrow, parts, schema_of, utf8
-from vantage.llm.components import components
+from vantage.llm.common import cut, join_small, map_arrow, parts, schema_of, small_batches, utf8
+from vantage.llm.components import components, spanning
 
 #: Number of common shingles told to tasks at most, texts that a common one has at least, and prefixes that are counted. They
 #: only set the order of the shingles, not which pairs are found.
@@ -32,8 +34,10 @@ COMMON, TEXTS, REGION = 1_000_000, 3, 2
 ROUNDS = 1
 #: First hashes of a set under which it looks for the most typical set of its size.
 LEAD = 4
-#: Pairs that are put out at once.
+#: Pairs that are put out, or held before they are reduced to edges that connect the same, at once.
 PAIRS = 100_000
+#: Sets of a chunk of a block, chunks of a block unless they are over so many shingles, and shingles of a chunk.
+CHUNK, CHUNKS, CHUNK_SHINGLES = 64, 32, 2_000_000
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -247,13 +251,17 @@ def _possible(pairs: DataFrame, named: DataFrame, percent: int) -> DataFrame:
     return map_arrow(both, kernel, "a long, b long, most long")
 
 
+def _texts(members: DataFrame, named: DataFrame, docs: DataFrame) -> DataFrame:
+    """(s, text): one text of each set of members (s); only their texts are read again and moved. named: (h, s) tells which text has
+    a set; docs: (h, text)."""
+    wanted = cut(named.select("h", "s").join(members, "s", "left_semi").groupBy("s").agg(F.min("h").alias("h")))
+    return cut(join_small(docs, wanted, "h").groupBy("s").agg(F.first("text").alias("text")))
+
+
 def _verified(pairs: DataFrame, named: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame:
-    """The pairs of sets whose texts are similar enough. named: (h, s) tells which text has a set; docs: (h, text)."""
+    """The pairs of sets whose texts are similar enough; named, docs: as of _texts."""
     pairs = cut(pairs.select("a", "b"))
-    members = pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct()
-    # one text of each set; only texts of pairs are read again and moved
-    wanted = cut(named.select("h", "s").join(members, "s", "left_semi").groupBy("s").agg(F.min("h").alias("h")))
-    asked = cut(join_small(docs, wanted, "h").groupBy("s").agg(F.first("text").alias("text")))
+    asked = _texts(pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct(), named, docs)
     both = pairs.join(asked.select(F.col("s").alias("a"), F.col("text").alias("x")), "a").join(asked.select(F.col("s").alias("b"), F.col("text").alias("y")), "b")
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -266,6 +274,101 @@ def _verified(pairs: DataFrame, named: DataFrame, docs: DataFrame, percent: int,
     return cut(map_arrow(both.select("a", "b", "x", "y"), kernel, "a long, b long"))
 
 
+def _alike(x: list[np.ndarray], y: list[np.ndarray] | None, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (p, q) of sets in x and y that are similar enough, or in x alone if y is None; exact, from the whole sets."""
+    one = y is None
+    y = x if one else y
+    order = np.argsort([len(v) for v in y], kind="stable")
+    n = np.array([len(y[q]) for q in order], np.int64)
+    start = np.concatenate([[0], np.cumsum(n)])
+    values, at = np.unique(np.concatenate([y[q] for q in order]), return_inverse=True)
+    for p, own in enumerate(x):
+        # only sets of about its size
+        low, high = np.searchsorted(100 * n, percent * len(own)), np.searchsorted(percent * n, 100 * len(own), side="right")
+        if low >= high:
+            continue
+        there = np.minimum(np.searchsorted(values, own), len(values) - 1)
+        has = np.zeros(len(values), np.uint8)
+        has[there[values[there] == own]] = 1
+        shared = np.add.reduceat(has[at[start[low] : start[high]]], start[low:high] - start[low], dtype=np.int64)
+        q = order[low + np.flatnonzero(shared >= least_overlap(len(own), n[low:high], percent))]
+        q = q[q > p] if one else q
+        yield np.full(len(q), p), q
+
+
+def _block_links(held: list[pa.RecordBatch], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect the roots of similar sets of different roots; held: rows (i, j, c, root, own) of two chunks i and j of a block,
+    or of one that is both."""
+    got = pa.Table.from_batches(held)
+    i, j = got["i"][0].as_py(), got["j"][0].as_py()
+    c, root = got["c"].to_numpy(), got["root"].to_numpy()
+    own = [np.frombuffer(v, np.uint64) for v in got["own"].to_pylist()]
+    left, right = np.flatnonzero(c == i), np.flatnonzero(c == j)
+    a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    held_pairs = 0
+    if len(left) and len(right):
+        for p, q in _alike([own[k] for k in left], None if i == j else [own[k] for k in right], percent):
+            p, q = root[left[p]], root[right[q]]
+            a.append(p[p != q])
+            b.append(q[p != q])
+            held_pairs += len(a[-1])
+            if held_pairs >= PAIRS:
+                u, v = spanning(np.concatenate(a), np.concatenate(b))
+                a, b, held_pairs = [u], [v], 0
+    return spanning(np.concatenate(a), np.concatenate(b))
+
+
+def _in_blocks(edges: DataFrame, members: DataFrame, named: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame:
+    """(a, b) edges that connect all sets that are similar enough within the components of edges (a, b). members: (s, n, root) of
+    sets, of which those of a root are connected already; named, docs: as of _texts.
+
+    A small block is compared in one task. A larger one is cut into up to CHUNKS chunks, so that a set is moved at most so often,
+    and each two of them meet in a task, sorted by block and chunks and taken one after the other.
+    """
+    spark = docs.sparkSession
+    blocks = components(edges, "a", "b").select(F.col("node").alias("s"), F.col("root").alias("block"))
+    blocks = cut(members.join(blocks, "s"))
+    chunks = F.greatest(F.least(F.ceil(F.col("sets") / CHUNK), F.lit(CHUNKS)), F.ceil(F.col("shingles") / CHUNK_SHINGLES)).cast("int")
+    several = cut(blocks.groupBy("block").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles")).select("block", chunks.alias("chunks")).where("chunks > 1"))
+    dealt = join_small(blocks, several, "block", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    dealt = cut(dealt.withColumn("c", F.pmod(F.xxhash64("s"), "chunks").cast("int")))
+    moved = dealt.agg(F.sum(F.col("n") * F.col("chunks"))).first()[0] or 0
+    texts = _texts(blocks.select("s"), named, docs)
+
+    def whole(batch: pa.RecordBatch) -> pa.RecordBatch:
+        own = pa.array([shingles(t, width).tobytes() for t in utf8(batch, "text")], pa.binary())
+        return pa.RecordBatch.from_arrays([batch.column(0), own], ["s", "own"])
+
+    whole_sets = map_arrow(texts.select("s", "text"), whole, "s long, own binary")
+    rows = dealt.join(whole_sets, "s").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    rows = rows.select("block", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "c", "root", "own")
+    small_batches(spark)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        u, v = np.empty(0, np.int64), np.empty(0, np.int64)
+        key = None
+        for batch in batches:
+            names = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(3)], 1)
+            new = np.flatnonzero((names[1:] != names[:-1]).any(1)) + 1
+            for low, high in zip([0, *new], [*new, batch.num_rows], strict=True):
+                if low == high:
+                    continue
+                if held and tuple(names[low]) != key:
+                    a, b = _block_links(held, percent)
+                    u, v, held = np.concatenate([u, a]), np.concatenate([v, b]), []
+                key = tuple(names[low])
+                held.append(batch.slice(low, high - low))
+        if held:
+            a, b = _block_links(held, percent)
+            u, v = spanning(np.concatenate([u, a]), np.concatenate([v, b]))
+        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["a", "b"])
+
+    tasks = parts(spark, moved, 2 * CHUNK_SHINGLES)
+    placed = rows.repartition(tasks, "block", "i", "j").sortWithinPartitions("block", "i", "j")
+    return cut(placed.mapInArrow(compare, "a long, b long").distinct())
+
+
 def sets(docs: DataFrame, doc_id: str, text: str, width: int, percent: int, digest: Callable[[np.ndarray], int]) -> DataFrame:
     """(doc_id, h, s, n, firsts, lead, typical, small, sketch, print) per row: a hash of its text and of its set of shingles, the set's size,
     the shingles of its prefix, its first hashes, how common its shingles are on average, its bitmaps, and the digest of its
@@ -317,6 +420,8 @@ def components_of(docs: DataFrame, named: DataFrame, pairs: DataFrame, text: str
     members = cut(rooted.select("s").distinct())
     maps = cut(join_small(named.select("s", "small"), members, "s", "left_semi").groupBy("s").agg(F.first("small").alias("small")))
     rooted = join_small(rooted, maps, "s").select("t", "s", "n", "place", F.coalesce("root", "s").alias("root"), *[F.col("small")[i].alias(f"m{i}") for i in range(SMALL)])
-    links = links.union(_verified(_possible(_candidates(rooted, percent, tasks), named, percent), named, rows, percent, width))
+    sized = first.join(members, "s", "left_semi").select("s", "n")
+    sized = join_small(sized, root.select(F.col("node").alias("s"), "root"), "s", "left").select("s", "n", F.coalesce("root", "s").alias("root"))
+    links = links.union(_in_blocks(_candidates(rooted, percent, tasks), sized, named, rows, percent, width))
     root = components(links, "a", "b")
     return cut(named.join(root, named.s == root.node, "left").select("doc_id", "h", F.coalesce("root", "s").alias("root")))

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from vantage.llm import jaccard
 from vantage.llm.common import cut, map_arrow, parts, schema_of, table, utf8
-from vantage.llm.components import Forest, components, keep_one
+from vantage.llm.components import components, keep_one, spanning
 
 LANES = np.uint64(0x0101010101010101)
 #: Fingerprints that a tree aims at; a shard of more becomes several trees, all of which its members search.
@@ -207,16 +207,6 @@ def wave_of(rows: list, families: int) -> Wave:
     return Wave(shards, first, base[:-1].astype(np.int64), join(fps, np.uint64), np.concatenate([join(offsets, np.int32), edges[-1:]]), join([c + b for c, b in zip(children, base, strict=False)], np.int32), keys)
 
 
-def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that connect what the edges (a, b) of values connect: from each value to the least of its component."""
-    values, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    forest = Forest(len(values))
-    forest.union(at[: len(a)], at[len(a) :])
-    root = forest.roots()
-    linked = np.flatnonzero(root != np.arange(len(root)))
-    return values[linked], values[root[linked]]
-
-
 def fingerprint_links(values: DataFrame, fp: str, radius: int = 3, tree: int = TREE, wave: int = WAVE) -> DataFrame:
     """(a, b) edges that connect all different fingerprints within the radius of each other. A task gives at most one edge for each
     fingerprint that it links, whatever the number of links."""
