@@ -175,3 +175,17 @@ def test_block_links_join_roots_and_hold_few_pairs(monkeypatch):
         a, b = jaccard._block_links([jaccard.pa.RecordBatch.from_arrays(columns, ["i", "j", "c", "root", "own"])], 80)
         want = [(p // 2, q // 2) for p in range(100) for q in range(p) if place[p] == place[q] and p // 2 != q // 2 and (i == j or c[p] != c[q])]
         assert connected(zip(a.tolist(), b.tolist(), strict=True)) == connected(want) and len(a) < 50
+
+
+def test_candidates_come_as_an_edge_for_each_set(spark):
+    own = [jaccard.shingles(t.encode()) for _, t in just_dissimilar()]
+    firsts = [jaccard.prefix(x, x[:0], x[:0], 80).view(np.int64).tolist() for x in own]
+    maps = [jaccard.small_sketch(x) for x in own]
+    rows = [(t, s, len(own[s]), place, s // 2, *maps[s]) for s, x in enumerate(firsts) for place, t in enumerate(x)]
+    columns = ["t", "s", "n", "place", "root", *(f"m{i}" for i in range(jaccard.SMALL))]
+    table = [np.array(v) for v in zip(*sorted(rows, key=lambda r: (r[0], r[2], r[1])), strict=True)]
+    pairs = np.unique(np.concatenate(list(jaccard._pairs(*table, percent=80))), axis=0)
+    rooted = spark.createDataFrame(rows, ", ".join(f"{c} {'int' if c in ('n', 'place') else 'long'}" for c in columns))
+    for tasks in (1, 4):
+        got = jaccard._candidates(rooted, 80, tasks).collect()
+        assert connected(got) == connected(pairs.tolist()) and len(got) < tasks * len(own) < len(pairs)

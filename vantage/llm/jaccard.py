@@ -225,12 +225,15 @@ def _meet(tokens: DataFrame, tasks: int) -> DataFrame:
 
 
 def _candidates(rooted: DataFrame, percent: int, tasks: int) -> DataFrame:
-    """(a, b) of rooted (t, s, n, place, root, m0..): sets of different roots that meet under a shingle."""
+    """(a, b) edges that connect all candidates of rooted (t, s, n, place, root, m0..): sets of different roots that meet under a shingle.
+    A task gives at most one edge for each set, whatever the number of its pairs."""
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = _groups(batches, " ".join(["t s n place root", *(f"m{i}" for i in range(SMALL))]))
+        u, v = np.empty(0, np.int64), np.empty(0, np.int64)
         for out in _pairs(*got, percent=percent) if got else ():
-            yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], ["a", "b"])
+            u, v = spanning(np.concatenate([u, out[:, 0]]), np.concatenate([v, out[:, 1]]))
+        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["a", "b"])
 
     return rooted.repartition(tasks, "t").mapInArrow(pair, "a long, b long").distinct()
 
